@@ -91,10 +91,11 @@ def process_diffs(df: DataFrame, diff_col: str = "diff", lines_per_file: int = R
                   max_tokens: int = MAX_TOKENS) -> DataFrame:
     """H6: parse, count, test size; large -> compact summary, else the raw diff.
 
-    Row-local: the executed plan has no Exchange. The summary is only
-    evaluated for large rows (``CASE`` short-circuits).
+    Row-local: the executed plan has no Exchange. Statistics come from regex
+    counts; the line arrays and the summary are only built inside the
+    ``CASE`` branch, i.e. for large rows.
     """
-    parsed = df.withColumn("files", parse_files_col(diff_col))
+    parsed = df.withColumn("files", parse_files_col(diff_col, with_changes=False))
     with_stats = parsed.select("*", *stats_cols(F.col("files")),
                                estimate_tokens(diff_col).alias("diff_tokens"))
     with_stats = with_stats.withColumn("total_changes", F.col("total_additions") + F.col("total_deletions"))
@@ -103,5 +104,5 @@ def process_diffs(df: DataFrame, diff_col: str = "diff", lines_per_file: int = R
                                       max_files, max_changes, max_tokens))
     return routed.withColumn("content", F.when(
         F.col("was_compacted"),
-        summary_col(F.col("files"), F.col("total_files"), F.col("total_additions"),
+        summary_col(parse_files_col(diff_col, with_changes=True), F.col("total_files"), F.col("total_additions"),
                     F.col("total_deletions"), lines_per_file)).otherwise(F.col(diff_col)))

@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 # Line-start and header patterns of the unified diff format.
 LINE_BREAKS = r"\n\r\x{2028}\x{2029}"
-SECTION_SPLIT = r"(?:\A|(?<=[" + LINE_BREAKS + r"]))diff --git "
+# literal first so Java's regex engine can skip ahead with a fast literal search; the
+# fixed-width negative lookbehind then demands a line break (or the text start) before it
+SECTION_SPLIT = r"diff --git (?<![^" + LINE_BREAKS + r"]diff --git )"
 HEADER = r"a/([^" + LINE_BREAKS + r"]*?) b/([^" + LINE_BREAKS + r"]*?)\z"
 HUNK_START = r"@@ -\d+,?\d* \+(\d+),?\d* @@"
 NEW_MARK = "new file mode"
@@ -79,64 +81,67 @@ def header_paths(first_line: Column) -> tuple[Column, Column]:
             F.regexp_extract(first_line, HEADER, 2))
 
 
-def hunk_body(lines: Column) -> Column:
-    """Lines after the first ``@@`` line (hunk state never ends in a section).
+# Line-start patterns, applied to text prefixed with "\n" so that the
+# first line also follows a newline (lines are split on "\n" only).
+ADD_LINE = r"\n\+(?!\+\+)"
+DEL_LINE = r"\n-(?!--)"
+# text after the first line that starts with "@@" (hunk state never ends in a section)
+HUNK_BODY = r"(?s)\n@@[^\n]*\n(.*)"
 
-    Later ``@@`` lines stay in the body but start with none of ``+ - space``,
-    so they never classify as changes.
-    """
-    at = F.array_position(F.transform(lines, lambda l: l.startswith("@@")), True).cast("int")
-    return F.when(at > 0, F.slice(lines, at + 1, F.size(lines) - at)).otherwise(
-        F.array().cast("array<string>"))
 
+def _nl(text: Column) -> Column:
+    return F.concat(F.lit("\n"), text)
 
-def _stage_lines(sec: Column, pos: Column) -> Column:
-    return F.struct(pos.alias("file_pos"), section_lines(sec).alias("lines"))
 
+def _starts_a_line(text: Column, mark: str) -> Column:
+    """Some line of ``text`` (split on ``\n``) starts with ``mark``: plain substring search."""
+    return text.startswith(mark) | text.contains("\n" + mark)
 
-def _stage_header(s: Column) -> Column:
-    """Header paths, flags and hunk start, each evaluated once per section."""
-    lines = s["lines"]
-    old, new = header_paths(lines[0])
 
-    def any_starts(mark: str) -> Column:
-        return F.exists(lines, lambda l: l.startswith(mark))
+def hunk_body_text(section: Column) -> Column:
+    """Everything after the first ``@@`` line; later ``@@`` lines stay in
+    but start with none of ``+ - space``, so they never classify."""
+    return F.regexp_extract(_nl(section), HUNK_BODY, 1)
 
+
+def count_lines(body: Column, pattern: str) -> Column:
+    return F.regexp_count(_nl(body), F.lit(pattern)).cast("bigint")
+
+
+def body_lines(body: Column) -> Column:
+    return F.split(body, "\n", -1)
+
+
+def _stage_section(sec: Column, pos: Column) -> Column:
+    old, new = header_paths(F.substring_index(sec, "\n", 1))
+    is_binary = _starts_a_line(sec, BINARY_MARK)
     return F.struct(
-        s["file_pos"].alias("file_pos"), lines.alias("lines"),
-        old.alias("old"), new.alias("path"),
-        any_starts(BINARY_MARK).alias("is_binary"),
-        any_starts(NEW_MARK).alias("is_new"),
-        any_starts(DELETED_MARK).alias("is_deleted"),
-        any_starts(RENAME_MARK).alias("rename_mark"),
-        F.array_position(F.transform(lines, lambda l: l.startswith("@@")), True).cast("int").alias("hunk_at"))
-
-
-def _stage_body(f: Column, no: Column) -> Column:
-    at, lines = f["hunk_at"], f["lines"]
-    body = F.when(~f["is_binary"] & (at > 0), F.slice(lines, at + 1, F.size(lines) - at)).otherwise(
-        F.array().cast("array<string>"))
-    return F.struct(
-        (no + 1).alias("file_no"), f["file_pos"].alias("file_pos"), f["path"].alias("path"),
-        F.nullif(f["old"], f["path"]).alias("old_path"),
-        f["is_binary"].alias("is_binary"), f["is_new"].alias("is_new"),
-        f["is_deleted"].alias("is_deleted"),
-        ((f["old"] != f["path"]) | f["rename_mark"]).alias("is_renamed"),
-        body.alias("body"))
+        pos.alias("file_pos"), old.alias("old"), new.alias("path"),
+        is_binary.alias("is_binary"),
+        _starts_a_line(sec, NEW_MARK).alias("is_new"),
+        _starts_a_line(sec, DELETED_MARK).alias("is_deleted"),
+        _starts_a_line(sec, RENAME_MARK).alias("rename_mark"),
+        F.when(is_binary, F.lit("")).otherwise(hunk_body_text(sec)).alias("body"))
 
 
 FILE_FIELDS = ["file_no", "file_pos", "path", "old_path", "is_binary", "is_new", "is_deleted",
                "is_renamed"]
 
 
-def _stage_changes(f: Column, with_changes: bool) -> Column:
+def _stage_file(f: Column, no: Column, with_changes: bool) -> Column:
     body = f["body"]
-    fields = [f[k].alias(k) for k in FILE_FIELDS]
-    fields += [F.size(F.filter(body, is_addition)).cast("bigint").alias("additions"),
-               F.size(F.filter(body, is_deletion)).cast("bigint").alias("deletions")]
+    fields = [
+        (no + 1).alias("file_no"), f["file_pos"].alias("file_pos"), f["path"].alias("path"),
+        F.nullif(f["old"], f["path"]).alias("old_path"),
+        f["is_binary"].alias("is_binary"), f["is_new"].alias("is_new"),
+        f["is_deleted"].alias("is_deleted"),
+        ((f["old"] != f["path"]) | f["rename_mark"]).alias("is_renamed"),
+        count_lines(body, ADD_LINE).alias("additions"),
+        count_lines(body, DEL_LINE).alias("deletions"),
+    ]
     if with_changes:
         changes = F.transform(
-            F.filter(body, lambda l: is_addition(l) | is_deletion(l) | is_context(l)),
+            F.filter(body_lines(body), lambda l: is_addition(l) | is_deletion(l) | is_context(l)),
             lambda l: F.struct(change_type(l).alias("change_type"), change_text(l).alias("line")))
         fields.append(changes.alias("changes"))
     return F.struct(*fields)
@@ -146,13 +151,12 @@ def parse_files_col(diff, with_changes: bool = True) -> Column:
     """B1-B10 as one expression: ``ARRAY<STRUCT<file_no, file_pos, path, ...>>``.
 
     ``file_pos`` is the 0-based section index; ``file_no`` is the 1-based rank
-    among kept files (header matched, non-empty path). Each stage is its own
-    ``transform`` so every regex and scan runs once per section.
+    among kept files (header matched, non-empty path). Flags and counts are
+    native regex scans of the section text; only ``changes`` (optional)
+    splits lines into an array.
     """
-    secs = F.transform(sections(diff), _stage_lines)
-    heads = F.filter(F.transform(secs, _stage_header), lambda f: F.length(f["path"]) > 0)
-    bodies = F.transform(heads, _stage_body)
-    return F.transform(bodies, lambda f: _stage_changes(f, with_changes))
+    secs = F.filter(F.transform(sections(diff), _stage_section), lambda f: F.length(f["path"]) > 0)
+    return F.transform(secs, lambda f, i: _stage_file(f, i, with_changes))
 
 
 def parse_files(df: DataFrame, diff_col: str = "diff", out_col: str = "files",

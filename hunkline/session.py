@@ -19,6 +19,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     # one diff is one row: keep scan splits small so a few huge diffs do not
     # land in the same task
     "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
