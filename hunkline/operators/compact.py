@@ -63,6 +63,10 @@ def with_meaningful(files: Column) -> Column:
     return F.transform(files, lambda f: f.withField("m", meaningful(f["changes"]))).alias("files")
 
 
+BLOCK_FIELDS = ["path", "old_path", "is_binary", "is_new", "is_deleted", "is_renamed", "additions",
+                "deletions", "m"]
+
+
 def file_block(f: Column, n: int) -> Column:
     """H2: one file's block of the compact summary (``f`` from ``with_meaningful``)."""
     body = F.when(f["is_binary"], F.lit(TYPE_BINARY)).otherwise(F.concat(

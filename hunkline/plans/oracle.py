@@ -29,11 +29,16 @@ def plural(n: str, word: str) -> str:
 
 
 # F_DOCS, computed from documents without parsing -------------------------------------------
-DOC_LINES = f"""
+def docs_cte(by_source_only: bool = False) -> str:
+    repo = "source" if by_source_only else "lang || '/' || source"
+    return _DOC_LINES.replace("__REPO__", repo)
+
+
+_DOC_LINES = f"""
 d0 AS (
   SELECT doc_id, text, lang, source,
-         lang || '/' || source AS repo,
-         lang || '/' || source || '#' || CAST(doc_id // 1000 AS VARCHAR) AS changeset_id,
+         __REPO__ AS repo,
+         __REPO__ || '#' || CAST(doc_id // 1000 AS VARCHAR) AS changeset_id,
          lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path,
          CASE doc_id % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'deleted' WHEN 2 THEN 'renamed'
               ELSE 'modified' END AS kind,
@@ -43,7 +48,10 @@ d0 AS (
 d1 AS (
   SELECT *, CASE WHEN kind = 'renamed' THEN 'old/' || path ELSE path END AS old_path,
          CASE WHEN kind = 'new' THEN 1 ELSE doc_id % 5 + 1 END AS new_start,
-         len(lines) AS n_lines
+         len(lines) AS n_lines,
+         CASE WHEN doc_id % 4 IN (0, 1) THEN 1 WHEN doc_id % 4 = 2 THEN 3 ELSE 0 END AS mode_n,
+         row_number() OVER (PARTITION BY __REPO__ || '#' || CAST(doc_id // 1000 AS VARCHAR)
+                            ORDER BY doc_id) AS file_no
   FROM d0),
 ln0 AS (
   SELECT doc_id, kind, is_binary, unnest(lines) AS t, generate_subscripts(lines, 1) - 1 AS i FROM d1),
@@ -60,6 +68,10 @@ lm AS (
   SELECT *, (is_add OR is_del) AND regexp_matches(t, '{_NOT_JS_SPACE}') AS is_meaningful FROM lc),
 lk AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM lm WHERE is_meaningful),
+dk20 AS (
+  SELECT doc_id, string_agg(CASE WHEN is_add THEN '+' ELSE '-' END || ' ' || t || {NL}, '' ORDER BY i)
+           AS shown20
+  FROM lk WHERE r <= 20 GROUP BY doc_id),
 dl AS (
   SELECT doc_id,
          string_agg(mark || t, {NL} ORDER BY i) || {NL} AS body,
@@ -67,15 +79,17 @@ dl AS (
          CAST(count(*) FILTER (WHERE is_del) AS BIGINT) AS deletions,
          CAST(count(*) FILTER (WHERE is_add OR is_del OR (NOT is_binary AND mark = ' ')) AS BIGINT)
            AS n_changes,
-         CAST(count(*) FILTER (WHERE is_meaningful) AS BIGINT) AS n_meaningful
+         CAST(count(*) FILTER (WHERE is_meaningful) AS BIGINT) AS n_meaningful,
+         CAST(count(*) FILTER (WHERE NOT is_binary AND mark = ' ') AS BIGINT) AS n_context
   FROM lm GROUP BY doc_id),
 dk AS (
   SELECT doc_id, string_agg(CASE WHEN is_add THEN '+' ELSE '-' END || ' ' || t || {NL}, '' ORDER BY i)
            AS shown15
   FROM lk WHERE r <= 15 GROUP BY doc_id),
 docs AS (
-  SELECT d1.doc_id, d1.repo, d1.changeset_id, d1.path, d1.kind, d1.is_binary, d1.old_path,
-         dl.additions, dl.deletions, dl.n_changes, dl.n_meaningful,
+  SELECT d1.doc_id, d1.repo, d1.changeset_id, d1.file_no, d1.file_no - 1 AS file_pos, d1.mode_n,
+         d1.new_start, d1.path, d1.kind, d1.is_binary, d1.old_path,
+         dl.additions, dl.deletions, dl.n_changes, dl.n_meaningful, dl.n_context,
          kind = 'new' AS is_new, kind = 'deleted' AS is_deleted, kind = 'renamed' AS is_renamed,
          CASE WHEN kind = 'renamed' THEN old_path END AS parsed_old_path,
          'diff --git a/' || old_path || ' b/' || path || {NL}
@@ -106,12 +120,28 @@ docs AS (
                                       || CAST(dl.n_meaningful - 15 AS VARCHAR) || ' more changes' || {NL}
                                       ELSE '' END
                               || '```' || {NL} || {NL}
-                              ELSE '' END END AS block15
-  FROM d1 JOIN dl USING (doc_id) LEFT JOIN dk USING (doc_id)),
+                              ELSE '' END END AS block15,
+         '### ' || path || {NL}
+         || CASE kind WHEN 'new' THEN '**Status**: New file' || {NL}
+                      WHEN 'deleted' THEN '**Status**: Deleted' || {NL}
+                      WHEN 'renamed' THEN '**Status**: Renamed from `' || old_path || '`' || {NL}
+                      ELSE '' END
+         || CASE WHEN is_binary THEN '**Type**: Binary file' || {NL} || {NL}
+                 ELSE '**Changes**: +' || CAST(dl.additions AS VARCHAR) || ' -' || CAST(dl.deletions AS VARCHAR)
+                      || {NL} || {NL}
+                      || CASE WHEN dl.n_meaningful > 0 THEN '**Key changes**:' || {NL} || '```' || {NL}
+                              || dk20.shown20
+                              || CASE WHEN dl.n_meaningful > 20 THEN '... and '
+                                      || CAST(dl.n_meaningful - 20 AS VARCHAR) || ' more changes' || {NL}
+                                      ELSE '' END
+                              || '```' || {NL} || {NL}
+                              ELSE '' END END AS block20
+  FROM d1 JOIN dl USING (doc_id) LEFT JOIN dk USING (doc_id) LEFT JOIN dk20 USING (doc_id)),
 cs AS (
   SELECT repo, changeset_id,
          string_agg(section, '' ORDER BY doc_id) AS diff,
          string_agg(block15, '' ORDER BY doc_id) AS blocks15,
+         string_agg(block20, '' ORDER BY doc_id) AS blocks20,
          CAST(count(*) AS BIGINT) AS total_files,
          CAST(sum(additions) AS BIGINT) AS total_additions,
          CAST(sum(deletions) AS BIGINT) AS total_deletions
@@ -122,22 +152,114 @@ cst AS (
   FROM cs),
 csr AS (
   SELECT *, (total_files > 50 OR total_changes > 500 OR estimated_tokens > 15000) AS was_compacted,
-         '## Diff Summary' || {NL} || {NL} || '**Statistics**: '
-         || {plural('total_files', 'file')} || ' changed, '
+         {plural('total_files', 'file')} || ' changed, '
          || {plural('total_additions', 'insertion')} || '(+), '
-         || {plural('total_deletions', 'deletion')} || '(-)' || {NL} || {NL} || blocks15 AS summary15
-  FROM cst)
+         || {plural('total_deletions', 'deletion')} || '(-)' AS stats_line
+  FROM cst),
+css AS (
+  SELECT *, '## Diff Summary' || {NL} || {NL} || '**Statistics**: ' || stats_line || {NL} || {NL} AS head
+  FROM csr)
 """
 
 
-def with_docs(select: str) -> str:
-    return "WITH " + DOC_LINES.strip() + "\n" + select
+def with_docs(select: str, by_source_only: bool = False) -> str:
+    return "WITH " + docs_cte(by_source_only).strip() + "\n" + select
 
 
 ORACLE: dict[str, str] = {
     "process_diffs": with_docs("""
 SELECT changeset_id, total_files, total_additions, total_deletions, total_changes,
        estimated_tokens, was_compacted,
-       md5(CASE WHEN was_compacted THEN summary15 ELSE diff END) AS content_md5
-FROM csr"""),
+       md5(CASE WHEN was_compacted THEN head || blocks15 ELSE diff END) AS content_md5
+FROM css"""),
+    "file_sections": with_docs(f"""
+SELECT changeset_id, CAST(file_pos AS INT) AS file_pos, md5(substr(section, 12)) AS section_md5,
+       CAST({utf16_len('substr(section, 12)')} AS BIGINT) AS section_units
+FROM docs"""),
+    "section_lines": with_docs("""
+SELECT changeset_id, CAST(file_pos AS INT) AS file_pos,
+       CAST(generate_subscripts(sl, 1) - 1 AS INT) AS line_pos, unnest(sl) AS line
+FROM (SELECT changeset_id, file_pos, string_split(substr(section, 12), chr(10)) AS sl FROM docs)"""),
+    "parsed_files": with_docs("""
+SELECT changeset_id, CAST(file_no AS INT) AS file_no, CAST(file_pos AS INT) AS file_pos, path,
+       parsed_old_path AS old_path, is_binary, is_new, is_deleted, is_renamed,
+       additions, deletions, n_changes
+FROM docs"""),
+    "file_headers": with_docs("""
+SELECT changeset_id, CAST(file_no AS INT) AS file_no, path, parsed_old_path AS old_path, is_renamed
+FROM docs"""),
+    "file_flags": with_docs("""
+SELECT changeset_id, CAST(file_no AS INT) AS file_no, is_new, is_deleted, is_binary, is_renamed
+FROM docs"""),
+    "file_counts": with_docs("""
+SELECT changeset_id, CAST(file_no AS INT) AS file_no, additions, deletions FROM docs"""),
+    "file_status": with_docs(f"""
+SELECT changeset_id, CAST(file_no AS INT) AS file_no, kind AS status,
+       CASE kind WHEN 'new' THEN '**Status**: New file' || {NL}
+                 WHEN 'deleted' THEN '**Status**: Deleted' || {NL}
+                 WHEN 'renamed' THEN '**Status**: Renamed from `' || old_path || '`' || {NL}
+                 ELSE '' END AS status_line
+FROM docs"""),
+    "hunks": with_docs("""
+SELECT changeset_id, CAST(file_no AS INT) AS file_no, CAST(1 AS BIGINT) AS hunk_no,
+       CAST(mode_n + 4 AS INT) AS header_pos,
+       CAST(CASE WHEN kind = 'deleted' THEN 0 ELSE new_start END AS BIGINT) AS new_start,
+       additions, deletions, n_context AS context
+FROM docs WHERE NOT is_binary"""),
+    "line_changes": with_docs("""
+SELECT d.changeset_id, CAST(d.file_no AS INT) AS file_no, CAST(d.mode_n + 5 + l.i AS INT) AS line_pos,
+       CASE WHEN l.is_add THEN 'addition' WHEN l.is_del THEN 'deletion' ELSE 'context' END AS change_type,
+       l.t AS line
+FROM lm l JOIN docs d USING (doc_id)
+WHERE l.is_add OR l.is_del OR (NOT l.is_binary AND l.mark = ' ')"""),
+    "line_numbers": with_docs("""
+SELECT d.changeset_id, CAST(d.file_no AS INT) AS file_no, CAST(d.mode_n + 5 + l.i AS INT) AS line_pos,
+       CASE WHEN l.is_add THEN 'addition' ELSE 'context' END AS change_type,
+       CAST(d.new_start + row_number() OVER (PARTITION BY l.doc_id ORDER BY l.i) - 1 AS BIGINT)
+         AS line_number
+FROM lm l JOIN docs d USING (doc_id)
+WHERE l.is_add OR (NOT l.is_binary AND l.mark = ' ')"""),
+    "diff_stats": """
+WITH f AS (
+  SELECT l_orderkey, l_linenumber, CAST(sum(l_quantity) AS INT) AS qty, min(l_returnflag) AS flag
+  FROM lineitem GROUP BY l_orderkey, l_linenumber),
+g AS (
+  SELECT l_orderkey, greatest(qty, 1) AS n,
+         CASE flag WHEN 'A' THEN 'new' WHEN 'R' THEN 'deleted' ELSE 'modified' END AS kind
+  FROM f),
+h AS (
+  SELECT l_orderkey,
+         CASE kind WHEN 'new' THEN n WHEN 'deleted' THEN 0 ELSE (n + 1) // 3 END AS a,
+         CASE kind WHEN 'deleted' THEN n WHEN 'new' THEN 0 ELSE n // 3 END AS d
+  FROM g),
+k AS (SELECT l_orderkey, count(*) AS nf, sum(a) AS sa, sum(d) AS sd FROM h GROUP BY l_orderkey)
+SELECT CAST(o_orderkey AS VARCHAR) AS changeset_id,
+       CAST(coalesce(nf, 0) AS BIGINT) AS total_files,
+       CAST(coalesce(sa, 0) AS BIGINT) AS total_additions,
+       CAST(coalesce(sd, 0) AS BIGINT) AS total_deletions,
+       CAST(coalesce(sa, 0) + coalesce(sd, 0) AS BIGINT) AS total_changes
+FROM orders LEFT JOIN k ON o_orderkey = l_orderkey""",
+    "estimate_tokens": f"""
+SELECT doc_id, CAST({utf16_len('text')} AS BIGINT) AS utf16_units, {est_tokens('text')} AS estimated_tokens
+FROM documents""",
+    "is_large": with_docs("""
+SELECT changeset_id, total_files, total_changes, estimated_tokens,
+       total_files > 50 AS large_by_files, total_changes > 500 AS large_by_changes,
+       estimated_tokens > 15000 AS large_by_tokens, was_compacted AS is_large
+FROM csr""", by_source_only=True),
+    "meaningful_changes": with_docs("""
+SELECT changeset_id, CAST(file_no AS INT) AS file_no, n_meaningful FROM docs"""),
+    "top_changes": with_docs("""
+SELECT d.changeset_id, CAST(d.file_no AS INT) AS file_no, CAST(k.r AS INT) AS k,
+       CASE WHEN k.is_add THEN 'addition' ELSE 'deletion' END AS change_type, k.t AS line,
+       CAST(greatest(d.n_meaningful - 15, 0) AS BIGINT) AS n_more
+FROM lk k JOIN docs d USING (doc_id) WHERE k.r <= 15"""),
+    "summary_stats_line": with_docs("""
+SELECT changeset_id, stats_line FROM csr"""),
+    "file_blocks": with_docs("""
+SELECT changeset_id, CAST(file_no AS INT) AS file_no, md5(block20) AS block_md5 FROM docs"""),
+    "compact_summary": with_docs(f"""
+SELECT changeset_id, md5(head || blocks20) AS summary_md5,
+       CAST({utf16_len('(head || blocks20)')} AS BIGINT) AS summary_units
+FROM css"""),
 }

@@ -12,8 +12,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hunkline.operators.compact import process_diffs
-from hunkline.sources.fixtures import doc_changesets
+from hunkline.functions import estimate_tokens, utf16_length
+from hunkline.operators.compact import (
+    BLOCK_FIELDS, DEFAULT_LINES, ROUTED_LINES, file_block, meaningful, process_diffs, stats_line,
+    status_label, status_line, summary_col, with_meaningful,
+)
+from hunkline.operators.lines import all_section_lines, hunks, numbered_lines
+from hunkline.operators.parse import parse_files, parse_files_col, sections
+from hunkline.operators.stats import MAX_CHANGES, MAX_FILES, MAX_TOKENS, with_is_large, with_stats
+from hunkline.sources.fixtures import doc_changesets, order_changesets
+from hunkline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -33,3 +41,161 @@ def q_process_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("changeset_id", "total_files", "total_additions", "total_deletions",
                       "total_changes", F.col("diff_tokens").alias("estimated_tokens"),
                       "was_compacted", F.md5("content").alias("content_md5"))
+
+
+# --- parsing (B1-B11) on the documents corpus ----------------------------------------------
+
+def _docs(spark, sf_dir, by_source_only=False):
+    return doc_changesets(spark, sf_dir, by_source_only)
+
+
+@query("file_sections")
+def q_file_sections(spark, sf_dir):
+    """B1: sections of every diff, with their position."""
+    cs = _docs(spark, sf_dir)
+    return (cs.select("changeset_id", F.posexplode(sections("diff")).alias("file_pos", "section"))
+              .select("changeset_id", "file_pos", F.md5("section").alias("section_md5"),
+                      utf16_length("section").alias("section_units")))
+
+
+@query("section_lines")
+def q_section_lines(spark, sf_dir):
+    """B2: every line of every section (``split('\\n')``, trailing '' kept)."""
+    return all_section_lines(_docs(spark, sf_dir))
+
+
+def _parsed(spark, sf_dir, with_changes=False, by_source_only=False):
+    cs = _docs(spark, sf_dir, by_source_only)
+    return cs.select("changeset_id", F.inline(parse_files_col("diff", with_changes)))
+
+
+@query("parsed_files")
+def q_parsed_files(spark, sf_dir):
+    """Kept files in diff order with flags and counts (flat form)."""
+    return _parsed(spark, sf_dir, True).select(
+        "changeset_id", "file_no", "file_pos", "path", "old_path", "is_binary", "is_new",
+        "is_deleted", "is_renamed", "additions", "deletions",
+        F.size("changes").cast("bigint").alias("n_changes"))
+
+
+@query("file_headers")
+def q_file_headers(spark, sf_dir):
+    """Header paths and rename-by-path."""
+    return _parsed(spark, sf_dir).select("changeset_id", "file_no", "path", "old_path", "is_renamed")
+
+
+@query("file_flags")
+def q_file_flags(spark, sf_dir):
+    """Status flags from any line of the section."""
+    return _parsed(spark, sf_dir).select("changeset_id", "file_no", "is_new", "is_deleted",
+                                         "is_binary", "is_renamed")
+
+
+@query("file_counts")
+def q_file_counts(spark, sf_dir):
+    """Additions and deletions per file."""
+    return _parsed(spark, sf_dir).select("changeset_id", "file_no", "additions", "deletions")
+
+
+@query("file_status")
+def q_file_status(spark, sf_dir):
+    """New > deleted > renamed > modified, with the summary's status line."""
+    f = F.struct(*[F.col(c) for c in ("is_new", "is_deleted", "is_renamed", "old_path")])
+    return _parsed(spark, sf_dir).select("changeset_id", "file_no", status_label(f).alias("status"),
+                                         status_line(f).alias("status_line"))
+
+
+@query("hunks")
+def q_hunks(spark, sf_dir):
+    """Hunks with header position, parsed new-file start and counts."""
+    return hunks(numbered_lines(_docs(spark, sf_dir)))
+
+
+@query("line_changes")
+def q_line_changes(spark, sf_dir):
+    """Classified change lines (marker removed)."""
+    return (numbered_lines(_docs(spark, sf_dir)).filter(F.col("change_type").isNotNull())
+            .select("changeset_id", "file_no", "line_pos", "change_type", F.col("text").alias("line")))
+
+
+@query("line_numbers")
+def q_line_numbers(spark, sf_dir):
+    """New-file line numbers of additions and context lines."""
+    return (numbered_lines(_docs(spark, sf_dir)).filter(F.col("line_number").isNotNull())
+            .select("changeset_id", "file_no", "line_pos", "change_type", "line_number"))
+
+
+@query("diff_stats")
+def q_diff_stats(spark, sf_dir):
+    """E2/B11 on the orders corpus: empty change-sets keep a row of zeros."""
+    cs = order_changesets(spark, sf_dir)
+    return with_stats(parse_files(cs, with_changes=False)).select(
+        "changeset_id", "total_files", "total_additions", "total_deletions", "total_changes")
+
+
+@query("estimate_tokens")
+def q_estimate_tokens(spark, sf_dir):
+    """UTF-16 length and ceil(length / 2.5) of every document text."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", utf16_length("text").alias("utf16_units"),
+                    estimate_tokens("text").alias("estimated_tokens"))
+
+
+@query("is_large")
+def q_is_large(spark, sf_dir):
+    """C2 on the by-source corpus (exactly 50 files per change-set at sf0.01: not large by files)."""
+    cs = _docs(spark, sf_dir, by_source_only=True)
+    out = with_is_large(with_stats(parse_files(cs, with_changes=False)))
+    return out.select("changeset_id", "total_files", "total_changes",
+                      F.col("diff_tokens").alias("estimated_tokens"),
+                      (F.col("total_files") > MAX_FILES).alias("large_by_files"),
+                      (F.col("total_changes") > MAX_CHANGES).alias("large_by_changes"),
+                      (F.col("diff_tokens") > MAX_TOKENS).alias("large_by_tokens"), "is_large")
+
+
+@query("meaningful_changes")
+def q_meaningful_changes(spark, sf_dir):
+    """Per file, changes that are not context and not blank after a JS trim."""
+    return _parsed(spark, sf_dir, True).select(
+        "changeset_id", "file_no", F.size(meaningful(F.col("changes"))).cast("bigint").alias("n_meaningful"))
+
+
+@query("top_changes")
+def q_top_changes(spark, sf_dir):
+    """first 15 meaningful changes per file, with the overflow count."""
+    p = _parsed(spark, sf_dir, True).select("changeset_id", "file_no",
+                                            meaningful(F.col("changes")).alias("m"))
+    return (p.select("changeset_id", "file_no",
+                     F.greatest(F.size("m") - ROUTED_LINES, F.lit(0)).cast("bigint").alias("n_more"),
+                     F.posexplode(F.slice("m", 1, ROUTED_LINES)).alias("k", "c"))
+             .select("changeset_id", "file_no", (F.col("k") + 1).alias("k"),
+                     F.col("c.change_type").alias("change_type"), F.col("c.line").alias("line"), "n_more"))
+
+
+@query("summary_stats_line")
+def q_summary_stats_line(spark, sf_dir):
+    """H1: statistics line with singular/plural forms."""
+    s = with_stats(parse_files(_docs(spark, sf_dir), with_changes=False))
+    return s.select("changeset_id", stats_line(F.col("total_files"), F.col("total_additions"),
+                                               F.col("total_deletions")).alias("stats_line"))
+
+
+@query("file_blocks")
+def q_file_blocks(spark, sf_dir):
+    """H2/H3: each file's summary block at the function default of 20 lines."""
+    cs = _docs(spark, sf_dir)
+    files = with_meaningful(parse_files_col("diff", True))
+    return (cs.select("changeset_id", F.inline(files))
+              .select("changeset_id", "file_no",
+                      F.md5(file_block(F.struct(*[F.col(c) for c in BLOCK_FIELDS]), DEFAULT_LINES))
+                      .alias("block_md5")))
+
+
+@query("compact_summary")
+def q_compact_summary(spark, sf_dir):
+    """H4: the whole compact summary of every change-set (N = 20)."""
+    s = with_stats(parse_files(_docs(spark, sf_dir), with_changes=True))
+    summ = summary_col(F.col("files"), F.col("total_files"), F.col("total_additions"),
+                       F.col("total_deletions"), DEFAULT_LINES)
+    return s.select("changeset_id", F.md5(summ).alias("summary_md5"),
+                    utf16_length(summ).alias("summary_units"))

@@ -89,11 +89,13 @@ def doc_files(documents: DataFrame, by_source_only: bool = False) -> DataFrame:
 def assemble(files: DataFrame, order_col: str) -> DataFrame:
     """Concatenate file sections into one diff per change-set, in ``order_col`` order.
 
-    One hash shuffle on ``changeset_id``; every group is bounded by the
-    builder's block size. ``collect_list`` keeps only (order key, section).
+    One hash shuffle on ``changeset_id`` (``repo`` is functionally dependent,
+    so it rides along as ``any_value``); the output stays hash-partitioned by
+    ``changeset_id`` and later per-file windows reuse it without a second
+    Exchange. Every group is bounded by the builder's block size.
     """
-    return (files.groupBy("repo", "changeset_id")
-                 .agg(F.array_join(F.transform(
+    return (files.groupBy("changeset_id")
+                 .agg(F.any_value("repo").alias("repo"), F.array_join(F.transform(
                      F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("k"),
                                                           F.col("section").alias("s")))),
                      lambda x: x["s"]), "").alias("diff")))
