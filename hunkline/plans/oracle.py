@@ -9,6 +9,10 @@ itself (needed for token counts and pass-through content) is rebuilt here with
 
 from __future__ import annotations
 
+import re
+
+from hunkline.operators import prompt as P
+
 NL = "chr(10)"
 
 # JavaScript trim's whitespace set, as an RE2 class (same fixed values as jsstr.JS_SPACE)
@@ -162,8 +166,69 @@ css AS (
 """
 
 
-def with_docs(select: str, by_source_only: bool = False) -> str:
-    return "WITH " + docs_cte(by_source_only).strip() + "\n" + select
+SETTINGS_CTE = r"""
+rp AS (
+  SELECT DISTINCT lang, source, lang || '/' || source AS repo,
+         CAST(regexp_extract(source, '(\d+)', 1) AS INT) AS n
+  FROM documents),
+st AS (
+  SELECT repo,
+         CASE WHEN n % 8 = 5 THEN 'fr' WHEN lang = 'es' THEN 'es' WHEN n % 2 = 0 THEN 'en' END AS language,
+         CASE WHEN n % 2 = 0 THEN 'gemini-2.5-flash' END AS model,
+         CAST(CASE WHEN n % 10 = 7 THEN 500 WHEN n % 3 = 0 THEN 1000 WHEN n % 3 = 1 THEN 20000 END AS BIGINT)
+           AS token_limit
+  FROM rp WHERE n % 4 <> 3),
+rs AS (
+  SELECT rp.repo, coalesce(st.language, 'en') AS language,
+         coalesce(st.model, 'gemini-flash-latest') AS model,
+         CAST(coalesce(st.token_limit, 20000) AS BIGINT) AS token_limit
+  FROM rp LEFT JOIN st USING (repo)),
+rsb AS (
+  SELECT *, language IN ('en', 'es') AND token_limit BETWEEN 1000 AND 1000000 AS in_bounds FROM rs)
+"""
+
+
+def lit(text: str) -> str:
+    """A DuckDB string literal (backslashes are literal; quotes doubled)."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def fill(template: str, **cols: str) -> str:
+    """Template with ``{name}`` slots -> SQL concatenation."""
+    out, pos = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        out.append(lit(template[pos:m.start()]))
+        out.append(f"CAST({cols[m.group(1)]} AS VARCHAR)")
+        pos = m.end()
+    out.append(lit(template[pos:]))
+    return " || ".join(out)
+
+
+PROMPT_SQL = (f"{lit(P.RULES)} || CASE WHEN language = 'es' THEN {lit(P.LANGUAGE_LINE['es'])} "
+              f"ELSE {lit(P.LANGUAGE_LINE['en'])} END || CASE WHEN was_compacted THEN "
+              f"{fill(P.LARGE_NOTE, files='total_files', changes='total_changes')} ELSE '' END || "
+              f"{lit(P.ASK)} || content || {lit(P.FENCE_END)} || CASE WHEN was_compacted THEN "
+              f"{lit(P.GUIDANCE_LARGE)} ELSE {lit(P.GUIDANCE_SMALL)} END || {lit(P.CLOSING)}")
+
+PROMPTS_CTE = f"""
+pc AS (
+  SELECT css.*, rsb.language, rsb.token_limit,
+         CASE WHEN was_compacted THEN head || blocks15 ELSE diff END AS content
+  FROM css LEFT JOIN rsb USING (repo)),
+pr AS (SELECT *, {PROMPT_SQL} AS prompt FROM pc),
+pt AS (SELECT *, {est_tokens('prompt')} AS prompt_tokens FROM pr)
+"""
+
+
+def with_docs(select: str, by_source_only: bool = False, extra: str = "") -> str:
+    ctes = docs_cte(by_source_only).strip()
+    if extra:
+        ctes += ",\n" + extra.strip()
+    return "WITH " + ctes + "\n" + select
+
+
+def with_settings(select: str) -> str:
+    return "WITH " + SETTINGS_CTE.strip() + "\n" + select
 
 
 ORACLE: dict[str, str] = {
@@ -262,4 +327,19 @@ SELECT changeset_id, CAST(file_no AS INT) AS file_no, md5(block20) AS block_md5
 SELECT changeset_id, md5(head || blocks20) AS summary_md5,
        CAST({utf16_len('(head || blocks20)')} AS BIGINT) AS summary_units
 FROM css"""),
+    "resolve_settings": with_settings("""
+SELECT repo, language, model, token_limit, in_bounds FROM rsb"""),
+    "build_prompts": with_docs(f"""
+SELECT changeset_id, language, was_compacted, md5(prompt) AS prompt_md5,
+       CAST({utf16_len('prompt')} AS BIGINT) AS prompt_units
+FROM pr""", extra=SETTINGS_CTE + "," + PROMPTS_CTE),
+    "token_gate": with_docs(f"""
+SELECT changeset_id, prompt_tokens, token_limit,
+       CASE WHEN prompt_tokens > token_limit THEN 'over_budget' ELSE 'ok' END AS gate,
+       CASE WHEN prompt_tokens > token_limit THEN
+         {fill(P.OVER_BUDGET_NOTICE, tokens="format('{:,}', prompt_tokens)", limit="format('{:,}', token_limit)")}
+       END AS notice,
+       CASE WHEN was_compacted THEN {fill(P.LARGE_NOTICE, files='total_files', changes='total_changes')}
+       END AS large_notice
+FROM pt""", extra=SETTINGS_CTE + "," + PROMPTS_CTE),
 }

@@ -20,7 +20,8 @@ from hunkline.operators.compact import (
 from hunkline.operators.lines import all_section_lines, hunks, numbered_lines
 from hunkline.operators.parse import parse_files, parse_files_col, sections
 from hunkline.operators.stats import MAX_CHANGES, MAX_FILES, MAX_TOKENS, with_is_large, with_stats
-from hunkline.sources.fixtures import doc_changesets, order_changesets
+from hunkline.operators.prompt import prompt_col, resolve_settings, token_gate
+from hunkline.sources.fixtures import doc_changesets, doc_repos, order_changesets, settings_table
 from hunkline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -199,3 +200,41 @@ def q_compact_summary(spark, sf_dir):
                        F.col("total_deletions"), DEFAULT_LINES)
     return s.select("changeset_id", F.md5(summ).alias("summary_md5"),
                     utf16_length(summ).alias("summary_units"))
+
+
+# --- settings, prompts, token gate (D4, H5, H7, C5, E4, H8) ---------------------------------
+
+def _resolved(spark, sf_dir):
+    return resolve_settings(doc_repos(spark, sf_dir).select("repo"), settings_table(spark, sf_dir))
+
+
+@query("resolve_settings")
+def q_resolve_settings(spark, sf_dir):
+    """Settings with defaults for every repository."""
+    return _resolved(spark, sf_dir)
+
+
+def _prompts(spark, sf_dir):
+    """Prompts for every change-set. Settings are joined on the narrow key
+    table first and brought back by ``changeset_id`` (the corpus's existing
+    partitioning), so the diff text itself is never shuffled for the join."""
+    cs = _docs(spark, sf_dir)
+    keys = cs.select("changeset_id", "repo").join(_resolved(spark, sf_dir), "repo", "left")
+    routed = process_diffs(cs).join(keys.drop("repo"), "changeset_id", "left")
+    return routed.withColumn("prompt", prompt_col("content", "language", "was_compacted",
+                                                  "total_files", "total_changes"))
+
+
+@query("build_prompts")
+def q_build_prompts(spark, sf_dir):
+    """H5/H7: rendered prompt per change-set (language from settings)."""
+    return _prompts(spark, sf_dir).select(
+        "changeset_id", "language", "was_compacted", F.md5("prompt").alias("prompt_md5"),
+        utf16_length("prompt").alias("prompt_units"))
+
+
+@query("token_gate")
+def q_token_gate(spark, sf_dir):
+    """Prompt tokens (estimate fallback) against the repo's limit."""
+    g = token_gate(_prompts(spark, sf_dir))
+    return g.select("changeset_id", "prompt_tokens", "token_limit", "gate", "notice", "large_notice")

@@ -136,3 +136,23 @@ def order_changesets(spark: SparkSession, sf_dir: str) -> DataFrame:
                   .select(F.concat(F.lit("cust/"), F.col("o_custkey").cast("string")).alias("repo"),
                           F.col("o_orderkey").cast("string").alias("changeset_id"),
                           F.coalesce(F.col("diff"), F.lit("")).alias("diff")))
+
+
+def doc_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories of the documents corpus: one row per (lang, source)."""
+    d = table(spark, sf_dir, "documents").select("lang", "source").distinct()
+    return d.select(F.concat(F.col("lang"), F.lit("/"), F.col("source")).alias("repo"), "lang", "source")
+
+
+def settings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F_SETTINGS: explicit settings for some repositories only, so the rest
+    need defaults; includes an out-of-enum language and an out-of-range limit."""
+    r = doc_repos(spark, sf_dir)
+    n = F.regexp_extract(F.col("source"), r"(\d+)", 1).cast("int")
+    r = r.withColumn("n", n).filter(F.col("n") % 4 != 3)
+    language = (F.when(F.col("n") % 8 == 5, F.lit("fr")).when(F.col("lang") == "es", F.lit("es"))
+                 .when(F.col("n") % 2 == 0, F.lit("en")))
+    model = F.when(F.col("n") % 2 == 0, F.lit("gemini-2.5-flash"))
+    limit = (F.when(F.col("n") % 10 == 7, F.lit(500)).when(F.col("n") % 3 == 0, F.lit(1000))
+              .when(F.col("n") % 3 == 1, F.lit(20000))).cast("bigint")
+    return r.select("repo", language.alias("language"), model.alias("model"), limit.alias("token_limit"))
