@@ -227,6 +227,25 @@ def with_docs(select: str, by_source_only: bool = False, extra: str = "") -> str
     return "WITH " + ctes + "\n" + select
 
 
+ELIGIBLE_CTE = """
+WITH cat AS (
+  SELECT p_brand AS catalog_id,
+         'models/' || replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR) AS raw_name,
+         CASE WHEN (p_partkey // 3) % 3 = 0 THEN NULL WHEN (p_partkey // 3) % 3 = 1 THEN ''
+              ELSE p_brand END AS raw_display,
+         p_type AS description,
+         p_partkey % 3 = 2 AS has_capability
+  FROM part),
+el AS (
+  SELECT catalog_id, regexp_replace(raw_name, 'models/', '') AS name,
+         coalesce(nullif(raw_display, ''), raw_name) AS display_name, description
+  FROM cat
+  WHERE has_capability
+    AND NOT (contains(lower(raw_name), 'small') OR contains(lower(raw_name), 'hot-'))
+    AND (contains(lower(raw_name), 'ring') OR contains(lower(raw_name), 'widget')
+         OR contains(lower(raw_name), 'gear')))"""
+
+
 def with_settings(select: str) -> str:
     return "WITH " + SETTINGS_CTE.strip() + "\n" + select
 
@@ -342,4 +361,36 @@ SELECT changeset_id, prompt_tokens, token_limit,
        CASE WHEN was_compacted THEN {fill(P.LARGE_NOTICE, files='total_files', changes='total_changes')}
        END AS large_notice
 FROM pt""", extra=SETTINGS_CTE + "," + PROMPTS_CTE),
+    "model_eligible": ELIGIBLE_CTE + """
+SELECT catalog_id, name, display_name, description FROM el""",
+    "model_order": ELIGIBLE_CTE + """
+SELECT catalog_id, name, CAST(row_number() OVER (PARTITION BY catalog_id ORDER BY name) AS INT) AS pos
+FROM el""",
+    "model_current": ELIGIBLE_CTE + """,
+cur AS (
+  SELECT p_brand AS catalog_id, arg_max(replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR), p_partkey)
+           AS current_model
+  FROM part GROUP BY p_brand)
+SELECT el.catalog_id, el.name, coalesce(el.name = cur.current_model, false) AS is_current
+FROM el LEFT JOIN cur USING (catalog_id)""",
+    "best_model": ELIGIBLE_CTE + """,
+pri AS (
+  SELECT CAST((50 - p_size) AS BIGINT) * 1000000000000 + p_partkey AS priority_rank,
+         replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR) AS name
+  FROM part WHERE p_size >= 48),
+j AS (
+  SELECT el.catalog_id, el.name, pri.priority_rank,
+         row_number() OVER (PARTITION BY el.catalog_id
+                            ORDER BY coalesce(pri.priority_rank, 4611686018427387904), el.name) AS r
+  FROM el LEFT JOIN pri USING (name)),
+pick AS (
+  SELECT catalog_id, max(name) FILTER (WHERE r = 1) AS picked, min(priority_rank) AS best_rank,
+         count(*) AS n_eligible
+  FROM j GROUP BY catalog_id),
+cats AS (SELECT DISTINCT p_brand AS catalog_id FROM part)
+SELECT cats.catalog_id, coalesce(picked, 'gemini-flash-latest') AS best_model,
+       CASE WHEN best_rank IS NOT NULL THEN 'priority' WHEN picked IS NOT NULL THEN 'first'
+            ELSE 'fallback' END AS source,
+       CAST(coalesce(n_eligible, 0) AS BIGINT) AS n_eligible
+FROM cats LEFT JOIN pick USING (catalog_id)""",
 }

@@ -20,8 +20,12 @@ from hunkline.operators.compact import (
 from hunkline.operators.lines import all_section_lines, hunks, numbered_lines
 from hunkline.operators.parse import parse_files, parse_files_col, sections
 from hunkline.operators.stats import MAX_CHANGES, MAX_FILES, MAX_TOKENS, with_is_large, with_stats
+from hunkline.operators.catalog import best_model, eligible_models, mark_current, model_order
 from hunkline.operators.prompt import prompt_col, resolve_settings, token_gate
-from hunkline.sources.fixtures import doc_changesets, doc_repos, order_changesets, settings_table
+from hunkline.sources.fixtures import (
+    CATALOG_EXCLUDE, CATALOG_INCLUDE, catalog_current, catalog_priority, doc_changesets, doc_repos,
+    model_catalog, order_changesets, settings_table,
+)
 from hunkline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -238,3 +242,35 @@ def q_token_gate(spark, sf_dir):
     """Prompt tokens (estimate fallback) against the repo's limit."""
     g = token_gate(_prompts(spark, sf_dir))
     return g.select("changeset_id", "prompt_tokens", "token_limit", "gate", "notice", "large_notice")
+
+
+# --- model catalogue (I1-I6, F3, F4) --------------------------------------------------------
+
+def _eligible(spark, sf_dir):
+    return eligible_models(model_catalog(spark, sf_dir), include=CATALOG_INCLUDE, exclude=CATALOG_EXCLUDE)
+
+
+@query("model_eligible")
+def q_model_eligible(spark, sf_dir):
+    """Capability and name filters, normalised names."""
+    return _eligible(spark, sf_dir).select("catalog_id", "name", "display_name", "description")
+
+
+@query("model_order")
+def q_model_order(spark, sf_dir):
+    """locale order of names within each catalogue (skew-safe position)."""
+    return model_order(_eligible(spark, sf_dir)).select("catalog_id", "name", "pos")
+
+
+@query("model_current")
+def q_model_current(spark, sf_dir):
+    """Flag each catalogue's configured model."""
+    m = mark_current(_eligible(spark, sf_dir), catalog_current(spark, sf_dir))
+    return m.select("catalog_id", "name", "is_current")
+
+
+@query("best_model")
+def q_best_model(spark, sf_dir):
+    """Best model per catalogue: priority, else first, else fallback."""
+    cats = table(spark, sf_dir, "part").select(F.col("p_brand").alias("catalog_id")).distinct()
+    return best_model(_eligible(spark, sf_dir), cats, catalog_priority(spark, sf_dir))

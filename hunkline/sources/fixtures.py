@@ -156,3 +156,43 @@ def settings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     limit = (F.when(F.col("n") % 10 == 7, F.lit(500)).when(F.col("n") % 3 == 0, F.lit(1000))
               .when(F.col("n") % 3 == 1, F.lit(20000))).cast("bigint")
     return r.select("repo", language.alias("language"), model.alias("model"), limit.alias("token_limit"))
+
+
+# Fixture parameters for the part-derived catalogue (not the reference's lists).
+CATALOG_INCLUDE = ("ring", "widget", "gear")
+CATALOG_EXCLUDE = ("small", "hot-")
+
+
+def _model_name(p_name: Column, partkey: Column) -> Column:
+    return F.concat(F.regexp_replace(p_name, " ", "-"), F.lit("-"), partkey.cast("string"))
+
+
+def model_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F_CATALOG: one catalogue per brand, one model per part."""
+    p = table(spark, sf_dir, "part")
+    pk = F.col("p_partkey")
+    methods = (F.when(pk % 3 == 0, F.lit(None).cast("array<string>"))
+                .when(pk % 3 == 1, F.array(F.lit("countTokens")))
+                .otherwise(F.array(F.lit("countTokens"), F.lit("generateContent"))))
+    display = (F.when(F.floor(pk / 3) % 3 == 0, F.lit(None).cast("string"))
+                .when(F.floor(pk / 3) % 3 == 1, F.lit("")).otherwise(F.col("p_brand")))
+    return p.select(F.col("p_brand").alias("catalog_id"),
+                    F.concat(F.lit("models/"), _model_name(F.col("p_name"), pk)).alias("name"),
+                    display.alias("display_name"), F.col("p_type").alias("description"),
+                    methods.alias("methods"))
+
+
+def catalog_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priority table derived from the data: parts of size 48-50, larger first."""
+    p = table(spark, sf_dir, "part").filter(F.col("p_size") >= 48)
+    return p.select(((50 - F.col("p_size")).cast("bigint") * 1_000_000_000_000 + F.col("p_partkey"))
+                    .alias("priority_rank"),
+                    _model_name(F.col("p_name"), F.col("p_partkey")).alias("name"))
+
+
+def catalog_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configured model per catalogue: the brand's highest part key (may be ineligible)."""
+    p = table(spark, sf_dir, "part")
+    return (p.groupBy(F.col("p_brand").alias("catalog_id"))
+             .agg(F.max_by(_model_name(F.col("p_name"), F.col("p_partkey")), F.col("p_partkey"))
+                  .alias("current_model")))
