@@ -246,10 +246,121 @@ el AS (
          OR contains(lower(raw_name), 'gear')))"""
 
 
+BEST_CTE = """,
+pri AS (
+  SELECT CAST((50 - p_size) AS BIGINT) * 1000000000000 + p_partkey AS priority_rank,
+         replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR) AS name
+  FROM part WHERE p_size >= 48),
+j AS (
+  SELECT el.catalog_id, el.name, pri.priority_rank,
+         row_number() OVER (PARTITION BY el.catalog_id
+                            ORDER BY coalesce(pri.priority_rank, 4611686018427387904), el.name) AS r
+  FROM el LEFT JOIN pri USING (name)),
+pick AS (
+  SELECT catalog_id, max(name) FILTER (WHERE r = 1) AS picked, min(priority_rank) AS best_rank,
+         count(*) AS n_eligible
+  FROM j GROUP BY catalog_id),
+cats AS (SELECT DISTINCT p_brand AS catalog_id FROM part),
+best AS (
+  SELECT cats.catalog_id, coalesce(picked, 'gemini-flash-latest') AS best_model,
+         CASE WHEN best_rank IS NOT NULL THEN 'priority' WHEN picked IS NOT NULL THEN 'first'
+              ELSE 'fallback' END AS source,
+         CAST(coalesce(n_eligible, 0) AS BIGINT) AS n_eligible
+  FROM cats LEFT JOIN pick USING (catalog_id))"""
+
+_JS_SPACE_RE2 = _NOT_JS_SPACE.replace("[^", "[")
+def clean_sql(x: str) -> str:
+    """JavaScript trim, then at most one quote off each end."""
+    return ("regexp_replace(regexp_replace(" + x + ", '\\A" + _JS_SPACE_RE2 + "+|" + _JS_SPACE_RE2
+            + "+\\z', '', 'g'), '\\A[\"'']|[\"'']\\z', '', 'g')")
+
+ANSWERS_CTE = f"""
+WITH a0 AS (
+  SELECT 'c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS request_id,
+         'gemini-flash-latest' AS model,
+         CASE WHEN conv_id % 11 = 0 THEN ' "" '
+              WHEN conv_id % 4 = 0 THEN '  ' || {NL} || text || ' ' || {NL}
+              WHEN conv_id % 4 = 1 THEN '"' || text || '"'
+              WHEN conv_id % 4 = 2 THEN chr(39) || text
+              ELSE text END AS raw
+  FROM conversations WHERE role = 'assistant'),
+ans AS (
+  SELECT request_id, model, {clean_sql('raw')} AS message FROM a0),
+ans2 AS (SELECT 1)"""
+ANSWERS_CTE = ANSWERS_CTE.replace("""ans AS (
+  SELECT request_id, model, """ + clean_sql('raw') + """ AS message FROM a0),
+ans2 AS (SELECT 1)""", """a1 AS (
+  SELECT request_id, model, """ + clean_sql('raw') + """ AS message FROM a0),
+ans AS (SELECT *, length(message) > 0 AS has_message FROM a1)""")
+
+
+def _error_classes_sql() -> str:
+    from hunkline.operators.respond import ERROR_RULES, OTHER
+    whens = []
+    for name, markers, statuses in ERROR_RULES:
+        conds = [f"contains(error_text, {lit(m)})" for m in markers] + [
+            f"coalesce(error_status = {st}, false)" for st in statuses]
+        whens.append(f"WHEN {' OR '.join(conds)} THEN {lit(name)}")
+    return "CASE " + " ".join(whens) + f" ELSE {lit(OTHER)} END"
+
+
+def _user_text_sql() -> str:
+    from hunkline.operators import respond as R
+    whens = []
+    for lang in ("es", "en"):
+        for name in [r[0] for r in R.ERROR_RULES] + [R.OTHER]:
+            cond = f"error_class = {lit(name)}" + (" AND language = 'es'" if lang == "es" else "")
+            tpl = R.ERROR_TEXT[lang][name]
+            if name == R.OTHER:
+                status_line = (f"CASE WHEN coalesce(error_status, 0) <> 0 THEN "
+                               f"{fill(R.STATUS_LINE[lang], status='error_status')} ELSE '' END")
+                details_line = (f"CASE WHEN length(coalesce(error_details, '')) > 0 THEN "
+                                f"{fill(R.DETAILS_LINE[lang], details='error_details')} ELSE '' END")
+                t = fill(tpl, msg="error_text", status_line=status_line, details_line=details_line)
+            elif name == "invalid_argument":
+                t = fill(tpl, msg="error_text",
+                         details=f"coalesce(nullif(error_details, ''), {lit(R.DEFAULT_DETAILS[lang])})")
+            else:
+                t = fill(tpl, msg="error_text", model="model")
+            whens.append(f"WHEN {cond} THEN {t}")
+    return "CASE " + "\n".join(whens) + " END"
+
+
+def _errors_cte() -> str:
+    from hunkline.sources.fixtures import ERROR_MESSAGES, ERROR_STATUSES
+    msgs = "[" + ", ".join(lit(m) for m in ERROR_MESSAGES) + "]"
+    sts = "[" + ", ".join("NULL" if x is None else str(x) for x in ERROR_STATUSES) + "]"
+    return f"""
+WITH e0 AS (
+  SELECT event_id, user_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
+e1 AS (
+  SELECT 'e' || CAST(event_id AS VARCHAR) AS request_id,
+         CASE WHEN k % 2 = 0 THEN 'gemini-flash-latest' ELSE 'gemini-2.5-flash' END AS model,
+         {msgs}[(k // 7) % 8 + 1] AS error_message,
+         CAST({sts}[k % 7 + 1] AS INT) AS status,
+         CAST(CASE WHEN k % 5 = 0 THEN 404 WHEN k % 5 = 1 THEN 429 END AS INT) AS response_status,
+         CASE WHEN event_type IN ('error', 'view') THEN 'upstream: ' || event_type END AS response_error_message,
+         CASE WHEN event_type = 'click' THEN 'retry later' WHEN event_type = 'signup' THEN '' END AS details,
+         CASE WHEN user_id % 5 = 0 THEN 'es' ELSE 'en' END AS language,
+         'Brand#' || CAST(user_id % 25 + 1 AS VARCHAR) AS catalog_id,
+         CASE WHEN k % 2 = 0 THEN ' "fix: regenerated answer for request ' || CAST(event_id AS VARCHAR) || '" '
+              END AS retry_text
+  FROM e0),
+e2 AS (
+  SELECT *, coalesce(nullif(error_message, ''), 'Error') AS error_text,
+         coalesce(nullif(status, 0), response_status) AS error_status,
+         coalesce(nullif(response_error_message, ''), details) AS error_details
+  FROM e1),
+e3 AS (SELECT *, {_error_classes_sql()} AS error_class FROM e2),
+err AS (SELECT *, error_class = 'model_not_found' AS retry, {_user_text_sql()} AS user_text FROM e3)"""
+
+
 def with_settings(select: str) -> str:
     return "WITH " + SETTINGS_CTE.strip() + "\n" + select
 
 
+ERRORS_CTE = _errors_cte()
+
 ORACLE: dict[str, str] = {
     "process_diffs": with_docs("""
 SELECT changeset_id, total_files, total_additions, total_deletions, total_changes,
@@ -373,24 +484,30 @@ cur AS (
   FROM part GROUP BY p_brand)
 SELECT el.catalog_id, el.name, coalesce(el.name = cur.current_model, false) AS is_current
 FROM el LEFT JOIN cur USING (catalog_id)""",
-    "best_model": ELIGIBLE_CTE + """,
-pri AS (
-  SELECT CAST((50 - p_size) AS BIGINT) * 1000000000000 + p_partkey AS priority_rank,
-         replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR) AS name
-  FROM part WHERE p_size >= 48),
-j AS (
-  SELECT el.catalog_id, el.name, pri.priority_rank,
-         row_number() OVER (PARTITION BY el.catalog_id
-                            ORDER BY coalesce(pri.priority_rank, 4611686018427387904), el.name) AS r
-  FROM el LEFT JOIN pri USING (name)),
-pick AS (
-  SELECT catalog_id, max(name) FILTER (WHERE r = 1) AS picked, min(priority_rank) AS best_rank,
-         count(*) AS n_eligible
-  FROM j GROUP BY catalog_id),
-cats AS (SELECT DISTINCT p_brand AS catalog_id FROM part)
-SELECT cats.catalog_id, coalesce(picked, 'gemini-flash-latest') AS best_model,
-       CASE WHEN best_rank IS NOT NULL THEN 'priority' WHEN picked IS NOT NULL THEN 'first'
-            ELSE 'fallback' END AS source,
-       CAST(coalesce(n_eligible, 0) AS BIGINT) AS n_eligible
-FROM cats LEFT JOIN pick USING (catalog_id)""",
+    "best_model": ELIGIBLE_CTE + BEST_CTE + """
+SELECT catalog_id, best_model, source, n_eligible FROM best""",
+    "clean_responses": ANSWERS_CTE + """
+SELECT request_id, message, has_message FROM ans""",
+    "classify_errors": ERRORS_CTE + """
+SELECT request_id, error_class, error_status, retry, user_text FROM err""",
+    "retry_plan": ELIGIBLE_CTE + BEST_CTE + "," + ERRORS_CTE[len("WITH "):] + """
+SELECT request_id, model AS failed_model, coalesce(best.best_model, 'gemini-flash-latest') AS retry_model
+FROM err LEFT JOIN best USING (catalog_id) WHERE retry""",
+    "final_outcomes": ELIGIBLE_CTE + BEST_CTE + "," + ERRORS_CTE[len("WITH "):] + "," + ANSWERS_CTE[len("WITH "):] + f"""
+, er AS (
+  SELECT err.*, CASE WHEN retry THEN coalesce(best.best_model, 'gemini-flash-latest') END AS retry_model,
+         {clean_sql('retry_text')} AS retried
+  FROM err LEFT JOIN best USING (catalog_id)),
+eo AS (SELECT *, retry AND retry_text IS NOT NULL AND length(retried) > 0 AS ok FROM er)
+SELECT request_id, CASE WHEN has_message THEN 'message' ELSE 'error' END AS outcome,
+       CASE WHEN NOT has_message THEN 'empty_response' END AS error_class,
+       CASE WHEN has_message THEN model END AS model_used,
+       CASE WHEN has_message THEN message ELSE 'Failed to generate commit message' END AS final_text
+FROM ans
+UNION ALL
+SELECT request_id, CASE WHEN ok THEN 'message' ELSE 'error' END AS outcome,
+       CASE WHEN NOT ok THEN error_class END AS error_class,
+       CASE WHEN ok THEN retry_model END AS model_used,
+       CASE WHEN ok THEN retried ELSE user_text END AS final_text
+FROM eo""",
 }

@@ -21,9 +21,12 @@ from hunkline.operators.lines import all_section_lines, hunks, numbered_lines
 from hunkline.operators.parse import parse_files, parse_files_col, sections
 from hunkline.operators.stats import MAX_CHANGES, MAX_FILES, MAX_TOKENS, with_is_large, with_stats
 from hunkline.operators.catalog import best_model, eligible_models, mark_current, model_order
+from hunkline.operators.respond import (
+    classify_errors, clean_responses, final_outcomes, retry_plan, with_retry_model,
+)
 from hunkline.operators.prompt import prompt_col, resolve_settings, token_gate
 from hunkline.sources.fixtures import (
-    CATALOG_EXCLUDE, CATALOG_INCLUDE, catalog_current, catalog_priority, doc_changesets, doc_repos,
+    CATALOG_EXCLUDE, CATALOG_INCLUDE, answers_table, catalog_current, errors_table, catalog_priority, doc_changesets, doc_repos,
     model_catalog, order_changesets, settings_table,
 )
 from hunkline.sources.tables import table
@@ -274,3 +277,36 @@ def q_best_model(spark, sf_dir):
     """Best model per catalogue: priority, else first, else fallback."""
     cats = table(spark, sf_dir, "part").select(F.col("p_brand").alias("catalog_id")).distinct()
     return best_model(_eligible(spark, sf_dir), cats, catalog_priority(spark, sf_dir))
+
+
+# --- responses and errors (G1-G6, C4) -------------------------------------------------------
+
+@query("clean_responses")
+def q_clean_responses(spark, sf_dir):
+    """G1/C4: trimmed, unquoted answers; empty ones flagged."""
+    return clean_responses(answers_table(spark, sf_dir)).select("request_id", "message", "has_message")
+
+
+@query("classify_errors")
+def q_classify_errors(spark, sf_dir):
+    """Normalised error, class (first rule wins), retry flag, user text."""
+    return classify_errors(errors_table(spark, sf_dir)).select(
+        "request_id", "error_class", "error_status", "retry", "user_text")
+
+
+def _best_per_catalog(spark, sf_dir):
+    cats = table(spark, sf_dir, "part").select(F.col("p_brand").alias("catalog_id")).distinct()
+    return best_model(_eligible(spark, sf_dir), cats, catalog_priority(spark, sf_dir))
+
+
+@query("retry_plan")
+def q_retry_plan(spark, sf_dir):
+    """Model-not-found requests retried with their catalogue's best model."""
+    return retry_plan(classify_errors(errors_table(spark, sf_dir)), _best_per_catalog(spark, sf_dir))
+
+
+@query("final_outcomes")
+def q_final_outcomes(spark, sf_dir):
+    """Message or error per request, after at most one retry."""
+    errs = with_retry_model(classify_errors(errors_table(spark, sf_dir)), _best_per_catalog(spark, sf_dir))
+    return final_outcomes(clean_responses(answers_table(spark, sf_dir)), errs)

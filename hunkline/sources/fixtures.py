@@ -196,3 +196,50 @@ def catalog_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (p.groupBy(F.col("p_brand").alias("catalog_id"))
              .agg(F.max_by(_model_name(F.col("p_name"), F.col("p_partkey")), F.col("p_partkey"))
                   .alias("current_model")))
+
+
+def answers_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F_RESPONSES, successes: assistant turns wrapped in spaces/quotes by ``conv_id``."""
+    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    w = F.col("conv_id") % 4
+    raw = (F.when(F.col("conv_id") % 11 == 0, F.lit(' "" '))
+            .when(w == 0, F.concat(F.lit("  \n"), F.col("text"), F.lit(" \n")))
+            .when(w == 1, F.concat(F.lit('"'), F.col("text"), F.lit('"')))
+            .when(w == 2, F.concat(F.lit("'"), F.col("text")))
+            .otherwise(F.col("text")))
+    return c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"),
+                             F.col("turn").cast("string")).alias("request_id"),
+                    F.lit("gemini-flash-latest").alias("model"), raw.alias("text"))
+
+
+# Fixture error messages, chosen so every class and every precedence pair occurs.
+ERROR_MESSAGES = ("API_KEY_INVALID: the key was rejected", "PERMISSION_DENIED: caller lacks access",
+                  "RESOURCE_EXHAUSTED: too many requests", "daily quota exceeded",
+                  "MODEL_NOT_FOUND: no such model", "INVALID_ARGUMENT: bad generation config",
+                  "network error: ECONNREFUSED", "")
+ERROR_STATUSES = (400, 403, 429, 404, 500, 0, None)
+
+
+def errors_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F_RESPONSES, failures: one error per event, fields chosen by ``props.k``."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object(F.col("props"), "$.k").cast("int")
+    statuses = F.array(*[F.lit(s).cast("int") for s in ERROR_STATUSES])
+    messages = F.array(*[F.lit(m) for m in ERROR_MESSAGES])
+    return (e.withColumn("k", k).select(
+        F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("request_id"),
+        F.when(F.col("k") % 2 == 0, F.lit("gemini-flash-latest")).otherwise(F.lit("gemini-2.5-flash"))
+         .alias("model"),
+        F.element_at(messages, (F.floor(F.col("k") / 7) % 8 + 1).cast("int")).alias("error_message"),
+        F.element_at(statuses, (F.col("k") % 7 + 1).cast("int")).alias("status"),
+        F.when(F.col("k") % 5 == 0, F.lit(404)).when(F.col("k") % 5 == 1, F.lit(429)).cast("int")
+         .alias("response_status"),
+        F.when(F.col("event_type").isin("error", "view"), F.concat(F.lit("upstream: "), F.col("event_type")))
+         .alias("response_error_message"),
+        F.when(F.col("event_type") == "click", F.lit("retry later"))
+         .when(F.col("event_type") == "signup", F.lit("")).alias("details"),
+        F.when(F.col("user_id") % 5 == 0, F.lit("es")).otherwise(F.lit("en")).alias("language"),
+        F.concat(F.lit("Brand#"), (F.col("user_id") % 25 + 1).cast("string")).alias("catalog_id"),
+        F.when(F.col("k") % 2 == 0, F.concat(F.lit(' "fix: regenerated answer for request '),
+                                             F.col("event_id").cast("string"), F.lit('" ')))
+         .alias("retry_text")))
