@@ -355,12 +355,75 @@ e3 AS (SELECT *, {_error_classes_sql()} AS error_class FROM e2),
 err AS (SELECT *, error_class = 'model_not_found' AS retry, {_user_text_sql()} AS user_text FROM e3)"""
 
 
+REPOS_CTE = """
+WITH repos AS (
+  SELECT 'ws' || CAST(s_nationkey AS VARCHAR) AS workspace, s_suppkey AS repo_pos,
+         'file:///ws' || CAST(s_nationkey AS VARCHAR) || '/' || s_name AS root_uri
+  FROM supplier),
+ws AS (
+  SELECT workspace, count(*) AS n_repos, arg_min(root_uri, repo_pos) AS first_uri,
+         min(repo_pos) AS first_pos, arg_max(root_uri, repo_pos) AS last_uri
+  FROM repos GROUP BY workspace),
+rq AS (
+  SELECT c_custkey AS request_id, 'ws' || CAST(c_nationkey AS VARCHAR) AS workspace,
+         CASE c_custkey % 4 WHEN 1 THEN ws.first_uri WHEN 2 THEN ws.last_uri
+                            WHEN 3 THEN ws.first_uri || '/' END AS requested_uri
+  FROM customer LEFT JOIN ws ON ws.workspace = 'ws' || CAST(c_nationkey AS VARCHAR)),
+fm AS (SELECT workspace, root_uri AS requested_uri, min(repo_pos) AS match_pos FROM repos GROUP BY 1, 2),
+m AS (
+  SELECT rq.*, fm.match_pos, coalesce(ws.n_repos, 0) AS n, ws.first_uri, ws.first_pos
+  FROM rq LEFT JOIN fm USING (workspace, requested_uri) LEFT JOIN ws USING (workspace)),
+mo AS (
+  SELECT *, CASE WHEN n = 0 THEN 'none' WHEN match_pos IS NOT NULL THEN 'matched'
+                 WHEN n = 1 THEN 'single_fallback' ELSE 'ambiguous' END AS outcome
+  FROM m)"""
+
+
 def with_settings(select: str) -> str:
     return "WITH " + SETTINGS_CTE.strip() + "\n" + select
 
 
+from hunkline.operators.release import COMMIT_TYPES, SUBJECT as SUBJECT_RE  # noqa: E402
+
 ERRORS_CTE = _errors_cte()
 
+FINAL_CTE = ELIGIBLE_CTE + BEST_CTE + "," + ERRORS_CTE[len("WITH "):] + "," + ANSWERS_CTE[len("WITH "):] + f"""
+, er AS (
+  SELECT err.*, CASE WHEN retry THEN coalesce(best.best_model, 'gemini-flash-latest') END AS retry_model,
+         {clean_sql('retry_text')} AS retried
+  FROM err LEFT JOIN best USING (catalog_id)),
+eo AS (SELECT *, retry AND retry_text IS NOT NULL AND length(retried) > 0 AS ok FROM er),
+fo AS (
+  SELECT request_id, CASE WHEN has_message THEN 'message' ELSE 'error' END AS outcome,
+         CASE WHEN NOT has_message THEN 'empty_response' END AS error_class,
+         CASE WHEN has_message THEN model END AS model_used,
+         CASE WHEN has_message THEN message ELSE 'Failed to generate commit message' END AS final_text
+  FROM ans
+  UNION ALL
+  SELECT request_id, CASE WHEN ok THEN 'message' ELSE 'error' END AS outcome,
+         CASE WHEN NOT ok THEN error_class END AS error_class,
+         CASE WHEN ok THEN retry_model END AS model_used,
+         CASE WHEN ok THEN retried ELSE user_text END AS final_text
+  FROM eo),
+fm AS (
+  SELECT request_id, final_text AS message,
+         CASE WHEN starts_with(request_id, 'c')
+              THEN 'conv-' || CAST(CAST(regexp_extract(request_id, '^[ce](\\d+)', 1) AS BIGINT) // 10 AS VARCHAR)
+              ELSE 'events-' || CAST(CAST(regexp_extract(request_id, '^[ce](\\d+)', 1) AS BIGINT) // 1000 AS VARCHAR)
+         END AS release
+  FROM fo WHERE outcome = 'message'),
+ps AS (
+  SELECT *, CASE WHEN contains(message, {NL}) THEN substr(message, strpos(message, {NL}) + 1) ELSE '' END AS body,
+         split_part(message, {NL}, 1) AS subject
+  FROM fm),
+ps2 AS (SELECT *, regexp_matches(subject, '{SUBJECT_RE}') AS hit FROM ps),
+pj AS (
+  SELECT *, CASE WHEN hit THEN regexp_extract(subject, '{SUBJECT_RE}', 1) END AS commit_type,
+         CASE WHEN hit THEN nullif(regexp_extract(subject, '{SUBJECT_RE}', 2), '') END AS scope,
+         CASE WHEN hit THEN regexp_extract(subject, '{SUBJECT_RE}', 3) = '!' END AS breaking,
+         CASE WHEN hit THEN regexp_extract(subject, '{SUBJECT_RE}', 4) END AS description
+  FROM ps2)"""
+
 ORACLE: dict[str, str] = {
     "process_diffs": with_docs("""
 SELECT changeset_id, total_files, total_additions, total_deletions, total_changes,
@@ -493,21 +556,86 @@ SELECT request_id, error_class, error_status, retry, user_text FROM err""",
     "retry_plan": ELIGIBLE_CTE + BEST_CTE + "," + ERRORS_CTE[len("WITH "):] + """
 SELECT request_id, model AS failed_model, coalesce(best.best_model, 'gemini-flash-latest') AS retry_model
 FROM err LEFT JOIN best USING (catalog_id) WHERE retry""",
-    "final_outcomes": ELIGIBLE_CTE + BEST_CTE + "," + ERRORS_CTE[len("WITH "):] + "," + ANSWERS_CTE[len("WITH "):] + f"""
-, er AS (
-  SELECT err.*, CASE WHEN retry THEN coalesce(best.best_model, 'gemini-flash-latest') END AS retry_model,
-         {clean_sql('retry_text')} AS retried
-  FROM err LEFT JOIN best USING (catalog_id)),
-eo AS (SELECT *, retry AND retry_text IS NOT NULL AND length(retried) > 0 AS ok FROM er)
-SELECT request_id, CASE WHEN has_message THEN 'message' ELSE 'error' END AS outcome,
-       CASE WHEN NOT has_message THEN 'empty_response' END AS error_class,
-       CASE WHEN has_message THEN model END AS model_used,
-       CASE WHEN has_message THEN message ELSE 'Failed to generate commit message' END AS final_text
-FROM ans
-UNION ALL
-SELECT request_id, CASE WHEN ok THEN 'message' ELSE 'error' END AS outcome,
-       CASE WHEN NOT ok THEN error_class END AS error_class,
-       CASE WHEN ok THEN retry_model END AS model_used,
-       CASE WHEN ok THEN retried ELSE user_text END AS final_text
-FROM eo""",
+    "final_outcomes": FINAL_CTE + "\nSELECT request_id, outcome, error_class, model_used, final_text FROM fo",
+    "match_repository": REPOS_CTE + """
+SELECT request_id, workspace, requested_uri, CAST(n AS BIGINT) AS n_repos, outcome,
+       CASE outcome WHEN 'matched' THEN requested_uri WHEN 'single_fallback' THEN first_uri END AS matched_uri,
+       CASE outcome WHEN 'matched' THEN match_pos WHEN 'single_fallback' THEN first_pos END AS matched_pos
+FROM mo""",
+    "repo_candidates": REPOS_CTE + """,
+wt AS (SELECT workspace, count(*) AS n_waiting FROM mo WHERE outcome = 'ambiguous' GROUP BY workspace)
+SELECT r.workspace, r.repo_pos, string_split(r.root_uri, '/')[-1] AS label, r.root_uri AS full_path,
+       wt.n_waiting
+FROM repos r JOIN wt USING (workspace)""",
+    "default_repository": REPOS_CTE + """
+SELECT 'ws' || CAST(n_nationkey AS VARCHAR) AS workspace, ws.first_uri AS root_uri,
+       CAST(coalesce(ws.n_repos, 0) AS BIGINT) AS n_repos
+FROM nation LEFT JOIN ws ON ws.workspace = 'ws' || CAST(n_nationkey AS VARCHAR)""",
+    "eligible_changesets": """
+WITH f AS (
+  SELECT l_orderkey, l_linenumber, count(*) FILTER (WHERE l_linestatus = 'O') AS n_open,
+         count(*) FILTER (WHERE l_linestatus = 'F') AS n_final
+  FROM lineitem GROUP BY l_orderkey, l_linenumber),
+k AS (SELECT l_orderkey, sum(n_open) AS n_open, sum(n_final) AS n_final, count(*) AS nf FROM f GROUP BY l_orderkey),
+o AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS changeset_id,
+         CAST(coalesce(n_open, 0) AS INT) AS n_index_changes,
+         CAST(coalesce(n_final, 0) AS INT) AS n_working_changes,
+         o_orderpriority IN ('1-URGENT', '2-HIGH') AS auto_stage, coalesce(nf, 0) AS nf
+  FROM orders LEFT JOIN k ON o_orderkey = l_orderkey),
+b AS (
+  SELECT *, CASE WHEN n_index_changes > 0 THEN 'staged' WHEN n_working_changes = 0 THEN 'nothing_to_do'
+                 WHEN auto_stage THEN 'auto_stage' ELSE 'needs_confirmation' END AS base
+  FROM o),
+d AS (SELECT *, CASE WHEN base IN ('staged', 'auto_stage') AND nf = 0 THEN 'empty_diff' ELSE base END
+             AS disposition FROM b)
+SELECT changeset_id, n_index_changes, n_working_changes, auto_stage, disposition,
+       disposition IN ('staged', 'auto_stage') AS eligible
+FROM d""",
+    "repo_rollup": with_docs("""
+SELECT repo, CAST(count(*) AS BIGINT) AS n_changesets, CAST(sum(total_files) AS BIGINT) AS total_files,
+       CAST(sum(total_additions) AS BIGINT) AS total_additions,
+       CAST(sum(total_deletions) AS BIGINT) AS total_deletions,
+       CAST(sum(total_changes) AS BIGINT) AS total_changes,
+       CAST(count(*) FILTER (WHERE was_compacted) AS BIGINT) AS n_large
+FROM csr GROUP BY repo"""),
+    "next_version": r"""
+WITH p AS (
+  SELECT 'pkg-' || CAST(p_partkey AS VARCHAR) AS package,
+         regexp_extract(p_brand, '(\d+)', 1) || '.' || CAST(p_size AS VARCHAR) || '.'
+           || CAST(p_partkey % 100 AS VARCHAR) AS version,
+         ['major', 'minor', 'patch'][p_partkey % 3 + 1] AS bump,
+         CASE WHEN p_partkey % 7 = 0 THEN '9.9.' || CAST(p_partkey AS VARCHAR) END AS explicit_version
+  FROM part),
+v AS (
+  SELECT *, TRY_CAST(string_split(version, '.')[1] AS INT) AS maj,
+         TRY_CAST(string_split(version, '.')[2] AS INT) AS mnr,
+         TRY_CAST(string_split(version, '.')[3] AS INT) AS pat,
+         len(string_split(version, '.')) AS np
+  FROM p)
+SELECT package, version, bump, explicit_version,
+       CASE WHEN length(coalesce(explicit_version, '')) > 0 THEN explicit_version
+            WHEN np >= 3 AND maj IS NOT NULL AND mnr IS NOT NULL AND pat IS NOT NULL THEN
+              CASE coalesce(nullif(bump, ''), 'patch')
+                WHEN 'major' THEN CAST(maj + 1 AS VARCHAR) || '.0.0'
+                WHEN 'minor' THEN CAST(maj AS VARCHAR) || '.' || CAST(mnr + 1 AS VARCHAR) || '.0'
+                ELSE CAST(maj AS VARCHAR) || '.' || CAST(mnr AS VARCHAR) || '.' || CAST(pat + 1 AS VARCHAR) END
+       END AS next_version
+FROM v""",
+    "parse_subject": FINAL_CTE + """
+SELECT request_id, commit_type, scope, breaking, description FROM pj""",
+    "subject_conformance": FINAL_CTE + f"""
+, cf AS (
+  SELECT request_id, coalesce(commit_type IN ({", ".join(lit(t) for t in COMMIT_TYPES)}), false) AS type_ok,
+         length(subject) < 72 AS length_ok,
+         coalesce(substr(description, 1, 1) = lower(substr(description, 1, 1)), false) AS lowercase_ok,
+         NOT ends_with(subject, '.') AS no_period_ok,
+         len(list_filter(string_split(body, {NL}), lambda l: length(l) > 72)) = 0 AS wrapped_ok
+  FROM pj)
+SELECT *, type_ok AND length_ok AND lowercase_ok AND no_period_ok AND wrapped_ok AS conforms FROM cf""",
+    "release_bump": FINAL_CTE + """
+SELECT release, CAST(count(*) AS BIGINT) AS n_commits,
+       CASE WHEN count(*) FILTER (WHERE commit_type = 'feat') > 0 THEN 'minor'
+            WHEN count(*) FILTER (WHERE commit_type = 'fix') > 0 THEN 'patch' ELSE 'none' END AS bump
+FROM pj GROUP BY release""",
 }

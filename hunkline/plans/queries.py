@@ -19,15 +19,22 @@ from hunkline.operators.compact import (
 )
 from hunkline.operators.lines import all_section_lines, hunks, numbered_lines
 from hunkline.operators.parse import parse_files, parse_files_col, sections
-from hunkline.operators.stats import MAX_CHANGES, MAX_FILES, MAX_TOKENS, with_is_large, with_stats
+from hunkline.operators.stats import (
+    MAX_CHANGES, MAX_FILES, MAX_TOKENS, rollup_by, with_is_large, with_stats,
+)
 from hunkline.operators.catalog import best_model, eligible_models, mark_current, model_order
+from hunkline.operators.release import conformance, next_version, parse_subject, release_bump
+from hunkline.operators.repos import (
+    changeset_disposition, default_repository, match_repository, repo_candidates,
+)
 from hunkline.operators.respond import (
     classify_errors, clean_responses, final_outcomes, retry_plan, with_retry_model,
 )
 from hunkline.operators.prompt import prompt_col, resolve_settings, token_gate
 from hunkline.sources.fixtures import (
     CATALOG_EXCLUDE, CATALOG_INCLUDE, answers_table, catalog_current, errors_table, catalog_priority, doc_changesets, doc_repos,
-    model_catalog, order_changesets, settings_table,
+    model_catalog, order_changesets, releases_table, repos_table, requests_table, settings_table,
+    workspaces_table,
 )
 from hunkline.sources.tables import table
 
@@ -310,3 +317,79 @@ def q_final_outcomes(spark, sf_dir):
     """Message or error per request, after at most one retry."""
     errs = with_retry_model(classify_errors(errors_table(spark, sf_dir)), _best_per_catalog(spark, sf_dir))
     return final_outcomes(clean_responses(answers_table(spark, sf_dir)), errs)
+
+
+# --- repositories (D1-D3, E5, A3) and roll-up (E6) ------------------------------------------
+
+@query("match_repository")
+def q_match_repository(spark, sf_dir):
+    """Requested URI -> first equal repo, else the only repo, else ambiguous/none."""
+    m = match_repository(requests_table(spark, sf_dir), repos_table(spark, sf_dir))
+    return m.select("request_id", "workspace", "requested_uri", "n_repos", "outcome", "matched_uri",
+                    "matched_pos")
+
+
+@query("repo_candidates")
+def q_repo_candidates(spark, sf_dir):
+    """Pick list per workspace that has ambiguous requests (once per workspace)."""
+    repos = repos_table(spark, sf_dir)
+    return repo_candidates(match_repository(requests_table(spark, sf_dir), repos), repos)
+
+
+@query("default_repository")
+def q_default_repository(spark, sf_dir):
+    """D3: position-0 repository of every workspace."""
+    return default_repository(workspaces_table(spark, sf_dir), repos_table(spark, sf_dir))
+
+
+@query("eligible_changesets")
+def q_eligible_changesets(spark, sf_dir):
+    """A3: disposition of every order change-set before any text is sent."""
+    cs = changeset_disposition(order_changesets(spark, sf_dir))
+    return cs.select("changeset_id", "n_index_changes", "n_working_changes", "auto_stage",
+                     "disposition", "eligible")
+
+
+@query("repo_rollup")
+def q_repo_rollup(spark, sf_dir):
+    """Change-set statistics summed per repository."""
+    p = process_diffs(_docs(spark, sf_dir)).withColumn("is_large", F.col("was_compacted"))
+    return rollup_by(p, ["repo"])
+
+
+# --- releases and message conformance (J1-J4) -----------------------------------------------
+
+@query("next_version")
+def q_next_version(spark, sf_dir):
+    """Next version per package (explicit wins, else bump)."""
+    return next_version(releases_table(spark, sf_dir)).select(
+        "package", "version", "bump", "explicit_version", "next_version")
+
+
+def _final_messages(spark, sf_dir):
+    fo = q_final_outcomes(spark, sf_dir).filter(F.col("outcome") == "message")
+    num = F.regexp_extract("request_id", r"^[ce](\d+)", 1).cast("bigint")
+    rel = F.when(F.col("request_id").startswith("c"), F.concat(F.lit("conv-"), F.floor(num / 10).cast("string"))) \
+           .otherwise(F.concat(F.lit("events-"), F.floor(num / 1000).cast("string")))
+    return fo.select("request_id", F.col("final_text").alias("message"), rel.alias("release"))
+
+
+@query("parse_subject")
+def q_parse_subject(spark, sf_dir):
+    """J3 (specification-derived): type, scope, breaking flag, description."""
+    return parse_subject(_final_messages(spark, sf_dir)).select(
+        "request_id", "commit_type", "scope", "breaking", "description")
+
+
+@query("subject_conformance")
+def q_subject_conformance(spark, sf_dir):
+    """J4 (specification-derived): per-message checks of the commit rules."""
+    return conformance(parse_subject(_final_messages(spark, sf_dir))).select(
+        "request_id", "type_ok", "length_ok", "lowercase_ok", "no_period_ok", "wrapped_ok", "conforms")
+
+
+@query("release_bump")
+def q_release_bump(spark, sf_dir):
+    """J2 (specification-derived): bump per release from its commit types."""
+    return release_bump(parse_subject(_final_messages(spark, sf_dir))).select(
+        "release", "n_commits", "bump")

@@ -113,10 +113,12 @@ def order_changesets(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines keep a row with an empty diff (zero statistics).
     """
     li = (table(spark, sf_dir, "lineitem")
-          .select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+          .select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
           .repartition("l_orderkey")
           .groupBy("l_orderkey", "l_linenumber")
-          .agg(F.sum("l_quantity").cast("int").alias("qty"), F.min("l_returnflag").alias("flag")))
+          .agg(F.sum("l_quantity").cast("int").alias("qty"), F.min("l_returnflag").alias("flag"),
+               F.count_if(F.col("l_linestatus") == "O").alias("n_open"),
+               F.count_if(F.col("l_linestatus") == "F").alias("n_final")))
     kind = (F.when(F.col("flag") == "A", F.lit("new")).when(F.col("flag") == "R", F.lit("deleted"))
              .otherwise(F.lit("modified")))
     path = F.concat(F.lit("orders/"), F.col("l_orderkey").cast("string"), F.lit("/"),
@@ -127,15 +129,21 @@ def order_changesets(spark: SparkSession, sf_dir: str) -> DataFrame:
                .withColumn("section", file_section(F.col("path"), F.col("path"), F.col("kind"),
                                                    F.lit(False), text, F.col("l_linenumber")))
                .groupBy("l_orderkey")
-               .agg(F.array_join(F.transform(
+               .agg(F.sum("n_open").alias("n_open"), F.sum("n_final").alias("n_final"),
+                    F.array_join(F.transform(
                    F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("k"),
                                                         F.col("section").alias("s")))),
                    lambda x: x["s"]), "").alias("diff")))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     return (orders.join(files, orders.o_orderkey == files.l_orderkey, "left")
                   .select(F.concat(F.lit("cust/"), F.col("o_custkey").cast("string")).alias("repo"),
                           F.col("o_orderkey").cast("string").alias("changeset_id"),
-                          F.coalesce(F.col("diff"), F.lit("")).alias("diff")))
+                          F.coalesce(F.col("diff"), F.lit("")).alias("diff"),
+                          # work-tree state of the change-set (A3): open lines are staged,
+                          # final lines are unstaged; urgent orders auto-stage
+                          F.coalesce(F.col("n_open"), F.lit(0)).cast("int").alias("n_index_changes"),
+                          F.coalesce(F.col("n_final"), F.lit(0)).cast("int").alias("n_working_changes"),
+                          F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").alias("auto_stage")))
 
 
 def doc_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,3 +251,43 @@ def errors_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("k") % 2 == 0, F.concat(F.lit(' "fix: regenerated answer for request '),
                                              F.col("event_id").cast("string"), F.lit('" ')))
          .alias("retry_text")))
+
+
+def repos_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F_REPOS: workspace = nation, its repositories = its suppliers."""
+    s = table(spark, sf_dir, "supplier")
+    ws = F.concat(F.lit("ws"), F.col("s_nationkey").cast("string"))
+    return s.select(ws.alias("workspace"), F.col("s_suppkey").alias("repo_pos"),
+                    F.concat(F.lit("file:///"), ws, F.lit("/"), F.col("s_name")).alias("root_uri"))
+
+
+def workspaces_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    return n.select(F.concat(F.lit("ws"), F.col("n_nationkey").cast("string")).alias("workspace"))
+
+
+def requests_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F_REPOS requests: one per customer; the requested URI by ``c_custkey % 4``:
+    none / the workspace's first repo / its last repo / the first with a trailing slash."""
+    r = repos_table(spark, sf_dir)
+    ends = (r.groupBy("workspace").agg(F.min_by("root_uri", "repo_pos").alias("first_uri"),
+                                       F.max_by("root_uri", "repo_pos").alias("last_uri")))
+    c = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("request_id"),
+        F.concat(F.lit("ws"), F.col("c_nationkey").cast("string")).alias("workspace"))
+    m = F.col("request_id") % 4
+    uri = (F.when(m == 1, F.col("first_uri")).when(m == 2, F.col("last_uri"))
+            .when(m == 3, F.concat(F.col("first_uri"), F.lit("/"))))
+    return c.join(ends, "workspace", "left").select("request_id", "workspace", uri.alias("requested_uri"))
+
+
+def releases_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F_RELEASE: a version per part from brand number, size and key."""
+    p = table(spark, sf_dir, "part")
+    pk = F.col("p_partkey")
+    version = F.concat_ws(".", F.regexp_extract("p_brand", r"(\d+)", 1), F.col("p_size").cast("string"),
+                          (pk % 100).cast("string"))
+    bump = F.element_at(F.array(F.lit("major"), F.lit("minor"), F.lit("patch")), (pk % 3 + 1).cast("int"))
+    explicit = F.when(pk % 7 == 0, F.concat(F.lit("9.9."), pk.cast("string")))
+    return p.select(F.concat(F.lit("pkg-"), pk.cast("string")).alias("package"), version.alias("version"),
+                    bump.alias("bump"), explicit.alias("explicit_version"))
