@@ -638,4 +638,28 @@ SELECT release, CAST(count(*) AS BIGINT) AS n_commits,
        CASE WHEN count(*) FILTER (WHERE commit_type = 'feat') > 0 THEN 'minor'
             WHEN count(*) FILTER (WHERE commit_type = 'fix') > 0 THEN 'patch' ELSE 'none' END AS bump
 FROM pj GROUP BY release""",
+    "stream_process": with_docs("""
+SELECT changeset_id, total_files, total_additions, total_deletions, total_changes,
+       estimated_tokens, was_compacted,
+       md5(CASE WHEN was_compacted THEN head || blocks15 ELSE diff END) AS content_md5
+FROM css"""),
+    "dedupe_requests": with_docs("""
+, rq AS (
+  SELECT 'e' || CAST(event_id AS VARCHAR) AS request_id, event_id, ts,
+         ['en', 'de', 'fr', 'es'][user_id % 4 + 1] || '/src' || CAST(user_id % 20 AS VARCHAR) || '#0'
+           AS changeset_id
+  FROM events),
+rk AS (
+  SELECT rq.*, cs.repo, sha256(cs.diff) AS diff_sha FROM rq LEFT JOIN cs USING (changeset_id))
+SELECT repo, diff_sha, strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+       first(request_id ORDER BY ts, request_id) AS kept_request, count(*) AS n_requests,
+       count(*) - 1 AS n_suppressed
+FROM rk GROUP BY repo, diff_sha, time_bucket(INTERVAL '10 minutes', ts)"""),
+    "scan_diff_files": with_docs(f"""
+SELECT changeset_id, total_files, total_additions, total_deletions,
+       CAST({utf16_len('diff')} + 1 AS BIGINT) AS diff_units
+FROM css"""),
+    "message_sink": FINAL_CTE + """
+SELECT request_id, final_text AS message, model_used
+FROM fo WHERE outcome = 'message' AND length(coalesce(final_text, '')) > 0""",
 }

@@ -36,7 +36,11 @@ from hunkline.sources.fixtures import (
     model_catalog, order_changesets, releases_table, repos_table, requests_table, settings_table,
     workspaces_table,
 )
+from hunkline.sources.diff_files import scan_diff_files, write_diff_files, write_messages
 from hunkline.sources.tables import table
+from hunkline.streaming.incremental import (
+    PROCESSED_COLUMNS, dedupe_requests, process_stream, request_keys, scratch_path, staged_copy,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -393,3 +397,51 @@ def q_release_bump(spark, sf_dir):
     """J2 (specification-derived): bump per release from its commit types."""
     return release_bump(parse_subject(_final_messages(spark, sf_dir))).select(
         "release", "n_commits", "bump")
+
+
+# --- streaming (K1, K2), diff-file source (A2), message sink (A4) ---------------------------
+
+@query("stream_process")
+def q_stream_process(spark, sf_dir):
+    """K1: the flagship as a Structured Streaming job (availableNow) over the
+    change-set table written to the shared folder; returns the sink table."""
+    src = staged_copy(_docs(spark, sf_dir), spark, "stream_src")
+    out, ckpt = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ckpt")
+    process_stream(spark, src, out, ckpt).awaitTermination()
+    return spark.read.parquet(out).select(*PROCESSED_COLUMNS)
+
+
+def _requests(spark, sf_dir):
+    """Requests from events: each asks for a documents change-set chosen by user."""
+    e = table(spark, sf_dir, "events")
+    langs = F.array(F.lit("en"), F.lit("de"), F.lit("fr"), F.lit("es"))
+    cs_id = F.concat(F.element_at(langs, (F.col("user_id") % 4 + 1).cast("int")), F.lit("/src"),
+                     (F.col("user_id") % 20).cast("string"), F.lit("#0"))
+    req = e.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("request_id"),
+                   "ts", cs_id.alias("changeset_id"))
+    return request_keys(req, _docs(spark, sf_dir))
+
+
+@query("dedupe_requests")
+def q_dedupe_requests(spark, sf_dir):
+    """K2: one kept request per (repo, diff content, 10-minute window)."""
+    return dedupe_requests(_requests(spark, sf_dir))
+
+
+@query("scan_diff_files")
+def q_scan_diff_files(spark, sf_dir):
+    """A2: change-sets written as diff files, scanned back whole and parsed."""
+    path = scratch_path(spark, "diff_files")
+    write_diff_files(_docs(spark, sf_dir), path)
+    files = scan_diff_files(spark, path)
+    s = with_stats(parse_files(files, with_changes=False))
+    return s.select("changeset_id", "total_files", "total_additions", "total_deletions",
+                    utf16_length("diff").alias("diff_units"))
+
+
+@query("message_sink")
+def q_message_sink(spark, sf_dir):
+    """A4: final messages written to the sink (rejects apart); returns the sink."""
+    sink, rej = scratch_path(spark, "messages"), scratch_path(spark, "rejects")
+    write_messages(q_final_outcomes(spark, sf_dir), sink, rej)
+    return spark.read.parquet(sink).select("request_id", "message", "model_used")
