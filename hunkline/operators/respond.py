@@ -93,29 +93,53 @@ def error_class(msg: Column, status: Column) -> Column:
     return out.otherwise(F.lit(OTHER))
 
 
-def _text_for(lang: str, cls: str, msg, model, status, details) -> Column:
-    if cls == "other":
-        status_line = F.when(F.coalesce(status, F.lit(0)) != 0,
-                             _fill(STATUS_LINE[lang], status=status)).otherwise(F.lit(""))
-        details_line = F.when(F.length(F.coalesce(details, F.lit(""))) > 0,
-                              _fill(DETAILS_LINE[lang], details=details)).otherwise(F.lit(""))
-        return _fill(ERROR_TEXT[lang][cls], msg=msg, status_line=status_line, details_line=details_line)
-    if cls == "invalid_argument":
-        return _fill(ERROR_TEXT[lang][cls], msg=msg,
-                     details=js_or(details, F.lit(DEFAULT_DETAILS[lang])))
-    return _fill(ERROR_TEXT[lang][cls], msg=msg, model=model)
+SLOTS = ("msg", "model", "status_line", "details_line", "details")
+
+
+def _printf(template: str) -> str:
+    """``{slot}`` template -> ``format_string`` pattern with positional ``%n$s``."""
+    out = template.replace("%", "%%")
+    for i, slot in enumerate(SLOTS, start=1):
+        out = out.replace("{" + slot + "}", f"%{i}$s")
+    return out
+
+
+def _format(pattern: Column, *args: Column) -> Column:
+    """SQL ``format_string`` with a pattern chosen per row."""
+    return F.call_function("format_string", pattern, *args)
+
+
+def _templates(table: dict) -> Column:
+    """Literal map ``class|language -> pattern`` (folded to a constant)."""
+    kv = []
+    for lang, by_class in table.items():
+        for cls, tpl in by_class.items():
+            kv += [F.lit(f"{cls}|{lang}"), F.lit(_printf(tpl))]
+    return F.create_map(*kv)
 
 
 def error_message_col(cls: Column, language: Column, msg: Column, model: Column, status: Column,
                       details: Column) -> Column:
-    """The user text for a class, in the request's language (``es`` or English)."""
-    out = None
-    for lang in ("es", "en"):
-        for name in [r[0] for r in ERROR_RULES] + [OTHER]:
-            cond = (cls == name) & ((language == "es") if lang == "es" else F.lit(True))
-            t = _text_for(lang, name, msg, model, status, details)
-            out = F.when(cond, t) if out is None else out.when(cond, t)
-    return out
+    """The user text for a class, in the request's language (``es`` or English).
+
+    One constant pattern map and one ``format_string``: values are arguments,
+    never patterns, so text in a message cannot act as a placeholder."""
+    lang = F.when(language == "es", F.lit("es")).otherwise(F.lit("en"))
+    key = F.concat(cls, F.lit("|"), lang)
+    status_fmt = F.element_at(F.create_map(*[x for l_, t in STATUS_LINE.items()
+                                             for x in (F.lit(l_), F.lit(_printf(t.replace("{status}", "{msg}"))))]),
+                              lang)
+    details_fmt = F.element_at(F.create_map(*[x for l_, t in DETAILS_LINE.items()
+                                              for x in (F.lit(l_), F.lit(_printf(t.replace("{details}", "{msg}"))))]),
+                               lang)
+    status_line = F.when(F.coalesce(status, F.lit(0)) != 0,
+                         _format(status_fmt, status.cast("string"))).otherwise(F.lit(""))
+    details_line = F.when(F.length(F.coalesce(details, F.lit(""))) > 0,
+                          _format(details_fmt, details)).otherwise(F.lit(""))
+    default_details = F.element_at(F.create_map(*[x for l_, t in DEFAULT_DETAILS.items()
+                                                  for x in (F.lit(l_), F.lit(t))]), lang)
+    return _format(F.element_at(_templates(ERROR_TEXT), key), msg, model, status_line,
+                   details_line, js_or(details, default_details))
 
 
 def classify_errors(df: DataFrame) -> DataFrame:

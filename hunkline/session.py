@@ -23,6 +23,17 @@ DEFAULT_CONF = {
     # one diff is one row: keep scan splits small so a few huge diffs do not
     # land in the same task
     "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
+    # Broadcast only on measured sizes: the static planner's estimates come from
+    # compressed parquet sizes and miss how much diff text a derived side holds,
+    # so static broadcasting is off; AQE converts a join to broadcast when the
+    # materialized shuffle side really is below the threshold.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(16 * 1024 * 1024),
+}
+
+LOCAL_CONF = {
+    # local mode runs everything in the driver JVM
+    "spark.driver.memory": "16g",
 }
 
 
@@ -31,6 +42,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            for k, v in LOCAL_CONF.items():
+                builder = builder.config(k, v)
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
     if shuffle_partitions:

@@ -116,10 +116,13 @@ def order_changesets(spark: SparkSession, sf_dir: str) -> DataFrame:
           .select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
           .repartition("l_orderkey")
           .groupBy("l_orderkey", "l_linenumber")
-          .agg(F.sum("l_quantity").cast("int").alias("qty"), F.min("l_returnflag").alias("flag"),
+          # flag as a small int so the aggregate stays hash-based (min over strings is not)
+          .agg(F.sum("l_quantity").cast("int").alias("qty"),
+               F.min(F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1)
+                      .when(F.col("l_returnflag") == "R", 2).otherwise(3)).alias("flag_rank"),
                F.count_if(F.col("l_linestatus") == "O").alias("n_open"),
                F.count_if(F.col("l_linestatus") == "F").alias("n_final")))
-    kind = (F.when(F.col("flag") == "A", F.lit("new")).when(F.col("flag") == "R", F.lit("deleted"))
+    kind = (F.when(F.col("flag_rank") == 0, F.lit("new")).when(F.col("flag_rank") == 2, F.lit("deleted"))
              .otherwise(F.lit("modified")))
     path = F.concat(F.lit("orders/"), F.col("l_orderkey").cast("string"), F.lit("/"),
                     F.col("l_linenumber").cast("string"), F.lit(".txt"))
