@@ -36,7 +36,9 @@ from hunkline.sources.fixtures import (
     model_catalog, order_changesets, releases_table, repos_table, requests_table, settings_table,
     workspaces_table,
 )
-from hunkline.sources.diff_files import scan_diff_files, write_diff_files, write_messages
+from hunkline.sources.diff_files import (
+    read_messages, scan_diff_files, write_diff_files, write_messages,
+)
 from hunkline.sources.tables import table
 from hunkline.streaming.incremental import (
     PROCESSED_COLUMNS, dedupe_requests, process_stream, request_keys, scratch_path, staged_copy,
@@ -442,6 +444,6 @@ def q_scan_diff_files(spark, sf_dir):
 @query("message_sink")
 def q_message_sink(spark, sf_dir):
     """A4: final messages written to the sink (rejects apart); returns the sink."""
-    sink, rej = scratch_path(spark, "messages"), scratch_path(spark, "rejects")
-    write_messages(q_final_outcomes(spark, sf_dir), sink, rej)
-    return spark.read.parquet(sink).select("request_id", "message", "model_used")
+    path = scratch_path(spark, "messages")
+    write_messages(q_final_outcomes(spark, sf_dir), path)
+    return read_messages(spark, path).select("request_id", "message", "model_used")

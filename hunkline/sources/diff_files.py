@@ -24,10 +24,16 @@ def scan_diff_files(spark: SparkSession, path: str) -> DataFrame:
                      F.col("_metadata.file_path").alias("file_path"))
 
 
-def write_messages(outcomes: DataFrame, sink: str, rejects: str) -> None:
-    """A4: messages go to the sink keyed by request; failures and empty
-    messages go to the reject table (the reference would show an error)."""
+def write_messages(outcomes: DataFrame, path: str) -> None:
+    """A4: one pass writes ``table=messages`` (message keyed by request) and
+    ``table=rejects`` (failures and empty messages, which the reference would
+    report as an error)."""
     ok = (F.col("outcome") == "message") & (F.length(F.coalesce(F.col("final_text"), F.lit(""))) > 0)
-    outcomes.filter(ok).select("request_id", F.col("final_text").alias("message"),
-                               "model_used").write.parquet(sink)
-    outcomes.filter(~ok).select("request_id", "error_class", "final_text").write.parquet(rejects)
+    (outcomes.select("request_id", "error_class", "model_used",
+                     F.col("final_text").alias("message"),
+                     F.when(ok, F.lit("messages")).otherwise(F.lit("rejects")).alias("table"))
+             .write.partitionBy("table").parquet(path))
+
+
+def read_messages(spark: SparkSession, path: str, which: str = "messages") -> DataFrame:
+    return spark.read.parquet(path).filter(F.col("table") == which).drop("table")

@@ -47,9 +47,12 @@ def _prefixed_body(text: Column, kind: Column) -> Column:
 
 
 def file_section(path: Column, old: Column, kind: Column, is_binary: Column, text: Column,
-                 new_start: Column) -> Column:
-    """One ``diff --git`` section for a file of the given kind."""
-    n = F.size(F.split(text, "\n", -1)).cast("string")
+                 new_start: Column, body: Column | None = None, n_lines: Column | None = None) -> Column:
+    """One ``diff --git`` section for a file of the given kind.
+
+    ``body``/``n_lines`` may be given directly (already marked lines) instead
+    of being derived from ``text``."""
+    n = (n_lines if n_lines is not None else F.size(F.split(text, "\n", -1))).cast("string")
     mode = (F.when(kind == "new", F.lit(NEW_MODE)).when(kind == "deleted", F.lit(DELETED_MODE))
              .when(kind == "renamed", F.concat(F.lit("similarity index 90%\nrename from "), old,
                                                F.lit("\nrename to "), path, F.lit("\n")))
@@ -61,7 +64,8 @@ def file_section(path: Column, old: Column, kind: Column, is_binary: Column, tex
     new_range = F.when(kind == "deleted", F.lit("0,0")).otherwise(
         F.concat(new_start.cast("string"), F.lit(","), n))
     textual = F.concat(F.lit("--- "), minus, F.lit("\n+++ "), plus, F.lit("\n@@ -"), old_range,
-                       F.lit(" +"), new_range, F.lit(" @@\n"), _prefixed_body(text, kind))
+                       F.lit(" +"), new_range, F.lit(" @@\n"),
+                       body if body is not None else _prefixed_body(text, kind))
     return F.concat(F.lit("diff --git a/"), old, F.lit(" b/"), path, F.lit("\n"), mode,
                     F.lit(INDEX_LINE), F.when(is_binary, binary).otherwise(textual))
 
@@ -126,11 +130,17 @@ def order_changesets(spark: SparkSession, sf_dir: str) -> DataFrame:
              .otherwise(F.lit("modified")))
     path = F.concat(F.lit("orders/"), F.col("l_orderkey").cast("string"), F.lit("/"),
                     F.col("l_linenumber").cast("string"), F.lit(".txt"))
-    text = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.col("qty"), F.lit(1))),
-                                    lambda i: F.concat(F.lit("unit "), i.cast("string"))), "\n")
+    # qty lines "unit"; markers: new '+', deleted '-', modified cycling ' ', '+', '-'.
+    # Built with native repeat/substring (no per-line lambda).
+    n = F.greatest(F.col("qty"), F.lit(1))
+    body = (F.when(F.col("kind") == "new", F.repeat(F.lit("+unit\n"), n))
+             .when(F.col("kind") == "deleted", F.repeat(F.lit("-unit\n"), n))
+             .otherwise(F.expr("substring(repeat(' unit\\n+unit\\n-unit\\n', "
+                               "cast((greatest(qty, 1) + 2) div 3 as int)), 1, 6 * greatest(qty, 1))")))
     files = (li.withColumn("kind", kind).withColumn("path", path)
                .withColumn("section", file_section(F.col("path"), F.col("path"), F.col("kind"),
-                                                   F.lit(False), text, F.col("l_linenumber")))
+                                                   F.lit(False), F.lit(""), F.col("l_linenumber"),
+                                                   body=body, n_lines=n))
                .groupBy("l_orderkey")
                .agg(F.sum("n_open").alias("n_open"), F.sum("n_final").alias("n_final"),
                     F.array_join(F.transform(
