@@ -37,6 +37,22 @@ def _any_contains(text: Column, tokens) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(t) for t in tokens], F.lit(False))
 
 
+MODELS_RESPONSE = ("STRUCT<models: ARRAY<STRUCT<name: STRING, displayName: STRING, "
+                   "description: STRING, supportedGenerationMethods: ARRAY<STRING>>>>")
+
+
+def models_from_response(df: DataFrame, json_col: str = "body", keys: list[str] | None = None) -> DataFrame:
+    """A5: parse model-list responses (``{"models": [...]}``) with a fixed
+    schema; a response without ``models`` contributes no rows. Row-local."""
+    keys = keys or []
+    parsed = df.select(*keys, F.from_json(F.col(json_col), MODELS_RESPONSE).alias("r"))
+    return (parsed.select(*keys, F.inline(F.coalesce(F.col("r.models"), F.array().cast(
+        "array<struct<name:string,displayName:string,description:string,"
+        "supportedGenerationMethods:array<string>>>"))))
+                  .select(*keys, "name", F.col("displayName").alias("display_name"), "description",
+                          F.col("supportedGenerationMethods").alias("methods")))
+
+
 def rejects(catalog: DataFrame) -> DataFrame:
     """Rows the reference cannot handle (no ``name``): routed aside, not fatal."""
     return catalog.filter(F.col("name").isNull())

@@ -5,7 +5,8 @@ task; one hot group then becomes one straggler. Here rows are
 range-partitioned on ``(g, k)``, so a large group spans several partitions.
 Each partition numbers its own slice of the group, and a small
 ``(bucket, g) -> count`` table gives every slice its offset. The offsets table has at
-most ``#buckets + #groups`` rows.
+most ``#buckets + #groups`` rows, and at most ``#buckets`` rows per group, so
+its own running sum by group is bounded even for a hot group.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hunkline.session import checkpoint_dir
+
 
 def position_within(df: DataFrame, group: list[str], order: list[Column], out: str = "pos",
                     buckets: int | None = None) -> DataFrame:
@@ -22,13 +25,18 @@ def position_within(df: DataFrame, group: list[str], order: list[Column], out: s
     but consistent position).
     """
     spark = df.sparkSession
+    checkpoint_dir(spark)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.withColumn("_ord", F.struct(*order))
+    # The bucket is the range partition a row lands in. Range bounds come from
+    # sampling, so the bucketed rows are checkpointed (reliably, to the shared
+    # checkpoint folder) once; the numbering and the offsets then read the
+    # same materialized buckets, also after a lost executor.
     r = keyed.repartitionByRange(n, *[F.col(g) for g in group], F.col("_ord")).withColumn(
-        "_b", F.spark_partition_id())
+        "_b", F.spark_partition_id()).checkpoint(eager=True)
     w = Window.partitionBy("_b", *group).orderBy("_ord")
     local = r.withColumn("_local", F.row_number().over(w))
-    counts = local.groupBy("_b", *group).agg(F.count(F.lit(1)).alias("_n"))
+    counts = r.groupBy("_b", *group).agg(F.count(F.lit(1)).alias("_n"))
     prior = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(prior), F.lit(0))).drop("_n")
     return (local.join(offs, ["_b", *group])

@@ -29,7 +29,12 @@ def match_repository(requests: DataFrame, repos: DataFrame) -> DataFrame:
     firsts = (repos.groupBy("workspace", "root_uri")
                    .agg(F.min("repo_pos").alias("match_pos")))
     firsts = firsts.withColumnRenamed("root_uri", "requested_uri")
-    j = (requests.join(firsts, ["workspace", "requested_uri"], "left")
+    # requests without a URI cannot match: keep them out of the URI join so a
+    # workspace's many NULL-URI requests do not all hash to one partition
+    with_uri = requests.filter(F.col("requested_uri").isNotNull())
+    without = requests.filter(F.col("requested_uri").isNull()).withColumn(
+        "match_pos", F.lit(None).cast(firsts.schema["match_pos"].dataType))
+    j = (with_uri.join(firsts, ["workspace", "requested_uri"], "left").unionByName(without)
                  .join(workspace_summary(repos), "workspace", "left"))
     n = F.coalesce(F.col("n_repos"), F.lit(0))
     outcome = (F.when(n == 0, F.lit(NONE))

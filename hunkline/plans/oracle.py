@@ -662,4 +662,11 @@ FROM css"""),
     "message_sink": FINAL_CTE + """
 SELECT request_id, final_text AS message, model_used
 FROM fo WHERE outcome = 'message' AND length(coalesce(final_text, '')) > 0""",
+    "model_catalog_json": """
+SELECT p_brand AS catalog_id, 'models/' || replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR) AS name,
+       CASE WHEN (p_partkey // 3) % 3 = 0 THEN NULL WHEN (p_partkey // 3) % 3 = 1 THEN '' ELSE p_brand END
+         AS display_name,
+       p_type AS description,
+       CAST(CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS INT) AS n_methods
+FROM part""",
 }

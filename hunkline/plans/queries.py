@@ -22,7 +22,9 @@ from hunkline.operators.parse import parse_files, parse_files_col, sections
 from hunkline.operators.stats import (
     MAX_CHANGES, MAX_FILES, MAX_TOKENS, rollup_by, with_is_large, with_stats,
 )
-from hunkline.operators.catalog import best_model, eligible_models, mark_current, model_order
+from hunkline.operators.catalog import (
+    best_model, eligible_models, mark_current, model_order, models_from_response,
+)
 from hunkline.operators.release import conformance, next_version, parse_subject, release_bump
 from hunkline.operators.repos import (
     changeset_disposition, default_repository, match_repository, repo_candidates,
@@ -33,7 +35,7 @@ from hunkline.operators.respond import (
 from hunkline.operators.prompt import prompt_col, resolve_settings, token_gate
 from hunkline.sources.fixtures import (
     CATALOG_EXCLUDE, CATALOG_INCLUDE, answers_table, catalog_current, errors_table, catalog_priority, doc_changesets, doc_repos,
-    model_catalog, order_changesets, releases_table, repos_table, requests_table, settings_table,
+    model_catalog, model_responses, order_changesets, releases_table, repos_table, requests_table, settings_table,
     workspaces_table,
 )
 from hunkline.sources.diff_files import (
@@ -266,6 +268,14 @@ def _eligible(spark, sf_dir):
     return eligible_models(model_catalog(spark, sf_dir), include=CATALOG_INCLUDE, exclude=CATALOG_EXCLUDE)
 
 
+@query("model_catalog_json")
+def q_model_catalog_json(spark, sf_dir):
+    """A5: models parsed back from JSON list responses (missing list -> none)."""
+    m = models_from_response(model_responses(spark, sf_dir), "body", ["catalog_id", "page"])
+    return m.select("catalog_id", "name", "display_name", "description",
+                    F.size(F.coalesce("methods", F.array().cast("array<string>"))).alias("n_methods"))
+
+
 @query("model_eligible")
 def q_model_eligible(spark, sf_dir):
     """Capability and name filters, normalised names."""

@@ -304,3 +304,24 @@ def releases_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     explicit = F.when(pk % 7 == 0, F.concat(F.lit("9.9."), pk.cast("string")))
     return p.select(F.concat(F.lit("pkg-"), pk.cast("string")).alias("package"), version.alias("version"),
                     bump.alias("bump"), explicit.alias("explicit_version"))
+
+
+MODELS_PAGE = 100
+
+
+def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model-list API responses: the catalogue as JSON pages of at most
+    ``MODELS_PAGE`` models (bounded groups), plus one response without a
+    ``models`` key for every catalogue whose first part key is even."""
+    cat = model_catalog(spark, sf_dir).withColumn(
+        "k", F.regexp_extract("name", r"-(\d+)$", 1).cast("bigint"))
+    pages = (cat.groupBy("catalog_id", F.floor(F.col("k") / MODELS_PAGE).alias("page"))
+                .agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct(
+                    F.col("k").alias("_k"), F.col("name"), F.col("display_name").alias("displayName"),
+                    F.col("description"), F.col("methods").alias("supportedGenerationMethods")))).alias("models")))
+                    .alias("body")))
+    pages = pages.withColumn("body", F.regexp_replace("body", r'"_k":\d+,', ""))
+    empty = (cat.groupBy("catalog_id").agg(F.min("k").alias("k0"))
+                .filter(F.col("k0") % 2 == 0)
+                .select("catalog_id", F.lit(-1).cast("bigint").alias("page"), F.lit("{}").alias("body")))
+    return pages.unionByName(empty)
