@@ -90,24 +90,32 @@ def doc_files(documents: DataFrame, by_source_only: bool = False) -> DataFrame:
                                                   .otherwise(F.col("doc_id") % 5 + 1))))
 
 
-def assemble(files: DataFrame, order_col: str) -> DataFrame:
+def assemble(files: DataFrame, order_col: str, repo_of=None) -> DataFrame:
     """Concatenate file sections into one diff per change-set, in ``order_col`` order.
 
-    One hash shuffle on ``changeset_id`` (``repo`` is functionally dependent,
-    so it rides along as ``any_value``); the output stays hash-partitioned by
-    ``changeset_id`` and later per-file windows reuse it without a second
-    Exchange. Every group is bounded by the builder's block size.
+    One hash shuffle on ``changeset_id``; ``repo`` is derived from the id
+    afterwards (``repo_of``), so the aggregate stays hash-based. The output
+    stays hash-partitioned by ``changeset_id`` and later per-file windows reuse
+    it without a second Exchange. Every group is bounded by the builder's
+    block size.
     """
-    return (files.groupBy("changeset_id")
-                 .agg(F.any_value("repo").alias("repo"), F.array_join(F.transform(
+    out = (files.groupBy("changeset_id")
+                 .agg(F.array_join(F.transform(
                      F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("k"),
                                                           F.col("section").alias("s")))),
                      lambda x: x["s"]), "").alias("diff")))
+    repo = repo_of(F.col("changeset_id")) if repo_of else F.lit(None).cast("string")
+    return out.select("changeset_id", repo.alias("repo"), "diff")
+
+
+def doc_repo_of(changeset_id: Column) -> Column:
+    """A documents change-set id is ``<repo>#<block>``."""
+    return F.substring_index(changeset_id, "#", 1)
 
 
 def doc_changesets(spark: SparkSession, sf_dir: str, by_source_only: bool = False) -> DataFrame:
     """F_DOCS: change-set = (lang/source, doc block); one file per document."""
-    return assemble(doc_files(table(spark, sf_dir, "documents"), by_source_only), "doc_id")
+    return assemble(doc_files(table(spark, sf_dir, "documents"), by_source_only), "doc_id", doc_repo_of)
 
 
 def order_changesets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +156,9 @@ def order_changesets(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                         F.col("section").alias("s")))),
                    lambda x: x["s"]), "").alias("diff")))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    return (orders.join(files, orders.o_orderkey == files.l_orderkey, "left")
+    # the diff side grows with the data: always a sort-merge join, never a
+    # broadcast chosen from a size estimate (whatever the session's settings)
+    return (orders.join(files.hint("merge"), orders.o_orderkey == files.l_orderkey, "left")
                   .select(F.concat(F.lit("cust/"), F.col("o_custkey").cast("string")).alias("repo"),
                           F.col("o_orderkey").cast("string").alias("changeset_id"),
                           F.coalesce(F.col("diff"), F.lit("")).alias("diff"),
