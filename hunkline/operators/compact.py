@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hunkline.functions import js_has_text, plural
-from hunkline.operators.parse import ADDITION, CONTEXT, parse_files_col
+from hunkline.operators.parse import ADDITION, CONTEXT, parse_files_col, sections
 from hunkline.operators.stats import MAX_CHANGES, MAX_FILES, MAX_TOKENS, is_large_col, stats_cols
 from hunkline.functions import estimate_tokens
 
@@ -90,23 +90,91 @@ def summary_col(files: Column, total_files: Column, total_additions: Column,
                     F.array_join(F.transform(with_meaningful(files), lambda f: file_block(f, n)), ""))
 
 
+# diffs above this many bytes that are large anyway are summarised file by file
+SPLIT_OVER_BYTES = 8 * 1024 * 1024
+
+
+def _route_row_local(df: DataFrame, diff_col: str, keys: list[str], lines_per_file: int,
+                     max_files: int, max_changes: int, max_tokens: int) -> DataFrame:
+    parsed = df.withColumn("_files", parse_files_col(diff_col, with_changes=False))
+    s = parsed.select(*keys, diff_col, "_files", *stats_cols(F.col("_files")),
+                      estimate_tokens(diff_col).alias("diff_tokens"))
+    s = s.withColumn("total_changes", F.col("total_additions") + F.col("total_deletions"))
+    s = s.withColumn("was_compacted", is_large_col(F.col("total_files"), F.col("total_changes"),
+                                                   F.col("diff_tokens"), max_files, max_changes,
+                                                   max_tokens))
+    content = F.when(F.col("was_compacted"), summary_col(
+        parse_files_col(diff_col, with_changes=True), F.col("total_files"), F.col("total_additions"),
+        F.col("total_deletions"), lines_per_file)).otherwise(F.col(diff_col))
+    return s.select(*keys, *OUT_STATS, content.alias("content"))
+
+
+def _route_by_file(df: DataFrame, diff_col: str, keys: list[str], lines_per_file: int) -> DataFrame:
+    """Large-by-tokens diffs, summarised file by file: sections are exploded
+    in the task that holds the row, then spread over tasks by
+    ``(changeset_id, file_pos)``; statistics and blocks come back through a
+    partial aggregation keyed by the change-set. The raw text is never
+    needed again (a large diff's content is its summary)."""
+    from hunkline.operators.parse import _stage_file, _stage_section
+
+    secs = (df.select(*keys, estimate_tokens(diff_col).alias("diff_tokens"),
+                      F.posexplode_outer(sections(diff_col)).alias("file_pos", "section"))
+              .repartition(*keys[:1], "file_pos"))
+    f = secs.select(*keys, "diff_tokens", "file_pos",
+                    _stage_section(F.col("section"), F.col("file_pos")).alias("h"))
+    kept = F.coalesce(F.length(F.col("h.path")) > 0, F.lit(False))
+    g = f.select(*keys, "diff_tokens", "file_pos", kept.alias("kept"),
+                 _stage_file(F.col("h"), F.lit(0), with_changes=True).alias("g"))
+    fs = F.struct(*[g_field.alias(n) for n, g_field in (
+        ("path", F.col("g.path")), ("old_path", F.col("g.old_path")), ("is_binary", F.col("g.is_binary")),
+        ("is_new", F.col("g.is_new")), ("is_deleted", F.col("g.is_deleted")),
+        ("is_renamed", F.col("g.is_renamed")), ("additions", F.col("g.additions")),
+        ("deletions", F.col("g.deletions")), ("m", meaningful(F.col("g.changes"))))])
+    blocks = g.select(*keys, "diff_tokens", "file_pos", "kept", F.col("g.additions").alias("a"),
+                      F.col("g.deletions").alias("d"),
+                      F.when(F.col("kept"), F.struct(F.col("file_pos").alias("k"),
+                                                     file_block(fs, lines_per_file).alias("b"))).alias("kb"))
+    agg = (blocks.groupBy(*keys, "diff_tokens")
+                 .agg(F.count_if(F.col("kept")).cast("bigint").alias("total_files"),
+                      F.coalesce(F.sum(F.when(F.col("kept"), F.col("a"))), F.lit(0)).cast("bigint")
+                       .alias("total_additions"),
+                      F.coalesce(F.sum(F.when(F.col("kept"), F.col("d"))), F.lit(0)).cast("bigint")
+                       .alias("total_deletions"),
+                      F.array_join(F.transform(F.sort_array(F.collect_list("kb")), lambda x: x["b"]), "")
+                       .alias("_blocks")))
+    out = (agg.withColumn("total_changes", F.col("total_additions") + F.col("total_deletions"))
+              .withColumn("was_compacted", F.lit(True)))
+    head = F.concat(F.lit(SUMMARY_HEAD + STATS_LABEL),
+                    stats_line(F.col("total_files"), F.col("total_additions"), F.col("total_deletions")),
+                    F.lit("\n\n"))
+    return out.select(*keys, *OUT_STATS, F.concat(head, F.col("_blocks")).alias("content"))
+
+
+OUT_STATS = ["total_files", "total_additions", "total_deletions", "total_changes", "diff_tokens",
+             "was_compacted"]
+
+
 def process_diffs(df: DataFrame, diff_col: str = "diff", lines_per_file: int = ROUTED_LINES,
                   max_files: int = MAX_FILES, max_changes: int = MAX_CHANGES,
-                  max_tokens: int = MAX_TOKENS) -> DataFrame:
+                  max_tokens: int = MAX_TOKENS, split_over_bytes: int | None = SPLIT_OVER_BYTES,
+                  key: str = "changeset_id") -> DataFrame:
     """H6: parse, count, test size; large -> compact summary, else the raw diff.
 
-    Row-local: the executed plan has no Exchange. Statistics come from regex
-    counts; the line arrays and the summary are only built inside the
-    ``CASE`` branch, i.e. for large rows.
+    Output: the input's columns except ``diff_col``, the statistics,
+    ``diff_tokens``, ``was_compacted`` and ``content``.
+
+    Row-local for almost every row: statistics come from regex counts, and
+    line arrays and the summary are built only inside the ``CASE`` branch of
+    large rows. A diff above ``split_over_bytes`` that is large by tokens
+    (so its content is the summary whatever its files say) takes the
+    file-by-file route instead, so one enormous change-set is spread over
+    many tasks. ``split_over_bytes=None`` disables that route.
     """
-    parsed = df.withColumn("files", parse_files_col(diff_col, with_changes=False))
-    with_stats = parsed.select("*", *stats_cols(F.col("files")),
-                               estimate_tokens(diff_col).alias("diff_tokens"))
-    with_stats = with_stats.withColumn("total_changes", F.col("total_additions") + F.col("total_deletions"))
-    routed = with_stats.withColumn(
-        "was_compacted", is_large_col(F.col("total_files"), F.col("total_changes"), F.col("diff_tokens"),
-                                      max_files, max_changes, max_tokens))
-    return routed.withColumn("content", F.when(
-        F.col("was_compacted"),
-        summary_col(parse_files_col(diff_col, with_changes=True), F.col("total_files"), F.col("total_additions"),
-                    F.col("total_deletions"), lines_per_file)).otherwise(F.col(diff_col)))
+    keys = [key] + [c for c in df.columns if c not in (key, diff_col)]
+    args = (lines_per_file, max_files, max_changes, max_tokens)
+    if split_over_bytes is None:
+        return _route_row_local(df, diff_col, keys, *args)
+    big = (estimate_tokens(diff_col) > max_tokens) & (F.octet_length(diff_col) > split_over_bytes)
+    small = _route_row_local(df.filter(~big), diff_col, keys, *args)
+    large = _route_by_file(df.filter(big), diff_col, keys, lines_per_file)
+    return small.unionByName(large)

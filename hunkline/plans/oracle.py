@@ -669,4 +669,9 @@ SELECT p_brand AS catalog_id, 'models/' || replace(p_name, ' ', '-') || '-' || C
        p_type AS description,
        CAST(CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS INT) AS n_methods
 FROM part""",
+    "process_diffs_by_file": with_docs("""
+SELECT changeset_id, total_files, total_additions, total_deletions, total_changes,
+       estimated_tokens, was_compacted,
+       md5(CASE WHEN was_compacted THEN head || blocks15 ELSE diff END) AS content_md5
+FROM css"""),
 }

@@ -72,6 +72,16 @@ def _docs(spark, sf_dir, by_source_only=False):
     return doc_changesets(spark, sf_dir, by_source_only)
 
 
+@query("process_diffs_by_file")
+def q_process_diffs_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H6 with every large-by-tokens change-set on the file-by-file route
+    (the route enormous diffs take); same answer as ``process_diffs``."""
+    out = process_diffs(doc_changesets(spark, sf_dir), split_over_bytes=0)
+    return out.select("changeset_id", "total_files", "total_additions", "total_deletions",
+                      "total_changes", F.col("diff_tokens").alias("estimated_tokens"),
+                      "was_compacted", F.md5("content").alias("content_md5"))
+
+
 @query("file_sections")
 def q_file_sections(spark, sf_dir):
     """B1: sections of every diff, with their position."""

@@ -76,6 +76,20 @@ def test_exact_boundaries(spark):
 
 
 def test_row_local_plan_has_no_exchange_or_python(spark):
-    plan = process_diffs(frame(spark, a=D.TWO_FILES))._jdf.queryExecution().executedPlan().toString()
+    df = process_diffs(frame(spark, a=D.TWO_FILES), split_over_bytes=None)
+    plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_file_by_file_route_agrees(spark):
+    from test_parse import QUIRKS
+    big = D.hundred_files() * 2 + "".join(QUIRKS.values()) + D.BINARY
+    cases = {"big": big, "pre": "junk before\n" + big, "nofiles": "x" * 40000, "small": D.TWO_FILES}
+    cs = frame(spark, **cases)
+    a = sorted(tuple(r) for r in process_diffs(cs, split_over_bytes=None).collect())
+    b = sorted(tuple(r) for r in process_diffs(cs, split_over_bytes=0).collect())
+    assert a == b
+    by_id = {r.changeset_id: r for r in process_diffs(cs, split_over_bytes=0).collect()}
+    assert by_id["big"].was_compacted and by_id["big"].total_files == 209
+    assert by_id["nofiles"].total_files == 0 and by_id["nofiles"].was_compacted
