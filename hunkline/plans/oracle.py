@@ -674,4 +674,29 @@ SELECT changeset_id, total_files, total_additions, total_deletions, total_change
        estimated_tokens, was_compacted,
        md5(CASE WHEN was_compacted THEN head || blocks15 ELSE diff END) AS content_md5
 FROM css"""),
+    "is_large_parts": f"""
+WITH f AS (
+  SELECT l_partkey, l_orderkey, greatest(CAST(sum(l_quantity) AS INT), 1) AS n
+  FROM lineitem GROUP BY l_partkey, l_orderkey),
+s AS (
+  SELECT CAST(l_partkey AS VARCHAR) || '#' || CAST(l_orderkey // 1048576 AS VARCHAR) AS changeset_id,
+         l_orderkey, n,
+         'part/' || CAST(l_partkey AS VARCHAR) || '/' || CAST(l_orderkey AS VARCHAR) || '.txt' AS p
+  FROM f),
+sec AS (
+  SELECT changeset_id, l_orderkey, n,
+         'diff --git a/' || p || ' b/' || p || {NL} || 'new file mode 100644' || {NL}
+         || 'index 0000000..1111111' || {NL} || '--- /dev/null' || {NL} || '+++ b/' || p || {NL}
+         || '@@ -0,0 +1,' || CAST(n AS VARCHAR) || ' @@' || {NL} || repeat('+unit' || {NL}, n) AS section
+  FROM s),
+c AS (
+  SELECT changeset_id, CAST(count(*) AS BIGINT) AS total_files, CAST(sum(n) AS BIGINT) AS total_changes,
+         string_agg(section, '' ORDER BY l_orderkey) AS diff
+  FROM sec GROUP BY changeset_id),
+t AS (SELECT *, {est_tokens('diff')} AS estimated_tokens FROM c)
+SELECT changeset_id, total_files, total_changes, estimated_tokens,
+       total_files > 50 AS large_by_files, total_changes > 500 AS large_by_changes,
+       estimated_tokens > 15000 AS large_by_tokens,
+       (total_files > 50 OR total_changes > 500 OR estimated_tokens > 15000) AS is_large
+FROM t""",
 }

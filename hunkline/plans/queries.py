@@ -35,7 +35,7 @@ from hunkline.operators.respond import (
 from hunkline.operators.prompt import prompt_col, resolve_settings, token_gate
 from hunkline.sources.fixtures import (
     CATALOG_EXCLUDE, CATALOG_INCLUDE, answers_table, catalog_current, errors_table, catalog_priority, doc_changesets, doc_repos,
-    model_catalog, model_responses, order_changesets, releases_table, repos_table, requests_table, settings_table,
+    model_catalog, model_responses, order_changesets, part_changesets, releases_table, repos_table, requests_table, settings_table,
     workspaces_table,
 )
 from hunkline.sources.diff_files import (
@@ -186,6 +186,18 @@ def q_is_large(spark, sf_dir):
                       (F.col("diff_tokens") > MAX_TOKENS).alias("large_by_tokens"), "is_large")
 
 
+@query("is_large_parts")
+def q_is_large_parts(spark, sf_dir):
+    """C2 on the parts corpus: the change-count threshold (> 500, strict)."""
+    cs = part_changesets(spark, sf_dir)
+    out = with_is_large(with_stats(parse_files(cs, with_changes=False)))
+    return out.select("changeset_id", "total_files", "total_changes",
+                      F.col("diff_tokens").alias("estimated_tokens"),
+                      (F.col("total_files") > MAX_FILES).alias("large_by_files"),
+                      (F.col("total_changes") > MAX_CHANGES).alias("large_by_changes"),
+                      (F.col("diff_tokens") > MAX_TOKENS).alias("large_by_tokens"), "is_large")
+
+
 @query("meaningful_changes")
 def q_meaningful_changes(spark, sf_dir):
     """Per file, changes that are not context and not blank after a JS trim."""

@@ -335,3 +335,24 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .filter(F.col("k0") % 2 == 0)
                 .select("catalog_id", F.lit(-1).cast("bigint").alias("page"), F.lit("{}").alias("body")))
     return pages.unionByName(empty)
+
+
+def part_changesets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F_PARTS: change-set = (part, order block); one new file per (part, order)
+    with one added line per unit of quantity (duplicate pairs summed).
+    Exercises the change-count threshold on real data."""
+    li = (table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_quantity")
+          .repartition("l_partkey")
+          .groupBy("l_partkey", "l_orderkey")
+          .agg(F.sum("l_quantity").cast("int").alias("qty")))
+    n = F.greatest(F.col("qty"), F.lit(1))
+    path = F.concat(F.lit("part/"), F.col("l_partkey").cast("string"), F.lit("/"),
+                    F.col("l_orderkey").cast("string"), F.lit(".txt"))
+    files = (li.withColumn("path", path)
+               .withColumn("changeset_id", F.concat(F.col("l_partkey").cast("string"), F.lit("#"),
+                                                    F.floor(F.col("l_orderkey") / ORDER_BLOCK).cast("string")))
+               .withColumn("repo", F.concat(F.lit("part/"), F.col("l_partkey").cast("string")))
+               .withColumn("section", file_section(F.col("path"), F.col("path"), F.lit("new"), F.lit(False),
+                                                   F.lit(""), F.lit(1), body=F.repeat(F.lit("+unit\n"), n),
+                                                   n_lines=n)))
+    return assemble(files, "l_orderkey", lambda c: F.concat(F.lit("part/"), F.substring_index(c, "#", 1)))
