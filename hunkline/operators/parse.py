@@ -76,9 +76,23 @@ def section_lines(section: Column) -> Column:
 
 
 def header_paths(first_line: Column) -> tuple[Column, Column]:
-    """(old path, new path); both '' when the header does not match."""
-    return (F.regexp_extract(first_line, HEADER, 1),
-            F.regexp_extract(first_line, HEADER, 2))
+    """(old path, new path); both '' when the header does not match.
+
+    Without ``\r``/U+2028/U+2029 in the line, the lazy pattern reduces to:
+    from the first ``a/``, old = up to the first following `` b/``, new = the
+    rest (no match if there is no such `` b/``). That case uses plain
+    ``instr``/``substr``; lines with those characters use the regex.
+    """
+    line = first_line
+    plain = ~(line.contains("\r") | line.contains("\u2028") | line.contains("\u2029"))
+    i = F.instr(line, "a/")
+    rest = line.substr(i + 2, F.lit(MAX_INT))
+    j = F.instr(rest, " b/")
+    hit = (i > 0) & (j > 0)
+    old_fast = F.when(hit, rest.substr(F.lit(1), j - 1)).otherwise(F.lit(""))
+    new_fast = F.when(hit, rest.substr(j + 3, F.lit(MAX_INT))).otherwise(F.lit(""))
+    return (F.when(plain, old_fast).otherwise(F.regexp_extract(line, HEADER, 1)),
+            F.when(plain, new_fast).otherwise(F.regexp_extract(line, HEADER, 2)))
 
 
 # Line-start patterns, applied to text prefixed with "\n" so that the
@@ -100,7 +114,8 @@ def _starts_a_line(text: Column, mark: str) -> Column:
 
 def hunk_body_text(section: Column) -> Column:
     """Everything after the first ``@@`` line; later ``@@`` lines stay in
-    but start with none of ``+ - space``, so they never classify."""
+    but start with none of ``+ - space``, so they never classify.
+    (One regex with a literal start; faster than char-position ``instr``/``substr``.)"""
     return F.regexp_extract(_nl(section), HUNK_BODY, 1)
 
 
@@ -108,6 +123,20 @@ def count_lines(body: Column, pattern: str) -> Column:
     return F.regexp_count(_nl(body), F.lit(pattern)).cast("bigint")
 
 
+def _occurrences(text: Column, literal: str) -> Column:
+    """Non-overlapping occurrences of an ASCII ``literal`` that starts with
+    ``\n`` (so occurrences cannot overlap): byte-length difference after a
+    plain ``replace``; no regex, no match array."""
+    return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(literal), F.lit(""))))
+            / len(literal)).cast("bigint")
+
+
+def count_marked(body: Column, mark: str) -> Column:
+    """Lines starting with ``mark`` but not with three of it (``+``/``-``)."""
+    t = _nl(body)
+    return _occurrences(t, "\n" + mark) - _occurrences(t, "\n" + mark * 3)
+
+
 def body_lines(body: Column) -> Column:
     return F.split(body, "\n", -1)
 
@@ -121,7 +150,9 @@ def _stage_section(sec: Column, pos: Column) -> Column:
         _starts_a_line(sec, NEW_MARK).alias("is_new"),
         _starts_a_line(sec, DELETED_MARK).alias("is_deleted"),
         _starts_a_line(sec, RENAME_MARK).alias("rename_mark"),
-        F.when(is_binary, F.lit("")).otherwise(hunk_body_text(sec)).alias("body"))
+        # the body's lines, split once and reused by both counts and ``changes``
+        F.when(is_binary, F.array().cast("array<string>"))
+         .otherwise(body_lines(hunk_body_text(sec))).alias("lines"))
 
 
 FILE_FIELDS = ["file_no", "file_pos", "path", "old_path", "is_binary", "is_new", "is_deleted",
@@ -129,19 +160,19 @@ FILE_FIELDS = ["file_no", "file_pos", "path", "old_path", "is_binary", "is_new",
 
 
 def _stage_file(f: Column, no: Column, with_changes: bool) -> Column:
-    body = f["body"]
+    lines = f["lines"]
     fields = [
         (no + 1).alias("file_no"), f["file_pos"].alias("file_pos"), f["path"].alias("path"),
         F.nullif(f["old"], f["path"]).alias("old_path"),
         f["is_binary"].alias("is_binary"), f["is_new"].alias("is_new"),
         f["is_deleted"].alias("is_deleted"),
         ((f["old"] != f["path"]) | f["rename_mark"]).alias("is_renamed"),
-        count_lines(body, ADD_LINE).alias("additions"),
-        count_lines(body, DEL_LINE).alias("deletions"),
+        F.size(F.filter(lines, is_addition)).cast("bigint").alias("additions"),
+        F.size(F.filter(lines, is_deletion)).cast("bigint").alias("deletions"),
     ]
     if with_changes:
         changes = F.transform(
-            F.filter(body_lines(body), lambda l: is_addition(l) | is_deletion(l) | is_context(l)),
+            F.filter(lines, lambda l: is_addition(l) | is_deletion(l) | is_context(l)),
             lambda l: F.struct(change_type(l).alias("change_type"), change_text(l).alias("line")))
         fields.append(changes.alias("changes"))
     return F.struct(*fields)
