@@ -56,7 +56,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """Return the shared checkpoint folder from ``spark.checkpoint.dir``.
+
+    Only a ``local[...]`` session without that setting (tests) gets a fresh
+    temporary folder; on a cluster the setting is required."""
     conf = spark.sparkContext.getConf()
     d = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if d:
@@ -66,6 +69,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext._jsc.sc().getCheckpointDir()  # type: ignore[union-attr]
     if not existing.isEmpty():
         return existing.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                           "(a machine-local temporary folder does not survive a lost executor)")
     d = tempfile.mkdtemp(prefix="hunkline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(d)
     return d
