@@ -70,10 +70,13 @@ def numbered_lines(df: DataFrame, key: str = "changeset_id", diff_col: str = "di
 
 def hunks(lines: DataFrame, key: str = "changeset_id") -> DataFrame:
     """One row per hunk with its header position, parsed start and counts."""
+    # file_pos rides along (it determines file_no) so the grouping reuses the
+    # window's (changeset_id, file_pos) partitioning on raw inputs too
     return (lines.filter(F.col("hunk_no") > 0)
-                 .groupBy(key, "file_no", "hunk_no")
+                 .groupBy(key, "file_pos", "file_no", "hunk_no")
                  .agg(F.min("line_pos").alias("header_pos"),
                       F.max("hunk_start").alias("new_start"),
                       F.count_if(F.col("change_type") == "addition").cast("bigint").alias("additions"),
                       F.count_if(F.col("change_type") == "deletion").cast("bigint").alias("deletions"),
-                      F.count_if(F.col("change_type") == "context").cast("bigint").alias("context")))
+                      F.count_if(F.col("change_type") == "context").cast("bigint").alias("context"))
+                 .drop("file_pos"))
