@@ -95,11 +95,7 @@ def header_paths(first_line: Column) -> tuple[Column, Column]:
             F.when(plain, new_fast).otherwise(F.regexp_extract(line, HEADER, 2)))
 
 
-# Line-start patterns, applied to text prefixed with "\n" so that the
-# first line also follows a newline (lines are split on "\n" only).
-ADD_LINE = r"\n\+(?!\+\+)"
-DEL_LINE = r"\n-(?!--)"
-# text after the first line that starts with "@@" (hunk state never ends in a section)
+# Fixed value: text after the first line that starts with "@@" (hunk state never ends in a section)
 HUNK_BODY = r"(?s)\n@@[^\n]*\n(.*)"
 
 
@@ -119,24 +115,6 @@ def hunk_body_text(section: Column) -> Column:
     return F.regexp_extract(_nl(section), HUNK_BODY, 1)
 
 
-def count_lines(body: Column, pattern: str) -> Column:
-    return F.regexp_count(_nl(body), F.lit(pattern)).cast("bigint")
-
-
-def _occurrences(text: Column, literal: str) -> Column:
-    """Non-overlapping occurrences of an ASCII ``literal`` that starts with
-    ``\n`` (so occurrences cannot overlap): byte-length difference after a
-    plain ``replace``; no regex, no match array."""
-    return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(literal), F.lit(""))))
-            / len(literal)).cast("bigint")
-
-
-def count_marked(body: Column, mark: str) -> Column:
-    """Lines starting with ``mark`` but not with three of it (``+``/``-``)."""
-    t = _nl(body)
-    return _occurrences(t, "\n" + mark) - _occurrences(t, "\n" + mark * 3)
-
-
 def body_lines(body: Column) -> Column:
     return F.split(body, "\n", -1)
 
