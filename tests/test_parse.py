@@ -132,3 +132,14 @@ def test_section_lines_keep_trailing_empty(spark):
     rows = all_section_lines(frame(spark, m=D.MODIFIED)).orderBy("line_pos").collect()
     assert rows[0].line == "a/app/settings.py b/app/settings.py"
     assert rows[-1].line == ""
+
+
+def test_split_line_starts_follow_javascript(spark):
+    cases = {"astral": "\U0001F600diff --git a/x b/x\n",
+             "nel": "\u0085diff --git a/n b/n\n",
+             "ps": " diff --git a/w b/w\n",
+             "cr": "\rdiff --git a/v b/v\n"}
+    got = {k: [f["path"] for f in files_of(spark, v)] for k, v in cases.items()}
+    # no split after an astral character or after U+0085 (Java's (?m)^ would split there)
+    assert got["astral"] == [] and got["nel"] == []
+    assert got["ps"] == ["w"] and got["cr"] == ["v"]
