@@ -699,4 +699,6 @@ SELECT changeset_id, total_files, total_changes, estimated_tokens,
        estimated_tokens > 15000 AS large_by_tokens,
        (total_files > 50 OR total_changes > 500 OR estimated_tokens > 15000) AS is_large
 FROM t""",
+    "line_numbers_blocked": None,
 }
+ORACLE["line_numbers_blocked"] = ORACLE["line_numbers"]

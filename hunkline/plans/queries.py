@@ -158,6 +158,14 @@ def q_line_numbers(spark, sf_dir):
             .select("changeset_id", "file_no", "line_pos", "change_type", "line_number"))
 
 
+@query("line_numbers_blocked")
+def q_line_numbers_blocked(spark, sf_dir):
+    """B8 as a distributed prefix computation over 64-line blocks (the form
+    that lets one enormous file be numbered by many tasks)."""
+    return (numbered_lines(_docs(spark, sf_dir), block_lines=64).filter(F.col("line_number").isNotNull())
+            .select("changeset_id", "file_no", "line_pos", "change_type", "line_number"))
+
+
 @query("diff_stats")
 def q_diff_stats(spark, sf_dir):
     """E2/B11 on the orders corpus: empty change-sets keep a row of zeros."""

@@ -143,3 +143,13 @@ def test_split_line_starts_follow_javascript(spark):
     # no split after an astral character or after U+0085 (Java's (?m)^ would split there)
     assert got[0] == [cases[0]] and got[1] == [cases[1]]
     assert got[2] == ["\u2029", "a/w b/w\n"] and got[3] == ["\r", "a/v b/v\n"]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 64])
+def test_blocked_line_numbers_equal_window(spark, k):
+    cs = frame(spark, **{n: d for n, d in D.ALL.items()}, **QUIRKS, big=D.hundred_files(),
+               bad="diff --git a/k b/k\n@@ -1 +7 @@\n a\n@@ broken @@\n+b\n x\n+y\n@@ -1 +40 @@\n+c\n",
+               pre="diff --git a/p b/p\n+before\n c\n@@ -1 +3 @@\n+a\n c\n")
+    a = sorted(tuple(r) for r in numbered_lines(cs).collect())
+    b = sorted(tuple(r) for r in numbered_lines(cs, block_lines=k).collect())
+    assert a == b
