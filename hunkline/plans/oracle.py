@@ -702,3 +702,4 @@ FROM t""",
     "line_numbers_blocked": None,
 }
 ORACLE["line_numbers_blocked"] = ORACLE["line_numbers"]
+ORACLE["scan_diff_lines"] = ORACLE["scan_diff_files"]

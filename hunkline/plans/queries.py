@@ -41,6 +41,7 @@ from hunkline.sources.fixtures import (
 from hunkline.sources.diff_files import (
     read_messages, scan_diff_files, write_diff_files, write_messages,
 )
+from hunkline.sources.diff_lines import diff_file_stats
 from hunkline.sources.tables import table
 from hunkline.streaming.incremental import (
     PROCESSED_COLUMNS, dedupe_requests, process_stream, request_keys, scratch_path, staged_copy,
@@ -481,6 +482,16 @@ def q_scan_diff_files(spark, sf_dir):
                     utf16_length("diff").alias("diff_units"))
 
 
+@query("scan_diff_lines")
+def q_scan_diff_lines(spark, sf_dir):
+    """A2, distributed form: the same diff files read line by line (splittable),
+    sections numbered by a block-wise prefix, counts by two-level aggregation."""
+    path = scratch_path(spark, "diff_files")
+    write_diff_files(_docs(spark, sf_dir), path)
+    return diff_file_stats(spark, path).select("changeset_id", "total_files", "total_additions",
+                                               "total_deletions", "diff_units")
+
+
 @query("message_sink")
 def q_message_sink(spark, sf_dir):
     """A4: final messages written to the sink (rejects apart); returns the sink."""
