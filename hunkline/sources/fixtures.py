@@ -34,16 +34,17 @@ def _kind(doc_id: Column) -> Column:
 
 
 def _prefixed_body(text: Column, kind: Column) -> Column:
-    """Text lines with a diff marker each, newline-terminated."""
-    lines = F.split(text, "\n", -1)
-    cycle = F.array(F.lit(" "), F.lit("+"), F.lit("-"))
-
-    def mark(i: Column) -> Column:
-        return (F.when(kind == "new", F.lit("+")).when(kind == "deleted", F.lit("-"))
-                 .when(kind == "renamed", F.lit(" ")).otherwise(F.element_at(cycle, (i % 3) + 1)))
+    """Text lines with a diff marker each, newline-terminated.
 
-    return F.concat(F.array_join(F.transform(lines, lambda l, i: F.concat(mark(i), l)), "\n"),
-                    F.lit("\n"))
+    Single-marker kinds are one literal ``replace`` of each newline by
+    newline + marker; only the cycling (modified) kind needs a per-line lambda."""
+    cycle = F.array(F.lit(" "), F.lit("+"), F.lit("-"))
+    single = (F.when(kind == "new", F.lit("+")).when(kind == "deleted", F.lit("-"))
+               .when(kind == "renamed", F.lit(" ")))
+    marked_single = F.concat(single, F.replace(text, F.lit("\n"), F.concat(F.lit("\n"), single)))
+    cycled = F.array_join(F.transform(F.split(text, "\n", -1),
+                                      lambda l, i: F.concat(F.element_at(cycle, (i % 3) + 1), l)), "\n")
+    return F.concat(F.when(single.isNotNull(), marked_single).otherwise(cycled), F.lit("\n"))
 
 
 def file_section(path: Column, old: Column, kind: Column, is_binary: Column, text: Column,
