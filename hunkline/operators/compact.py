@@ -172,6 +172,8 @@ def process_diffs(df: DataFrame, diff_col: str = "diff", lines_per_file: int = R
     """
     keys = [key] + [c for c in df.columns if c not in (key, diff_col)]
     args = (lines_per_file, max_files, max_changes, max_tokens)
+    # a missing diff is the empty diff (zero statistics), never a lost row
+    df = df.withColumn(diff_col, F.coalesce(F.col(diff_col), F.lit("")))
     if split_over_bytes is None:
         return _route_row_local(df, diff_col, keys, *args)
     big = (estimate_tokens(diff_col) > max_tokens) & (F.octet_length(diff_col) > split_over_bytes)

@@ -93,3 +93,11 @@ def test_file_by_file_route_agrees(spark):
     by_id = {r.changeset_id: r for r in process_diffs(cs, split_over_bytes=0).collect()}
     assert by_id["big"].was_compacted and by_id["big"].total_files == 209
     assert by_id["nofiles"].total_files == 0 and by_id["nofiles"].was_compacted
+
+
+def test_null_diff_is_kept_as_empty(spark):
+    df = spark.createDataFrame([("r", "n", None), ("r", "s", D.NEW_FILE)],
+                               "repo STRING, changeset_id STRING, diff STRING")
+    got = {r.changeset_id: r for r in process_diffs(df).collect()}
+    assert set(got) == {"n", "s"}
+    assert (got["n"].total_files, got["n"].was_compacted, got["n"].content) == (0, False, "")
