@@ -71,7 +71,7 @@ def clean_text(raw) -> Column:
 def clean_responses(df: DataFrame, text_col: str = "text") -> DataFrame:
     """G1 + C4: cleaned message; an empty message counts as a failure."""
     return (df.withColumn("message", clean_text(text_col))
-              .withColumn("has_message", F.length("message") > 0))
+              .withColumn("has_message", F.coalesce(F.length("message") > 0, F.lit(False))))
 
 
 def normalise_errors(df: DataFrame) -> DataFrame:
