@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hunkline.functions import js_or, js_trim, strip_one_quote
-from hunkline.operators.prompt import _fill
 
 # Error markers and statuses of the reference, in its precedence order.
 # (class, message substrings, statuses)

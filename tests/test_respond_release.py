@@ -1,6 +1,5 @@
 """Response cleaning, error classes (G1-G6), catalogue (I1-I6, F4) and releases."""
 
-from pyspark.sql import functions as F
 
 from hunkline.operators.catalog import best_model, eligible_models, priority_table
 from hunkline.operators.release import conformance, next_version, parse_subject
