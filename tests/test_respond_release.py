@@ -71,3 +71,26 @@ def test_subject_rules(spark):
     assert (got[1].type_ok, got[1].lowercase_ok, got[1].no_period_ok) == (False, False, False)
     assert (got[2].breaking, got[2].wrapped_ok) == (True, False)
     assert got[3].commit_type is None and got[3].conforms is False
+
+
+def test_catalog_rejects_rows_without_name(spark):
+    from hunkline.operators.catalog import rejects
+    cat = spark.createDataFrame([("k", None, None, None, ["generateContent"]),
+                                 ("k", "models/gemini-x", None, None, ["generateContent"])],
+                                "catalog_id STRING, name STRING, display_name STRING, description STRING, "
+                                "methods ARRAY<STRING>")
+    assert [r.name for r in eligible_models(cat).collect()] == ["gemini-x"]
+    assert rejects(cat).count() == 1
+
+
+def test_message_sink_routes_rejects(spark):
+    from hunkline.sources.diff_files import read_messages, write_messages
+    from hunkline.streaming.incremental import scratch_path
+    out = spark.createDataFrame([("a", "message", None, "m1", "fix: a"), ("b", "error", "other", None, "boom"),
+                                 ("c", "message", None, "m1", "")],
+                                "request_id STRING, outcome STRING, error_class STRING, model_used STRING, "
+                                "final_text STRING")
+    path = scratch_path(spark, "t_sink")
+    write_messages(out, path)
+    assert [r.request_id for r in read_messages(spark, path).collect()] == ["a"]
+    assert sorted(r.request_id for r in read_messages(spark, path, "rejects").collect()) == ["b", "c"]
