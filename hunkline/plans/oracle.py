@@ -679,7 +679,7 @@ WITH f AS (
   SELECT l_partkey, l_orderkey, greatest(CAST(sum(l_quantity) AS INT), 1) AS n
   FROM lineitem GROUP BY l_partkey, l_orderkey),
 s AS (
-  SELECT CAST(l_partkey AS VARCHAR) || '#' || CAST(l_orderkey // 1048576 AS VARCHAR) AS changeset_id,
+  SELECT CAST(l_partkey AS VARCHAR) || '#' || CAST(l_orderkey // 65536 AS VARCHAR) AS changeset_id,
          l_orderkey, n,
          'part/' || CAST(l_partkey AS VARCHAR) || '/' || CAST(l_orderkey AS VARCHAR) || '.txt' AS p
   FROM f),

@@ -19,7 +19,7 @@ from hunkline.sources.tables import table
 # documents per change-set block: a change-set is (lang, source, doc_id div DOC_BLOCK)
 DOC_BLOCK = 1000
 # orders per change-set block for the by-part corpus
-ORDER_BLOCK = 1 << 20
+ORDER_BLOCK = 1 << 16
 
 # Header lines of our generated diffs.
 INDEX_LINE = "index 0000000..1111111\n"
