@@ -94,3 +94,12 @@ def test_message_sink_routes_rejects(spark):
     write_messages(out, path)
     assert [r.request_id for r in read_messages(spark, path).collect()] == ["a"]
     assert sorted(r.request_id for r in read_messages(spark, path, "rejects").collect()) == ["b", "c"]
+
+
+def test_model_responses_tolerate_missing_and_malformed(spark):
+    from hunkline.operators.catalog import models_from_response
+    df = spark.createDataFrame([("a", '{"models": [{"name": "models/gemini-x", "supportedGenerationMethods": '
+                                      '["generateContent"]}]}'),
+                                ("b", "{}"), ("c", "not json"), ("d", None)], "k STRING, body STRING")
+    got = [(r.k, r.name, r.methods) for r in models_from_response(df, "body", ["k"]).collect()]
+    assert got == [("a", "models/gemini-x", ["generateContent"])]
