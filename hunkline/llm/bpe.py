@@ -38,9 +38,9 @@ from hunkline.llm.runtime import arrow_map, fields
 
 OPEN = -1                   # key of a state's hypotheses
 NEVER = 1 << 62             # a rank after all ranks
-STATE_LIMIT = 120_000       # determinised states kept
+STATE_LIMIT = 250_000       # determinised states kept
 PAIR_LIMIT = 500_000        # pair checks kept
-PIECE_LIMIT = 250_000       # encoded pieces kept
+PIECE_LIMIT = 350_000       # encoded pieces kept, in each of two generations
 BLOCK = 50_000              # pieces or ids handled at a time
 
 
@@ -240,21 +240,25 @@ class Codec:
         self.machine = Transducer(read_ranks(path))
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.table = [self.machine.tokens.get(i, b"") for i in range(max(self.machine.tokens, default=-1) + 1)]
 
     def _piece(self, piece: str) -> bytes:
-        if len(self.known) >= PIECE_LIMIT:
-            self.known.clear()
-        raw = np.array(self.machine.encode(piece.encode()), "<u4").tobytes()
+        raw = self.older.get(piece)
+        if raw is None:
+            raw = np.array(self.machine.encode(piece.encode()), "<u4").tobytes()
         if len(piece) <= 64:
+            if len(self.known) >= PIECE_LIMIT:
+                # pieces met again since then move on to the new generation
+                self.older, self.known = self.known, {}
             self.known[piece] = raw
         return raw
 
     def encode(self, text: str) -> Iterator[bytes]:
         """The ids of a text as little-endian unsigned 32-bit integers, in blocks."""
         matches = iter(self.pattern.findall(text)) if len(text) < 1 << 20 else (m.group() for m in self.pattern.finditer(text))
-        known = self.known
         while pieces := list(islice(matches, BLOCK)):
+            known = self.known
             yield b"".join([known.get(p) or self._piece(p) for p in pieces])
 
     def decode_bytes(self, raw: bytes) -> Iterator[bytes]:
