@@ -313,7 +313,13 @@ def _unresolved(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     spread = (rows.join(mixed, "bucket").select("bucket", "node", "label", mine.alias("mine"), F.explode(other).alias("other"))
               .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")))
     groups = (spread.groupBy("bucket", "i", "j").agg(F.sort_array(F.collect_list(F.struct("node", "label"))).alias("members")))
-    return groups.filter(F.size("members") > 1).select("members").distinct()  # many bands hold the same nodes
+    # many bands hold the same nodes; the work follows the square of a group, not its bytes
+    return _dealt(groups.filter(F.size("members") > 1).select("members").distinct())
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """Rows of few bytes and much work, dealt evenly over all tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -331,7 +337,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     first = buckets.groupBy("bucket").agg(F.min("node").alias("a"))
     pairs = (buckets.join(first, "bucket").filter(F.col("node") != F.col("a"))
              .select("a", F.col("node").alias("b")).distinct())
-    links = checkpointed(_confirm(pairs, sets))
+    links = checkpointed(_confirm(_dealt(pairs), sets))
     labels = components(links)
     more = checkpointed(_confirm_groups(_unresolved(buckets, labels), sets))
     labels = components(links.union(more))
