@@ -73,12 +73,13 @@ class Model:
 def discounts(n: list[int]) -> tuple[float, ...]:
     """D1, D2, D3+ from the numbers of items that occur 1, 2, 3 and 4 times.
     Where a number is 0 the estimate does not exist; the discount is then half
-    the count, and always between 0 and the count."""
+    the count. It is never above the count, and never below 0.1, so that every
+    context leaves some probability to tokens it has not seen."""
     out = []
     y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.0
     for i in (1, 2, 3):
         d = i - (i + 1) * y * n[i] / n[i - 1] if y and n[i - 1] and n[i] else i / 2
-        out.append(float(min(max(d, 0.0), i)))
+        out.append(float(min(max(d, 0.1), i)))
     return tuple(out)
 
 

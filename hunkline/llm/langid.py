@@ -39,13 +39,14 @@ UNDETERMINED = "und"
 _PIECE = 1 << 19     # characters counted at a time
 _HELD = 200_000      # distinct n-grams that a task holds for a language
 
+_BORDER = 1          # code of a word border, never that of a letter
 _LETTERS: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
-    """Code point -> lower-case code point of a letter, or 0."""
+    """Code point -> lower-case code point of a letter, or ``_BORDER``."""
     if not _LETTERS:
-        table = np.zeros(0x110000, np.uint32)
+        table = np.full(0x110000, _BORDER, np.uint32)
         for c in range(0x110000):
             if (ch := chr(c)).isalpha():
                 low = ch.lower()
@@ -55,14 +56,14 @@ def _letters() -> np.ndarray:
 
 
 def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a run of codes (0: border) and their counts."""
+    """Distinct n-grams of a run of codes and their counts."""
     c = codes.astype(np.int64)
     keep = np.ones(len(c), bool)
-    keep[1:] = (c[1:] != 0) | (c[:-1] != 0)  # one border between words
+    keep[1:] = (c[1:] != _BORDER) | (c[:-1] != _BORDER)  # one border between words
     c = c[keep]
     two = c[:-1] << 21 | c[1:]
-    three = (two[:-1] << 21 | c[2:])[c[1:-1] != 0]
-    return np.unique(np.concatenate([c[c != 0], two, three]), return_counts=True)
+    three = (two[:-1] << 21 | c[2:])[c[1:-1] != _BORDER]
+    return np.unique(np.concatenate([c[c != _BORDER], two, three]), return_counts=True)
 
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -70,9 +71,9 @@ def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     it has one, and overlaps the next by two characters if not."""
     keys, counts = [], []
     codes = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    if not codes.any():
+    if not (codes != _BORDER).any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    codes = np.concatenate(([0], codes, [0])).astype(np.uint32)
+    codes = np.concatenate(([_BORDER], codes, [_BORDER])).astype(np.uint32)
     for at in range(0, len(codes), _PIECE):
         piece = codes[max(at - 2, 0):at + _PIECE]
         k, c = _counted(piece)
