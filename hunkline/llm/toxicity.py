@@ -10,8 +10,8 @@ vectors.
 
 Training uses a bounded sample of the labelled rows: the first ``TRAIN_ROWS``
 rows of each label in the order of a hash of the id, up to ``TRAIN_BYTES`` bytes
-of text. Their bags are computed by tasks and gathered on the driver, where both
-bounds hold. Scoring covers whole texts of all rows: since the model is linear
+of text. Tasks compute their bags and write them to the shared folder, where the
+driver maps them. Scoring covers whole texts of all rows: since the model is linear
 behind the averages, a bucket's contribution is one number, and tasks carry a
 table of ``BUCKETS`` numbers.
 
@@ -24,6 +24,8 @@ are rows like others. Columns other than id and text are never read for a score.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hunkline.llm.runtime import arrow_map, fields, remainder
+from hunkline.llm.runtime import arrow_map, fields, remainder, workdir
 from hunkline.llm.textscan import _BYTE_VALUES, ALNUM, LOWER, U64, Words, buffers, mix64, steps
 
 BUCKET_BITS = 18
@@ -135,7 +137,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
     if not 0 < toxic < 1:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((toxic + 1e-9) / (1 - toxic + 1e-9))))
     rng = np.random.default_rng(SEED)
-    texts = np.bincount(np.concatenate([r[0] for r in rows]).astype(np.int64), minlength=BUCKETS)
+    texts = np.zeros(BUCKETS, np.int32)
+    for ids, _ in rows:
+        texts[ids] += 1  # a bag's buckets are distinct
     used = texts >= MIN_TEXTS
     vectors = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     vectors[~used] = 0
@@ -144,11 +148,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
     softmax[:, 0] = -softmax[:, 1]
     bias = np.zeros(2)
     seen_v, seen_s, seen_b = np.full((BUCKETS, DIMENSIONS), DAMPING, np.float32), np.full((DIMENSIONS, 2), 1e-8), np.full(2, 1e-8)
-    rows = [(ids[k].astype(np.int64), (w[k] * SCALE).astype(np.float32)) for ids, w in rows for k in [used[ids]]]
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for i in rng.permutation(len(rows)):
             ids, w = rows[i]
+            ids, w = ids[known := used[ids]], w[known] * np.float32(SCALE)
             own = vectors[ids]
             hidden = w @ own
             z = hidden @ softmax + bias
@@ -183,23 +187,34 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         ids = part if ids is None else ids.unionByName(part)
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # at most sum(TRAIN_ROWS) ids; repeated ids of the texts count once
-    sample = (texts.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
-              .withColumn("sofar", F.sum(F.octet_length("text")).over(Window.orderBy(*order)))
-              .filter(F.col("sofar") <= TRAIN_BYTES).select("text", "label", "id"))
+    sizes = (texts.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.max(F.octet_length("text")).alias("size"))
+             .withColumn("sofar", F.sum("size").over(Window.orderBy(*order, "label")))
+             .filter(F.col("sofar") <= TRAIN_BYTES).select("id", "label"))
+    sample = (texts.join(F.broadcast(sizes), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+              .select("text", "label", F.xxhash64("id", "label").alias("place")))
+    folder = workdir(df.sparkSession, "bags")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = list(bags(batch.column(0)))
+            if not batch.num_rows:
+                continue
+            got, name = list(bags(batch.column(0))), uuid.uuid4().hex
+            for part, values in (("ids", [g[0].astype("<u4") for g in got]), ("weights", [g[1].astype("<f4") for g in got])):
+                with open(os.path.join(folder, f"{name}.{part}.npy"), "wb") as f:
+                    np.save(f, np.concatenate(values))
+            size = np.array([len(g[0]) for g in got], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(2), batch.column(1), pa.array([g[0].astype("<u4").tobytes() for g in got], pa.binary()),
-                 pa.array([g[1].astype("<f4").tobytes() for g in got], pa.binary())], names=["id", "label", "ids", "weights"])
-
-    kind = df.schema[id_col].dataType
-    rows = arrow_map(sample, task, fields(("id", kind), ("label", T.IntegerType()), ("ids", T.BinaryType()),
-                                          ("weights", T.BinaryType()))).toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["id"], r["label"]))
-    return fit([(np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["weights"], "<f4")) for r in rows],
-               np.array([r["label"] for r in rows], np.int64))
+                [batch.column(2), batch.column(1), pa.array([name] * len(got), pa.string()),
+                 pa.array(np.cumsum(size) - size), pa.array(size)], names=["place", "label", "file", "start", "size"])
+
+    found = arrow_map(sample, task, fields(("place", T.LongType()), ("label", T.IntegerType()), ("file", T.StringType()),
+                                           ("start", T.LongType()), ("size", T.LongType()))).collect()
+    found.sort(key=lambda r: (r.place, r.label))
+    files: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for name in {r.file for r in found}:  # mapped, not read: the bags stay out of the driver's memory
+        files[name] = tuple(np.load(os.path.join(folder, f"{name}.{part}.npy"), mmap_mode="r") for part in ("ids", "weights"))
+    rows = [(files[r.file][0][r.start:r.start + r.size], files[r.file][1][r.start:r.start + r.size]) for r in found]
+    return fit(rows, np.array([r.label for r in found], np.int64))
 
 
 def with_score(df: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
