@@ -38,9 +38,9 @@ from hunkline.llm.runtime import arrow_map, fields
 
 OPEN = -1                   # key of a state's hypotheses
 NEVER = 1 << 62             # a rank after all ranks
-STATE_LIMIT = 250_000       # determinised states kept
-PAIR_LIMIT = 500_000        # pair checks kept
-PIECE_LIMIT = 350_000       # encoded pieces kept, in each of two generations
+STATE_LIMIT = 130_000       # determinised states kept
+PAIR_LIMIT = 300_000        # pair checks kept
+PIECE_LIMIT = 220_000       # encoded pieces kept, in each of two generations
 BLOCK = 50_000              # pieces or ids handled at a time
 
 
