@@ -59,7 +59,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as tokens, with digests of the ids and of the decoded text."""
-    return bpe.encode(docs, *tokenizer(), with_ids=True)
+    # Python workers outlive a stage: small tables leave the next ones room
+    return bpe.encode(docs, *tokenizer(), with_ids=True, tables=0.3)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

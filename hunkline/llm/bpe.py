@@ -41,6 +41,7 @@ NEVER = 1 << 62             # a rank after all ranks
 STATE_LIMIT = 130_000       # determinised states kept
 PAIR_LIMIT = 300_000        # pair checks kept
 PIECE_LIMIT = 220_000       # encoded pieces kept, in each of two generations
+ROWS = 500                  # rows of an output batch
 BLOCK = 50_000              # pieces or ids handled at a time
 
 
@@ -58,8 +59,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     ROOT = 0
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], tables: float = 1.0) -> None:
+        self.ranks, self.tables = ranks, tables
         self.tokens = {r: t for t, r in ranks.items()}
         self.child: dict[int, int] = {}  # node * 256 + byte -> node
         self.token_at = [-1]             # by node
@@ -140,7 +141,7 @@ class Transducer:
         key = before << 32 | token
         ok = self.apart.get(key)
         if ok is None:
-            if len(self.apart) >= PAIR_LIMIT:
+            if len(self.apart) >= PAIR_LIMIT * self.tables:
                 self.apart.clear()
             ok = self.apart[key] = self._history(token) is not None and (before < 0 or self._apart(before, token))
         return ok
@@ -177,7 +178,7 @@ class Transducer:
         """Ids of one match of the splitting pattern."""
         if piece in self.ranks:  # a vocabulary entry stands for itself
             return [self.ranks[piece]]
-        if len(self.states) > STATE_LIMIT:
+        if len(self.states) > STATE_LIMIT * self.tables:
             self._reset()
         ids: list[int] = []
         state = self.start
@@ -232,12 +233,13 @@ class Utf8Stream:
 
 
 class Codec:
-    """Encoder and decoder for one rank file and splitting pattern."""
+    """Encoder and decoder for one rank file and splitting pattern; ``tables``
+    scales the bounds of the tables that it keeps, never the result."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, tables: float = 1.0) -> None:
         import regex
 
-        self.machine = Transducer(read_ranks(path))
+        self.machine = Transducer(read_ranks(path), tables)
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -248,7 +250,7 @@ class Codec:
         if raw is None:
             raw = np.array(self.machine.encode(piece.encode()), "<u4").tobytes()
         if len(piece) <= 64:
-            if len(self.known) >= PIECE_LIMIT:
+            if len(self.known) >= PIECE_LIMIT * self.machine.tables:
                 # pieces met again since then move on to the new generation
                 self.older, self.known = self.known, {}
             self.known[piece] = raw
@@ -273,20 +275,21 @@ class Codec:
         yield stream.end()
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple[str, str, float], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+def codec(path: str, pattern: str, tables: float = 1.0) -> Codec:
+    if (path, pattern, tables) not in _CODECS:
+        _CODECS[path, pattern, tables] = Codec(path, pattern, tables)
+    return _CODECS[path, pattern, tables]
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text",
-           with_ids: bool = False) -> DataFrame:
+           with_ids: bool = False, tables: float = 1.0) -> DataFrame:
     """One row per row of ``df``: id, n_tokens, ids_sha256 (of the ids as
     little-endian unsigned 32-bit integers), decoded_sha256 (of the text that the
-    ids decode to), and the ids themselves if asked for."""
+    ids decode to), and the ids themselves if asked for. ``tables`` below 1 trades
+    time for memory of the tasks."""
     rows = df.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(id_col).alias("id"))
     schema = fields((id_col, df.schema[id_col].dataType), ("n_tokens", T.LongType()),
                     ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()),
@@ -295,8 +298,8 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hunkline.llm import bpe
 
-        c = bpe.codec(path, pattern)
-        for batch in batches:
+        c = bpe.codec(path, pattern, tables)
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             counts, ids_hash, text_hash, blocks = [], [], [], []
             for value in batch.column(0):
                 n, left, right, stream, own = 0, hashlib.sha256(), hashlib.sha256(), Utf8Stream("strict"), []
