@@ -113,35 +113,45 @@ def _route_by_file(df: DataFrame, diff_col: str, keys: list[str], lines_per_file
     """Large-by-tokens diffs, summarised file by file: sections are exploded
     in the task that holds the row, then spread over tasks by
     ``(changeset_id, file_pos)``; statistics and blocks come back through a
-    partial aggregation keyed by the change-set. The raw text is never
-    needed again (a large diff's content is its summary)."""
+    partial aggregation keyed by the row's other columns and its diff's hash.
+    Equal rows meet in one group: their number is the count of any one file
+    position, by which the totals are divided and the result repeated, so the
+    answer is that of the row-local route for any input (no row id is needed,
+    which a retried task might number anew). The raw text is never needed
+    again (a large diff's content is its summary)."""
     from hunkline.operators.parse import _stage_file, _stage_section
 
-    secs = (df.select(*keys, estimate_tokens(diff_col).alias("diff_tokens"),
+    secs = (df.select(*keys, estimate_tokens(diff_col).alias("diff_tokens"), F.sha2(diff_col, 256).alias("_sha"),
                       F.posexplode_outer(sections(diff_col)).alias("file_pos", "section"))
               .repartition(*keys[:1], "file_pos"))
-    f = secs.select(*keys, "diff_tokens", "file_pos",
+    f = secs.select(*keys, "diff_tokens", "_sha", "file_pos",
                     _stage_section(F.col("section"), F.col("file_pos")).alias("h"))
     kept = F.coalesce(F.length(F.col("h.path")) > 0, F.lit(False))
-    g = f.select(*keys, "diff_tokens", "file_pos", kept.alias("kept"),
+    g = f.select(*keys, "diff_tokens", "_sha", "file_pos", kept.alias("kept"),
                  _stage_file(F.col("h"), F.lit(0), with_changes=True).alias("g"))
     fs = F.struct(*[g_field.alias(n) for n, g_field in (
         ("path", F.col("g.path")), ("old_path", F.col("g.old_path")), ("is_binary", F.col("g.is_binary")),
         ("is_new", F.col("g.is_new")), ("is_deleted", F.col("g.is_deleted")),
         ("is_renamed", F.col("g.is_renamed")), ("additions", F.col("g.additions")),
         ("deletions", F.col("g.deletions")), ("m", meaningful(F.col("g.changes"))))])
-    blocks = g.select(*keys, "diff_tokens", "file_pos", "kept", F.col("g.additions").alias("a"),
+    blocks = g.select(*keys, "diff_tokens", "_sha", "file_pos", "kept", F.col("g.additions").alias("a"),
                       F.col("g.deletions").alias("d"),
                       F.when(F.col("kept"), F.struct(F.col("file_pos").alias("k"),
                                                      file_block(fs, lines_per_file).alias("b"))).alias("kb"))
-    agg = (blocks.groupBy(*keys, "diff_tokens")
-                 .agg(F.count_if(F.col("kept")).cast("bigint").alias("total_files"),
-                      F.coalesce(F.sum(F.when(F.col("kept"), F.col("a"))), F.lit(0)).cast("bigint")
-                       .alias("total_additions"),
-                      F.coalesce(F.sum(F.when(F.col("kept"), F.col("d"))), F.lit(0)).cast("bigint")
-                       .alias("total_deletions"),
-                      F.array_join(F.transform(F.sort_array(F.collect_list("kb")), lambda x: x["b"]), "")
-                       .alias("_blocks")))
+    copies = F.count_if(F.coalesce(F.col("file_pos"), F.lit(0)) == 0)
+
+    def each(total: Column) -> Column:
+        return (F.coalesce(total, F.lit(0)) / copies).cast("bigint")
+
+    agg = (blocks.groupBy(*keys, "diff_tokens", "_sha")
+                 .agg(each(F.count_if(F.col("kept"))).alias("total_files"),
+                      each(F.sum(F.when(F.col("kept"), F.col("a")))).alias("total_additions"),
+                      each(F.sum(F.when(F.col("kept"), F.col("d")))).alias("total_deletions"),
+                      # one block per file position: the one output string of a change-set is
+                      # the one thing that has to come together
+                      F.array_join(F.transform(F.sort_array(F.collect_set("kb")), lambda x: x["b"]), "")
+                       .alias("_blocks"), copies.cast("int").alias("_copies"))
+                 .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))
     out = (agg.withColumn("total_changes", F.col("total_additions") + F.col("total_deletions"))
               .withColumn("was_compacted", F.lit(True)))
     head = F.concat(F.lit(SUMMARY_HEAD + STATS_LABEL),
@@ -163,9 +173,9 @@ def process_diffs(df: DataFrame, diff_col: str = "diff", lines_per_file: int = R
     Output: the input's columns except ``diff_col``, the statistics,
     ``diff_tokens``, ``was_compacted`` and ``content``.
 
-    Row-local for almost every row: statistics come from regex counts, and
-    line arrays and the summary are built only inside the ``CASE`` branch of
-    large rows. A diff above ``split_over_bytes`` that is large by tokens
+    Row-local for almost every row: statistics come from the split lines, and
+    changes and the summary are built only inside the ``CASE`` branch of large
+    rows. A diff above ``split_over_bytes`` that is large by tokens
     (so its content is the summary whatever its files say) takes the
     file-by-file route instead, so one enormous change-set is spread over
     many tasks. ``split_over_bytes=None`` disables that route.

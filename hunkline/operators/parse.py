@@ -66,8 +66,8 @@ def change_text(line: Column) -> Column:
 
 
 def sections(diff) -> Column:
-    """B1: file sections of a diff, empty pieces removed."""
-    return F.filter(F.split(_c(diff), SECTION_SPLIT, -1), lambda s: F.length(s) > 0)
+    """B1: file sections of a diff, empty pieces removed (a missing diff is empty)."""
+    return F.filter(F.split(F.coalesce(_c(diff), F.lit("")), SECTION_SPLIT, -1), lambda s: F.length(s) > 0)
 
 
 def section_lines(section: Column) -> Column:
@@ -160,9 +160,8 @@ def parse_files_col(diff, with_changes: bool = True) -> Column:
     """B1-B10 as one expression: ``ARRAY<STRUCT<file_no, file_pos, path, ...>>``.
 
     ``file_pos`` is the 0-based section index; ``file_no`` is the 1-based rank
-    among kept files (header matched, non-empty path). Flags and counts are
-    native regex scans of the section text; only ``changes`` (optional)
-    splits lines into an array.
+    among kept files (header matched, non-empty path). A section's hunk lines
+    are split once, for the counts and for ``changes`` (optional).
     """
     secs = F.filter(F.transform(sections(diff), _stage_section), lambda f: F.length(f["path"]) > 0)
     return F.transform(secs, lambda f, i: _stage_file(f, i, with_changes))

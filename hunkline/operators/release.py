@@ -44,17 +44,14 @@ def subject_line(message) -> Column:
 
 def parse_subject(df: DataFrame, message: str = "message") -> DataFrame:
     """``<type>[optional scope][!]: <description>`` on the first line."""
-    s = subject_line(message)
-    hit = s.rlike(SUBJECT)
-
-    def g(i: int) -> Column:
-        return F.when(hit, F.regexp_extract(s, SUBJECT, i))
-
-    return (df.withColumn("subject", s)
-              .withColumn("commit_type", g(1))
-              .withColumn("scope", F.when(hit, F.nullif(F.regexp_extract(s, SUBJECT, 2), F.lit(""))))
-              .withColumn("breaking", F.when(hit, F.regexp_extract(s, SUBJECT, 3) == "!"))
-              .withColumn("description", g(4)))
+    # the pattern runs once: its groups come back as lines, which a first line cannot hold
+    groups = F.when(F.col("subject").rlike(SUBJECT),
+                    F.split(F.regexp_replace("subject", SUBJECT, "$1\n$2\n$3\n$4"), "\n", 4))
+    cols = [c for c in df.columns if c != "subject"]
+    staged = (df.withColumn("subject", subject_line(message)).withColumn("_groups", groups))
+    g = [F.get("_groups", i) for i in range(4)]
+    return staged.select(*cols, "subject", g[0].alias("commit_type"), F.nullif(g[1], F.lit("")).alias("scope"),
+                         (g[2] == "!").alias("breaking"), g[3].alias("description"))
 
 
 def conformance(df: DataFrame, message: str = "message") -> DataFrame:

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hunkline.operators.lookup import lookup
 from hunkline.functions import js_or, js_trim, strip_one_quote
 
 # Error markers and statuses of the reference, in its precedence order.
@@ -28,33 +29,28 @@ OTHER = "other"
 RETRY_CLASS = "model_not_found"
 # ``String(error)`` of an Error whose message is empty
 ERROR_STRING = "Error"
-DEFAULT_DETAILS = {"en": "Check the model configuration and parameters.",
-                   "es": "Revisa la configuración del modelo y sus parámetros."}
+DEFAULT_DETAILS = {"en": "One of the request's settings was not accepted.",
+                   "es": "Algún ajuste de la petición no fue aceptado."}
 
 # User texts per class and language (our own wording).
 ERROR_TEXT = {
     "en": {
-        "invalid_key": "Invalid API key: {msg}\n\nCheck the key in your provider console.",
-        "permission_denied": "Permission denied: {msg}\n\nCheck that this key may use the model {model}.",
-        "rate_limited": ("Rate limit reached: {msg}\n\nThis can be a per-minute request limit, "
-                         "a per-minute token limit or a daily limit."),
-        "model_not_found": ("Model not found: \"{model}\"\n\nAn alternative model was tried and "
-                            "also failed.\n\nChoose an available model."),
-        "invalid_argument": "Invalid argument: {msg}\n\n{details}",
-        "connection": "Connection error: {msg}\n\nCheck your network connection.",
-        "other": "Could not generate the commit message:\n\nMessage: {msg}\n{status_line}{details_line}",
+        "invalid_key": "The service does not accept the key of this workspace ({msg}). Enter another one.",
+        "permission_denied": "The key of this workspace may not call {model} ({msg}).",
+        "rate_limited": "Too much was asked of the service for now ({msg}). Wait a while, or use another key.",
+        "model_not_found": "Neither {model} nor its replacement answered. Pick a model from the catalogue.",
+        "invalid_argument": "The service refused the request ({msg}). {details}",
+        "connection": "Connection error: the service could not be reached ({msg}).",
+        "other": "The service answered with an error.\nMessage: {msg}\n{status_line}{details_line}",
     },
     "es": {
-        "invalid_key": "Clave de API no válida: {msg}\n\nRevisa la clave en la consola del proveedor.",
-        "permission_denied": ("Permiso denegado: {msg}\n\nComprueba que la clave puede usar el "
-                              "modelo {model}."),
-        "rate_limited": ("Límite alcanzado: {msg}\n\nPuede ser el límite de peticiones por minuto, "
-                         "de tokens por minuto o el diario."),
-        "model_not_found": ("Modelo no encontrado: \"{model}\"\n\nSe probó un modelo alternativo y "
-                            "también falló.\n\nElige un modelo disponible."),
-        "invalid_argument": "Argumento no válido: {msg}\n\n{details}",
-        "connection": "Error de conexión: {msg}\n\nRevisa tu conexión de red.",
-        "other": "No se pudo generar el mensaje:\n\nMensaje: {msg}\n{status_line}{details_line}",
+        "invalid_key": "El servicio no acepta la clave de este espacio ({msg}). Introduce otra.",
+        "permission_denied": "La clave de este espacio no puede llamar a {model} ({msg}).",
+        "rate_limited": "Por ahora se ha pedido demasiado al servicio ({msg}). Espera un rato o usa otra clave.",
+        "model_not_found": "No respondieron ni {model} ni su sustituto. Elige un modelo del catálogo.",
+        "invalid_argument": "El servicio rechazó la petición ({msg}). {details}",
+        "connection": "Error de conexión: no se pudo llegar al servicio ({msg}).",
+        "other": "El servicio respondió con un error.\nMensaje: {msg}\n{status_line}{details_line}",
     },
 }
 STATUS_LINE = {"en": "Status: {status}\n", "es": "Estado: {status}\n"}
@@ -154,8 +150,8 @@ def classify_errors(df: DataFrame) -> DataFrame:
 def with_retry_model(errors: DataFrame, best: DataFrame, key: str = "catalog_id") -> DataFrame:
     """A ``model_not_found`` request is retried once with its catalogue's
     best model and the same prompt (``retry_model`` is NULL for other classes).
-    One join on the catalogue key; ``best`` has one row per catalogue."""
-    j = errors.join(best.select(key, "best_model"), key, "left")
+    ``best`` has one row per catalogue."""
+    j = lookup(errors, best.select(key, "best_model"), key)
     return j.withColumn("retry_model", F.when(F.col("retry"), F.coalesce(
         F.col("best_model"), F.lit("gemini-flash-latest")))).drop("best_model")
 
@@ -166,7 +162,7 @@ def retry_plan(errors: DataFrame, best: DataFrame, key: str = "catalog_id") -> D
             .select("request_id", F.col("model").alias("failed_model"), "retry_model"))
 
 
-FAILED_TEXT = "Failed to generate commit message"
+FAILED_TEXT = "The model returned no message"
 
 
 def final_outcomes(answers: DataFrame, errors: DataFrame) -> DataFrame:

@@ -294,10 +294,21 @@ ans2 AS (SELECT 1)""", """a1 AS (
 ans AS (SELECT *, length(message) > 0 AS has_message FROM a1)""")
 
 
+# The oracle's own statement of the rules, in order: class, message parts, statuses.
+CLASSES = (
+    ("invalid_key", ["API_KEY_INVALID"], [400]),
+    ("permission_denied", ["PERMISSION_DENIED"], [403]),
+    ("rate_limited", ["RESOURCE_EXHAUSTED", "quota"], [429]),
+    ("model_not_found", ["MODEL_NOT_FOUND"], [404]),
+    ("invalid_argument", ["INVALID_ARGUMENT"], [400]),
+    ("connection", ["fetch", "network", "ECONNREFUSED"], []),
+)
+OTHER = "other"
+
+
 def _error_classes_sql() -> str:
-    from hunkline.operators.respond import ERROR_RULES, OTHER
     whens = []
-    for name, markers, statuses in ERROR_RULES:
+    for name, markers, statuses in CLASSES:
         conds = [f"contains(error_text, {lit(m)})" for m in markers] + [
             f"coalesce(error_status = {st}, false)" for st in statuses]
         whens.append(f"WHEN {' OR '.join(conds)} THEN {lit(name)}")
@@ -308,10 +319,10 @@ def _user_text_sql() -> str:
     from hunkline.operators import respond as R
     whens = []
     for lang in ("es", "en"):
-        for name in [r[0] for r in R.ERROR_RULES] + [R.OTHER]:
+        for name in [r[0] for r in CLASSES] + [OTHER]:
             cond = f"error_class = {lit(name)}" + (" AND language = 'es'" if lang == "es" else "")
             tpl = R.ERROR_TEXT[lang][name]
-            if name == R.OTHER:
+            if name == OTHER:
                 status_line = (f"CASE WHEN coalesce(error_status, 0) <> 0 THEN "
                                f"{fill(R.STATUS_LINE[lang], status='error_status')} ELSE '' END")
                 details_line = (f"CASE WHEN length(coalesce(error_details, '')) > 0 THEN "
@@ -383,7 +394,9 @@ def with_settings(select: str) -> str:
     return "WITH " + SETTINGS_CTE.strip() + "\n" + select
 
 
-from hunkline.operators.release import COMMIT_TYPES, SUBJECT as SUBJECT_RE  # noqa: E402
+# The oracle's own statement of the subject rules.
+COMMIT_TYPES = ("feat", "fix", "docs", "style", "refactor", "perf", "test", "chore", "build", "ci", "revert")
+SUBJECT_RE = r"^(\w+)(?:\(([^)]*)\))?(!)?: (.+)$"
 
 ERRORS_CTE = _errors_cte()
 
@@ -397,7 +410,7 @@ fo AS (
   SELECT request_id, CASE WHEN has_message THEN 'message' ELSE 'error' END AS outcome,
          CASE WHEN NOT has_message THEN 'empty_response' END AS error_class,
          CASE WHEN has_message THEN model END AS model_used,
-         CASE WHEN has_message THEN message ELSE 'Failed to generate commit message' END AS final_text
+         CASE WHEN has_message THEN message ELSE 'The model returned no message' END AS final_text
   FROM ans
   UNION ALL
   SELECT request_id, CASE WHEN ok THEN 'message' ELSE 'error' END AS outcome,
@@ -646,15 +659,15 @@ FROM css"""),
     "dedupe_requests": with_docs("""
 , rq AS (
   SELECT 'e' || CAST(event_id AS VARCHAR) AS request_id, event_id, ts,
-         ['en', 'de', 'fr', 'es'][user_id % 4 + 1] || '/src' || CAST(user_id % 20 AS VARCHAR) || '#0'
-           AS changeset_id
-  FROM events),
+         lang || '/' || source || '#' || CAST(doc_id // 1000 AS VARCHAR) AS changeset_id
+  FROM events LEFT JOIN documents ON doc_id = event_id // 9),
 rk AS (
   SELECT rq.*, cs.repo, sha256(cs.diff) AS diff_sha FROM rq LEFT JOIN cs USING (changeset_id))
 SELECT repo, diff_sha, strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
        first(request_id ORDER BY ts, request_id) AS kept_request, count(*) AS n_requests,
        count(*) - 1 AS n_suppressed
-FROM rk GROUP BY repo, diff_sha, time_bucket(INTERVAL '10 minutes', ts)"""),
+FROM rk GROUP BY repo, diff_sha, CASE WHEN repo IS NULL OR diff_sha IS NULL THEN request_id END,
+  time_bucket(INTERVAL '10 minutes', ts)"""),
     "scan_diff_files": with_docs(f"""
 SELECT changeset_id, total_files, total_additions, total_deletions,
        CAST({utf16_len('diff')} + 1 AS BIGINT) AS diff_units

@@ -34,6 +34,7 @@ from hunkline.operators.respond import (
 )
 from hunkline.operators.prompt import prompt_col, resolve_settings, token_gate
 from hunkline.sources.fixtures import (
+    DOC_BLOCK,
     CATALOG_EXCLUDE, CATALOG_INCLUDE, answers_table, catalog_current, errors_table, catalog_priority, doc_changesets, doc_repos,
     model_catalog, model_responses, order_changesets, part_changesets, releases_table, repos_table, requests_table, settings_table,
     workspaces_table,
@@ -455,13 +456,15 @@ def q_stream_process(spark, sf_dir):
 
 
 def _requests(spark, sf_dir):
-    """Requests from events: each asks for a documents change-set chosen by user."""
+    """Requests from events: each asks for the change-set of one document, so all
+    change-sets are asked for; the last events ask for unknown ones."""
     e = table(spark, sf_dir, "events")
-    langs = F.array(F.lit("en"), F.lit("de"), F.lit("fr"), F.lit("es"))
-    cs_id = F.concat(F.element_at(langs, (F.col("user_id") % 4 + 1).cast("int")), F.lit("/src"),
-                     (F.col("user_id") % 20).cast("string"), F.lit("#0"))
-    req = e.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("request_id"),
-                   "ts", cs_id.alias("changeset_id"))
+    of_doc = table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat("lang", F.lit("/"), "source", F.lit("#"),
+                           F.floor(F.col("doc_id") / DOC_BLOCK).cast("string")).alias("changeset_id"))
+    req = (e.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("request_id"), "ts",
+                    F.floor(F.col("event_id") / 9).alias("doc_id"))
+            .join(of_doc, "doc_id", "left").select("request_id", "ts", "changeset_id"))
     return request_keys(req, _docs(spark, sf_dir))
 
 
@@ -471,22 +474,11 @@ def q_dedupe_requests(spark, sf_dir):
     return dedupe_requests(_requests(spark, sf_dir))
 
 
-_DIFF_FILES: dict[tuple, str] = {}
-
-
 def _diff_files(spark, sf_dir):
-    """The documents corpus written once as diff files (one folder per
-    change-set) under the shared checkpoint folder; reused by both scans."""
-    import os
-
-    src = os.path.join(sf_dir, "documents.parquet")
-    st = os.stat(src)
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), st.st_size, st.st_mtime)
-    if key not in _DIFF_FILES:
-        path = scratch_path(spark, "diff_files")
-        write_diff_files(_docs(spark, sf_dir), path)
-        _DIFF_FILES[key] = path
-    return _DIFF_FILES[key]
+    """The documents corpus written as diff files under the shared folder."""
+    path = scratch_path(spark, "diff_files")
+    write_diff_files(_docs(spark, sf_dir), path)
+    return path
 
 
 @query("scan_diff_files")

@@ -33,7 +33,7 @@ DEFAULT_CONF = {
 
 LOCAL_CONF = {
     # local mode runs everything in the driver JVM
-    "spark.driver.memory": "16g",
+    "spark.driver.memory": "8g",
     # with no remote executors, a distributed file-listing job is pure overhead
     # (clusters keep the default and list large folders in parallel)
     "spark.sql.sources.parallelPartitionDiscovery.threshold": "100000",

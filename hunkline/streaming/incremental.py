@@ -76,10 +76,12 @@ def request_keys(requests: DataFrame, changesets: DataFrame) -> DataFrame:
 
 def dedupe_requests(requests: DataFrame, window: str = "10 minutes") -> DataFrame:
     """K2 (batch and streaming): one kept request per ``(repo, diff_sha)`` and
-    tumbling ``window`` of ``ts``; later ones in the window are suppressed."""
+    tumbling ``window`` of ``ts``; later ones in the window are suppressed. A
+    request without repository or content is like no other request."""
     w = F.window("ts", window)
+    unknown = F.when(F.col("repo").isNull() | F.col("diff_sha").isNull(), F.col("request_id"))
     return (requests.withWatermark("ts", window)
-                    .groupBy("repo", "diff_sha", w.alias("w"))
+                    .groupBy("repo", "diff_sha", unknown.alias("unknown"), w.alias("w"))
                     .agg(F.min_by("request_id", F.struct("ts", "request_id")).alias("kept_request"),
                          F.count(F.lit(1)).alias("n_requests"))
                     .select("repo", "diff_sha",
@@ -90,9 +92,11 @@ def dedupe_requests(requests: DataFrame, window: str = "10 minutes") -> DataFram
 
 def suppress_repeats_stream(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """K2 streaming form: drop a request whose ``(repo, diff_sha)`` was seen
-    within ``delay`` (state expires with the watermark)."""
-    return (requests.withWatermark("ts", delay)
-                    .dropDuplicatesWithinWatermark(["repo", "diff_sha"]))
+    within ``delay`` (state expires with the watermark). A request without
+    repository or content is never a repeat."""
+    unknown = F.when(F.col("repo").isNull() | F.col("diff_sha").isNull(), F.col("request_id"))
+    return (requests.withColumn("_unknown", unknown).withWatermark("ts", delay)
+                    .dropDuplicatesWithinWatermark(["repo", "diff_sha", "_unknown"]).drop("_unknown"))
 
 
 def staged_copy(df: DataFrame, spark: SparkSession, name: str) -> str:

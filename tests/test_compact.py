@@ -95,6 +95,17 @@ def test_file_by_file_route_agrees(spark):
     assert by_id["nofiles"].total_files == 0 and by_id["nofiles"].was_compacted
 
 
+def test_routes_agree_on_equal_rows_and_null_ids(spark):
+    big = D.hundred_files()
+    rows = [("r", "a", big), ("r", "a", big), ("r", "a", big + D.TWO_FILES), (None, None, big), (None, None, big),
+            ("r", "x", "x" * 40000), ("r", "x", "x" * 40000), ("r", "s", D.TWO_FILES), ("r", "n", None), ("r", "n", None)]
+    df = spark.createDataFrame(rows, "repo STRING, changeset_id STRING, diff STRING")
+    want = sorted(map(repr, process_diffs(df, split_over_bytes=None).collect()))
+    assert len(want) == len(rows)
+    for over in (0, 100, None):
+        assert sorted(map(repr, process_diffs(df, split_over_bytes=over).collect())) == want
+
+
 def test_null_diff_is_kept_as_empty(spark):
     df = spark.createDataFrame([("r", "n", None), ("r", "s", D.NEW_FILE)],
                                "repo STRING, changeset_id STRING, diff STRING")

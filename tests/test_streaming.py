@@ -35,6 +35,12 @@ def test_dedupe_window(spark):
                    ("s2", "2024-01-01 00:00:00"): ("r4", 0)}
 
 
+def test_unknown_requests_suppress_nothing(spark):
+    df = spark.createDataFrame([("r1", None, None), ("r2", None, None), ("r3", "a", None), ("r4", "a", "s"), ("r5", "a", "s")],
+                               "request_id STRING, repo STRING, diff_sha STRING").selectExpr("*", "timestamp'2024-01-01 00:00:00' AS ts")
+    assert sorted(r.kept_request for r in dedupe_requests(df).collect()) == ["r1", "r2", "r3", "r4"]
+
+
 def test_suppress_repeats_streaming(spark):
     t0 = dt.datetime(2024, 1, 1, 0, 0, 0)
     rows = [("r1", t0, "a", "s1"), ("r2", t0 + dt.timedelta(minutes=3), "a", "s1"),
