@@ -50,7 +50,7 @@ RATE = 0.05
 SCALE = 50.0                # constant factor on a text's mean vector
 DAMPING = 1e-2              # first value of the vectors' Adagrad sums
 SEED = 7
-_STEP_BYTES = 1 << 20
+_STEP_BYTES = 1 << 18
 
 
 def _grams(data: np.ndarray, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -195,9 +195,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     folder = workdir(df.sparkSession, "bags")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(at, 200) for whole in batches for at in range(0, whole.num_rows, 200)):
             got, name = list(bags(batch.column(0))), uuid.uuid4().hex
             for part, values in (("ids", [g[0].astype("<u4") for g in got]), ("weights", [g[1].astype("<f4") for g in got])):
                 with open(os.path.join(folder, f"{name}.{part}.npy"), "wb") as f:
