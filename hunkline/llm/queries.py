@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hunkline.llm import annsearch, bpe, decontaminate, kneserney, langid, linededup, minhash, pages, toxicity
+from hunkline.llm import annsearch, bpe, decontaminate, kneserney, langid, linededup, minhash, pages, quality, toxicity
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -52,6 +52,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.learn_and_score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -66,7 +70,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_langid, op2_line_dedup, op3_minhash, op4_kneser_ney, op5_page_text, op6_bpe,
-                            op8_toxicity, op9_nearest, op10_decontaminate)}
+                            op7_quality, op8_toxicity, op9_nearest, op10_decontaminate)}
 
 _OP2 = """
 WITH l AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents),
