@@ -34,23 +34,28 @@ RATE = 0.5
 GOOD, BAD, ABSTAIN = 1, 0, 2
 
 
-def votes(text: Column) -> list[Column]:
-    """The labellers' votes; each looks at another trait, and abstains in between."""
+def with_votes(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with the column ``votes``: one per labeller, each of which looks at
+    another trait and abstains in between. Words and shares are columns of their
+    own, so that each is computed once a text."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    n = F.size(words)
     size = F.greatest(F.length(text), F.lit(1))
     share = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))) / size
-
-    def between(value: Column, good: Column, bad: Column) -> Column:
+    traits = df.select("*", words.alias("_words"), share(r"[^\p{L}\p{N}\s.,]+").alias("_symbols"),
+                       share(r"\p{Lu}+").alias("_upper"), share(r"\p{N}+").alias("_digits"))
+    some = F.greatest(F.col("_n"), F.lit(1))
+    traits = traits.select("*", F.size("_words").alias("_n"), F.size(F.array_distinct("_words")).alias("_different"),
+                           F.length(F.array_join("_words", "")).alias("_inked")).drop("_words")
+    traits = traits.select("*", (F.col("_different") / some).alias("_distinct"), (F.col("_inked") / some).alias("_mean"))
+    n, symbols, upper, digits, distinct, mean = (F.col(c) for c in ("_n", "_symbols", "_upper", "_digits", "_distinct", "_mean"))
+
+    def between(good: Column, bad: Column) -> Column:
         return F.when(n == 0, ABSTAIN).when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN)
 
-    distinct = F.size(F.array_distinct(words)) / F.greatest(n, F.lit(1))
-    symbols, upper, digits = share(r"[\p{L}\p{N}\s.,]"), share(r"\p{Lu}"), share(r"\p{N}")
-    mean = F.length(F.regexp_replace(text, r"\s+", "")) / F.greatest(n, F.lit(1))
-    symbols = 1 - symbols
-    return [between(symbols, symbols < 0.01, symbols > 0.05), between(upper, upper < 0.1, upper > 0.3),
-            between(digits, digits < 0.05, digits > 0.15), between(distinct, distinct > 0.4, distinct < 0.2),
-            between(mean, (mean > 3) & (mean < 9), (mean < 2) | (mean > 15)), between(n, n >= 30, n < 5)]
+    votes = [between(symbols < 0.01, symbols > 0.05), between(upper < 0.1, upper > 0.3),
+             between(digits < 0.05, digits > 0.15), between(distinct > 0.4, distinct < 0.2),
+             between((mean > 3) & (mean < 9), (mean < 2) | (mean > 15)), between(n >= 30, n < 5)]
+    return traits.select(*df.columns, F.array(*votes).alias("votes"))
 
 
 def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
@@ -99,14 +104,21 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray) -> tuple[
 def score(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: id, score (0 to 1, higher: better), predicted."""
     rows = df.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(id_col).alias("id"))
-    voted = rows.select("text", "id", F.array(*votes(F.col("text"))).alias("votes"))
-    found = voted.groupBy("votes").count().collect()
+    found = with_votes(rows).groupBy("votes").count().collect()
     patterns = np.array([r.votes for r in found], np.int64).reshape(-1, 6)
     posterior, _ = em(patterns, np.array([r["count"] for r in found], float))
     label = {tuple(r.votes): float(p) for r, p in zip(found, posterior)}
-    order = (F.xxhash64("text", F.col("id").cast("string")), F.col("id"))
-    first = voted.withColumn("size", F.octet_length("text")).orderBy(*order).limit(TRAIN_ROWS)
-    sample = first.withColumn("sofar", F.sum("size").over(Window.orderBy(*order))).filter(F.col("sofar") <= TRAIN_BYTES).select("text", "votes").toArrow()
+    # keys choose the sample, so that only the sample's texts are moved
+    keyed = rows.select("text", "id", F.xxhash64("text", F.col("id").cast("string")).alias("place"),
+                        F.octet_length("text").alias("size"))
+
+    def first(df: DataFrame) -> DataFrame:
+        chosen = df.orderBy("place", "id").limit(TRAIN_ROWS)
+        return (chosen.withColumn("sofar", F.sum("size").over(Window.orderBy("place", "id").rowsBetween(Window.unboundedPreceding, 0)))
+                .filter(F.col("sofar") <= TRAIN_BYTES).drop("sofar"))
+
+    last = first(keyed.select("place", "id", "size")).agg(F.max("place")).first()[0]
+    sample = with_votes(first(keyed.filter(F.col("place") <= F.lit(last)))).orderBy("place", "id").select("text", "votes").toArrow()
     column = sample.column("text").combine_chunks() if sample.num_rows else pa.array([], pa.string())
     weights, bias = fit(list(trigrams(column)), np.array([label[tuple(v)] for v in sample.column("votes").to_pylist()]))
     schema = fields((id_col, df.schema[id_col].dataType), ("score", T.DoubleType()), ("predicted", T.IntegerType()))
