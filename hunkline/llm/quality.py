@@ -4,11 +4,18 @@ Heuristic labellers vote good (1), bad (0) or abstain (2) on every text.
 Expectation-maximisation over the counts of all vote patterns (at most
 3 ** 6 rows, counted by Spark over all documents) estimates each labeller's
 accuracies and each pattern's probability of being good. These posterior labels
-train a linear scorer over hashed byte trigrams of a bounded sample (the first
+train a linear scorer over hashed features of a bounded sample (the first
 ``TRAIN_ROWS`` texts in the order of a hash of text and id, up to ``TRAIN_BYTES``
-bytes), and the scorer scores all whole texts.
+bytes), and the scorer scores all whole texts. Features are byte trigrams, and how
+far the text repeats itself within a few bytes.
 
-Defined cases: null and empty texts have no trigram and score the bias alone.
+Bad texts are bad in different ways, so one class of them rarely fails two tests
+at once. Left alone, EM takes the kind that fails several for the only one. So a
+good text is held to fail any one test with a probability of ``FALSE_ALARM`` at most;
+a kind of bad text that fails a single test and is not far above that share may
+still pass for good.
+
+Defined cases: null and empty texts have no trigram and no echo.
 Repeated rows and null ids are rows like others. An empty table gives an empty
 result. Other columns are ignored.
 """
@@ -31,6 +38,8 @@ TRAIN_BYTES = 16 << 20
 BITS = 16
 EPOCHS = 5
 RATE = 0.5
+FALSE_ALARM = 0.01   # bound on P(vote bad | good), for each labeller
+LAGS = 24            # distances at which a text is compared with itself
 GOOD, BAD, ABSTAIN = 1, 0, 2
 
 
@@ -58,8 +67,9 @@ def with_votes(df: DataFrame, text: str = "text") -> DataFrame:
     return traits.select(*df.columns, F.array(*votes).alias("votes"))
 
 
-def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior of good for each pattern, P(vote | class) as labeller x class x vote)."""
+def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, false_alarm: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """(posterior of good for each pattern, P(vote | class) as labeller x class x vote);
+    P(vote bad | good) stays within ``false_alarm``."""
     n = patterns.shape[1]
     # to begin with: a good text fails few tests, a bad one still passes many
     table = np.tile(np.array([[0.35, 0.45, 0.2], [0.03, 0.8, 0.17]]), (n, 1, 1))
@@ -73,24 +83,35 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.
             for v in range(3):
                 table[j, :, v] = weight[:, patterns[:, j] == v].sum(axis=1) + 1
             table[j] /= table[j].sum(axis=1, keepdims=True)
+            if (high := table[j, GOOD, BAD]) > false_alarm:
+                table[j, GOOD] *= (1 - false_alarm) / (1 - high)
+                table[j, GOOD, BAD] = false_alarm
         prior = float(np.clip(weight[1].sum() / max(weight.sum(), 1), 0.01, 0.99))
     return posterior, table
 
 
-def trigrams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct buckets of each text's byte trigrams, with weights of norm 1."""
+def _echo(d: np.ndarray) -> int:
+    """Tenths of the bytes that recur at the same distance, for the best one."""
+    return max((int(10 * np.count_nonzero(d[lag:] == d[:-lag]) / len(d)) for lag in range(2, min(LAGS, len(d) - 1) + 1)), default=0)
+
+
+def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct buckets of each text's byte trigrams, with weights of norm 1, and
+    one bucket of weight 1 for its echo."""
     data, offsets = buffers(column)
     for a, b in zip(offsets[:-1], offsets[1:]):
         d = data[a:b].astype(U64)
         keys = mix64(d[:-2] << U64(16) | d[1:-1] << U64(8) | d[2:]) >> U64(64 - BITS) if len(d) > 2 else np.zeros(0, U64)
         ids, n = np.unique(keys.astype(np.int64), return_counts=True)
         w = np.sqrt(n)
-        yield ids, w / max(float(np.sqrt((w * w).sum())), 1e-9)
+        echo = (1 << BITS) + _echo(data[a:b])
+        yield np.append(ids, echo), np.append(w / max(float(np.sqrt((w * w).sum())), 1e-9), 1.0)
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression on posterior labels, text by text, with Adagrad."""
-    weights, seen, bias, rng = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2), 0.0, np.random.default_rng(3)
+    size = (1 << BITS) + 11  # trigrams and echoes
+    weights, seen, bias, rng = np.zeros(size), np.full(size, 1e-2), 0.0, np.random.default_rng(3)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
             ids, w = rows[i]
@@ -106,7 +127,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFram
     rows = df.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(id_col).alias("id"))
     found = with_votes(rows).groupBy("votes").count().collect()
     patterns = np.array([r.votes for r in found], np.int64).reshape(-1, 6)
-    posterior, _ = em(patterns, np.array([r["count"] for r in found], float))
+    posterior, _ = em(patterns, np.array([r["count"] for r in found], float), false_alarm=FALSE_ALARM)
     label = {tuple(r.votes): float(p) for r, p in zip(found, posterior)}
     # keys choose the sample, so that only the sample's texts are moved
     keyed = rows.select("text", "id", F.xxhash64("text", F.col("id").cast("string")).alias("place"),
@@ -120,12 +141,12 @@ def score(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFram
     last = first(keyed.select("place", "id", "size")).agg(F.max("place")).first()[0]
     sample = with_votes(first(keyed.filter(F.col("place") <= F.lit(last)))).orderBy("place", "id").select("text", "votes").toArrow()
     column = sample.column("text").combine_chunks() if sample.num_rows else pa.array([], pa.string())
-    weights, bias = fit(list(trigrams(column)), np.array([label[tuple(v)] for v in sample.column("votes").to_pylist()]))
+    weights, bias = fit(list(features(column)), np.array([label[tuple(v)] for v in sample.column("votes").to_pylist()]))
     schema = fields((id_col, df.schema[id_col].dataType), ("score", T.DoubleType()), ("predicted", T.IntegerType()))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            odds = np.array([weights[ids] @ w + bias for ids, w in trigrams(batch.column(0))])
+            odds = np.array([weights[ids] @ w + bias for ids, w in features(batch.column(0))])
             s = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=schema.names)
 

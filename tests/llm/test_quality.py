@@ -27,3 +27,22 @@ def test_scores_and_defined_cases(spark):
     edge = quality.score(docs).collect()
     assert len(edge) == docs.count() and all(0 <= r.score <= 1 for r in edge)
     assert quality.score(docs.limit(0)).count() == 0
+
+
+def test_a_test_that_good_texts_rarely_fail_is_enough():
+    """Two kinds of bad texts fail tests 0 and 1 together, or, more often than good
+    texts may, test 2 alone."""
+    patterns = np.array([[1, 1, 1], [0, 0, 1], [1, 1, 0]])
+    counts = np.array([820.0, 60.0, 120.0])
+    free, _ = quality.em(patterns, counts)
+    posterior, table = quality.em(patterns, counts, false_alarm=0.01)
+    assert free[2] > 0.5 and posterior[2] < 0.5
+    assert posterior[0] > 0.9 and posterior[1] < 0.1
+    assert table[:, 1, 0].max() <= 0.01 and np.allclose(table.sum(axis=2), 1)
+
+
+def test_echo_sees_repeats_only():
+    line = lambda s: np.frombuffer(s.encode(), np.uint8)
+    assert quality._echo(line("word " * 40)) >= 9
+    assert quality._echo(line(prose(3, 60))) <= 3
+    assert quality._echo(line("")) == quality._echo(line("a")) == 0
