@@ -2,17 +2,22 @@
 
 1. Tasks parse the whole html and hash every element's subtree (tag, class, text
    and the hashes of its children). Spark counts, for each host, the different
-   pages that hold a subtree; exact copies of a page count once.
+   pages that hold a subtree; pages of equal main prose count once.
 2. A subtree that recurs on at least ``MIN_PAGES`` different pages of a host, and
-   on ``MIN_SHARE`` of them, is the site's template. Its keys are kept as sorted
-   hash arrays in the shared folder.
+   on ``MIN_SHARE`` of them or on ``ENOUGH_PAGES``, is the site's template. With
+   prose in it, it must be on more than ``PROSE_SHARE`` of them. The keys are kept
+   as sorted hash arrays in the shared folder.
 3. Tasks parse the pages again, delete the template subtrees and write out the
    main text: that of the articles, else of the main element, else of the body.
 
 Recurrence alone must not eat content: a paragraph that many pages of a host
 quote is still text of each of them. So inside an article (or main element) only
 subtrees without prose elements (paragraphs, headings, lists, quotes, cells) can
-be template, never the article itself. And a menu that few pages share is still
+be template, never the article itself. Elsewhere a subtree with prose (these
+elements, or a text of ``PROSE_WORDS`` words or more outside links) is template
+only if most pages of the host hold it, and no page loses most of its prose:
+where templates hold more than half, as on near copies of a page, those with
+prose stay. On a page without prose that holds for all its text. And a menu that few pages share is still
 a menu: elements that declare themselves not to be main text (nav, footer,
 aside, form, script, class "ad" and the like) are left out as well.
 
@@ -44,6 +49,9 @@ from hunkline.llm.textscan import U64
 
 MIN_PAGES = 3
 MIN_SHARE = 0.01
+ENOUGH_PAGES = 10
+PROSE_SHARE = 0.5
+PROSE_WORDS = 15
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|</?[a-zA-Z][^>]*\Z""", re.S)
@@ -71,13 +79,14 @@ BREAK = None
 
 
 class _Element:
-    __slots__ = ("tag", "name", "start", "parts", "hidden", "level", "prose", "root")
+    __slots__ = ("tag", "name", "start", "parts", "hidden", "level", "prose", "root", "link", "words", "long")
 
     def __init__(self, tag: str, name: str, start: int, hidden: bool, level: int) -> None:
         self.tag, self.name, self.start, self.hidden, self.level = tag, name, start, hidden, level
         self.parts: list[str] = []
         self.prose = tag in PROSE
-        self.root = False
+        self.root = self.link = self.long = False
+        self.words = 0
 
 
 def host(url: str | None) -> str:
@@ -85,15 +94,28 @@ def host(url: str | None) -> str:
     return found[2].lower() if found else ""
 
 
+def _covered(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Which of ``n`` places the spans (first, end) cover."""
+    open_ = np.zeros(n + 1, np.int32)
+    for first, last in spans:
+        open_[first] += 1
+        open_[last] -= 1
+    return np.cumsum(open_[:-1]) > 0
+
+
 class Page:
     """A parsed page: ``out`` holds text fragments and breaks (with their level:
     2 in an article, 1 in a main element, 0 elsewhere, -1 never main text) and
-    ``subtrees`` the candidates for templates as (hash, first, end) over ``out``."""
+    ``subtrees`` the candidates for templates as (hash, first, end, prose) over ``out``.
+    ``words`` counts the words outside links of each fragment, ``prose`` tells
+    which fragments are prose."""
 
     def __init__(self, source: str) -> None:
         self.out: list[tuple[str | None, int]] = []
-        self.subtrees: list[tuple[int, int, int]] = []
-        self._candidates: list[tuple[int, int, int, bool, int]] = []
+        self.words: dict[int, int] = {}
+        self.subtrees: list[tuple[int, int, int, bool]] = []
+        self._candidates: list[tuple[int, int, int, bool, bool, int]] = []
+        self._prose: list[tuple[int, int]] = []
         self.stack = [_Element("", "", 0, False, 0)]
         at, end = 0, len(source)
         while at < end:
@@ -123,15 +145,20 @@ class Page:
             self._pop()
         top = max((level for text, level in self.out if text is not BREAK and text.strip()), default=0)
         self.level = max(top, 0)
-        for key, first, last, prose, level in self._candidates:
+        self.prose = _covered(len(self.out), self._prose)
+        for key, first, last, prose, long, level in self._candidates:
             if not (level > 0 and prose):
-                self.subtrees.append((key, first, last))
+                self.subtrees.append((key, first, last, prose or long))
 
     def _text(self, source: str) -> None:
         text = markup.unescape(source) if "&" in source else source
         top = self.stack[-1]
+        words = text.split()
+        if not top.link:
+            self.words[len(self.out)] = len(words)
+            top.words += len(words)
         self.out.append((text, -1 if top.hidden else top.level))
-        top.parts.append(" ".join(text.split()))
+        top.parts.append(" ".join(words))
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag not in INLINE:
@@ -146,6 +173,7 @@ class Page:
                   or level < 1 and (tag == "header" or words and not HEADER_NAMES.isdisjoint(words)))
         element = _Element(tag, kind, len(self.out), bool(hidden), level)
         element.root = level > parent.level
+        element.link = parent.link or tag == "a"
         self.stack.append(element)
 
     def _imply(self, tag: str) -> None:
@@ -180,22 +208,44 @@ class Page:
         digest = xxhash.xxh64_intdigest("\x1f".join((e.tag, e.name, *[p for p in e.parts if p])))
         parent.parts.append(f"{digest:016x}")
         parent.prose = parent.prose or e.prose
+        if e.tag in INLINE:
+            parent.words += e.words
+        else:
+            own = e.words >= PROSE_WORDS
+            e.long = e.long or own
+            if own or e.tag in PROSE:
+                self._prose.append((e.start, len(self.out)))
+        parent.long = parent.long or e.long
         if e.root:  # an article or main element and all around it are no candidates
             for outer in self.stack:
                 outer.root = True
         elif e.tag not in INLINE and any(e.parts):
-            self._candidates.append((digest, e.start, len(self.out), e.prose, e.level))
+            self._candidates.append((digest, e.start, len(self.out), e.prose, e.long, e.level))
         if e.tag not in INLINE:
             self.out.append((BREAK, 0))
 
+    def content(self) -> int:
+        """Hash of the page's prose, or of all its text if it has none: pages that
+        agree in it are one page, whatever stands around."""
+        import xxhash
+
+        own = [" ".join(t.split()) for i, (t, level) in enumerate(self.out)
+               if t is not BREAK and level == self.level and self.prose[i] and i in self.words]
+        return xxhash.xxh64_intdigest("\x1f".join([t for t in own if t] or [t for t, _ in self.out if t is not BREAK]))
+
     def main_text(self, templates: set[int]) -> str:
         """The main text without the subtrees whose hash is in ``templates``."""
-        gone = np.zeros(len(self.out) + 1, np.int32)
-        for key, first, last in self.subtrees:
-            if key in templates:
-                gone[first] += 1
-                gone[last] -= 1
-        deleted = np.cumsum(gone[:-1]) > 0
+        known = [x for x in self.subtrees if x[0] in templates]
+        deleted = _covered(len(self.out), [x[1:3] for x in known])
+        if known:
+            # what templates without prose hold is no prose of the page's own
+            plain = _covered(len(self.out), [x[1:3] for x in known if not x[3]])
+            main = [i for i, n in self.words.items() if n and self.out[i][1] == self.level]
+            content = [i for i in main if self.prose[i] and not plain[i]]
+            if content and 2 * sum(self.words[i] for i in content if deleted[i]) > sum(self.words[i] for i in content):
+                deleted = plain
+            elif not self.prose[main].any() and 2 * sum(self.words[i] for i in main if deleted[i]) > sum(self.words[i] for i in main):
+                deleted[:] = False
         # the level is that of the richest part, also if templates empty it
         blocks, block = [], []
         for (text, level), dead in zip(self.out, deleted.tolist()):
@@ -227,28 +277,30 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
         from hunkline.llm import pages as own
 
         for batch in batches:
-            key, site_key, page_key = [], [], []
+            key, site_key, page_key, prose = [], [], [], []
             for url, source in zip(batch.column(0).to_pylist(), batch.column(1)):
                 site = own.host(url)
                 if not site:
                     continue
                 page = own.Page(source.as_py())
-                digests = {own._key(site, d) for d, _, _ in page.subtrees}
-                text = xxhash.xxh64_intdigest("\x1f".join(t for t, _ in page.out if t is not own.BREAK))
+                digests = {own._key(site, d): p for d, _, _, p in page.subtrees}
                 of = xxhash.xxh64_intdigest(site)
-                digests.add(of)  # the host's own count of pages
+                digests[of] = False  # the host's own count of pages
                 key += digests
+                prose += digests.values()
                 site_key += [of] * len(digests)
-                page_key += [text] * len(digests)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, U64).view(np.int64)) for x in (key, site_key, page_key)],
-                                             names=["key", "site", "page"])
+                page_key += [page.content()] * len(digests)
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(np.array(x, U64).view(np.int64)) for x in (key, site_key, page_key)], pa.array(prose, pa.bool_())],
+                names=["key", "site", "page", "prose"])
 
-    counts = (arrow_map(rows, task, fields(("key", T.LongType()), ("site", T.LongType()), ("page", T.LongType())))
-              .distinct().groupBy("site", "key").agg(F.count("*").alias("n")))
+    counts = (arrow_map(rows, task, fields(("key", T.LongType()), ("site", T.LongType()), ("page", T.LongType()), ("prose", T.BooleanType())))
+              .distinct().groupBy("site", "key", "prose").agg(F.count("*").alias("n")))
     often = counts.filter(F.col("n") >= min_pages)
     sites = often.filter(F.col("key") == F.col("site")).select("site", F.col("n").alias("pages"))
     recurring = (often.filter(F.col("key") != F.col("site")).join(sites, "site")
-                 .filter(F.col("n") >= F.col("pages") * min_share).select("key"))
+                 .filter(F.when(F.col("prose"), F.col("n") > F.col("pages") * PROSE_SHARE)
+                         .otherwise(F.col("n") >= F.least(F.col("pages") * min_share, F.lit(max(ENOUGH_PAGES, min_pages))))).select("key"))
     return S.save_keys(recurring, workdir(pages.sparkSession, "templates"), 5)
 
 
@@ -268,7 +320,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
                 batch = whole.slice(at, 500)
                 sites = [own.host(u) for u in batch.column(1).to_pylist()]
                 parsed = [own.Page(v.as_py()) for v in batch.column(2)]
-                keys = [{d: own._key(site, d) for d, _, _ in p.subtrees} if site else {} for site, p in zip(sites, parsed)]
+                keys = [{d: own._key(site, d) for d, *_ in p.subtrees} if site else {} for site, p in zip(sites, parsed)]
                 asked = np.unique(np.array([k for of in keys for k in of.values()], U64))
                 found = set(asked[known.lookup(asked)["id"] >= 0].tolist())
                 texts = [p.main_text({d for d, k in of.items() if k in found}) for p, of in zip(parsed, keys)]

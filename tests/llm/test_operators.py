@@ -272,6 +272,22 @@ def test_site_templates_go_and_content_stays(spark):
     assert pages.extract(spark.createDataFrame([], SCHEMA_PAGES)).count() == 0
 
 
+def test_near_copies_quotes_and_rare_templates_without_an_article(spark):
+    body = "".join(f"<p>{prose(70 + i, 30)}</p>" for i in range(4))
+    rows = [(i, "http://n.example/x", page(f"<div>{body}</div><p>read {i} times</p><div>bar</div>"), None, None) for i in range(5)]
+    rows += [(10 + i, "http://m.example/x", page(f"<div>{prose(80, 90)}</div><div>seen {i}</div>"), None, None) for i in range(5)]
+    quote, notice = f"<blockquote>{prose(90, 20)}</blockquote>", f"<section><p>{prose(91, 10)}</p></section>"
+    rows += [(100 + i, "http://q.example/x", page(f"{notice}<div><p>{prose(2000 + i, 40)}</p>{quote if i < 12 else ''}</div>"
+                                                   f"<div>{'rare' if i < 11 else i}</div>"), None, None) for i in range(1300)]
+    df = spark.createDataFrame(rows, SCHEMA_PAGES).repartition(3)
+    text = {r.page_id: r.text for r in pages.extract(df).collect()}
+    for i in range(5):
+        assert text[i] == "\n".join([*[prose(70 + k, 30) for k in range(4)], f"read {i} times"])
+        assert prose(80, 90) in text[10 + i]
+    assert text[100] == f"{prose(2000, 40)}\n{prose(90, 20)}"  # the quote stays; notice and rare template go
+    assert text[111] == f"{prose(2011, 40)}\n{prose(90, 20)}\n11"
+
+
 # --- byte-level BPE ------------------------------------------------------
 
 @pytest.fixture(scope="module")
