@@ -19,7 +19,11 @@ only if most pages of the host hold it, and no page loses most of its prose:
 where templates hold more than half, as on near copies of a page, those with
 prose stay. On a page without prose that holds for all its text. And a menu that few pages share is still
 a menu: elements that declare themselves not to be main text (nav, footer,
-aside, form, script, class "ad" and the like) are left out as well.
+aside, form, script, class "ad" and the like) are left out as well. A class, id or
+role counts as a whole or by its last hyphenated part, and never hides the html,
+the body or an outermost article or main element. If all articles and main
+elements lie in hidden elements, they are the text; a form that holds one, or
+most of the page's prose, is no form but the page.
 
 Blocks are cut at block elements and line breaks. Character references are
 decoded, white space inside a block becomes one space, blocks are trimmed and
@@ -63,12 +67,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small
     span strike strong sub sup time tt u var""".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption".split())
-NOT_MAIN = frozenset("nav footer aside form button select option fieldset dialog menu head".split())
+NOT_MAIN = frozenset("nav footer aside button select option dialog menu head".split())
+FORMS = frozenset(("form", "fieldset"))
 NOT_MAIN_NAMES = frozenset("""ad ads advert adverts advertisement advertising banner sponsor sponsored promo sidebar
     nav navbar navigation menu breadcrumb breadcrumbs footer comment comments reply replies cookie cookies consent
     notice alert popup modal newsletter subscribe subscription share sharing social related pagination
     complementary contentinfo search toolbar widget disclaimer""".split())
 HEADER_NAMES = frozenset(("header", "masthead"))
+#: "no-sidebar" and the like tell of the page, not of the element
+STATES = frozenset("no not has with without is hide show".split())
 #: a start tag closes these open elements
 CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
           "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]),
@@ -79,14 +86,25 @@ BREAK = None
 
 
 class _Element:
-    __slots__ = ("tag", "name", "start", "parts", "hidden", "level", "prose", "root", "link", "words", "long")
+    __slots__ = ("tag", "name", "start", "parts", "hidden", "level", "prose", "root", "link", "words", "long", "outer", "form")
 
     def __init__(self, tag: str, name: str, start: int, hidden: bool, level: int) -> None:
         self.tag, self.name, self.start, self.hidden, self.level = tag, name, start, hidden, level
         self.parts: list[str] = []
         self.prose = tag in PROSE
         self.root = self.link = self.long = False
-        self.words = 0
+        self.words = self.form = 0
+        self.outer = False
+
+
+def _said(kind: str) -> set[str]:
+    """What class, id and role values say: the whole names and last hyphenated parts."""
+    out = set(kind.split())
+    for name in list(out):
+        parts = [x for x in re.split("[-_]+", name) if x]
+        if len(parts) > 1 and parts[0] not in STATES:
+            out.add(parts[-1])
+    return out
 
 
 def host(url: str | None) -> str:
@@ -116,6 +134,8 @@ class Page:
         self.subtrees: list[tuple[int, int, int, bool]] = []
         self._candidates: list[tuple[int, int, int, bool, bool, int]] = []
         self._prose: list[tuple[int, int]] = []
+        self._veiled: list[tuple[int, bool, int]] = []  # place, in an article in a hidden element, form
+        self._forms, self._pages = 0, set()  # forms, and those that hold an article or main element
         self.stack = [_Element("", "", 0, False, 0)]
         at, end = 0, len(source)
         while at < end:
@@ -143,13 +163,34 @@ class Page:
                 self._start(tag, attributes)
         while len(self.stack) > 1:
             self._pop()
+        self.prose = _covered(len(self.out), self._prose)
+        self._unveil()
         top = max((level for text, level in self.out if text is not BREAK and text.strip()), default=0)
         self.level = max(top, 0)
-        self.prose = _covered(len(self.out), self._prose)
         for key, first, last, prose, long, level in self._candidates:
             if not (level > 0 and prose):
                 self.subtrees.append((key, first, last, prose or long))
 
+    def _unveil(self) -> None:
+        """Hide what lies in forms and, if there are others, articles in hidden elements."""
+        if not self._veiled:
+            return
+        of: dict[int, int] = {}
+        for i, _, form in self._veiled:
+            if self.prose[i]:
+                of[form] = of.get(form, 0) + self.words.get(i, 0)
+        total = sum(n for i, n in self.words.items() if self.prose[i] and self.out[i][1] >= 0)
+        shown = {0} | self._pages | {form for form, n in of.items() if 2 * n > total}
+        outer = set()
+        for i, inside, form in self._veiled:
+            if form not in shown:
+                self.out[i] = (self.out[i][0], -1)
+            elif inside:
+                outer.add(i)
+        if any(level > 0 and i not in outer and text.strip() for i, (text, level) in enumerate(self.out) if text is not BREAK):
+            for i in outer:
+                self.out[i] = (self.out[i][0], -1)
+
     def _text(self, source: str) -> None:
         text = markup.unescape(source) if "&" in source else source
         top = self.stack[-1]
@@ -157,6 +198,8 @@ class Page:
         if not top.link:
             self.words[len(self.out)] = len(words)
             top.words += len(words)
+        if (top.outer or top.form) and not top.hidden:
+            self._veiled.append((len(self.out), top.outer, top.form))
         self.out.append((text, -1 if top.hidden else top.level))
         top.parts.append(" ".join(words))
 
@@ -168,11 +211,19 @@ class Page:
         kind = " ".join(a or b or c for _, a, b, c in names).lower()
         parent = self.stack[-1]
         level = 2 if tag == "article" else max(parent.level, 1) if tag == "main" or "main" in kind.split() and "role" in attributes else parent.level
-        words = set(re.split(r"[^a-z0-9]+", kind)) if kind else ()
-        hidden = (parent.hidden or tag in NOT_MAIN or (words and not NOT_MAIN_NAMES.isdisjoint(words))
+        root = level > parent.level
+        words = _said(kind) if kind and not root and tag not in ("html", "body") else ()
+        hidden = (tag in NOT_MAIN or words and not NOT_MAIN_NAMES.isdisjoint(words)
                   or level < 1 and (tag == "header" or words and not HEADER_NAMES.isdisjoint(words)))
-        element = _Element(tag, kind, len(self.out), bool(hidden), level)
-        element.root = level > parent.level
+        element = _Element(tag, kind, len(self.out), bool(hidden) or parent.hidden and not root, level)
+        element.outer = parent.outer or parent.hidden and root
+        element.form = parent.form
+        if tag in FORMS and (not element.form or element.form in self._pages):
+            self._forms += 1
+            element.form = self._forms
+        if root:
+            self._pages.add(element.form)
+        element.root = root
         element.link = parent.link or tag == "a"
         self.stack.append(element)
 

@@ -272,6 +272,20 @@ def test_site_templates_go_and_content_stays(spark):
     assert pages.extract(spark.createDataFrame([], SCHEMA_PAGES)).count() == 0
 
 
+@pytest.mark.parametrize("source,want", [
+    ("<body class='no-sidebar'><p>text</p></body>", "text"),
+    ("<div id='search-results' class='list has-sidebar'><p>text</p></div><div class='site-footer'>f</div>", "text"),
+    ("<article class='post has-share related'><p>text</p><div class='post-share'>s</div></article>", "text"),
+    ("<form id=f><nav>n</nav><p>all of the page</p><p>and more</p><select><option>o</select></form><div>bar</div><form><p>login</p></form>",
+     "all of the page\nand more\nbar"),
+    ("<form><div>bar</div><article><p>text</p><form><p>q</p></form></article></form>", "text"),
+    ("<div class=widget><main><p>text</p><aside>a</aside></main></div><p>else</p>", "text"),
+    ("<main><article><p>text</p></article><div id=comments><article class=comment><p>hi</p></article></div></main>", "text"),
+])
+def test_names_and_forms_never_hide_the_page(source, want):
+    assert pages.Page(source).main_text(set()) == want
+
+
 def test_near_copies_quotes_and_rare_templates_without_an_article(spark):
     body = "".join(f"<p>{prose(70 + i, 30)}</p>" for i in range(4))
     rows = [(i, "http://n.example/x", page(f"<div>{body}</div><p>read {i} times</p><div>bar</div>"), None, None) for i in range(5)]
