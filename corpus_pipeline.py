@@ -45,7 +45,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates passes."""
     found = minhash.near_duplicates(docs)
-    gone = store.save_keys(found.filter(~F.col("kept")).select("doc_id"), workdir(spark, "near-copies"), 5)
+    gone = store.save_keys(found.filter(~F.col("kept")).select("doc_id"), workdir(spark, "near-copies"))
     return store.without(docs, "doc_id", gone)
 
 
@@ -53,7 +53,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that hold a window of the benchmark go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.Index(docs, benchmark).digest()
-    gone = store.save_keys(found.filter("contaminated").select("doc_id"), workdir(spark, "contaminated"), 5)
+    gone = store.save_keys(found.filter("contaminated").select("doc_id"), workdir(spark, "contaminated"))
     return store.without(docs, "doc_id", gone)
 
 

@@ -235,8 +235,8 @@ def _buckets(classes: DataFrame, spark: SparkSession) -> DataFrame:
 def _store_sets(df: DataFrame, id_col: str, text: str, members: DataFrame, spark: SparkSession) -> Sets:
     """Write the sets of the member nodes: texts are found by the id of a node's
     first document, then hashed again."""
-    ids = S.save_keys(members.select("first_id"), workdir(spark, "member-ids"), 5)
-    nodes = S.save_keys(members.select("node"), workdir(spark, "member-nodes"), 5)
+    ids = S.save_keys(members.select("first_id"), workdir(spark, "member-ids"))
+    nodes = S.save_keys(members.select("node"), workdir(spark, "member-nodes"))
     n_bytes = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * 8
     bits = max(5, int(np.ceil(np.log2(max(n_bytes / SHARD_BYTES, 1)))))
     folder = workdir(spark, "sets")

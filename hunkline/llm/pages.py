@@ -352,7 +352,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
     recurring = (often.filter(F.col("key") != F.col("site")).join(sites, "site")
                  .filter(F.when(F.col("prose"), F.col("n") > F.col("pages") * PROSE_SHARE)
                          .otherwise(F.col("n") >= F.least(F.col("pages") * min_share, F.lit(max(ENOUGH_PAGES, min_pages))))).select("key"))
-    return S.save_keys(recurring, workdir(pages.sparkSession, "templates"), 5)
+    return S.save_keys(recurring, workdir(pages.sparkSession, "templates"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html",

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hunkline.llm.runtime import arrow_map, fields, ship
+from hunkline.llm.runtime import arrow_map, checkpointed, fields
 from hunkline.llm.textscan import U64, Words, mix64, scan
 
 RUN = fields(("shard", T.IntegerType()), ("keys", T.BinaryType()), ("counts", T.BinaryType()))
@@ -31,6 +31,8 @@ RUN = fields(("shard", T.IntegerType()), ("keys", T.BinaryType()), ("counts", T.
 RUN_ENTRIES = 3_000_000
 #: bytes of text behind one shard: the entries of a shard fit a task's memory
 SHARD_TEXT_BYTES = 24 << 20
+#: distinct keys of one shard of a store of keys
+SHARD_KEYS = 1 << 20
 
 
 def shard_bits(text_bytes: int) -> int:
@@ -218,23 +220,30 @@ def narrow(counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.int64)
 
 
-def save_keys(keys: DataFrame, folder: str, bits: int) -> Store:
-    """Write a store of the distinct 64-bit keys in the first column of ``keys``."""
+def save_keys(keys: DataFrame, folder: str) -> Store:
+    """Write a store of the distinct 64-bit keys in the first column of ``keys``.
+    Keys go to shards by their hash, as ids are small numbers; the number of
+    shards follows the number of keys."""
+    distinct = checkpointed(keys.select(F.col(keys.columns[0]).cast("long").alias("key")).filter(F.col("key").isNotNull()).distinct())
+    bits = max(5, int(np.ceil(np.log2(max(distinct.count() / SHARD_KEYS, 1)))))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = route(batch.column(0).to_numpy().view(U64), bits, True).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shard)], names=["key", "shard"])
+
     def group(data: pa.Table) -> pa.Table:
         k = np.unique(data.column("key").to_numpy().view(U64))
         shard = data.column("shard")[0].as_py()
         save(folder, shard, key=k)
         return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(k)], pa.int64())})
 
-    name = keys.columns[0]
-    ship(keys.sparkSession)
-    rows = (keys.select(F.col(name).cast("long").alias("key")).filter(F.col("key").isNotNull()).distinct()
-            .select("key", F.shiftrightunsigned("key", 64 - bits).cast("int").alias("shard"))
+    rows = (arrow_map(distinct, task, fields(("key", T.LongType()), ("shard", T.IntegerType())))
             .groupBy("shard").applyInArrow(group, "shard int, n long").collect())
     sizes = [0] * (1 << bits)
     for r in rows:
         sizes[r.shard] = r.n
-    return Store(folder, bits, sizes)
+    return Store(folder, bits, sizes, mixed=True)
 
 
 def without(df: DataFrame, id_col: str, gone: Store) -> DataFrame:

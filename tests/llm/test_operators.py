@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hunkline.llm import annsearch, bpe, decontaminate, kneserney, langid, linededup, minhash, pages, toxicity
+from hunkline.llm import annsearch, bpe, decontaminate, kneserney, langid, linededup, minhash, pages, store, toxicity
 from hunkline.llm.queries import tokenizer
 from tests.llm.cases import SCHEMA, documents, prose
 
@@ -233,6 +233,17 @@ def test_kneser_ney_against_counters(spark, docs, empty):
     assert all(r.score == 0 and r.train_tokens == 0 for r in untrained)
 
 
+def test_stores_of_small_ids_spread_over_shards(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(store, "SHARD_KEYS", 100)
+    ids = spark.range(0, 20_000, 2).union(spark.range(-4, 4, 2)).union(spark.createDataFrame([(None,)], "id bigint"))
+    known = store.save_keys(ids, str(tmp_path))
+    sizes = np.diff(known.base)
+    assert len(sizes) == 128 and sizes.sum() == 10_002 and sizes.max() < 200
+    asked = np.sort(np.arange(-6, 20_010, dtype=np.int64).view(np.uint64))
+    found = asked[known.lookup(asked)["id"] >= 0].view(np.int64)
+    assert sorted(found.tolist()) == list(range(-4, 20_000, 2))
+
+
 # --- page text -----------------------------------------------------------
 
 SCHEMA_PAGES = "page_id bigint, url string, html string, text string, id string"
