@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hunkline.llm import annsearch, bpe, decontaminate, kneserney, langid, linededup, minhash, pages, quality, toxicity
+from hunkline.llm import annsearch, bpe, decontaminate, kneserney, langid, linededup, manifest, minhash, pages, quality, toxicity
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -68,9 +68,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.Index(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).digest()
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_langid, op2_line_dedup, op3_minhash, op4_kneser_ney, op5_page_text, op6_bpe,
-                            op7_quality, op8_toxicity, op9_nearest, op10_decontaminate)}
+                            op7_quality, op8_toxicity, op9_nearest, op10_decontaminate, op13_manifest)}
 
 _OP2 = """
 WITH l AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents),
@@ -109,4 +113,50 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op2_line_dedup": _OP2, "op10_decontaminate": _OP10}
+_FIELDS13 = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+                        for c in manifest.FIELDS)
+_OP13 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, sha256({_FIELDS13}) AS leaf, sha256({_FIELDS13.replace("n_chars", "(n_chars + 1)")}) AS bad,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                                      lambda c: CAST(ascii(c) AS BIGINT))),
+             lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))),
+             CAST(4294967295 AS BIGINT)) % {manifest.TAMPERED} = 0 AS tampered
+  FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+             count(*) OVER (PARTITION BY lang) AS n FROM d),
+nodes AS (
+  SELECT lang, 0 AS level, pos AS i, leaf AS h, n FROM l
+  UNION ALL
+  SELECT lang, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM nodes WHERE n > 1
+  GROUP BY lang, level, i // 2, n),
+langs AS (SELECT lang, h AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos,
+                 count(*) OVER () AS n FROM nodes WHERE n = 1),
+top AS (
+  SELECT 0 AS level, pos AS i, subroot AS h, n FROM langs
+  UNION ALL
+  SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY level, i // 2, n),
+root AS (SELECT h AS root, level AS height FROM top WHERE n = 1),
+steps AS (
+  SELECT l.lang, l.pos, k, (l.pos >> k) & 1 AS side, s.h AS sibling
+  FROM l JOIN langs ON l.lang IS NOT DISTINCT FROM langs.lang, unnest(range(langs.height)) AS t(k)
+  LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = k AND s.i = xor(l.pos >> k, 1)
+  UNION ALL
+  SELECT l.lang, l.pos, langs.height + k, (langs.pos >> k) & 1, s.h
+  FROM l JOIN langs ON l.lang IS NOT DISTINCT FROM langs.lang, unnest(range((SELECT height FROM root))) AS t(k)
+  LEFT JOIN top s ON s.level = k AND s.i = xor(langs.pos >> k, 1)),
+proofs AS (SELECT lang, pos, sha256(coalesce(string_agg(sibling, '' ORDER BY k), '')) AS proof, count(*) AS n FROM steps GROUP BY lang, pos),
+folds AS (
+  SELECT lang, pos, 0 AS k, CASE WHEN tampered THEN bad ELSE leaf END AS h FROM l
+  UNION ALL
+  SELECT f.lang, f.pos, f.k + 1, CASE WHEN sibling IS NULL THEN sha256(f.h) WHEN side = 1 THEN sha256(sibling || f.h)
+                                      ELSE sha256(f.h || sibling) END
+  FROM folds f JOIN steps s ON s.lang IS NOT DISTINCT FROM f.lang AND s.pos = f.pos AND s.k = f.k)
+SELECT l.doc_id, l.leaf, langs.subroot, root.root, coalesce(proofs.proof, sha256('')) AS proof_sha256,
+       folds.h AS folded_root, folds.h = root.root AS verified
+FROM l JOIN langs ON l.lang IS NOT DISTINCT FROM langs.lang JOIN root ON true
+LEFT JOIN proofs ON proofs.lang IS NOT DISTINCT FROM l.lang AND proofs.pos = l.pos
+JOIN folds ON folds.lang IS NOT DISTINCT FROM l.lang AND folds.pos = l.pos AND folds.k = coalesce(proofs.n, 0)
+"""
+
+SQL: dict[str, str] = {"op2_line_dedup": _OP2, "op10_decontaminate": _OP10, "op13_manifest": _OP13}

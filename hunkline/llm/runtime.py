@@ -56,6 +56,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def take(df: DataFrame, *names: str) -> DataFrame:
+    """Only the columns of exactly these names, picked by place: other columns
+    whose names differ in case only do not clash."""
+    places = [df.columns.index(n) for n in names]
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))]).select(*[F.col(f"_c{i}").alias(n) for i, n in zip(places, names)])
+
+
 def remainder(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null for a null id."""
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(n)
