@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hunkline.llm import annsearch, bpe, decontaminate, kneserney, langid, linededup, manifest, minhash, pages, quality, toxicity
+from hunkline.llm import annsearch, bpe, decontaminate, divergence, kneserney, langid, linededup, manifest, minhash, pages, quality, toxicity
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -68,13 +68,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.Index(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).digest()
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_langid, op2_line_dedup, op3_minhash, op4_kneser_ney, op5_page_text, op6_bpe,
-                            op7_quality, op8_toxicity, op9_nearest, op10_decontaminate, op13_manifest)}
+                            op7_quality, op8_toxicity, op9_nearest, op10_decontaminate, op11_divergence, op13_manifest)}
 
 _OP2 = """
 WITH l AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents),
@@ -113,6 +117,31 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_OP11 = rf"""
+WITH t AS (SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+           FROM documents),
+c AS (SELECT row_id, lang, source, term, count(*) AS n FROM t, unnest(w) AS u(term) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term HAVING count(*) >= {divergence.MIN_DOCS}),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS words FROM kept GROUP BY lang),
+cells AS (SELECT lang, source, term, sum(n) AS n FROM c SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+words AS (SELECT lang, source, sum(n) AS words FROM cells GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(words, 0) AS words FROM (SELECT DISTINCT lang, source FROM t) LEFT JOIN words USING (lang, source)),
+s AS (SELECT g.lang, g.source, kept.term, coalesce(cells.n, 0) AS n,
+             1 + CAST({divergence.SCALE} AS HUGEINT) * (coalesce(cells.n, 0) + 1) // (g.words + langs.v) AS p,
+             1 + CAST({divergence.SCALE} AS HUGEINT) * (kept.n + 1) // (langs.words + langs.v) AS q
+      FROM g JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN cells USING (lang, source, term)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM s WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+FROM r QUALIFY part = 'pair' OR rank <= {divergence.TOP_TERMS}
+"""
+
 _FIELDS13 = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
                         for c in manifest.FIELDS)
 _OP13 = f"""
@@ -159,4 +188,4 @@ LEFT JOIN proofs ON proofs.lang IS NOT DISTINCT FROM l.lang AND proofs.pos = l.p
 JOIN folds ON folds.lang IS NOT DISTINCT FROM l.lang AND folds.pos = l.pos AND folds.k = coalesce(proofs.n, 0)
 """
 
-SQL: dict[str, str] = {"op2_line_dedup": _OP2, "op10_decontaminate": _OP10, "op13_manifest": _OP13}
+SQL: dict[str, str] = {"op2_line_dedup": _OP2, "op10_decontaminate": _OP10, "op11_divergence": _OP11, "op13_manifest": _OP13}

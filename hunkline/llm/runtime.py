@@ -63,6 +63,15 @@ def take(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*[f"_c{i}" for i in range(len(df.columns))]).select(*[F.col(f"_c{i}").alias(n) for i, n in zip(places, names)])
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage with a Parquet table in the shared folder, whatever its scheme.
+    A task that runs twice writes its file once (Spark's output committer)."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/hunkline-{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def remainder(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null for a null id."""
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(n)

@@ -70,6 +70,8 @@ def byte_table(chars: bytes) -> np.ndarray:
 NOT_SPACE = ~byte_table(b"\t\n\v\f\r ")
 #: word bytes of alphanumeric words: 0-9, a-z and everything from 0x80
 ALNUM = byte_table(b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(0x80, 0x100)))
+#: bytes of letter words: a-z (texts are lower-cased first) and everything from 0x80
+LETTERS = byte_table(b"abcdefghijklmnopqrstuvwxyz" + bytes(range(0x80, 0x100)))
 #: lower-cases A-Z only
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
