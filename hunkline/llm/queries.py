@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hunkline.llm import annsearch, bpe, decontaminate, divergence, kneserney, langid, linededup, manifest, minhash, pages, quality, toxicity
+from hunkline.llm import annsearch, bpe, decontaminate, divergence, kneserney, langid, linededup, manifest, minhash, pages, quality, suffixdedup, toxicity
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -72,13 +72,18 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_langid, op2_line_dedup, op3_minhash, op4_kneser_ney, op5_page_text, op6_bpe,
-                            op7_quality, op8_toxicity, op9_nearest, op10_decontaminate, op11_divergence, op13_manifest)}
+                            op7_quality, op8_toxicity, op9_nearest, op10_decontaminate, op11_divergence, op12_suffix_dedup,
+                            op13_manifest)}
 
 _OP2 = """
 WITH l AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents),
