@@ -26,11 +26,9 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return os.path.join(checkpoint_dir(spark), "hunkline", *parts, uuid.uuid4().hex)
 
 
-def processed_view(df: DataFrame, split: bool = True) -> DataFrame:
-    """The flagship columns; ``split=False`` keeps to the row-local route
-    (valid inside a streaming plan)."""
-    out = process_diffs(df) if split else process_diffs(df, split_over_bytes=None)
-    return out.select(
+def processed_view(df: DataFrame) -> DataFrame:
+    """The flagship columns (row-local, so valid inside a streaming plan)."""
+    return process_diffs(df).select(
         "changeset_id", "total_files", "total_additions", "total_deletions", "total_changes",
         F.col("diff_tokens").alias("estimated_tokens"), "was_compacted",
         F.md5("content").alias("content_md5"))
@@ -38,33 +36,15 @@ def processed_view(df: DataFrame, split: bool = True) -> DataFrame:
 
 def process_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
                    max_files_per_trigger: int | None = None):
-    """K1: ``readStream`` change-set parquet -> the batch operator on each
-    micro-batch (``foreachBatch``, so enormous diffs can still take the
-    file-by-file route) -> parquet under ``sink_dir/batch_id=N``.
-
-    A batch rewrites only its own folder, so a retried batch is idempotent;
-    the checkpoint makes a restart resume where it stopped; ``availableNow``
-    drains what has arrived and stops."""
+    """K1: ``readStream`` change-set parquet -> the batch operator -> a parquet file
+    sink. Append mode without state: each arriving diff is read and parsed once.
+    The sink's log makes a retried batch idempotent, the checkpoint makes a restart
+    resume where it stopped; ``availableNow`` drains what has arrived and stops."""
     reader = spark.readStream.schema(CHANGESETS)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-
-    def write_batch(batch_df: DataFrame, batch_id: int) -> None:
-        (processed_view(batch_df).write.mode("overwrite")
-         .parquet(os.path.join(sink_dir, f"batch_id={batch_id}")))
-
-    return (reader.parquet(source_dir).writeStream.foreachBatch(write_batch)
-                  .option("checkpointLocation", checkpoint)
-                  .trigger(availableNow=True).start())
-
-
-def process_stream_stateless(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str):
-    """K1, pure append form: the row-local route only (no state, no
-    aggregation), straight into a parquet file sink."""
-    stream = processed_view(spark.readStream.schema(CHANGESETS).parquet(source_dir), split=False)
-    return (stream.writeStream.format("parquet").outputMode("append")
-                  .option("checkpointLocation", checkpoint)
-                  .trigger(availableNow=True).start(sink_dir))
+    return (processed_view(reader.parquet(source_dir)).writeStream.format("parquet").outputMode("append")
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink_dir))
 
 
 def request_keys(requests: DataFrame, changesets: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import diffs as D
 from hunkline.operators.compact import process_diffs, summary_col
 from hunkline.operators.parse import parse_files
-from hunkline.operators.stats import with_is_large, with_stats
+from hunkline.operators.stats import rollup_by, with_is_large, with_stats
 
 
 def frame(spark, **named):
@@ -82,6 +82,30 @@ def test_row_local_plan_has_no_exchange_or_python(spark):
     assert "Python" not in plan and "ArrowEval" not in plan
 
 
+def test_one_scan_and_one_extraction_on_a_stored_table(spark, tmp_path):
+    path = str(tmp_path / "cs")
+    frame(spark, a=D.TWO_FILES, b=D.hundred_files()).write.parquet(path)
+    stored = spark.read.parquet(path)
+    for df in (process_diffs(stored), rollup_by(process_diffs(stored).withColumn("is_large", F.col("was_compacted")), ["repo"])):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation") == 1 and plan.count("regexp_extract(concat(") == 1
+
+
+def test_content_equals_the_summary_of_parsed_files(spark):
+    from test_parse import QUIRKS
+    cases = {f"q{i}": d for i, d in enumerate(QUIRKS.values())}
+    cases |= {"tokens": D.hundred_files() * 2 + "".join(QUIRKS.values()) + D.BINARY, "files": D.hundred_files(), "two": D.TWO_FILES}
+    cs = frame(spark, **cases)
+    s = with_stats(parse_files(cs))
+    want = {r.changeset_id: r.x for r in s.select("changeset_id", summary_col(
+        F.col("files"), F.col("total_files"), F.col("total_additions"), F.col("total_deletions"), 15).alias("x")).collect()}
+    for tokens in (0, 15_000, 10**9):  # large by tokens, as routed, by the other thresholds only
+        got = process_diffs(cs, max_tokens=tokens, max_changes=0).collect()
+        for r in got:
+            assert r.content == (want[r.changeset_id] if r.was_compacted else cases[r.changeset_id])
+        assert any(r.was_compacted for r in got)
+
+
 def test_file_by_file_route_agrees(spark):
     from test_parse import QUIRKS
     big = D.hundred_files() * 2 + "".join(QUIRKS.values()) + D.BINARY

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import SF001
 from hunkline.sources.fixtures import doc_changesets
 from hunkline.streaming.incremental import (PROCESSED_COLUMNS, dedupe_requests, processed_view,
-                                            process_stream, process_stream_stateless, scratch_path,
+                                            process_stream, scratch_path,
                                             staged_copy, suppress_repeats_stream)
 
 
@@ -19,9 +19,6 @@ def test_stream_equals_batch(spark):
     streamed = sorted(tuple(r) for r in spark.read.parquet(out).select(*PROCESSED_COLUMNS).collect())
     batch = sorted(tuple(r) for r in processed_view(cs).collect())
     assert streamed == batch and len(batch) > 0
-    out2, ck2 = scratch_path(spark, "t_out2"), scratch_path(spark, "t_ck2")
-    process_stream_stateless(spark, src, out2, ck2).awaitTermination()
-    assert sorted(tuple(r) for r in spark.read.parquet(out2).collect()) == batch
 
 
 def test_dedupe_window(spark):
