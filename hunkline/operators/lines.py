@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hunkline.operators.parse import (
-    ADDITION, BINARY_MARK, CONTEXT, HUNK_START, _starts_a_line, change_text, change_type,
-    header_paths, section_lines, sections,
+    ADDITION, BINARY_MARK, CONTEXT, _starts_a_line, change_text, change_type,
+    header_paths, hunk_start, is_addition, is_context, is_deletion, section_lines, sections,
 )
 
 
@@ -35,13 +35,44 @@ def all_section_lines(df: DataFrame, key: str = "changeset_id", diff_col: str =
               .select(key, "file_pos", F.posexplode(section_lines(F.col("section"))).alias("line_pos", "line")))
 
 
+def _kept_lines(df: DataFrame, key: str, diff_col: str) -> DataFrame:
+    return (df.select(key, F.inline(kept_sections_col(diff_col)))
+              .select(key, "file_no", "is_binary", section_lines(F.col("section")).alias("lines")))
+
+
+def change_lines(df: DataFrame, key: str = "changeset_id", diff_col: str = "diff") -> DataFrame:
+    """The classified lines of kept files, marker removed. Row-local: a line
+    classifies if it stands after the section's first ``@@`` line."""
+    rows = _kept_lines(df, key, diff_col).filter(~F.col("is_binary")).withColumn(
+        "first", F.array_position(F.transform("lines", lambda l: l.startswith("@@")), True))
+    lines = rows.filter(F.col("first") > 0).select(key, "file_no", "first", F.posexplode("lines").alias("line_pos", "line"))
+    return (lines.filter(F.col("line_pos") >= F.col("first")).withColumn("change_type", change_type(F.col("line")))
+            .filter(F.col("change_type").isNotNull())
+            .select(key, "file_no", "line_pos", "change_type", change_text(F.col("line")).alias("line")))
+
+
+def file_hunks(df: DataFrame, key: str = "changeset_id", diff_col: str = "diff") -> DataFrame:
+    """One row per hunk with its header's position, parsed start and counts.
+    Row-local: a hunk is the slice of the section's lines up to the next ``@@`` line."""
+    rows = _kept_lines(df, key, diff_col).withColumn("at", F.filter(
+        F.transform("lines", lambda l, i: F.when(l.startswith("@@"), i)), lambda i: i.isNotNull()))
+    each = rows.select(key, "file_no", "is_binary", "lines", "at", F.posexplode("at").alias("k", "header_pos"))
+    end = F.coalesce(F.get("at", F.col("k") + 1), F.size("lines"))
+    each = each.select(key, "file_no", (F.col("k") + 1).cast("bigint").alias("hunk_no"), "header_pos",
+                       hunk_start(F.get("lines", F.col("header_pos"))).alias("new_start"),
+                       F.when(F.col("is_binary"), F.array().cast("array<string>")).otherwise(
+                           F.slice("lines", F.col("header_pos") + 2, end - F.col("header_pos") - 1)).alias("body"))
+    count = {"additions": is_addition, "deletions": is_deletion, "context": is_context}
+    return each.select(*[c for c in each.columns if c != "body"],
+                       *[F.size(F.filter("body", test)).cast("bigint").alias(name) for name, test in count.items()])
+
+
 def _line_rows(df: DataFrame, key: str, diff_col: str) -> DataFrame:
     rows = (df.select(key, F.inline(kept_sections_col(diff_col)))
               .select(key, "file_no", "file_pos", "is_binary",
                       F.posexplode(section_lines(F.col("section"))).alias("line_pos", "line")))
     is_hdr = F.col("line").startswith("@@")
-    start = F.when(is_hdr, F.expr(f"try_cast(nullif(regexp_extract(line, "
-                                  f"'{HUNK_START.replace(chr(92), chr(92) * 2)}', 1), '') AS BIGINT)"))
+    start = hunk_start(F.col("line"))
     # a line that would be numbered once inside a hunk: addition or context, not binary
     ctype = change_type(F.col("line"))
     return (rows.withColumn("is_hunk_header", is_hdr)

@@ -95,8 +95,8 @@ def header_paths(first_line: Column) -> tuple[Column, Column]:
             F.when(plain, new_fast).otherwise(F.regexp_extract(line, HEADER, 2)))
 
 
-# Fixed value: text after the first line that starts with "@@" (hunk state never ends in a section)
-HUNK_BODY = r"(?s)\n@@[^\n]*\n(.*)"
+# Fixed value: text from the first line that starts with "@@" on (hunk state never ends in a section)
+HUNK_TEXT = r"(?s)\n(@@.*)"
 
 
 def _nl(text: Column) -> Column:
@@ -108,15 +108,26 @@ def _starts_a_line(text: Column, mark: str) -> Column:
     return text.startswith(mark) | text.contains("\n" + mark)
 
 
-def hunk_body_text(section: Column) -> Column:
-    """Everything after the first ``@@`` line; later ``@@`` lines stay in
-    but start with none of ``+ - space``, so they never classify.
+def hunk_text(section: Column) -> Column:
+    """Everything from the first ``@@`` line on; ``@@`` lines start with none
+    of ``+ - space``, so they never classify.
     (One regex with a literal start; faster than char-position ``instr``/``substr``.)"""
-    return F.regexp_extract(_nl(section), HUNK_BODY, 1)
+    return F.regexp_extract(_nl(section), HUNK_TEXT, 1)
 
 
-def body_lines(body: Column) -> Column:
-    return F.split(body, "\n", -1)
+def hunk_lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
+
+
+def hunk_start(line: Column) -> Column:
+    """The new-file start that a hunk header gives; NULL if it gives none."""
+    return F.when(line.startswith("@@"), F.nullif(F.regexp_extract(line, HUNK_START, 1), F.lit("")).try_cast("bigint"))
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often ``use``
+    refers to it (a lambda's body is not searched for common parts)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _stage_section(sec: Column, pos: Column) -> Column:
@@ -128,16 +139,42 @@ def _stage_section(sec: Column, pos: Column) -> Column:
         _starts_a_line(sec, NEW_MARK).alias("is_new"),
         _starts_a_line(sec, DELETED_MARK).alias("is_deleted"),
         _starts_a_line(sec, RENAME_MARK).alias("rename_mark"),
-        # the body's lines, split once and reused by both counts and ``changes``
+        # the hunks' lines, split once and reused by both counts and ``changes``
         F.when(is_binary, F.array().cast("array<string>"))
-         .otherwise(body_lines(hunk_body_text(sec))).alias("lines"))
+         .otherwise(hunk_lines(hunk_text(sec))).alias("lines"))
 
 
 FILE_FIELDS = ["file_no", "file_pos", "path", "old_path", "is_binary", "is_new", "is_deleted",
                "is_renamed"]
 
 
-def _stage_file(f: Column, no: Column, with_changes: bool) -> Column:
+def _numbered_changes(lines: Column) -> Column:
+    """B8 + B10: classified lines in order, with new-file line numbers. The lines are
+    cut at headers that give a start (0 before the first); additions and context
+    lines of a stretch are numbered by their place among themselves, deletions have
+    no number, and the stretch is put back in line order. Nothing is appended to a
+    running result, so the work is linear but for that sort."""
+    starts = F.filter(F.transform(lines, lambda l, i: F.struct(i.alias("at"), hunk_start(l).alias("start"))),
+                      lambda h: h["start"].isNotNull())
+    cuts = F.concat(F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).cast("bigint").alias("start"))), starts)
+
+    def stretch(cuts: Column, k: Column, cut: Column) -> Column:
+        end = F.coalesce(F.get(cuts, k + 1)["at"], F.size(lines))
+        own = F.transform(F.slice(lines, cut["at"] + 2, end - cut["at"] - 1), lambda l, i: F.struct(
+            i.alias("at"), change_type(l).alias("change_type"), change_text(l).alias("line")))
+        numbered = F.transform(F.filter(own, lambda c: c["change_type"].isin(ADDITION, CONTEXT)), lambda c, i: F.struct(
+            c["at"].alias("at"), c["change_type"].alias("change_type"), c["line"].alias("line"), (cut["start"] + i).alias("line_number")))
+        deleted = F.transform(F.filter(own, lambda c: c["change_type"] == DELETION), lambda c: F.struct(
+            c["at"].alias("at"), c["change_type"].alias("change_type"), c["line"].alias("line"),
+            F.lit(None).cast("bigint").alias("line_number")))
+        return F.sort_array(F.concat(numbered, deleted))
+
+    ordered = bind(cuts, lambda all_cuts: F.flatten(F.transform(all_cuts, lambda cut, k: stretch(all_cuts, k, cut))))
+    return F.transform(ordered, lambda c: F.struct(c["change_type"].alias("change_type"), c["line"].alias("line"),
+                                                   c["line_number"].alias("line_number")))
+
+
+def _stage_file(f: Column, no: Column, with_changes: bool, line_numbers: bool = False) -> Column:
     lines = f["lines"]
     fields = [
         (no + 1).alias("file_no"), f["file_pos"].alias("file_pos"), f["path"].alias("path"),
@@ -148,7 +185,9 @@ def _stage_file(f: Column, no: Column, with_changes: bool) -> Column:
         F.size(F.filter(lines, is_addition)).cast("bigint").alias("additions"),
         F.size(F.filter(lines, is_deletion)).cast("bigint").alias("deletions"),
     ]
-    if with_changes:
+    if with_changes and line_numbers:
+        fields.append(_numbered_changes(lines).alias("changes"))
+    elif with_changes:
         changes = F.transform(
             F.filter(lines, lambda l: is_addition(l) | is_deletion(l) | is_context(l)),
             lambda l: F.struct(change_type(l).alias("change_type"), change_text(l).alias("line")))
@@ -156,21 +195,22 @@ def _stage_file(f: Column, no: Column, with_changes: bool) -> Column:
     return F.struct(*fields)
 
 
-def parse_files_col(diff, with_changes: bool = True) -> Column:
+def parse_files_col(diff, with_changes: bool = True, line_numbers: bool = False) -> Column:
     """B1-B10 as one expression: ``ARRAY<STRUCT<file_no, file_pos, path, ...>>``.
 
     ``file_pos`` is the 0-based section index; ``file_no`` is the 1-based rank
     among kept files (header matched, non-empty path). A section's hunk lines
-    are split once, for the counts and for ``changes`` (optional).
+    are split once, for the counts and for ``changes`` (optional), whose entries
+    carry ``line_number`` (NULL for deletions) with ``line_numbers``.
     """
     secs = F.filter(F.transform(sections(diff), _stage_section), lambda f: F.length(f["path"]) > 0)
-    return F.transform(secs, lambda f, i: _stage_file(f, i, with_changes))
+    return F.transform(secs, lambda f, i: _stage_file(f, i, with_changes, line_numbers))
 
 
 def parse_files(df: DataFrame, diff_col: str = "diff", out_col: str = "files",
-                with_changes: bool = True) -> DataFrame:
+                with_changes: bool = True, line_numbers: bool = True) -> DataFrame:
     """Add the parsed ``files`` array column (row-local, no shuffle)."""
-    return df.withColumn(out_col, parse_files_col(diff_col, with_changes))
+    return df.withColumn(out_col, parse_files_col(diff_col, with_changes, line_numbers))
 
 
 def explode_files(df: DataFrame, keys: list[str], files_col: str = "files") -> DataFrame:
