@@ -7,9 +7,11 @@ parses or checks a message. They are built here from that specification.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hunkline.operators.rank import position_within
+
 # Conventional Commits types named by the reference (10 in the
 # prompt, plus ``revert`` in the README), subject limit, and the bump mapping.
 COMMIT_TYPES = ("feat", "fix", "docs", "style", "refactor", "perf", "test", "chore", "build", "ci",
@@ -37,6 +39,56 @@ def next_version(df: DataFrame, version: str = "version", bump: str = "bump",
                                                 F.col(explicit)).when(valid, bumped))
 
 
+CHAIN_BLOCK = 10_000    # releases numbered by one task
+
+
+def version_chain(releases: DataFrame, start: str = "0.0.0", package: str = "package", order: str = "ordinal",
+                  bump: str = "bump", block: int = CHAIN_BLOCK) -> DataFrame:
+    """J2 -> J1: the version of each release, from ``start`` on. Within a package the
+    bumps are applied in ``order``: major resets minor and patch, minor resets patch,
+    ``none`` (or an unknown bump) keeps the version.
+
+    A segmented prefix: the releases of a package are cut into blocks of ``block``
+    positions, parts are counted since the block's last reset, block summaries (one row
+    per block) are carried along the package, and added to rows that have seen no reset in
+    their block. A package with a third of all releases is numbered by many tasks.
+    ``order`` must be a total order within the package.
+    """
+    base = [int(x) for x in start.split(".")]
+    b = F.coalesce(F.col(bump), F.lit("none"))
+    rows = position_within(releases, [package], [F.col(order)], out="_pos").withColumn("_block", F.floor((F.col("_pos") - 1) / block))
+    rows = rows.select("*", *[(b == name).cast("bigint").alias(f"_{name}") for name in ("major", "minor", "patch")])
+
+    def runs(df: DataFrame, part: list[str], by: str, out: str) -> DataFrame:
+        """Running (major, minor since a major, patch since either) by ``by`` in ``part``."""
+        def over(*more: str):
+            return Window.partitionBy(*part, *more).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+        df = df.withColumn(f"{out}major", F.sum("_major").over(over()))
+        df = df.withColumn(f"{out}minor", F.sum("_minor").over(over(f"{out}major")))
+        return df.withColumn(f"{out}patch", F.sum("_patch").over(over(f"{out}major", f"{out}minor")))
+
+    rows = runs(rows, [package, "_block"], "_pos", "_n")
+    last = F.max_by(F.struct("_nmajor", "_nminor", "_npatch"), "_pos")
+    ends = rows.groupBy(package, "_block").agg(last.alias("e"), F.max("_minor").alias("_any")).select(
+        package, "_block", F.col("e._nmajor").alias("_major"), F.col("e._nminor").alias("_minor"), F.col("e._npatch").alias("_patch"), "_any")
+    # a block's minors count since its last major, so a block with a major starts a
+    # stretch of its own; likewise patches and blocks with a major or a minor
+    along = Window.partitionBy(package).orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = (ends.withColumn("_smajor", F.sum("_major").over(along)).withColumn("_cmajor", F.sum(F.sign("_major")).over(along))
+            .withColumn("_creset", F.sum(F.when((F.col("_major") > 0) | (F.col("_any") > 0), 1).otherwise(0)).over(along)))
+    stretch_m = Window.partitionBy(package, "_cmajor").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stretch_p = Window.partitionBy(package, "_creset").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = (ends.withColumn("_sminor", F.sum("_minor").over(stretch_m) + F.when(F.col("_cmajor") == 0, base[1]).otherwise(0))
+            .withColumn("_spatch", F.sum("_patch").over(stretch_p) + F.when(F.col("_creset") == 0, base[2]).otherwise(0)))
+    carried = ends.select(package, (F.col("_block") + 1).alias("_block"), F.col("_smajor").alias("_bmajor"), F.col("_sminor").alias("_bminor"), F.col("_spatch").alias("_bpatch"))
+    j = rows.join(carried, [package, "_block"], "left")
+    major = F.col("_nmajor") + F.coalesce("_bmajor", F.lit(0)) + base[0]
+    minor = F.col("_nminor") + F.when(F.col("_nmajor") == 0, F.coalesce("_bminor", F.lit(base[1]))).otherwise(0)
+    patch = F.col("_npatch") + F.when((F.col("_nmajor") == 0) & (F.col("_nminor") == 0), F.coalesce("_bpatch", F.lit(base[2]))).otherwise(0)
+    return j.select(*releases.columns, F.concat_ws(".", *[x.cast("bigint").cast("string") for x in (major, minor, patch)]).alias("version"))
+
+
 def subject_line(message) -> Column:
     c = F.col(message) if isinstance(message, str) else message
     return F.substring_index(c, "\n", 1)
