@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hunkline.functions import js_or, js_replace_first
+from hunkline.operators.lookup import lookup
 from hunkline.operators.rank import position_within
 
 # The reference's catalogue filters, priority list and fallback model.
@@ -37,24 +38,63 @@ def _any_contains(text: Column, tokens) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(t) for t in tokens], F.lit(False))
 
 
-MODELS_RESPONSE = ("STRUCT<models: ARRAY<STRUCT<name: STRING, displayName: STRING, "
-                   "description: STRING, supportedGenerationMethods: ARRAY<STRING>>>>")
+MODEL = "STRUCT<name: STRING, displayName: STRING, description: STRING, supportedGenerationMethods: ARRAY<STRING>>"
+
+# why a model-list response is turned down
+FAILED, MALFORMED, UNNAMED = "http_status", "malformed", "unnamed_model"
+
+
+def _no_list(models: Column) -> Column:
+    """A ``models`` value that counts as no list: missing, null, false, 0 or ''."""
+    text = F.col("_list_text")
+    return models.isNull() | F.is_variant_null(models) | text.isin("false", "0", "")
+
+
+def read_responses(df: DataFrame, json_col: str = "body", status_col: str | None = None,
+                   capability: str = CAPABILITY) -> DataFrame:
+    """A5: ``df`` with ``models`` (parsed list) and ``reject`` (NULL for a good
+    response). The reference fails the whole listing if the answer is not a success,
+    if the body is no JSON or the JSON ``null``, if ``models`` is something else than
+    a list, or if a model it would have to look at has no name; here such a
+    response is turned down whole, and the others are not affected. Any other JSON
+    without a list of models is an empty catalogue. Row-local; each body is parsed once."""
+    status = F.col(status_col) if status_col else F.lit(None).cast("int")
+    failed = status.isNotNull() & ~status.between(200, 299)
+    whole = df.withColumn("_json", F.when(~failed, F.try_parse_json(json_col)))
+    listed = whole.withColumn("_list", F.try_variant_get("_json", "$.models", "variant"))
+    listed = (listed.withColumn("_list_text", F.try_variant_get("_list", "$", "string"))
+              .withColumn("_array", F.schema_of_variant("_list").startswith("ARRAY")))
+    empty = _no_list(F.col("_list"))
+    typed = listed.withColumn("models", F.when(F.col("_array"), F.try_variant_get("_list", "$", f"ARRAY<{MODEL}>")))
+    nameless = F.exists("models", lambda m: m.isNull() | (F.coalesce(F.array_contains(m["supportedGenerationMethods"], capability), F.lit(False))
+                                                          & m["name"].isNull()))
+    reject = (F.when(failed, F.lit(FAILED))
+              .when(F.col("_json").isNull() | F.is_variant_null("_json"), F.lit(MALFORMED))
+              .when(F.col("models").isNull() & ~empty, F.lit(MALFORMED))
+              .when(F.coalesce(nameless, F.lit(False)), F.lit(UNNAMED)))
+    return typed.withColumn("reject", reject).drop("_json", "_list", "_list_text", "_array")
+
+
+def models_from_response(df: DataFrame, json_col: str = "body", keys: list[str] | None = None,
+                         status_col: str | None = None) -> DataFrame:
+    """A5: the models of all good responses, a row each."""
+    keys = keys or []
+    good = read_responses(df, json_col, status_col).filter(F.col("reject").isNull() & F.col("models").isNotNull())
+    return (good.select(*keys, F.inline("models"))
+            .select(*keys, "name", F.col("displayName").alias("display_name"), "description",
+                    F.col("supportedGenerationMethods").alias("methods")))
 
 
-def models_from_response(df: DataFrame, json_col: str = "body", keys: list[str] | None = None) -> DataFrame:
-    """A5: parse model-list responses (``{"models": [...]}``) with a fixed
-    schema; a response without ``models`` contributes no rows. Row-local."""
-    keys = keys or []
-    parsed = df.select(*keys, F.from_json(F.col(json_col), MODELS_RESPONSE).alias("r"))
-    return (parsed.select(*keys, F.inline(F.coalesce(F.col("r.models"), F.array().cast(
-        "array<struct<name:string,displayName:string,description:string,"
-        "supportedGenerationMethods:array<string>>>"))))
-                  .select(*keys, "name", F.col("displayName").alias("display_name"), "description",
-                          F.col("supportedGenerationMethods").alias("methods")))
+def response_rejects(df: DataFrame, json_col: str = "body", keys: list[str] | None = None,
+                     status_col: str | None = None) -> DataFrame:
+    """A5: the responses that were turned down, with the reason and the body as it came."""
+    status = [status_col] if status_col else []
+    return (read_responses(df, json_col, status_col).filter(F.col("reject").isNotNull())
+            .select(*(keys or []), *status, F.col("reject").alias("reason"), F.col(json_col).alias("body")))
 
 
 def rejects(catalog: DataFrame) -> DataFrame:
-    """Rows the reference cannot handle (no ``name``): routed aside, not fatal."""
+    """Rows of a catalogue table that have no ``name``: routed aside, not fatal."""
     return catalog.filter(F.col("name").isNull())
 
 
@@ -84,7 +124,7 @@ def model_order(models: DataFrame, group: str = "catalog_id") -> DataFrame:
 
 def mark_current(models: DataFrame, current: DataFrame, group: str = "catalog_id") -> DataFrame:
     """Flag the model equal to the catalogue's configured model (``current_model``)."""
-    j = models.join(current.select(group, "current_model"), group, "left")
+    j = lookup(models, current.select(group, "current_model"), group)
     return j.withColumn("is_current", F.coalesce(F.col("name") == F.col("current_model"), F.lit(False)))
 
 
@@ -95,15 +135,13 @@ def priority_table(spark: SparkSession, names=PRIORITY) -> DataFrame:
 
 
 def best_model(models: DataFrame, catalogs: DataFrame, priority: DataFrame,
-               group: str = "catalog_id", broadcast_priority: bool = False) -> DataFrame:
+               group: str = "catalog_id") -> DataFrame:
     """Per catalogue, the best-ranked priority name present, else the
     first model in locale order, else (empty catalogue) the fallback constant.
-
-    ``priority`` is broadcast only when the caller vouches for its size (the
-    built-in list has 17 rows); otherwise the optimizer and AQE choose.
+    The models are not shuffled to meet ``priority`` (a measured lookup; the
+    built-in list has 17 rows), only their partial aggregates are.
     """
-    pri = F.broadcast(priority) if broadcast_priority else priority
-    j = models.join(pri, "name", "left")
+    j = lookup(models, priority, "name")
     big = F.lit(2 ** 62).cast("bigint")
     pick = (j.groupBy(group)
              .agg(F.min_by(F.col("name"), F.struct(F.coalesce(F.col("priority_rank"), big),

@@ -2,9 +2,9 @@
 
 ``repos(workspace, repo_pos, root_uri, ...)`` lists the repositories open in
 each workspace; ``requests(request_id, workspace, requested_uri NULL)`` are
-generate-commands. Matching is two equi-joins against per-workspace
-aggregates (partial aggregation map-side), never a request x repository
-product.
+generate-commands. Matching is two lookups in per-workspace aggregates
+(partial aggregation map-side), never a request x repository product; the
+requests themselves are not shuffled while the aggregates are of a measured size.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hunkline.operators.lookup import lookup
+
 MATCHED, SINGLE, AMBIGUOUS, NONE = "matched", "single_fallback", "ambiguous", "none"
 
 
@@ -26,16 +28,10 @@ def workspace_summary(repos: DataFrame) -> DataFrame:
 def match_repository(requests: DataFrame, repos: DataFrame) -> DataFrame:
     """No repos -> none; an exactly equal URI -> the first such repo;
     else exactly one repo -> it; else ambiguous (the caller asks the user)."""
-    firsts = (repos.groupBy("workspace", "root_uri")
+    firsts = (repos.groupBy("workspace", F.col("root_uri").alias("requested_uri"))
                    .agg(F.min("repo_pos").alias("match_pos")))
-    firsts = firsts.withColumnRenamed("root_uri", "requested_uri")
-    # requests without a URI cannot match: keep them out of the URI join so a
-    # workspace's many NULL-URI requests do not all hash to one partition
-    with_uri = requests.filter(F.col("requested_uri").isNotNull())
-    without = requests.filter(F.col("requested_uri").isNull()).withColumn(
-        "match_pos", F.lit(None).cast(firsts.schema["match_pos"].dataType))
-    j = (with_uri.join(firsts, ["workspace", "requested_uri"], "left").unionByName(without)
-                 .join(workspace_summary(repos), "workspace", "left"))
+    # requests stay where they are; a request without a URI equals no repository
+    j = lookup(lookup(requests, firsts, ["workspace", "requested_uri"]), workspace_summary(repos), "workspace")
     n = F.coalesce(F.col("n_repos"), F.lit(0))
     outcome = (F.when(n == 0, F.lit(NONE))
                 .when(F.col("match_pos").isNotNull(), F.lit(MATCHED))
@@ -56,7 +52,7 @@ def repo_candidates(matches: DataFrame, repos: DataFrame) -> DataFrame:
     number of requests waiting on that list."""
     waiting = (matches.filter(F.col("outcome") == AMBIGUOUS)
                       .groupBy("workspace").agg(F.count(F.lit(1)).alias("n_waiting")))
-    return (repos.join(waiting, "workspace", "inner")
+    return (lookup(repos, waiting, "workspace").filter(F.col("n_waiting").isNotNull())
                  .select("workspace", "repo_pos", F.substring_index("root_uri", "/", -1).alias("label"),
                          F.col("root_uri").alias("full_path"), "n_waiting"))
 
@@ -64,7 +60,7 @@ def repo_candidates(matches: DataFrame, repos: DataFrame) -> DataFrame:
 def default_repository(workspaces: DataFrame, repos: DataFrame) -> DataFrame:
     """D3: the repository at position 0 of each workspace (NULL when none)."""
     s = workspace_summary(repos)
-    return (workspaces.join(s, "workspace", "left")
+    return (lookup(workspaces, s, "workspace")
                       .select("workspace", F.col("first_uri").alias("root_uri"),
                               F.coalesce(F.col("n_repos"), F.lit(0)).cast("bigint").alias("n_repos")))
 

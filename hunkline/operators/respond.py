@@ -156,10 +156,18 @@ def with_retry_model(errors: DataFrame, best: DataFrame, key: str = "catalog_id"
         F.col("best_model"), F.lit("gemini-flash-latest")))).drop("best_model")
 
 
-def retry_plan(errors: DataFrame, best: DataFrame, key: str = "catalog_id") -> DataFrame:
-    """G4 as a table of retry requests."""
-    return (with_retry_model(errors.filter(F.col("retry")), best, key)
-            .select("request_id", F.col("model").alias("failed_model"), "retry_model"))
+def retry_plan(errors: DataFrame, best: DataFrame, key: str = "catalog_id", prompts: DataFrame | None = None,
+               prompt_key: str = "changeset_id") -> DataFrame:
+    """G4 as a table of retry requests. With ``prompts`` (one row per ``prompt_key``,
+    which ``errors`` carry too) each request comes with the prompt it failed with,
+    rendered again from the same change-set; NULL if that is unknown. Only the
+    requests to retry meet the prompts."""
+    plan = with_retry_model(errors.filter(F.col("retry")), best, key)
+    columns = [F.col("request_id"), F.col("model").alias("failed_model"), F.col("retry_model")]
+    if prompts is None:
+        return plan.select(*columns)
+    return (plan.select(*columns, prompt_key).join(prompts.select(prompt_key, "prompt"), prompt_key, "left")
+            .select("request_id", "failed_model", "retry_model", prompt_key, "prompt"))
 
 
 FAILED_TEXT = "The model returned no message"

@@ -8,50 +8,17 @@ CHANGESETS = T.StructType([
     T.StructField("diff", T.StringType()),
 ])
 
-CHANGE = T.StructType([
-    T.StructField("change_type", T.StringType()),
-    T.StructField("line", T.StringType()),
-])
-
-DIFF_STATS = T.StructType([
-    T.StructField("total_files", T.LongType()),
-    T.StructField("total_additions", T.LongType()),
-    T.StructField("total_deletions", T.LongType()),
-    T.StructField("total_changes", T.LongType()),
-    T.StructField("estimated_tokens", T.LongType()),
-])
-
-MODEL_CATALOG = T.StructType([
-    T.StructField("name", T.StringType()),
-    T.StructField("display_name", T.StringType()),
-    T.StructField("description", T.StringType()),
-    T.StructField("methods", T.ArrayType(T.StringType())),
-])
-
-RESPONSES = T.StructType([
-    T.StructField("request_id", T.StringType()),
-    T.StructField("model", T.StringType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("error_message", T.StringType()),
-    T.StructField("status", T.IntegerType()),
-    T.StructField("response_status", T.IntegerType()),
-    T.StructField("response_error_message", T.StringType()),
-    T.StructField("details", T.StringType()),
-])
-
-SETTINGS = T.StructType([
+# the message sink: ``slot`` tells answers without a repository apart
+SINK = T.StructType([
     T.StructField("repo", T.StringType()),
-    T.StructField("language", T.StringType()),
-    T.StructField("model", T.StringType()),
-    T.StructField("token_limit", T.LongType()),
-])
-
-REPOS = T.StructType([
-    T.StructField("workspace", T.StringType()),
-    T.StructField("repo_pos", T.IntegerType()),
-    T.StructField("root_uri", T.StringType()),
-    T.StructField("n_index_changes", T.IntegerType()),
-    T.StructField("n_working_changes", T.IntegerType()),
+    T.StructField("changeset_id", T.StringType()),
+    T.StructField("slot", T.StringType()),
+    T.StructField("request_id", T.StringType()),
+    T.StructField("outcome", T.StringType()),
+    T.StructField("error_class", T.StringType()),
+    T.StructField("model_used", T.StringType()),
+    T.StructField("message", T.StringType()),
+    T.StructField("bucket", T.IntegerType()),
 ])
 
 # driver tables (only the columns we read)
