@@ -11,10 +11,100 @@ from __future__ import annotations
 
 import re
 
-from hunkline.operators import prompt as P
-
 NL = "chr(10)"
 
+# --- what the prompts, notices and error texts must say, stated here once more: a text
+# that changes in an operator alone is a mismatch
+
+RULES = """
+You write commit messages in the Conventional Commits 1.0.0 format.
+
+Read the code changes themselves, not only the file names, and say what they do.
+
+## Message layout
+<type>[optional scope]: <subject>
+
+<one or two sentences on what changed>
+
+- <main change>
+- <further change>
+
+## Types
+- feat: a new capability
+- fix: a bug fix
+- docs: documentation only
+- style: formatting without behaviour change
+- refactor: restructuring without behaviour change
+- perf: faster or leaner code
+- test: tests added or changed
+- chore: upkeep
+- build: build tooling or dependencies
+- ci: continuous integration
+
+## Rules
+1. Subject in the imperative, lower case, no final period, under 72 characters
+2. Body of at most two sentences, wrapped at 72 characters
+3. Bullets name concrete changes, without filler
+"""
+
+LANGUAGE_LINE = {
+    "en": "\n\nIMPORTANT: Write the commit message in ENGLISH.",
+    "es": "\n\nIMPORTANT: Write the commit message in SPANISH.",
+}
+
+LARGE_NOTE = ("\n\n## Large Commit Context\n"
+              "The diff was too long to send whole ({files} files, {changes} total changes), so what "
+              "follows is a COMPACT SUMMARY of it.")
+
+ASK = "\n\nWrite a CONCISE conventional commit message for this git diff:\n\n```diff\n"
+FENCE_END = "\n```\n"
+
+GUIDANCE_LARGE = ("\n\nA reader of the history wants two things from this message: the MAIN PURPOSE, in the "
+                  "subject, and the HIGH-LEVEL impact, in at most three bullets. Single edits do not matter here.")
+
+GUIDANCE_SMALL = ("\n\nFirst work out WHAT functions/components/features differ before and after, and the "
+                  "RELATIONSHIPS that make one edit need another. Then say it for someone who has not seen the diff.")
+
+CLOSING = "\n\nAnswer with the bare text of the message and nothing around it."
+
+# user notices (H8)
+LARGE_NOTICE = "{files} files with {changes} changes: too much for one prompt, so a summary of them is sent."
+OVER_BUDGET_NOTICE = "Prompt size is {tokens} tokens; the limit set for this repository is {limit}."
+
+DEFAULT_DETAILS = {"en": "One of the request's settings was not accepted.",
+                   "es": "Algún ajuste de la petición no fue aceptado."}
+
+# User texts per class and language (our own wording).
+ERROR_TEXT = {
+    "en": {
+        "invalid_key": "The service does not accept the key of this workspace ({msg}). Enter another one.",
+        "permission_denied": "The key of this workspace may not call {model} ({msg}).",
+        "rate_limited": "Too much was asked of the service for now ({msg}). Wait a while, or use another key.",
+        "model_not_found": "Neither {model} nor its replacement answered. Pick a model from the catalogue.",
+        "invalid_argument": "The service refused the request ({msg}). {details}",
+        "connection": "Connection error: the service could not be reached ({msg}).",
+        "other": "The service answered with an error.\nMessage: {msg}\n{status_line}{details_line}",
+    },
+    "es": {
+        "invalid_key": "El servicio no acepta la clave de este espacio ({msg}). Introduce otra.",
+        "permission_denied": "La clave de este espacio no puede llamar a {model} ({msg}).",
+        "rate_limited": "Por ahora se ha pedido demasiado al servicio ({msg}). Espera un rato o usa otra clave.",
+        "model_not_found": "No respondieron ni {model} ni su sustituto. Elige un modelo del catálogo.",
+        "invalid_argument": "El servicio rechazó la petición ({msg}). {details}",
+        "connection": "Error de conexión: no se pudo llegar al servicio ({msg}).",
+        "other": "El servicio respondió con un error.\nMensaje: {msg}\n{status_line}{details_line}",
+    },
+}
+STATUS_LINE = {"en": "Status: {status}\n", "es": "Estado: {status}\n"}
+DETAILS_LINE = {"en": "Details: {details}", "es": "Detalles: {details}"}
+
+# fixture errors
+ERROR_MESSAGES = ("API_KEY_INVALID: the key was rejected", "PERMISSION_DENIED: caller lacks access",
+                  "RESOURCE_EXHAUSTED: too many requests", "daily quota exceeded",
+                  "MODEL_NOT_FOUND: no such model", "INVALID_ARGUMENT: bad generation config",
+                  "network error: ECONNREFUSED", "")
+ERROR_STATUSES = (400, 403, 429, 404, 500, 0, None)
+
 # JavaScript trim's whitespace set, as an RE2 class (same fixed values as jsstr.JS_SPACE)
 _NOT_JS_SPACE = (r"[^\x{9}-\x{D}\x{20}\x{A0}\x{1680}\x{2000}-\x{200A}"
                  r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]")
@@ -204,11 +294,11 @@ def fill(template: str, **cols: str) -> str:
     return " || ".join(out)
 
 
-PROMPT_SQL = (f"{lit(P.RULES)} || CASE WHEN language = 'es' THEN {lit(P.LANGUAGE_LINE['es'])} "
-              f"ELSE {lit(P.LANGUAGE_LINE['en'])} END || CASE WHEN was_compacted THEN "
-              f"{fill(P.LARGE_NOTE, files='total_files', changes='total_changes')} ELSE '' END || "
-              f"{lit(P.ASK)} || content || {lit(P.FENCE_END)} || CASE WHEN was_compacted THEN "
-              f"{lit(P.GUIDANCE_LARGE)} ELSE {lit(P.GUIDANCE_SMALL)} END || {lit(P.CLOSING)}")
+PROMPT_SQL = (f"{lit(RULES)} || CASE WHEN language = 'es' THEN {lit(LANGUAGE_LINE['es'])} "
+              f"ELSE {lit(LANGUAGE_LINE['en'])} END || CASE WHEN was_compacted THEN "
+              f"{fill(LARGE_NOTE, files='total_files', changes='total_changes')} ELSE '' END || "
+              f"{lit(ASK)} || content || {lit(FENCE_END)} || CASE WHEN was_compacted THEN "
+              f"{lit(GUIDANCE_LARGE)} ELSE {lit(GUIDANCE_SMALL)} END || {lit(CLOSING)}")
 
 PROMPTS_CTE = f"""
 pc AS (
@@ -316,21 +406,20 @@ def _error_classes_sql() -> str:
 
 
 def _user_text_sql() -> str:
-    from hunkline.operators import respond as R
     whens = []
     for lang in ("es", "en"):
         for name in [r[0] for r in CLASSES] + [OTHER]:
             cond = f"error_class = {lit(name)}" + (" AND language = 'es'" if lang == "es" else "")
-            tpl = R.ERROR_TEXT[lang][name]
+            tpl = ERROR_TEXT[lang][name]
             if name == OTHER:
                 status_line = (f"CASE WHEN coalesce(error_status, 0) <> 0 THEN "
-                               f"{fill(R.STATUS_LINE[lang], status='error_status')} ELSE '' END")
+                               f"{fill(STATUS_LINE[lang], status='error_status')} ELSE '' END")
                 details_line = (f"CASE WHEN length(coalesce(error_details, '')) > 0 THEN "
-                                f"{fill(R.DETAILS_LINE[lang], details='error_details')} ELSE '' END")
+                                f"{fill(DETAILS_LINE[lang], details='error_details')} ELSE '' END")
                 t = fill(tpl, msg="error_text", status_line=status_line, details_line=details_line)
             elif name == "invalid_argument":
                 t = fill(tpl, msg="error_text",
-                         details=f"coalesce(nullif(error_details, ''), {lit(R.DEFAULT_DETAILS[lang])})")
+                         details=f"coalesce(nullif(error_details, ''), {lit(DEFAULT_DETAILS[lang])})")
             else:
                 t = fill(tpl, msg="error_text", model="model")
             whens.append(f"WHEN {cond} THEN {t}")
@@ -338,7 +427,6 @@ def _user_text_sql() -> str:
 
 
 def _errors_cte() -> str:
-    from hunkline.sources.fixtures import ERROR_MESSAGES, ERROR_STATUSES
     msgs = "[" + ", ".join(lit(m) for m in ERROR_MESSAGES) + "]"
     sts = "[" + ", ".join("NULL" if x is None else str(x) for x in ERROR_STATUSES) + "]"
     return f"""
@@ -354,8 +442,20 @@ e1 AS (
          CASE WHEN event_type = 'click' THEN 'retry later' WHEN event_type = 'signup' THEN '' END AS details,
          CASE WHEN user_id % 5 = 0 THEN 'es' ELSE 'en' END AS language,
          'Brand#' || CAST(user_id % 25 + 1 AS VARCHAR) AS catalog_id,
-         CASE WHEN k % 2 = 0 THEN ' "fix: regenerated answer for request ' || CAST(event_id AS VARCHAR) || '" '
-              END AS retry_text
+         CASE WHEN k % 2 = 0 THEN ' "' || CASE
+           WHEN event_id % 16 = 0 AND event_id // 1000 % 3 = 0 THEN 'feat: handle request ' || CAST(event_id AS VARCHAR)
+           WHEN event_id % 16 = 1 AND event_id // 1000 % 3 = 0 THEN 'feat(api)!: replace the handling of request ' || CAST(event_id AS VARCHAR)
+           WHEN event_id % 16 = 2 AND event_id // 1000 % 3 = 1 THEN 'fix(core): answer request ' || CAST(event_id AS VARCHAR)
+           WHEN event_id % 16 = 3 THEN 'docs: Describe request ' || CAST(event_id AS VARCHAR)
+           WHEN event_id % 16 = 4 THEN 'refactor(core): reorder the steps of request ' || CAST(event_id AS VARCHAR) || '.'
+           WHEN event_id % 16 = 5 THEN 'style: ' || repeat('wide ', 14) || CAST(event_id AS VARCHAR)
+           WHEN event_id % 16 = 6 THEN 'perf: speed up request ' || CAST(event_id AS VARCHAR) || {NL} || {NL} || repeat('long ', 16) || 'line'
+           WHEN event_id % 16 = 7 THEN 'chore: clean up request ' || CAST(event_id AS VARCHAR) || {NL} || {NL} || 'Short body.' || {NL} || '- one point'
+           WHEN event_id % 16 = 8 THEN 'feature: a type of its own for request ' || CAST(event_id AS VARCHAR)
+           WHEN event_id % 16 = 9 THEN 'request ' || CAST(event_id AS VARCHAR) || ' without a type'
+           WHEN event_id % 16 = 10 THEN 'revert!: undo request ' || CAST(event_id AS VARCHAR)
+           WHEN event_id // 1000 % 3 = 2 THEN 'test: cover request ' || CAST(event_id AS VARCHAR)
+           ELSE 'fix: regenerated answer for request ' || CAST(event_id AS VARCHAR) END || '" ' END AS retry_text
   FROM e0),
 e2 AS (
   SELECT *, coalesce(nullif(error_message, ''), 'Error') AS error_text,
@@ -482,6 +582,14 @@ SELECT d.changeset_id, CAST(d.file_no AS INT) AS file_no, CAST(d.mode_n + 5 + l.
        CASE WHEN l.is_add THEN 'addition' WHEN l.is_del THEN 'deletion' ELSE 'context' END AS change_type,
        l.t AS line
 FROM lm l JOIN docs d USING (doc_id)
+WHERE l.is_add OR l.is_del OR (NOT l.is_binary AND l.mark = ' ')"""),
+    "change_line_numbers": with_docs("""
+SELECT d.changeset_id, CAST(d.file_no AS INT) AS file_no,
+       CAST(row_number() OVER (PARTITION BY l.doc_id ORDER BY l.i) - 1 AS INT) AS k,
+       CASE WHEN l.is_add THEN 'addition' WHEN l.is_del THEN 'deletion' ELSE 'context' END AS change_type, l.t AS line,
+       CASE WHEN NOT l.is_del THEN CAST((CASE WHEN d.kind = 'deleted' THEN 0 ELSE d.new_start END)
+         + count(*) FILTER (WHERE NOT l.is_del) OVER (PARTITION BY l.doc_id ORDER BY l.i) - 1 AS BIGINT) END AS line_number
+FROM lm l JOIN docs d USING (doc_id)
 WHERE l.is_add OR l.is_del OR (NOT l.is_binary AND l.mark = ' ')"""),
     "line_numbers": with_docs("""
 SELECT d.changeset_id, CAST(d.file_no AS INT) AS file_no, CAST(d.mode_n + 5 + l.i AS INT) AS line_pos,
@@ -540,14 +648,24 @@ SELECT changeset_id, language, was_compacted, md5(prompt) AS prompt_md5,
        CAST({utf16_len('prompt')} AS BIGINT) AS prompt_units
 FROM pr""", extra=SETTINGS_CTE + "," + PROMPTS_CTE),
     "token_gate": with_docs(f"""
-SELECT changeset_id, prompt_tokens, token_limit,
+, ex AS (
+  SELECT lang || '/' || source || '#' || CAST(doc_id // 1000 AS VARCHAR) AS changeset_id,
+         CAST(sum(length(text)) // 5 AS BIGINT) AS exact_tokens
+  FROM documents WHERE CAST(regexp_extract(source, '(\\d+)', 1) AS INT) % 2 = 0 GROUP BY 1),
+pe AS (SELECT pt.* EXCLUDE (prompt_tokens), exact_tokens, coalesce(exact_tokens, prompt_tokens) AS prompt_tokens FROM pt LEFT JOIN ex USING (changeset_id))
+SELECT changeset_id, exact_tokens, prompt_tokens, token_limit,
        CASE WHEN prompt_tokens > token_limit THEN 'over_budget' ELSE 'ok' END AS gate,
        CASE WHEN prompt_tokens > token_limit THEN
-         {fill(P.OVER_BUDGET_NOTICE, tokens="format('{:,}', prompt_tokens)", limit="format('{:,}', token_limit)")}
+         {fill(OVER_BUDGET_NOTICE, tokens="format('{:,}', prompt_tokens)", limit="format('{:,}', token_limit)")}
        END AS notice,
-       CASE WHEN was_compacted THEN {fill(P.LARGE_NOTICE, files='total_files', changes='total_changes')}
+       CASE WHEN was_compacted THEN {fill(LARGE_NOTICE, files='total_files', changes='total_changes')}
        END AS large_notice
-FROM pt""", extra=SETTINGS_CTE + "," + PROMPTS_CTE),
+FROM pe""", extra=SETTINGS_CTE + "," + PROMPTS_CTE),
+    "model_rejects": """
+SELECT DISTINCT p_brand AS catalog_id, p_partkey // 100 AS page, CAST(1 AS INT) AS attempt,
+       CAST(CASE WHEN p_partkey // 100 % 4 = 2 THEN 500 ELSE 200 END AS INT) AS status,
+       CASE p_partkey // 100 % 4 WHEN 1 THEN 'malformed' WHEN 2 THEN 'http_status' ELSE 'unnamed_model' END AS reason
+FROM part WHERE p_partkey // 100 % 4 > 0""",
     "model_eligible": ELIGIBLE_CTE + """
 SELECT catalog_id, name, display_name, description FROM el""",
     "model_order": ELIGIBLE_CTE + """
@@ -566,9 +684,14 @@ SELECT catalog_id, best_model, source, n_eligible FROM best""",
 SELECT request_id, message, has_message FROM ans""",
     "classify_errors": ERRORS_CTE + """
 SELECT request_id, error_class, error_status, retry, user_text FROM err""",
-    "retry_plan": ELIGIBLE_CTE + BEST_CTE + "," + ERRORS_CTE[len("WITH "):] + """
-SELECT request_id, model AS failed_model, coalesce(best.best_model, 'gemini-flash-latest') AS retry_model
-FROM err LEFT JOIN best USING (catalog_id) WHERE retry""",
+    "retry_plan": with_docs(f"""
+, tg AS (
+  SELECT 'e' || CAST(event_id AS VARCHAR) AS request_id, lang || '/' || source || '#' || CAST(doc_id // 1000 AS VARCHAR) AS changeset_id
+  FROM events LEFT JOIN documents ON doc_id = event_id // 9)
+SELECT request_id, model AS failed_model, coalesce(best.best_model, 'gemini-flash-latest') AS retry_model, changeset_id,
+       md5(prompt) AS prompt_md5, CAST({utf16_len('prompt')} AS BIGINT) AS prompt_units
+FROM err LEFT JOIN best USING (catalog_id) LEFT JOIN tg USING (request_id) LEFT JOIN pr USING (changeset_id)
+WHERE retry""", extra=SETTINGS_CTE + "," + PROMPTS_CTE + "," + (ELIGIBLE_CTE + BEST_CTE).strip()[len("WITH "):] + "," + ERRORS_CTE.strip()[len("WITH "):]),
     "final_outcomes": FINAL_CTE + "\nSELECT request_id, outcome, error_class, model_used, final_text FROM fo",
     "match_repository": REPOS_CTE + """
 SELECT request_id, workspace, requested_uri, CAST(n AS BIGINT) AS n_repos, outcome,
@@ -670,11 +793,37 @@ FROM rk GROUP BY repo, diff_sha, CASE WHEN repo IS NULL OR diff_sha IS NULL THEN
   time_bucket(INTERVAL '10 minutes', ts)"""),
     "scan_diff_files": with_docs(f"""
 SELECT changeset_id, total_files, total_additions, total_deletions,
-       CAST({utf16_len('diff')} + 1 AS BIGINT) AS diff_units
+       CAST({utf16_len('diff')} AS BIGINT) AS diff_units
 FROM css"""),
+    "release_versions": FINAL_CTE + """
+, rb AS (
+  SELECT split_part(release, '-', 1) AS package, CAST(split_part(release, '-', 2) AS BIGINT) AS ordinal,
+         CASE WHEN count(*) FILTER (WHERE commit_type = 'feat') > 0 THEN 'minor'
+              WHEN count(*) FILTER (WHERE commit_type = 'fix') > 0 THEN 'patch' ELSE 'none' END AS bump
+  FROM pj GROUP BY release),
+rm AS (SELECT *, count(*) FILTER (WHERE bump = 'minor') OVER (PARTITION BY package ORDER BY ordinal) AS minors FROM rb),
+rv AS (SELECT *, count(*) FILTER (WHERE bump = 'patch') OVER (PARTITION BY package, minors ORDER BY ordinal) AS patches FROM rm)
+SELECT package, ordinal, bump, '1.' || CAST(4 + minors AS VARCHAR) || '.'
+       || CAST(CASE WHEN minors = 0 THEN 2 ELSE 0 END + patches AS VARCHAR) AS version
+FROM rv""",
     "message_sink": FINAL_CTE + """
-SELECT request_id, final_text AS message, model_used
-FROM fo WHERE outcome = 'message' AND length(coalesce(final_text, '')) > 0""",
+, tg AS (
+  SELECT 'e' || CAST(event_id AS VARCHAR) AS request_id, 1 AS pass, event_id AS n, 0 AS turn, lang, source, doc_id
+  FROM events LEFT JOIN documents ON doc_id = event_id // 9
+  UNION ALL
+  SELECT 'c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR), 0, conv_id, turn, lang, source, doc_id
+  FROM conversations LEFT JOIN documents ON doc_id = conv_id * 11 WHERE role = 'assistant'),
+tr AS (SELECT request_id, pass, n, turn, lang || '/' || source AS repo,
+              lang || '/' || source || '#' || CAST(doc_id // 1000 AS VARCHAR) AS changeset_id FROM tg),
+bx AS (
+  SELECT fo.* EXCLUDE (outcome), repo, changeset_id,
+         CASE WHEN repo IS NULL THEN 'no_repository' WHEN outcome = 'message' AND length(coalesce(final_text, '')) > 0 THEN 'message'
+              ELSE 'rejected' END AS outcome,
+         row_number() OVER (PARTITION BY repo, changeset_id, CASE WHEN repo IS NULL THEN request_id END
+                            ORDER BY pass DESC, n DESC, turn DESC) AS r
+  FROM fo JOIN tr USING (request_id))
+SELECT repo, changeset_id, request_id, outcome, error_class, model_used, CASE WHEN outcome = 'message' THEN final_text END AS message
+FROM bx WHERE r = 1""",
     "model_catalog_json": """
 SELECT p_brand AS catalog_id, 'models/' || replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR) AS name,
        CASE WHEN (p_partkey // 3) % 3 = 0 THEN NULL WHEN (p_partkey // 3) % 3 = 1 THEN '' ELSE p_brand END

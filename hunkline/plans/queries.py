@@ -17,15 +17,16 @@ from hunkline.operators.compact import (
     BLOCK_FIELDS, DEFAULT_LINES, ROUTED_LINES, file_block, meaningful, process_diffs, stats_line,
     status_label, status_line, summary_col, with_meaningful,
 )
-from hunkline.operators.lines import all_section_lines, hunks, numbered_lines
+from hunkline.operators.lines import all_section_lines, change_lines, file_hunks, numbered_lines
 from hunkline.operators.parse import parse_files, parse_files_col, sections
 from hunkline.operators.stats import (
     MAX_CHANGES, MAX_FILES, MAX_TOKENS, rollup_by, with_is_large, with_stats,
 )
 from hunkline.operators.catalog import (
-    best_model, eligible_models, mark_current, model_order, models_from_response,
+    best_model, eligible_models, mark_current, model_order, models_from_response, response_rejects,
 )
-from hunkline.operators.release import conformance, next_version, parse_subject, release_bump
+from hunkline.operators.lookup import lookup
+from hunkline.operators.release import conformance, next_version, parse_subject, release_bump, version_chain
 from hunkline.operators.repos import (
     changeset_disposition, default_repository, match_repository, repo_candidates,
 )
@@ -34,16 +35,14 @@ from hunkline.operators.respond import (
 )
 from hunkline.operators.prompt import prompt_col, resolve_settings, token_gate
 from hunkline.sources.fixtures import (
-    DOC_BLOCK,
-    CATALOG_EXCLUDE, CATALOG_INCLUDE, answers_table, catalog_current, errors_table, catalog_priority, doc_changesets, doc_repos,
-    model_catalog, model_responses, order_changesets, part_changesets, releases_table, repos_table, requests_table, settings_table,
+    CATALOG_EXCLUDE, CATALOG_INCLUDE, answer_targets, answers_table, catalog_current, errors_table, catalog_priority,
+    doc_changesets, doc_repos, event_targets, exact_token_counts, model_catalog, model_responses, order_changesets, part_changesets, releases_table, repos_table, requests_table, settings_table,
     workspaces_table,
 )
-from hunkline.sources.diff_files import (
-    read_messages, scan_diff_files, write_diff_files, write_messages,
-)
+from hunkline.sources.diff_files import scan_diff_files, write_diff_files
 from hunkline.sources.diff_lines import diff_file_stats
 from hunkline.sources.tables import table
+from hunkline.sources.message_sink import read_messages, write_messages
 from hunkline.streaming.incremental import (
     PROCESSED_COLUMNS, dedupe_requests, process_stream, request_keys, scratch_path, staged_copy,
 )
@@ -143,14 +142,21 @@ def q_file_status(spark, sf_dir):
 @query("hunks")
 def q_hunks(spark, sf_dir):
     """Hunks with header position, parsed new-file start and counts."""
-    return hunks(numbered_lines(_docs(spark, sf_dir)))
+    return file_hunks(_docs(spark, sf_dir))
 
 
 @query("line_changes")
 def q_line_changes(spark, sf_dir):
     """Classified change lines (marker removed)."""
-    return (numbered_lines(_docs(spark, sf_dir)).filter(F.col("change_type").isNotNull())
-            .select("changeset_id", "file_no", "line_pos", "change_type", F.col("text").alias("line")))
+    return change_lines(_docs(spark, sf_dir))
+
+
+@query("change_line_numbers")
+def q_change_line_numbers(spark, sf_dir):
+    """Every entry of the nested result's ``changes``, with its line number."""
+    files = _docs(spark, sf_dir).select("changeset_id", F.inline(parse_files_col("diff", True, line_numbers=True)))
+    return (files.select("changeset_id", "file_no", F.posexplode("changes").alias("k", "c"))
+            .select("changeset_id", "file_no", "k", "c.change_type", "c.line", "c.line_number"))
 
 
 @query("line_numbers")
@@ -249,7 +255,7 @@ def q_file_blocks(spark, sf_dir):
 @query("compact_summary")
 def q_compact_summary(spark, sf_dir):
     """H4: the whole compact summary of every change-set (N = 20)."""
-    s = with_stats(parse_files(_docs(spark, sf_dir), with_changes=True))
+    s = with_stats(parse_files(_docs(spark, sf_dir), line_numbers=False))
     summ = summary_col(F.col("files"), F.col("total_files"), F.col("total_additions"),
                        F.col("total_deletions"), DEFAULT_LINES)
     return s.select("changeset_id", F.md5(summ).alias("summary_md5"),
@@ -269,12 +275,9 @@ def q_resolve_settings(spark, sf_dir):
 
 
 def _prompts(spark, sf_dir):
-    """Prompts for every change-set. Settings are joined on the narrow key
-    table first and brought back by ``changeset_id`` (the corpus's existing
-    partitioning), so the diff text itself is never shuffled for the join."""
-    cs = _docs(spark, sf_dir)
-    keys = cs.select("changeset_id", "repo").join(_resolved(spark, sf_dir), "repo", "left")
-    routed = process_diffs(cs).join(keys.drop("repo"), "changeset_id", "left")
+    """Prompts for every change-set. Settings come by a measured lookup of the
+    repository, so content is not shuffled for them."""
+    routed = lookup(process_diffs(_docs(spark, sf_dir)), _resolved(spark, sf_dir), "repo")
     return routed.withColumn("prompt", prompt_col("content", "language", "was_compacted",
                                                   "total_files", "total_changes"))
 
@@ -289,9 +292,10 @@ def q_build_prompts(spark, sf_dir):
 
 @query("token_gate")
 def q_token_gate(spark, sf_dir):
-    """Prompt tokens (estimate fallback) against the repo's limit."""
-    g = token_gate(_prompts(spark, sf_dir))
-    return g.select("changeset_id", "prompt_tokens", "token_limit", "gate", "notice", "large_notice")
+    """Prompt tokens (exact where known, else estimated) against the repo's limit."""
+    known = lookup(_prompts(spark, sf_dir), exact_token_counts(spark, sf_dir), "changeset_id")
+    g = token_gate(known, exact_col="exact_tokens")
+    return g.select("changeset_id", "exact_tokens", "prompt_tokens", "token_limit", "gate", "notice", "large_notice")
 
 
 # --- model catalogue (I1-I6, F3, F4) --------------------------------------------------------
@@ -303,11 +307,18 @@ def _eligible(spark, sf_dir):
 @query("model_catalog_json")
 def q_model_catalog_json(spark, sf_dir):
     """A5: models parsed back from JSON list responses (missing list -> none)."""
-    m = models_from_response(model_responses(spark, sf_dir), "body", ["catalog_id", "page"])
+    m = models_from_response(model_responses(spark, sf_dir), "body", ["catalog_id", "page"], "status")
     return m.select("catalog_id", "name", "display_name", "description",
                     F.size(F.coalesce("methods", F.array().cast("array<string>"))).alias("n_methods"))
 
 
+@query("model_rejects")
+def q_model_rejects(spark, sf_dir):
+    """A5: the responses that were turned down, and why."""
+    r = response_rejects(model_responses(spark, sf_dir), "body", ["catalog_id", "page", "attempt"], "status")
+    return r.select("catalog_id", "page", "attempt", "status", "reason")
+
+
 @query("model_eligible")
 def q_model_eligible(spark, sf_dir):
     """Capability and name filters, normalised names."""
@@ -356,8 +367,13 @@ def _best_per_catalog(spark, sf_dir):
 
 @query("retry_plan")
 def q_retry_plan(spark, sf_dir):
-    """Model-not-found requests retried with their catalogue's best model."""
-    return retry_plan(classify_errors(errors_table(spark, sf_dir)), _best_per_catalog(spark, sf_dir))
+    """Model-not-found requests retried with their catalogue's best model and
+    the prompt they failed with."""
+    errors = classify_errors(errors_table(spark, sf_dir)).join(
+        event_targets(spark, sf_dir).select("request_id", "changeset_id"), "request_id", "left")
+    plan = retry_plan(errors, _best_per_catalog(spark, sf_dir), prompts=_prompts(spark, sf_dir))
+    return plan.select("request_id", "failed_model", "retry_model", "changeset_id", F.md5("prompt").alias("prompt_md5"),
+                       utf16_length("prompt").alias("prompt_units"))
 
 
 @query("final_outcomes")
@@ -443,6 +459,15 @@ def q_release_bump(spark, sf_dir):
         "release", "n_commits", "bump")
 
 
+@query("release_versions")
+def q_release_versions(spark, sf_dir):
+    """J2 -> J1: the version of every release, bump after bump."""
+    bumps = release_bump(parse_subject(_final_messages(spark, sf_dir)))
+    releases = bumps.select(F.substring_index("release", "-", 1).alias("package"),
+                            F.substring_index("release", "-", -1).cast("bigint").alias("ordinal"), "bump")
+    return version_chain(releases, start="1.4.2").select("package", "ordinal", "bump", "version")
+
+
 # --- streaming (K1, K2), diff-file source (A2), message sink (A4) ---------------------------
 
 @query("stream_process")
@@ -458,13 +483,8 @@ def q_stream_process(spark, sf_dir):
 def _requests(spark, sf_dir):
     """Requests from events: each asks for the change-set of one document, so all
     change-sets are asked for; the last events ask for unknown ones."""
-    e = table(spark, sf_dir, "events")
-    of_doc = table(spark, sf_dir, "documents").select(
-        "doc_id", F.concat("lang", F.lit("/"), "source", F.lit("#"),
-                           F.floor(F.col("doc_id") / DOC_BLOCK).cast("string")).alias("changeset_id"))
-    req = (e.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("request_id"), "ts",
-                    F.floor(F.col("event_id") / 9).alias("doc_id"))
-            .join(of_doc, "doc_id", "left").select("request_id", "ts", "changeset_id"))
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("request_id"), "ts")
+    req = event_targets(spark, sf_dir).join(e, "request_id").select("request_id", "ts", "changeset_id")
     return request_keys(req, _docs(spark, sf_dir))
 
 
@@ -501,7 +521,13 @@ def q_scan_diff_lines(spark, sf_dir):
 
 @query("message_sink")
 def q_message_sink(spark, sf_dir):
-    """A4: final messages written to the sink (rejects apart); returns the sink."""
+    """A4: final outcomes written to the sink of message boxes, the conversations'
+    answers first, the events' after them; returns the sink."""
     path = scratch_path(spark, "messages")
-    write_messages(q_final_outcomes(spark, sf_dir), path)
-    return read_messages(spark, path).select("request_id", "message", "model_used")
+    outcomes = q_final_outcomes(spark, sf_dir)
+    number = [F.regexp_extract("request_id", r"^[ce](\d+)(?:-(\d+))?", i).try_cast("bigint") for i in (1, 2)]
+    for prefix, targets in (("c", answer_targets(spark, sf_dir)), ("e", event_targets(spark, sf_dir))):
+        mine = outcomes.filter(F.col("request_id").startswith(prefix)).join(targets, "request_id", "left")
+        write_messages(mine.withColumn("seq", F.struct(*number)), path)
+    return read_messages(spark, path, outcome=None).select(
+        "repo", "changeset_id", "request_id", "outcome", "error_class", "model_used", "message")

@@ -272,11 +272,61 @@ def errors_table(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("event_type") == "signup", F.lit("")).alias("details"),
         F.when(F.col("user_id") % 5 == 0, F.lit("es")).otherwise(F.lit("en")).alias("language"),
         F.concat(F.lit("Brand#"), (F.col("user_id") % 25 + 1).cast("string")).alias("catalog_id"),
-        F.when(F.col("k") % 2 == 0, F.concat(F.lit(' "fix: regenerated answer for request '),
-                                             F.col("event_id").cast("string"), F.lit('" ')))
+        F.when(F.col("k") % 2 == 0, F.concat(F.lit(' "'), _retry_message(F.col("event_id")), F.lit('" ')))
          .alias("retry_text")))
 
 
+def _retry_message(event_id: Column) -> Column:
+    """Answers of retries, by event: every rule of the message format is kept by some
+    and broken by others. A third of the releases (1,000 events) has features, a
+    third fixes, a third neither."""
+    n, v, third = event_id.cast("string"), event_id % 16, F.floor(event_id / 1000) % 3
+    return (F.when((v == 0) & (third == 0), F.concat(F.lit("feat: handle request "), n))
+            .when((v == 1) & (third == 0), F.concat(F.lit("feat(api)!: replace the handling of request "), n))
+            .when((v == 2) & (third == 1), F.concat(F.lit("fix(core): answer request "), n))
+            .when(v == 3, F.concat(F.lit("docs: Describe request "), n))
+            .when(v == 4, F.concat(F.lit("refactor(core): reorder the steps of request "), n, F.lit(".")))
+            .when(v == 5, F.concat(F.lit("style: "), F.repeat(F.lit("wide "), F.lit(14)), n))
+            .when(v == 6, F.concat(F.lit("perf: speed up request "), n, F.lit("\n\n"), F.repeat(F.lit("long "), F.lit(16)), F.lit("line")))
+            .when(v == 7, F.concat(F.lit("chore: clean up request "), n, F.lit("\n\nShort body.\n- one point")))
+            .when(v == 8, F.concat(F.lit("feature: a type of its own for request "), n))
+            .when(v == 9, F.concat(F.lit("request "), n, F.lit(" without a type")))
+            .when(v == 10, F.concat(F.lit("revert!: undo request "), n))
+            .when(third == 2, F.concat(F.lit("test: cover request "), n))
+            .otherwise(F.concat(F.lit("fix: regenerated answer for request "), n)))
+
+
+def request_targets(spark: SparkSession, sf_dir: str, request_id: Column, doc_id: Column, source: DataFrame) -> DataFrame:
+    """(request_id, repo, changeset_id) of the rows of ``source``: each asks for the
+    change-set of one document; NULL where there is no such document."""
+    repo = F.concat(F.col("lang"), F.lit("/"), F.col("source"))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", repo.alias("repo"), F.concat(repo, F.lit("#"), F.floor(F.col("doc_id") / DOC_BLOCK).cast("string")).alias("changeset_id"))
+    return source.select(request_id.alias("request_id"), doc_id.alias("doc_id")).join(docs, "doc_id", "left").drop("doc_id")
+
+
+def event_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine events ask for each document, in order, so all change-sets are asked
+    for; the last events ask for unknown ones."""
+    return request_targets(spark, sf_dir, F.concat(F.lit("e"), F.col("event_id").cast("string")), F.floor(F.col("event_id") / 9),
+                           table(spark, sf_dir, "events").select("event_id"))
+
+
+def answer_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers of a conversation go to the change-set of one document, or of none."""
+    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    return request_targets(spark, sf_dir, F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")),
+                           F.col("conv_id") * 11, c.select("conv_id", "turn"))
+
+
+def exact_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(changeset_id, exact_tokens) for the change-sets whose source has an even number:
+    a count that only a tokenizer would know, here a fifth of their characters."""
+    d = table(spark, sf_dir, "documents").filter(F.regexp_extract("source", r"(\d+)", 1).cast("int") % 2 == 0)
+    changeset = F.concat("lang", F.lit("/"), "source", F.lit("#"), F.floor(F.col("doc_id") / DOC_BLOCK).cast("string"))
+    return d.groupBy(changeset.alias("changeset_id")).agg(F.floor(F.sum(F.length("text")) / 5).alias("exact_tokens"))
+
+
 def repos_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F_REPOS: workspace = nation, its repositories = its suppliers."""
     s = table(spark, sf_dir, "supplier")
@@ -323,7 +373,9 @@ MODELS_PAGE = 100
 def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model-list API responses: the catalogue as JSON pages of at most
     ``MODELS_PAGE`` models (bounded groups), plus one response without a
-    ``models`` key for every catalogue whose first part key is even."""
+    ``models`` key for every catalogue whose first part key is even, plus, by page
+    number, an earlier attempt (1) that failed: cut off, answered with a status of
+    500, or with a model without a name."""
     cat = model_catalog(spark, sf_dir).withColumn(
         "k", F.regexp_extract("name", r"-(\d+)$", 1).cast("bigint"))
     pages = (cat.groupBy("catalog_id", F.floor(F.col("k") / MODELS_PAGE).alias("page"))
@@ -335,7 +387,13 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = (cat.groupBy("catalog_id").agg(F.min("k").alias("k0"))
                 .filter(F.col("k0") % 2 == 0)
                 .select("catalog_id", F.lit(-1).cast("bigint").alias("page"), F.lit("{}").alias("body")))
-    return pages.unionByName(empty)
+    good = pages.unionByName(empty).select("catalog_id", "page", F.lit(0).alias("attempt"), F.lit(200).alias("status"), "body")
+    kind = F.col("page") % 4
+    failed = pages.filter(kind > 0).select(
+        "catalog_id", "page", F.lit(1).alias("attempt"), F.when(kind == 2, F.lit(500)).otherwise(F.lit(200)).alias("status"),
+        F.when(kind == 1, F.expr("substring(body, 1, length(body) - 2)"))
+         .when(kind == 3, F.lit('{"models":[{"supportedGenerationMethods":["generateContent"]}]}')).otherwise(F.col("body")).alias("body"))
+    return good.unionByName(failed)
 
 
 def part_changesets(spark: SparkSession, sf_dir: str) -> DataFrame:

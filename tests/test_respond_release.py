@@ -51,7 +51,7 @@ def test_best_model(spark):
         {"models/gemini-2.0-flash"}
     cats = spark.createDataFrame([("k1",), ("k2",), ("k3",)], "catalog_id STRING")
     got = {r.catalog_id: (r.best_model, r.source)
-           for r in best_model(el, cats, priority_table(spark), broadcast_priority=True).collect()}
+           for r in best_model(el, cats, priority_table(spark)).collect()}
     assert got == {"k1": ("gemini-2.5-pro", "priority"), "k2": ("gemini-a", "first"),
                    "k3": ("gemini-flash-latest", "fallback")}
 
@@ -83,17 +83,57 @@ def test_catalog_rejects_rows_without_name(spark):
     assert rejects(cat).count() == 1
 
 
-def test_message_sink_routes_rejects(spark):
-    from hunkline.sources.diff_files import read_messages, write_messages
+def _outcomes(spark, rows):
+    return spark.createDataFrame(rows, "seq INT, request_id STRING, repo STRING, changeset_id STRING, outcome STRING, "
+                                       "error_class STRING, model_used STRING, final_text STRING")
+
+
+def test_message_sink_is_keyed_and_repeatable(spark):
+    from hunkline.sources.message_sink import read_messages, write_messages
     from hunkline.streaming.incremental import scratch_path
-    out = spark.createDataFrame([("a", "message", None, "m1", "fix: a"), ("b", "error", "other", None, "boom"),
-                                 ("c", "message", None, "m1", "")],
-                                "request_id STRING, outcome STRING, error_class STRING, model_used STRING, "
-                                "final_text STRING")
     path = scratch_path(spark, "t_sink")
-    write_messages(out, path)
-    assert [r.request_id for r in read_messages(spark, path).collect()] == ["a"]
-    assert sorted(r.request_id for r in read_messages(spark, path, "rejects").collect()) == ["b", "c"]
+    assert read_messages(spark, path).collect() == []  # never written to
+    write_messages(_outcomes(spark, []), path)
+    assert read_messages(spark, path, None).collect() == []
+    first = _outcomes(spark, [(1, "a", "r", "c1", "message", None, "m1", "fix: a"), (2, "b", "r", "c1", "message", None, "m1", "fix: b"),
+                              (3, "c", "r", "c2", "error", "other", None, "boom"), (4, "d", "s", "c1", "message", None, "m1", ""),
+                              (5, "e", None, "c9", "message", None, "m1", "lost"), (6, "f", None, "c9", "message", None, "m1", "lost"),
+                              (7, "g", "s", None, "message", None, "m1", "lost")])
+    second = _outcomes(spark, [(8, "h", "r", "c2", "message", None, "m2", "feat: h"), (9, "i", "t", "c1", "message", None, "m2", "docs: i")])
+
+    def state(outcome=None):
+        return sorted((r.repo or "", r.changeset_id or "", r.request_id, r.outcome, r.message) for r in read_messages(spark, path, outcome).collect())
+
+    write_messages(first, path)
+    one = state()
+    assert one == [("", "c9", "e", "no_repository", None), ("", "c9", "f", "no_repository", None), ("r", "c1", "b", "message", "fix: b"),
+                   ("r", "c2", "c", "rejected", None), ("s", "", "g", "no_repository", None), ("s", "c1", "d", "rejected", None)]
+    write_messages(first, path)
+    assert state() == one
+    write_messages(second, path)
+    write_messages(second, path)
+    assert state("message") == [("r", "c1", "b", "message", "fix: b"), ("r", "c2", "h", "message", "feat: h"), ("t", "c1", "i", "message", "docs: i")]
+    assert len(state()) == len(one) + 1
+
+
+def test_model_responses_are_turned_down_whole(spark):
+    from hunkline.operators.catalog import models_from_response, response_rejects
+    model = '{"name": "models/gemini-x", "supportedGenerationMethods": ["generateContent"]}'
+    bodies = {
+        "good": (200, '{"models": [%s], "next": 1}' % model), "no status": (None, '{"models": [%s]}' % model),
+        "none": (200, "{}"), "null list": (200, '{"models": null}'), "false": (200, '{"models": false}'), "zero": (200, '{"models": 0}'),
+        "blank": (200, '{"models": ""}'), "empty": (200, '{"models": []}'), "array": (200, "[]"), "number": (200, "5"),
+        "idle": (200, '{"models": [{"displayName": "x", "supportedGenerationMethods": ["embed"]}, {"name": "models/e"}]}'),
+        "text list": (200, '{"models": "x"}'), "object list": (200, '{"models": {"name": "x"}}'), "broken": (200, '{"models": [%s' % model),
+        "plain": (200, "not json"), "json null": (200, "null"), "blank body": (200, ""), "no body": (200, None),
+        "nameless": (200, '{"models": [%s, {"supportedGenerationMethods": ["generateContent"]}]}' % model),
+        "null model": (200, '{"models": [%s, null]}' % model), "failed": (503, '{"models": [%s]}' % model)}
+    df = spark.createDataFrame([(k, s, b) for k, (s, b) in bodies.items()], "k STRING, status INT, body STRING")
+    got = {(r.k, r.name) for r in models_from_response(df, "body", ["k"], "status").collect()}
+    assert got == {("good", "models/gemini-x"), ("no status", "models/gemini-x"), ("idle", None), ("idle", "models/e")}
+    bad = {r.k: r.reason for r in response_rejects(df, "body", ["k"], "status").collect()}
+    assert bad == {**dict.fromkeys(("text list", "object list", "broken", "plain", "json null", "blank body", "no body"), "malformed"),
+                   "nameless": "unnamed_model", "null model": "unnamed_model", "failed": "http_status"}
 
 
 def test_model_responses_tolerate_missing_and_malformed(spark):
@@ -103,3 +143,35 @@ def test_model_responses_tolerate_missing_and_malformed(spark):
                                 ("b", "{}"), ("c", "not json"), ("d", None)], "k STRING, body STRING")
     got = [(r.k, r.name, r.methods) for r in models_from_response(df, "body", ["k"]).collect()]
     assert got == [("a", "models/gemini-x", ["generateContent"])]
+
+
+def test_version_chain_equals_one_release_after_another(spark):
+    import random
+    from hunkline.operators.release import version_chain
+    rng = random.Random(3)
+    rows = [(p, i, rng.choice(["major", "minor", "minor", "patch", "patch", "patch", "none", None, "odd"]))
+            for p, n in (("hot", 150), ("b", 7), ("c", 1)) for i in rng.sample(range(10_000), n)]
+    rows += [("quiet", i, "none") for i in range(5)] + [("patches", i, "patch") for i in range(9)]
+    want = {}
+    for p in {r[0] for r in rows}:
+        v = [2, 3, 4]
+        for _, i, b in sorted(r for r in rows if r[0] == p):
+            v = {"major": [v[0] + 1, 0, 0], "minor": [v[0], v[1] + 1, 0], "patch": [v[0], v[1], v[2] + 1]}.get(b, v)
+            want[p, i] = ".".join(map(str, v))
+    df = spark.createDataFrame(rows, "package STRING, ordinal INT, bump STRING").repartition(3)
+    for block in (1, 2, 5, 10_000):
+        got = version_chain(df, start="2.3.4", block=block)
+        assert got.columns == ["package", "ordinal", "bump", "version"]
+        assert {(r.package, r.ordinal): r.version for r in got.collect()} == want
+    assert version_chain(df.limit(0)).count() == 0
+
+
+def test_retry_plan_carries_the_prompt(spark):
+    from hunkline.operators.respond import retry_plan
+    errors = spark.createDataFrame([("a", "m", "k", "c1", True), ("b", "m", "k", "c9", True), ("c", "m", "k", "c1", False), ("d", "m", "k", None, True)],
+                                   "request_id STRING, model STRING, catalog_id STRING, changeset_id STRING, retry BOOLEAN")
+    best = spark.createDataFrame([("k", "better")], "catalog_id STRING, best_model STRING")
+    prompts = spark.createDataFrame([("c1", "say it"), ("c2", "no")], "changeset_id STRING, prompt STRING")
+    got = sorted(tuple(r) for r in retry_plan(errors, best, prompts=prompts).select("request_id", "retry_model", "prompt").collect())
+    assert got == [("a", "better", "say it"), ("b", "better", None), ("d", "better", None)]
+    assert retry_plan(errors, best).columns == ["request_id", "failed_model", "retry_model"]
