@@ -791,6 +791,31 @@ SELECT repo, diff_sha, strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%
        count(*) - 1 AS n_suppressed
 FROM rk GROUP BY repo, diff_sha, CASE WHEN repo IS NULL OR diff_sha IS NULL THEN request_id END,
   time_bucket(INTERVAL '10 minutes', ts)"""),
+    "stream_dedupe": with_docs("""
+, rq AS (
+  SELECT 'e' || CAST(event_id AS VARCHAR) AS request_id, event_id, ts,
+         lang || '/' || source || '#' || CAST(doc_id // 1000 AS VARCHAR) AS changeset_id
+  FROM events LEFT JOIN documents ON doc_id = event_id // 9),
+ra AS (
+  SELECT request_id, event_id, ts, cs.repo, sha256(cs.diff) AS diff_sha,
+         date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) // 15 + CASE WHEN event_id % 10 = 9 THEN 1 ELSE 0 END AS arrival
+  FROM rq LEFT JOIN cs USING (changeset_id)),
+r1 AS (
+  SELECT *, CASE WHEN repo IS NULL OR diff_sha IS NULL THEN request_id ELSE repo || chr(0) || diff_sha END AS key,
+  FROM ra QUALIFY row_number() OVER (PARTITION BY arrival, repo, diff_sha, CASE WHEN repo IS NULL OR diff_sha IS NULL THEN request_id END
+                                     ORDER BY ts, event_id) = 1),
+wm AS (SELECT arrival, max(max(ts)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 DAY AS w
+       FROM r1 GROUP BY arrival),
+r2 AS (SELECT r1.*, wm.w, coalesce(ts <= w, false) AS late, row_number() OVER (PARTITION BY key ORDER BY r1.arrival) AS k
+       FROM r1 JOIN wm USING (arrival)),
+st AS (
+  SELECT key, k, NOT late AS kept, CASE WHEN NOT late THEN ts + INTERVAL 2 DAY END AS expires FROM r2 WHERE k = 1
+  UNION ALL
+  SELECT r2.key, r2.k, NOT late AND NOT coalesce(expires > w, false),
+         CASE WHEN NOT late AND NOT coalesce(expires > w, false) THEN ts + INTERVAL 2 DAY ELSE expires END
+  FROM st JOIN r2 ON r2.key = st.key AND r2.k = st.k + 1)
+SELECT request_id, repo, diff_sha, strftime(ts, '%Y-%m-%d %H:%M:%S') AS requested_at
+FROM r2 JOIN st USING (key, k) WHERE kept""").replace("WITH d0", "WITH RECURSIVE d0", 1),
     "scan_diff_files": with_docs(f"""
 SELECT changeset_id, total_files, total_additions, total_deletions,
        CAST({utf16_len('diff')} AS BIGINT) AS diff_units

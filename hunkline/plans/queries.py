@@ -44,7 +44,7 @@ from hunkline.sources.diff_lines import diff_file_stats
 from hunkline.sources.tables import table
 from hunkline.sources.message_sink import read_messages, write_messages
 from hunkline.streaming.incremental import (
-    PROCESSED_COLUMNS, dedupe_requests, process_stream, request_keys, scratch_path, staged_copy,
+    PROCESSED_COLUMNS, REQUESTS, dedupe_requests, process_stream, request_keys, scratch_path, staged_copy, suppress_stream,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -494,6 +494,30 @@ def q_dedupe_requests(spark, sf_dir):
     return dedupe_requests(_requests(spark, sf_dir))
 
 
+def request_arrivals(requests: DataFrame) -> DataFrame:
+    """When requests reach the stream: in spans of 15 days, every tenth one span late;
+    one request of each kind a span (which of two equal ones arrives first is not defined)."""
+    number = F.substring("request_id", 2, 20).cast("bigint")
+    arrival = F.floor(F.unix_date(F.to_date("ts")) / 15) + F.when(number % 10 == 9, 1).otherwise(0)
+    unknown = F.when(F.col("repo").isNull() | F.col("diff_sha").isNull(), F.col("request_id"))
+    first = F.min_by(F.struct("request_id", F.col("ts").cast("timestamp").alias("ts")), F.struct("ts", number))
+    return (requests.groupBy(arrival.alias("arrival"), "repo", "diff_sha", unknown.alias("unknown")).agg(first.alias("r"))
+            .select("arrival", "r.request_id", "repo", "diff_sha", "r.ts"))
+
+
+@query("stream_dedupe")
+def q_stream_dedupe(spark, sf_dir):
+    """K2 as a stream with a state store: one run for each arrival, restarted from its
+    checkpoint, with late requests and kept ones that expire."""
+    staged = spark.read.parquet(staged_copy(request_arrivals(_requests(spark, sf_dir)), spark, "arrivals"))
+    src, out, ckpt = (scratch_path(spark, f"dedupe_{n}") for n in ("src", "out", "ckpt"))
+    for (arrival,) in staged.select("arrival").distinct().orderBy("arrival").collect():
+        staged.filter(F.col("arrival") == arrival).drop("arrival").write.mode("append").parquet(src)
+        suppress_stream(spark, src, out, ckpt, delay="2 days").awaitTermination()
+    return spark.read.schema(REQUESTS).parquet(out).select(
+        "request_id", "repo", "diff_sha", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("requested_at"))
+
+
 def _diff_files(spark, sf_dir):
     """The documents corpus written as diff files under the shared folder."""
     path = scratch_path(spark, "diff_files")

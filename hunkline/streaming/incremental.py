@@ -79,6 +79,20 @@ def suppress_repeats_stream(requests: DataFrame, delay: str = "10 minutes") -> D
                     .dropDuplicatesWithinWatermark(["repo", "diff_sha", "_unknown"]).drop("_unknown"))
 
 
+REQUESTS = "request_id STRING, repo STRING, diff_sha STRING, ts TIMESTAMP"
+
+
+def suppress_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, delay: str = "10 minutes"):
+    """K2 as a job: requests that have arrived as parquet since the last run, without
+    those that repeat a kept one. A kept request is remembered in the state store until
+    the watermark (the latest request of earlier runs, less ``delay``) passes its time by
+    ``delay``; a request older than the watermark is late and dropped. State, watermark and
+    what was read are in the checkpoint, so a restarted job goes on where it stopped."""
+    stream = spark.readStream.schema(REQUESTS).parquet(source_dir)
+    return (suppress_repeats_stream(stream, delay).writeStream.format("parquet").outputMode("append")
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink_dir))
+
+
 def staged_copy(df: DataFrame, spark: SparkSession, name: str) -> str:
     """Write ``df`` as a parquet table under the shared folder; return its path."""
     path = scratch_path(spark, name)

@@ -8,7 +8,7 @@ from conftest import SF001
 from hunkline.sources.fixtures import doc_changesets
 from hunkline.streaming.incremental import (PROCESSED_COLUMNS, dedupe_requests, processed_view,
                                             process_stream, scratch_path,
-                                            staged_copy, suppress_repeats_stream)
+                                            staged_copy, suppress_repeats_stream, suppress_stream)
 
 
 def test_stream_equals_batch(spark):
@@ -70,3 +70,27 @@ def test_stream_restart_processes_only_new_files(spark):
     streamed = sorted(tuple(r) for r in spark.read.parquet(out).select(*PROCESSED_COLUMNS).collect())
     batch = sorted(tuple(r) for r in processed_view(cs).collect())
     assert n1 == first.count() and streamed == batch
+
+
+def test_suppression_goes_on_after_a_restart(spark):
+    """Runs on one checkpoint: repeats of kept requests go, late ones go, and a kept
+    request is forgotten once the watermark has passed it."""
+    t0 = dt.datetime(2024, 1, 1)
+    hour = dt.timedelta(hours=1)
+    schema = "request_id STRING, repo STRING, diff_sha STRING, ts TIMESTAMP"
+    src, out, ck = (scratch_path(spark, f"t_sup_{n}") for n in ("src", "out", "ck"))
+    arrivals = [
+        ([("a1", "r", "s", t0), ("b1", "r", "t", t0 + 5 * hour), ("u1", None, "s", t0)], {"a1", "b1", "u1"}),
+        # watermark 3 h: a1 (expires 2 h) is forgotten, b1 (7 h) is not; l1 is late
+        ([("a2", "r", "s", t0 + 6 * hour), ("b2", "r", "t", t0 + 6 * hour), ("l1", "x", "y", t0 + hour), ("u2", None, "s", t0 + 6 * hour)], {"a2", "u2"}),
+        # watermark 4 h: a2 (8 h) and b1 (7 h) are remembered
+        ([("a3", "r", "s", t0 + 20 * hour), ("b3", "r", "t", t0 + 20 * hour)], set()),
+        # watermark 18 h: nothing is remembered
+        ([("a4", "r", "s", t0 + 19 * hour), ("b4", "r", "t", t0 + 17 * hour)], {"a4"}),
+    ]
+    kept = set()
+    for rows, new in arrivals:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        suppress_stream(spark, src, out, ck, delay="2 hours").awaitTermination()
+        kept |= new
+        assert {r.request_id for r in spark.read.schema(schema).parquet(out).collect()} == kept
