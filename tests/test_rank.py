@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from hunkline.operators.rank import position_within
+from hunkline.operators.rank import bucket_bounds, position_within
 
 
 def test_hot_group_dense_positions(spark):
@@ -21,8 +21,23 @@ def test_hot_group_dense_positions(spark):
 
 def test_hot_group_spans_buckets(spark):
     rows = [("hot", f"m-{i:05d}") for i in range(4000)] + [("cold", "x")]
-    df = spark.createDataFrame(rows, "catalog_id STRING, name STRING")
-    keyed = df.withColumn("_ord", F.struct(F.col("name")))
-    b = keyed.repartitionByRange(8, F.col("catalog_id"), F.col("_ord")).withColumn("_b", F.spark_partition_id())
-    hot_buckets = b.filter("catalog_id = 'hot'").select("_b").distinct().count()
-    assert hot_buckets >= 4
+    df = spark.createDataFrame(rows, "catalog_id STRING, name STRING").withColumn("_ord", F.struct("name"))
+    bounds = {r.catalog_id: [b.name for b in r._bounds if b] for r in bucket_bounds(df, ["catalog_id"], 8).collect()}
+    assert bounds["hot"] == sorted(bounds["hot"]) and len(set(bounds["hot"])) == 7
+    sizes = [sum(1 for _, n in rows[:-1] if lo < n <= hi) for lo, hi in zip(["", *bounds["hot"]], [*bounds["hot"], "~"])]
+    assert max(sizes) < 2 * 4000 / 8
+
+
+def test_nothing_runs_before_an_action(spark):
+    rows = [("a", i) for i in range(50)] + [(None, i) for i in range(7)] + [("tie", 1)] * 3
+    df = spark.createDataFrame(rows, "g STRING, k INT").repartition(3)
+    sc = spark.sparkContext
+    sc.setJobGroup("rank-build", "")
+    out = position_within(df, ["g"], [F.col("k")], buckets=5)
+    assert sc.statusTracker().getJobIdsForGroup("rank-build") == []
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.g, []).append((r.pos, r.k))
+    assert sorted(got["a"]) == [(i + 1, i) for i in range(50)] and sorted(got[None]) == [(i + 1, i) for i in range(7)]
+    assert sorted(got["tie"]) == [(1, 1), (2, 1), (3, 1)]
