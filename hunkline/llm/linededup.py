@@ -21,8 +21,8 @@ line. Texts of fewer than three non-blank lines have no window and stay as they
 are. A text whose lines all go becomes empty; the row stays. Rows are told apart
 by id and text: rows equal in both are one occurrence and get the same result.
 A null id sorts before all others. All columns of the input are kept, whatever
-their names; ``n_lines`` and ``n_removed`` are added and replace columns of
-those names.
+their names; ``n_lines`` and ``n_removed`` (or the names given for them) are added
+and replace columns of those names, whatever their case.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-_BLANK = " \t\r\f\x0b"
+BLANK = " \t\r\f\x0b"
 
 
 def _lines(text: Column) -> Column:
@@ -41,7 +41,7 @@ def _lines(text: Column) -> Column:
 def _windows(rows: DataFrame) -> DataFrame:
     """(id, text_hash, first, last, w1, w2): every window of every text."""
     content = F.filter(
-        F.transform(_lines(F.col("text")), lambda line, i: F.struct(i.alias("i"), F.btrim(line, F.lit(_BLANK)).alias("line"))),
+        F.transform(_lines(F.col("text")), lambda line, i: F.struct(i.alias("i"), F.btrim(line, F.lit(BLANK)).alias("line"))),
         lambda x: x["line"] != "")
     hashed = F.transform("content", lambda x: F.struct(
         x["i"].alias("i"), F.xxhash64(x["line"]).alias("a"), F.xxhash64(F.lit(1), x["line"]).alias("b")))
@@ -56,11 +56,14 @@ def _windows(rows: DataFrame) -> DataFrame:
             .select("id", "text_hash", "w.*"))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", n_lines: str = "n_lines",
+                n_removed: str = "n_removed") -> DataFrame:
     """``df`` with repeated line windows removed from ``text``, and the columns
     ``n_lines`` (before) and ``n_removed``."""
-    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"),
-                     F.struct(*[F.col(c) for c in df.columns]).alias("row"))
+    own = {c: f"c{i}" for i, c in enumerate(df.columns)}  # by place: names may differ in case only
+    rows = df.toDF(*own.values())
+    rows = rows.select(F.col(own[id_col]).alias("id"), F.xxhash64(own[text]).alias("text_hash"), F.col(own[text]).alias("text"),
+                       F.struct(*own.values()).alias("row"))
     windows = _windows(rows.select("id", "text_hash", "text"))
     place = F.struct("id", "text_hash", "first")
     repeated = (windows.groupBy("w1", "w2").agg(F.min(place).alias("earliest"), F.count("*").alias("n"))
@@ -76,7 +79,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    added = {"n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
-             "n_removed": F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long")}
-    return joined.select(*[cleaned.alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns if c not in added],
+    added = {n_lines: F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
+             n_removed: F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long")}
+    replaced = {name.lower() for name in added}
+    return joined.select(*[cleaned.alias(c) if c == text else F.col("row")[own[c]].alias(c) for c in df.columns if c.lower() not in replaced],
                          *[v.alias(k) for k, v in added.items()])

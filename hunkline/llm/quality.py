@@ -6,7 +6,7 @@ Expectation-maximisation over the counts of all vote patterns (at most
 accuracies and each pattern's probability of being good. These posterior labels
 train a linear scorer over hashed features of a bounded sample (the first
 ``TRAIN_ROWS`` texts in the order of a hash of text and id, up to ``TRAIN_BYTES``
-bytes), and the scorer scores all whole texts. Features are byte trigrams, and how
+bytes, without texts that alone take more than ``LONGEST`` of them), and the scorer scores all whole texts. Features are byte trigrams, and how
 far the text repeats itself within a few bytes.
 
 Bad texts are bad in different ways, so one class of them rarely fails two tests
@@ -35,6 +35,7 @@ from hunkline.llm.textscan import U64, buffers, mix64
 
 TRAIN_ROWS = 4_000
 TRAIN_BYTES = 16 << 20
+LONGEST = 1 / 32
 BITS = 16
 EPOCHS = 5
 RATE = 0.5
@@ -131,7 +132,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFram
     label = {tuple(r.votes): float(p) for r, p in zip(found, posterior)}
     # keys choose the sample, so that only the sample's texts are moved
     keyed = rows.select("text", "id", F.xxhash64("text", F.col("id").cast("string")).alias("place"),
-                        F.octet_length("text").alias("size"))
+                        F.octet_length("text").alias("size")).filter(F.col("size") <= TRAIN_BYTES * LONGEST)
 
     def first(df: DataFrame) -> DataFrame:
         chosen = df.orderBy("place", "id").limit(TRAIN_ROWS)

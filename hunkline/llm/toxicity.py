@@ -10,7 +10,11 @@ vectors.
 
 Training uses a bounded sample of the labelled rows: the first ``TRAIN_ROWS``
 rows of each label in the order of a hash of the id, up to ``TRAIN_BYTES`` bytes
-of text. Tasks compute their bags and write them to the shared folder, where the
+of text of that label. A text longer than ``LONGEST`` of its label's bytes is not
+learned from, so the sample cannot be used up by a few. The passes over the sample
+follow from a bound on updates (``UPDATES``, ``PASSES``): few labels are seen more
+often. N-grams in fewer than ``MIN_TEXTS`` training texts (one for every 500 texts, up to
+that number) are not learned. Tasks compute their bags and write them to the shared folder, where the
 driver maps them. Scoring covers whole texts of all rows: since the model is linear
 behind the averages, a bucket's contribution is one number, and tasks carry a
 table of ``BUCKETS`` numbers.
@@ -43,9 +47,11 @@ BUCKETS = 1 << BUCKET_BITS
 SIZES = (3, 4, 5)
 DIMENSIONS = 8
 TRAIN_ROWS = (6_000, 2_000)  # at most, with label 0 and with label 1
-TRAIN_BYTES = 32 << 20
-MIN_TEXTS = 6               # training texts that a trained bucket occurs in
-EPOCHS = 6
+TRAIN_BYTES = (24 << 20, 8 << 20)
+LONGEST = 1 / 32            # share of the bytes that one text may take
+MIN_TEXTS = 6               # training texts that a trained bucket occurs in, at most
+UPDATES = 56_000            # texts seen in all passes
+PASSES = (6, 60)            # at least, at most
 RATE = 0.05
 SCALE = 50.0                # constant factor on a text's mean vector
 DAMPING = 1e-2              # first value of the vectors' Adagrad sums
@@ -131,7 +137,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, min_texts: int = MIN_TEXTS, updates: int = UPDATES) -> Model:
     """Joint training of bucket vectors and softmax, text by text."""
     toxic = float(labels.mean()) if len(labels) else 0.0
     if not 0 < toxic < 1:
@@ -140,7 +146,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
     texts = np.zeros(BUCKETS, np.int32)
     for ids, _ in rows:
         texts[ids] += 1  # a bag's buckets are distinct
-    used = texts >= MIN_TEXTS
+    used = texts >= min(min_texts, max(1, len(rows) // 500))
+    passes = int(np.clip(round(updates / len(rows)), *PASSES))
     vectors = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     vectors[~used] = 0
     softmax = np.zeros((DIMENSIONS, 2), np.float32)
@@ -148,8 +155,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
     softmax[:, 0] = -softmax[:, 1]
     bias = np.zeros(2)
     seen_v, seen_s, seen_b = np.full((BUCKETS, DIMENSIONS), DAMPING, np.float32), np.full((DIMENSIONS, 2), 1e-8), np.full(2, 1e-8)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    for epoch in range(passes):
+        rate = RATE * (1 - epoch / passes)
         for i in rng.permutation(len(rows)):
             ids, w = rows[i]
             ids, w = ids[known := used[ids]], w[known] * np.float32(SCALE)
@@ -187,9 +194,11 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         ids = part if ids is None else ids.unionByName(part)
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # at most sum(TRAIN_ROWS) ids; repeated ids of the texts count once
+    most = F.when(F.col("label") == 0, TRAIN_BYTES[0]).otherwise(TRAIN_BYTES[1])
     sizes = (texts.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.max(F.octet_length("text")).alias("size"))
-             .withColumn("sofar", F.sum("size").over(Window.orderBy(*order, "label")))
-             .filter(F.col("sofar") <= TRAIN_BYTES).select("id", "label"))
+             .filter(F.col("size") <= most * LONGEST)
+             .withColumn("sofar", F.sum("size").over(Window.partitionBy("label").orderBy(*order)))
+             .filter(F.col("sofar") <= most).select("id", "label"))
     sample = (texts.join(F.broadcast(sizes), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
               .select("text", "label", F.xxhash64("id", "label").alias("place")))
     folder = workdir(df.sparkSession, "bags")

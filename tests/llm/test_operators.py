@@ -410,6 +410,22 @@ def test_toxicity_held_out_and_unseen_spellings(spark, docs, empty):
     assert sorted(kept.columns) == sorted(docs.columns)  # score is replaced
 
 
+def test_toxicity_one_long_text_does_not_take_the_sample(spark):
+    rows = [(i, prose(i, 50) + (" horridus vilestus wretchum" if i % 4 == 0 else "")) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id bigint, toxic int")
+    order = labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("doc_id")).select("doc_id", "toxic").collect()
+    long = {next(r.doc_id for r in order if r.toxic == t) for t in (0, 1)}  # the first of each label
+    schema = "doc_id bigint, text string"
+    alone = {r.doc_id: r.score for r in toxicity.learn_and_score(spark.createDataFrame(rows, schema), labels).collect()}
+    big = prose(7, 2000) * 3400
+    assert len(big) > 30 << 20
+    got = {r.doc_id: r.score for r in toxicity.learn_and_score(spark.createDataFrame(
+        [(i, big if i in long else t) for i, t in rows], schema), labels).collect()}
+    others = [i for i in alone if i not in long]
+    assert sum((got[i] >= 0.5) == (alone[i] >= 0.5) for i in others) >= 0.97 * len(others)
+    assert sum(got[i] >= 0.5 for i in others if i % 4 == 0) >= 0.95 * 74
+
+
 def test_toxicity_bags_and_scores_agree():
     rng = np.random.default_rng(1)
     model = toxicity.Model(rng.standard_normal(toxicity.BUCKETS).astype(np.float32), 0.3)

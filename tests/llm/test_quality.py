@@ -46,3 +46,12 @@ def test_echo_sees_repeats_only():
     assert quality._echo(line("word " * 40)) >= 9
     assert quality._echo(line(prose(3, 60))) <= 3
     assert quality._echo(line("")) == quality._echo(line("a")) == 0
+
+
+def test_one_long_text_does_not_take_the_sample(spark):
+    rows = [(i, prose(i, 60) if i % 4 else "$$$ %%% ### " * 30 + "A!! " * 20) for i in range(80)]
+    schema = "doc_id bigint, text string"
+    alone = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(rows, schema)).collect()}
+    long = [(1000 + i, prose(1, 2000) * 300) for i in range(6)]  # about 3 MB each
+    got = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(long + rows, schema)).collect()}
+    assert len(got) == 86 and max(abs(got[i] - alone[i]) for i in alone) < 0.1
