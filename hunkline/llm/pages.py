@@ -1,29 +1,39 @@
 """Main text of web pages, with removal of each site's templates.
 
-1. Tasks parse the whole html and hash every element's subtree (tag, class, text
-   and the hashes of its children). Spark counts, for each host, the different
-   pages that hold a subtree; pages of equal main prose count once.
+1. Tasks parse the whole html once and store what they found: text fragments, and
+   for every element a hash of its subtree (tag, class, text and the hashes of its
+   children). Spark counts, for each host, the different pages that hold a subtree;
+   pages of equal main prose count once.
 2. A subtree that recurs on at least ``MIN_PAGES`` different pages of a host, and
    on ``MIN_SHARE`` of them or on ``ENOUGH_PAGES``, is the site's template. With
-   prose in it, it must be on more than ``PROSE_SHARE`` of them. The keys are kept
-   as sorted hash arrays in the shared folder.
-3. Tasks parse the pages again, delete the template subtrees and write out the
-   main text: that of the articles, else of the main element, else of the body.
+   prose in it (paragraphs, headings, lists, quotes, cells, or a text of
+   ``PROSE_WORDS`` words or more outside links), it must be on more than
+   ``PROSE_SHARE`` of the host's pages, and inside an article or main element on
+   ``ARTICLE_PAGES`` at least. The keys are kept as sorted hash arrays.
+3. The stored fragments are read again without the template subtrees, and the main
+   text is written out.
 
 Recurrence alone must not eat content: a paragraph that many pages of a host
-quote is still text of each of them. So inside an article (or main element) only
-subtrees without prose elements (paragraphs, headings, lists, quotes, cells) can
-be template, never the article itself. Elsewhere a subtree with prose (these
-elements, or a text of ``PROSE_WORDS`` words or more outside links) is template
-only if most pages of the host hold it, and no page loses most of its prose:
-where templates hold more than half, as on near copies of a page, those with
-prose stay. On a page without prose that holds for all its text. And a menu that few pages share is still
-a menu: elements that declare themselves not to be main text (nav, footer,
-aside, form, script, class "ad" and the like) are left out as well. A class, id or
-role counts as a whole or by its last hyphenated part, and never hides the html,
-the body or an outermost article or main element. If all articles and main
-elements lie in hidden elements, they are the text; a form that holds one, or
-most of the page's prose, is no form but the page.
+quote is still text of each of them, unless most pages hold it. An article or main
+element as such, and what stands around it, is never a template, and no page loses
+most of its prose: where templates hold more than half, as on near copies of a page,
+those with prose stay. On a page without prose that holds for all its text.
+
+What is main follows from the prose (its words outside links). It is that of the
+articles, if the largest of them has as much as its main element has outside
+articles, and if they have a quarter of what the rest of the page has; else that of
+the main element with all in it, on the same condition; else that of the body. So
+a teaser article does not replace the story beside it.
+
+Counting sees only what recurs: a menu that few pages share is still a menu, and
+comments differ from page to page. So elements that declare themselves not to be
+main text are left out as well (``declared``): by tag (nav, footer, aside, form,
+script), or by a class, id or role, as a whole or by a hyphenated part, unless a
+part negates it ("no-sidebar"). Names never hide the html, the body or an outermost
+article or main element. If all articles and main elements lie in hidden
+elements, they are the text. A form, or an element hidden by a part of its name
+(other than comments), that holds an article or main element, or most of the page's
+prose, is the page itself.
 
 Blocks are cut at block elements and line breaks. Character references are
 decoded, white space inside a block becomes one space, blocks are trimmed and
@@ -37,7 +47,9 @@ the counts and give one row each; null ids are kept. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import html as markup
+import marshal
 import re
 from collections.abc import Iterator
 
@@ -48,7 +60,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hunkline.llm import store as S
-from hunkline.llm.runtime import arrow_map, fields, workdir
+from hunkline.llm.runtime import arrow_map, fields, stored, take, workdir
 from hunkline.llm.textscan import U64
 
 MIN_PAGES = 3
@@ -56,6 +68,8 @@ MIN_SHARE = 0.01
 ENOUGH_PAGES = 10
 PROSE_SHARE = 0.5
 PROSE_WORDS = 15
+ARTICLE_PAGES = 5
+REST = 4        # the rest of a page may have this many times the prose of its articles
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|</?[a-zA-Z][^>]*\Z""", re.S)
@@ -72,7 +86,8 @@ FORMS = frozenset(("form", "fieldset"))
 NOT_MAIN_NAMES = frozenset("""ad ads advert adverts advertisement advertising banner sponsor sponsored promo sidebar
     nav navbar navigation menu breadcrumb breadcrumbs footer comment comments reply replies cookie cookies consent
     notice alert popup modal newsletter subscribe subscription share sharing social related pagination
-    complementary contentinfo search toolbar widget disclaimer""".split())
+    complementary contentinfo search toolbar widget disclaimer disqus""".split())
+COMMENT_NAMES = frozenset("comment comments reply replies disqus".split())
 HEADER_NAMES = frozenset(("header", "masthead"))
 #: "no-sidebar" and the like tell of the page, not of the element
 STATES = frozenset("no not has with without is hide show".split())
@@ -86,25 +101,33 @@ BREAK = None
 
 
 class _Element:
-    __slots__ = ("tag", "name", "start", "parts", "hidden", "level", "prose", "root", "link", "words", "long", "outer", "form")
+    __slots__ = ("tag", "name", "start", "parts", "hidden", "level", "prose", "root", "link", "words", "long", "outer", "form", "top")
 
     def __init__(self, tag: str, name: str, start: int, hidden: bool, level: int) -> None:
         self.tag, self.name, self.start, self.hidden, self.level = tag, name, start, hidden, level
         self.parts: list[str] = []
         self.prose = tag in PROSE
-        self.root = self.link = self.long = False
+        self.root = self.link = self.long = self.top = False
         self.words = self.form = 0
         self.outer = False
 
 
-def _said(kind: str) -> set[str]:
-    """What class, id and role values say: the whole names and last hyphenated parts."""
-    out = set(kind.split())
-    for name in list(out):
-        parts = [x for x in re.split("[-_]+", name) if x]
-        if len(parts) > 1 and parts[0] not in STATES:
-            out.add(parts[-1])
-    return out
+@functools.lru_cache(maxsize=1 << 14)
+def _said(kind: str) -> tuple[bool, bool, bool]:
+    """What class, id and role values say: (surely not main text, perhaps not,
+    a header). Whole names and comments are sure, parts of a name are not."""
+    sure = perhaps = header = False
+    for name in kind.split():
+        parts = [x for x in re.split(r"[-_]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", name).lower()) if x]
+        name = name.lower()
+        if name in NOT_MAIN_NAMES:
+            sure = True
+        header = header or name in HEADER_NAMES
+        if len(parts) > 1 and STATES.isdisjoint(parts):
+            sure = sure or not COMMENT_NAMES.isdisjoint(parts)
+            perhaps = perhaps or not NOT_MAIN_NAMES.isdisjoint(parts)
+            header = header or parts[-1] in HEADER_NAMES
+    return sure, perhaps, header
 
 
 def host(url: str | None) -> str:
@@ -124,14 +147,18 @@ def _covered(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
 class Page:
     """A parsed page: ``out`` holds text fragments and breaks (with their level:
     2 in an article, 1 in a main element, 0 elsewhere, -1 never main text) and
-    ``subtrees`` the candidates for templates as (hash, first, end, prose) over ``out``.
-    ``words`` counts the words outside links of each fragment, ``prose`` tells
-    which fragments are prose."""
-
-    def __init__(self, source: str) -> None:
+    ``subtrees`` the candidates for templates as (hash, first, end, kind) over
+    ``out`` (kind 0 without prose, 1 with prose, 2 with prose in an article or main
+    element). ``words`` counts the words outside links of each fragment, ``prose``
+    tells which fragments are prose; ``level`` is the least level of main text.
+    ``declared=False`` leaves everything to the counted templates."""
+
+    def __init__(self, source: str, declared: bool = True) -> None:
+        self.declared = declared
         self.out: list[tuple[str | None, int]] = []
         self.words: dict[int, int] = {}
-        self.subtrees: list[tuple[int, int, int, bool]] = []
+        self.subtrees: list[tuple[int, int, int, int]] = []
+        self._articles: list[tuple[int, int]] = []
         self._candidates: list[tuple[int, int, int, bool, bool, int]] = []
         self._prose: list[tuple[int, int]] = []
         self._veiled: list[tuple[int, bool, int]] = []  # place, in an article in a hidden element, form
@@ -165,11 +192,24 @@ class Page:
             self._pop()
         self.prose = _covered(len(self.out), self._prose)
         self._unveil()
-        top = max((level for text, level in self.out if text is not BREAK and text.strip()), default=0)
-        self.level = max(top, 0)
-        for key, first, last, prose, long, level in self._candidates:
-            if not (level > 0 and prose):
-                self.subtrees.append((key, first, last, prose or long))
+        self.level = self._main_level()
+        self.subtrees = [(key, first, last, (2 if level > 0 else 1) if prose or long else 0)
+                         for key, first, last, prose, long, level in self._candidates]
+
+    def _main_level(self) -> int:
+        """The level from which text is main text, by the words of prose."""
+        here = np.zeros(len(self.out), np.int64)
+        for i, n in self.words.items():
+            if self.prose[i] and self.out[i][1] >= 0:
+                here[i] = n
+        if not here.any():
+            return max(max((level for text, level in self.out if text is not BREAK and text.strip()), default=0), 0)
+        levels = np.array([level for _, level in self.out])
+        rest, main, article = (int(here[levels == x].sum()) for x in (0, 1, 2))
+        largest = max((int(here[a:b][levels[a:b] == 2].sum()) for a, b in self._articles), default=0)
+        if article and largest >= main and REST * article >= rest:
+            return 2
+        return 1 if main + article and REST * (main + article) >= rest else 0
 
     def _unveil(self) -> None:
         """Hide what lies in forms and, if there are others, articles in hidden elements."""
@@ -208,22 +248,26 @@ class Page:
             self._imply(tag)
             self.out.append((BREAK, 0))
         names = _NAMED.findall(attributes) if attributes else ()
-        kind = " ".join(a or b or c for _, a, b, c in names).lower()
+        kind = " ".join(a or b or c for _, a, b, c in names)
         parent = self.stack[-1]
         level = 2 if tag == "article" else max(parent.level, 1) if tag == "main" or "main" in kind.split() and "role" in attributes else parent.level
         root = level > parent.level
-        words = _said(kind) if kind and not root and tag not in ("html", "body") else ()
-        hidden = (tag in NOT_MAIN or words and not NOT_MAIN_NAMES.isdisjoint(words)
-                  or level < 1 and (tag == "header" or words and not HEADER_NAMES.isdisjoint(words)))
-        element = _Element(tag, kind, len(self.out), bool(hidden) or parent.hidden and not root, level)
-        element.outer = parent.outer or parent.hidden and root
+        sure = perhaps = header = False
+        if self.declared and tag not in ("html", "body"):
+            sure, perhaps, header = _said(kind) if kind else (False, False, False)
+            if not root:
+                sure = sure or tag in NOT_MAIN or level < 1 and (tag == "header" or header)
+            perhaps = perhaps or tag in FORMS
+        element = _Element(tag, kind.lower(), len(self.out), not root and sure or parent.hidden and not root, level)
+        element.outer = parent.outer or root and (parent.hidden or sure)
         element.form = parent.form
-        if tag in FORMS and (not element.form or element.form in self._pages):
+        if perhaps and not root and (not element.form or element.form in self._pages):
             self._forms += 1
             element.form = self._forms
         if root:
             self._pages.add(element.form)
         element.root = root
+        element.top = root and level == 2
         element.link = parent.link or tag == "a"
         self.stack.append(element)
 
@@ -267,6 +311,8 @@ class Page:
             if own or e.tag in PROSE:
                 self._prose.append((e.start, len(self.out)))
         parent.long = parent.long or e.long
+        if e.top:
+            self._articles.append((e.start, len(self.out)))
         if e.root:  # an article or main element and all around it are no candidates
             for outer in self.stack:
                 outer.root = True
@@ -281,7 +327,7 @@ class Page:
         import xxhash
 
         own = [" ".join(t.split()) for i, (t, level) in enumerate(self.out)
-               if t is not BREAK and level == self.level and self.prose[i] and i in self.words]
+               if t is not BREAK and level >= self.level and self.prose[i] and i in self.words]
         return xxhash.xxh64_intdigest("\x1f".join([t for t in own if t] or [t for t, _ in self.out if t is not BREAK]))
 
     def main_text(self, templates: set[int]) -> str:
@@ -291,76 +337,103 @@ class Page:
         if known:
             # what templates without prose hold is no prose of the page's own
             plain = _covered(len(self.out), [x[1:3] for x in known if not x[3]])
-            main = [i for i, n in self.words.items() if n and self.out[i][1] == self.level]
+            main = [i for i, n in self.words.items() if n and self.out[i][1] >= self.level]
             content = [i for i in main if self.prose[i] and not plain[i]]
             if content and 2 * sum(self.words[i] for i in content if deleted[i]) > sum(self.words[i] for i in content):
                 deleted = plain
             elif not self.prose[main].any() and 2 * sum(self.words[i] for i in main if deleted[i]) > sum(self.words[i] for i in main):
                 deleted[:] = False
-        # the level is that of the richest part, also if templates empty it
+        # the level is that of the whole page, also if templates empty it
         blocks, block = [], []
         for (text, level), dead in zip(self.out, deleted.tolist()):
             if text is BREAK:
                 if block and (words := " ".join("".join(block).split())):
                     blocks.append(words)
                 block = []
-            elif level == self.level and not dead:
+            elif level >= self.level and not dead:
                 block.append(text)
         if block and (words := " ".join("".join(block).split())):
             blocks.append(words)
         return "\n".join(blocks)
 
 
+    def dump(self) -> bytes:
+        return marshal.dumps((self.out, self.words, self.prose.tobytes(), self.subtrees, self.level))
+
+    @classmethod
+    def load(cls, raw: bytes) -> Page:
+        page = cls.__new__(cls)
+        page.out, page.words, prose, page.subtrees, page.level = marshal.loads(raw)
+        page.prose = np.frombuffer(prose, bool)
+        return page
+
+
 def _key(site: str, digest: int) -> int:
     import xxhash
 
     return xxhash.xxh64_intdigest(f"{site}\x1f{digest:016x}")
 
 
-def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES,
-              min_share: float = MIN_SHARE) -> S.Store:
-    """The keys (host and subtree) of all templates, as a store."""
-    rows = pages.filter(F.col(url).isNotNull() & F.col(html).isNotNull()).select(F.col(url).alias("url"), F.col(html).alias("html"))
+def parse(pages: DataFrame, id_col: str, url: str, html: str, declared: bool = True) -> DataFrame:
+    """(id, url, site, page, parsed, trees): each page's parsed form, the hash of its
+    host and of its main prose, and (key, kind) of its subtrees (none without a host)."""
+    rows = take(pages, id_col, url, html).toDF("id", "url", "html").withColumn("html", F.coalesce("html", F.lit("")))
+    tree = T.StructType([T.StructField("key", T.LongType()), T.StructField("kind", T.IntegerType())])
+    schema = fields(("id", rows.schema["id"].dataType), ("url", rows.schema["url"].dataType), ("site", "long"), ("page", "long"),
+                    ("parsed", "binary"), ("trees", T.ArrayType(tree)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         from hunkline.llm import pages as own
 
-        for batch in batches:
-            key, site_key, page_key, prose = [], [], [], []
-            for url, source in zip(batch.column(0).to_pylist(), batch.column(1)):
-                site = own.host(url)
-                if not site:
-                    continue
-                page = own.Page(source.as_py())
-                digests = {own._key(site, d): p for d, _, _, p in page.subtrees}
-                of = xxhash.xxh64_intdigest(site)
-                digests[of] = False  # the host's own count of pages
-                key += digests
-                prose += digests.values()
-                site_key += [of] * len(digests)
-                page_key += [page.content()] * len(digests)
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array(np.array(x, U64).view(np.int64)) for x in (key, site_key, page_key)], pa.array(prose, pa.bool_())],
-                names=["key", "site", "page", "prose"])
-
-    counts = (arrow_map(rows, task, fields(("key", T.LongType()), ("site", T.LongType()), ("page", T.LongType()), ("prose", T.BooleanType())))
-              .distinct().groupBy("site", "key", "prose").agg(F.count("*").alias("n")))
-    often = counts.filter(F.col("n") >= min_pages)
-    sites = often.filter(F.col("key") == F.col("site")).select("site", F.col("n").alias("pages"))
-    recurring = (often.filter(F.col("key") != F.col("site")).join(sites, "site")
-                 .filter(F.when(F.col("prose"), F.col("n") > F.col("pages") * PROSE_SHARE)
-                         .otherwise(F.col("n") >= F.least(F.col("pages") * min_share, F.lit(max(ENOUGH_PAGES, min_pages))))).select("key"))
-    return S.save_keys(recurring, workdir(pages.sparkSession, "templates"))
+        def signed(x: int) -> int:
+            return x - (1 << 64) if x >> 63 else x
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                sites, keys, parsed, start, key, kind = [], [], [], [0], [], []
+                for address, source in zip(batch.column(1).to_pylist(), batch.column(2)):
+                    page = own.Page(source.as_py(), declared)
+                    site = own.host(address)
+                    trees = {own._key(site, d): k for d, _, _, k in page.subtrees} if site else {}
+                    sites.append(signed(xxhash.xxh64_intdigest(site)) if site else None)
+                    keys.append(signed(page.content()))
+                    parsed.append(page.dump())
+                    key += trees
+                    kind += trees.values()
+                    start.append(len(key))
+                trees = pa.StructArray.from_arrays([pa.array(np.array(key, U64).view(np.int64)), pa.array(kind, pa.int32())], names=["key", "kind"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(sites, pa.int64()), pa.array(keys, pa.int64()), pa.array(parsed, pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(start, pa.int32()), trees)], names=schema.names)
+
+    return arrow_map(rows, task, schema)
+
+
+def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> S.Store:
+    """The keys (host and subtree) of all templates, as a store."""
+    pages = parsed.filter(F.col("site").isNotNull())
+    # a page's own count of its host is one more key, so hot hosts are counted like subtrees
+    held = pages.select("site", "page", F.inline("trees")).unionByName(
+        pages.select("site", "page", F.col("site").alias("key"), F.lit(-1).alias("kind")))
+    often = held.distinct().groupBy("site", "key", "kind").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    sites = often.filter(F.col("kind") == -1).select("site", F.col("n").alias("pages"))
+    most = F.col("n") > F.col("pages") * PROSE_SHARE
+    recurring = (often.filter(F.col("kind") >= 0).join(sites, "site")
+                 .filter(F.when(F.col("kind") == 0, F.col("n") >= F.least(F.col("pages") * min_share, F.lit(max(ENOUGH_PAGES, min_pages))))
+                         .when(F.col("kind") == 1, most).otherwise(most & (F.col("n") >= max(ARTICLE_PAGES, min_pages)))).select("key"))
+    return S.save_keys(recurring, workdir(parsed.sparkSession, "templates"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html",
-            min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """One row per page: id, url, text, n_chars."""
-    known = templates(pages, url, html, min_pages, min_share)
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    schema = fields((id_col, pages.schema[id_col].dataType), (url, pages.schema[url].dataType),
+            min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, declared: bool = True) -> DataFrame:
+    """One row per page: id, url, text, n_chars. ``declared=False`` ignores what
+    elements say of themselves: counted templates alone decide."""
+    parsed = stored(parse(pages, id_col, url, html, declared), "parsed-pages")
+    known = templates(parsed, min_pages, min_share)
+    schema = fields((id_col, parsed.schema["id"].dataType), (url, parsed.schema["url"].dataType),
                     ("text", T.StringType()), ("n_chars", T.LongType()))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,14 +442,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                sites = [own.host(u) for u in batch.column(1).to_pylist()]
-                parsed = [own.Page(v.as_py()) for v in batch.column(2)]
-                keys = [{d: own._key(site, d) for d, *_ in p.subtrees} if site else {} for site, p in zip(sites, parsed)]
-                asked = np.unique(np.array([k for of in keys for k in of.values()], U64))
+                trees = batch.column(3).flatten().field(0).to_numpy().view(U64)
+                asked = np.unique(trees)
                 found = set(asked[known.lookup(asked)["id"] >= 0].tolist())
-                texts = [p.main_text({d for d, k in of.items() if k in found}) for p, of in zip(parsed, keys)]
+                texts = []
+                for address, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    page, site = own.Page.load(raw), own.host(address)
+                    texts.append(page.main_text({d for d, *_ in page.subtrees if own._key(site, d) in found} if site and found else set()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                     names=schema.names)
 
-    return arrow_map(rows, task, schema)
+    return arrow_map(parsed.select("id", "url", "parsed", "trees"), task, schema)
