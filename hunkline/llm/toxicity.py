@@ -195,9 +195,10 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # at most sum(TRAIN_ROWS) ids; repeated ids of the texts count once
     most = F.when(F.col("label") == 0, TRAIN_BYTES[0]).otherwise(TRAIN_BYTES[1])
+    sofar = [F.sum(F.when(F.col("label") == value, F.col("size"))).over(Window.orderBy(*order, "label")) for value in (0, 1)]
     sizes = (texts.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.max(F.octet_length("text")).alias("size"))
              .filter(F.col("size") <= most * LONGEST)
-             .withColumn("sofar", F.sum("size").over(Window.partitionBy("label").orderBy(*order)))
+             .withColumn("sofar", F.when(F.col("label") == 0, sofar[0]).otherwise(sofar[1]))
              .filter(F.col("sofar") <= most).select("id", "label"))
     sample = (texts.join(F.broadcast(sizes), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
               .select("text", "label", F.xxhash64("id", "label").alias("place")))
