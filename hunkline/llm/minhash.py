@@ -48,6 +48,7 @@ from pyspark.sql import types as T
 from hunkline.llm import store as S
 from hunkline.llm.runtime import arrow_map, checkpointed, fields, workdir
 from hunkline.llm.textscan import NOT_SPACE, U64, combine, mix64, scan
+from hunkline.operators.lookup import lookup
 
 SHINGLE = 5
 PERCENT = 75
@@ -55,6 +56,8 @@ ROWS = 5
 BANDS = 48
 BLOCK = 512
 SHARD_BYTES = 32 << 20
+HOT_ROWS = 1_000        # rows of a join key beyond which it is salted
+MOST_SALTS = 256
 
 _LINK = fields(("a", T.LongType()), ("b", T.LongType()))
 
@@ -169,18 +172,33 @@ def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=_LINK.names)
 
 
+def _salted(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join of ``many`` with ``one`` (a row a key). Keys with more than
+    ``HOT_ROWS`` rows of ``many``, if there are any, get salts on both sides, so
+    their rows are spread over tasks."""
+    n = many.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS)
+    hot = checkpointed(n.select(key, F.least(F.ceil(F.col("n") / HOT_ROWS), F.lit(MOST_SALTS)).cast("int").alias("salts")))
+    if not hot.limit(1).count():
+        return many.join(one, key, how)
+    salts = F.coalesce("salts", F.lit(1))
+    left = lookup(many, hot, key).withColumn("salt", F.pmod(F.xxhash64(*many.columns), salts).cast("int")).drop("salts")
+    right = lookup(one, hot, key).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return left.join(right, [key, "salt"], how).drop("salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of all nodes with links; the label is the component's least
     node. Labels spread to neighbours and jump to the label of their label, until
-    nothing changes; every round is checkpointed."""
+    nothing changes; every round is checkpointed. The centre of a star and the label
+    of a large component are join keys of many rows; those are salted."""
     edges = checkpointed(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = checkpointed(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
     while True:
-        near = (edges.join(labels, edges["b"] == labels["node"]).groupBy(F.col("a").alias("node"))
+        near = (_salted(edges, labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
                 .agg(F.min("label").alias("near")))
-        spread = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        spread = checkpointed(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = checkpointed(spread.join(up, "label").select("node", "old", F.least("label", "up").alias("label")))
+        new = checkpointed(_salted(spread, up, "label").select("node", "old", F.least("label", "up").alias("label")))
         moved = new.filter(F.col("label") != F.col("old")).limit(1).count()
         labels = new.select("node", "label")
         if not moved:
@@ -310,7 +328,7 @@ def _unresolved(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     last = F.col("blocks") - 1
     mine = F.pmod(F.hash("node"), F.col("blocks"))
     other = F.when(last == 0, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), last), mine))
-    spread = (rows.join(mixed, "bucket").select("bucket", "node", "label", mine.alias("mine"), F.explode(other).alias("other"))
+    spread = (_salted(rows, mixed, "bucket").select("bucket", "node", "label", mine.alias("mine"), F.explode(other).alias("other"))
               .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")))
     groups = (spread.groupBy("bucket", "i", "j").agg(F.sort_array(F.collect_list(F.struct("node", "label"))).alias("members")))
     # many bands hold the same nodes; the work follows the square of a group, not its bytes
@@ -335,7 +353,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     buckets = buckets.join(members.select("node"), "node", "left_semi")
     sets = _store_sets(df, id_col, text, members, spark)
     first = buckets.groupBy("bucket").agg(F.min("node").alias("a"))
-    pairs = (buckets.join(first, "bucket").filter(F.col("node") != F.col("a"))
+    pairs = (_salted(buckets, first, "bucket").filter(F.col("node") != F.col("a"))
              .select("a", F.col("node").alias("b")).distinct())
     links = checkpointed(_confirm(_dealt(pairs), sets))
     labels = components(links)
@@ -344,9 +362,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     # the least id that a component's nodes, and the rows of those ids, reach
     named = labels.join(classes.select("node", "first_id"), "node")
     least = named.groupBy("label").agg(F.min("first_id").alias("component"))
-    of_node = named.join(least, "label").select("node", "component")
-    out = (rows.select("id", "node", "n").join(of_node, "node", "left")
-           .join(classes.select("node", "first_id"), "node", "left"))
+    of_node = classes.select("node", "first_id").join(_salted(named.select("label", "node"), least, "label").select("node", "component"), "node", "left")
+    out = _salted(rows.select("id", "node", "n"), of_node, "node", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "first_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

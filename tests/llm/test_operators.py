@@ -104,6 +104,16 @@ def test_line_dedup(spark, docs, empty):
 
 # --- near duplicates -----------------------------------------------------
 
+def test_components_with_hot_keys(spark, monkeypatch):
+    """A star and a chain, with every key hot and with none."""
+    links = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(12)] + [(500, 600), (7, 300), (300, 301)]
+    want = {i: 0 for i in [*range(60), 300, 301]} | {100 + i: 100 for i in range(13)} | {500: 500, 600: 500}
+    df = spark.createDataFrame(links, "a bigint, b bigint")
+    for hot in (1, 10, 1000):
+        monkeypatch.setattr(minhash, "HOT_ROWS", hot)
+        assert {r.node: r.label for r in minhash.components(df).collect()} == want
+
+
 def plain_components(rows):
     def shingles(t):
         w = words(t)
