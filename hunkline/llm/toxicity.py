@@ -50,7 +50,7 @@ TRAIN_ROWS = (6_000, 2_000)  # at most, with label 0 and with label 1
 TRAIN_BYTES = (24 << 20, 8 << 20)
 LONGEST = 1 / 32            # share of the bytes that one text may take
 MIN_TEXTS = 6               # training texts that a trained bucket occurs in, at most
-UPDATES = 56_000            # texts seen in all passes
+UPDATES = 48_000            # texts seen in all passes
 PASSES = (6, 60)            # at least, at most
 RATE = 0.05
 SCALE = 50.0                # constant factor on a text's mean vector
