@@ -56,7 +56,7 @@ ROWS = 5
 BANDS = 48
 BLOCK = 512
 SHARD_BYTES = 32 << 20
-HOT_ROWS = 1_000        # rows of a join key beyond which it is salted
+HOT_ROWS = 20_000       # rows of a join key beyond which it is salted
 MOST_SALTS = 256
 
 _LINK = fields(("a", T.LongType()), ("b", T.LongType()))
@@ -176,10 +176,11 @@ def _salted(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> Da
     """Join of ``many`` with ``one`` (a row a key). Keys with more than
     ``HOT_ROWS`` rows of ``many``, if there are any, get salts on both sides, so
     their rows are spread over tasks."""
-    n = many.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS)
-    hot = checkpointed(n.select(key, F.least(F.ceil(F.col("n") / HOT_ROWS), F.lit(MOST_SALTS)).cast("int").alias("salts")))
-    if not hot.limit(1).count():
+    n = many.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    if (n.agg(F.max("n")).first()[0] or 0) <= HOT_ROWS:
         return many.join(one, key, how)
+    hot = checkpointed(n.filter(F.col("n") > HOT_ROWS)
+                       .select(key, F.least(F.ceil(F.col("n") / HOT_ROWS), F.lit(MOST_SALTS)).cast("int").alias("salts")))
     salts = F.coalesce("salts", F.lit(1))
     left = lookup(many, hot, key).withColumn("salt", F.pmod(F.xxhash64(*many.columns), salts).cast("int")).drop("salts")
     right = lookup(one, hot, key).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
