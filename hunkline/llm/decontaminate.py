@@ -1,12 +1,12 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-1. The benchmark's words and windows are written to the shared folder: a store
-   of its distinct word hashes, and files of windows (10 consecutive words of an
-   item; an item of fewer words is one window).
-2. Index: every task turns its documents into blocks. A block is a positional
-   inverted index of about two million document words: for each word that the
-   benchmark uses, its postings (document, position), ordered. Blocks are rows
-   of a Parquet table in the shared folder; each holds whole documents.
+1. Index: every task turns its documents into blocks. A block is a positional
+   inverted index of about ``BLOCK_WORDS`` document words: for each word its postings
+   (document, position), ordered. Blocks are rows of a Parquet table in the
+   shared folder; each holds whole documents. The index knows no benchmark, so it
+   serves any.
+2. The benchmark's windows (10 consecutive words of an item; an item of fewer words is
+   one window) are written to the shared folder, in files of bounded size.
 3. Search: for each block, a window's lists are intersected from its rarest word
    on, each list shifted by the word's offset in the window. What is left are
    the starts of exact phrases. Windows with a word that the block lacks are
@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hunkline.llm import store as S
-from hunkline.llm.runtime import arrow_map, fields, ship, workdir
+from hunkline.llm.runtime import arrow_map, fields, ship, stored, workdir
 from hunkline.llm.textscan import ALNUM, U64, scan
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000     # document words of an index block
+BLOCK_WORDS = 1_000_000     # document words of an index block
 FILE_ITEMS = 5_000          # items of one file of windows
 
 _BINARY = ("first", "terms", "lists", "docs", "positions")
@@ -87,7 +87,7 @@ def write_windows(items: DataFrame, id_col: str, text: str, size: int, folder: s
     return [r.name for r in arrow_map(rows, task, fields(("name", T.StringType()))).collect()]
 
 
-def build_index(docs: DataFrame, vocabulary: S.Store, id_col: str, text: str) -> DataFrame:
+def build_index(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """Index blocks as rows: the documents' ids, ``first`` (first word of each
     document, counted through the block), and the inverted lists: ``terms``,
     ``lists`` (start of each term's postings), ``docs`` and ``positions``."""
@@ -107,8 +107,9 @@ def build_index(docs: DataFrame, vocabulary: S.Store, id_col: str, text: str) ->
             base = first[-1][-1]
         terms, doc, pos = np.concatenate(terms), np.concatenate(doc), np.concatenate(pos)
         order = np.argsort(terms, kind="stable")  # documents and positions stay in order
-        distinct, start = np.unique(terms[order], return_index=True)
-        values = (np.concatenate(first).astype("<i8"), distinct, start.astype("<i8"),
+        ordered = terms[order]
+        start = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(ordered) else [])
+        values = (np.concatenate(first).astype("<i8"), ordered[start], start.astype("<i8"),
                   doc[order].astype("<i4"), pos[order].astype("<i4"))
         return pa.RecordBatch.from_arrays(
             [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
@@ -118,10 +119,8 @@ def build_index(docs: DataFrame, vocabulary: S.Store, id_col: str, text: str) ->
         parts, held = [], 0
         for batch in batches:
             for a, b, w in scan(batch.column(0), ALNUM):
-                distinct, place = np.unique(w.hashes, return_inverse=True)
-                used = np.flatnonzero((vocabulary.lookup(distinct)["id"] >= 0)[place])
-                doc = w.text_of()[used]
-                parts.append((batch.column(1).slice(a, b - a), w.first, w.hashes[used], doc, used - w.first[doc]))
+                doc = w.text_of()
+                parts.append((batch.column(1).slice(a, b - a), w.first, w.hashes, doc, np.arange(len(w)) - w.first[doc]))
                 held += len(w)
                 if held >= BLOCK_WORDS:
                     yield block(parts)
@@ -214,21 +213,22 @@ def _load(folder: str, names: list[str]) -> Iterator[dict[str, np.ndarray]]:
 
 
 class Index:
-    """A stored index of documents for one benchmark."""
+    """A stored index of documents."""
 
-    def __init__(self, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text",
+    def __init__(self, docs: DataFrame, items: DataFrame | None = None, id_col: str = "doc_id", text: str = "text",
                  item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> None:
         spark = docs.sparkSession
         ship(spark)
         self.id_col, self.kind = id_col, docs.schema[id_col].dataType
-        self.folder = workdir(spark, "benchmark")
-        benchmark = items.select(F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-        n_bytes = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        vocabulary, _ = S.count_keys(benchmark, S.shard_bits(n_bytes), self.folder, S.word_keys(ALNUM, lambda w: w.hashes))
+        self.blocks = stored(build_index(docs, id_col, text), "postings")
+        if items is not None:
+            self.ask(items, item_id, item_text, window)
+
+    def ask(self, items: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> Index:
+        """Take the windows of a benchmark as the next questions."""
+        self.folder = workdir(items.sparkSession, "benchmark")
         self.files = write_windows(items, item_id, item_text, window, self.folder)
-        path = f"file://{workdir(spark, 'postings')}/index"
-        build_index(docs, vocabulary, id_col, text).write.parquet(path)
-        self.blocks = spark.read.parquet(path)
+        return self
 
     def digest(self) -> DataFrame:
         """One row per document: id, n_words, n_hit (words inside exact phrases),
