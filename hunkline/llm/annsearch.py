@@ -11,8 +11,11 @@ Search: an inner product with a query is estimated from the bits and the scalars
 with a bound of its error that holds but for a fraction set by ``ERROR``. For
 each block and query the vectors whose least possible distance is not above the
 k-th smallest exact distance so far are reranked by exact distance in double
-precision. Each block gives its k nearest; a merge by query keeps the k nearest
-of all. There is no list, bucket or cap that a vector could fall out of; what
+precision. From ``TWO_PASSES`` blocks on, about the square root of their number is
+searched first, and the k-th distance found there is where each query starts in all
+other blocks, which then give only what is nearer: rows that grow with the
+square root of the blocks, not with the blocks. A merge by query keeps the k nearest of
+all. There is no list, bucket or cap that a vector could fall out of; what
 is approximate is the error bound alone.
 
 Queries are written to the shared folder by tasks, in files of bounded size that
@@ -39,12 +42,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hunkline.llm.runtime import arrow_map, fields, ship, workdir
+from hunkline.llm.runtime import arrow_map, fields, ship, stored, workdir
 
 ERROR = 3.0             # width of the error bound, in standard deviations
 BLOCK_ROWS = 65_536
 SCAN_ROWS = 8_192       # rows of a block compared at a time
 QUERY_ROWS = 128        # queries of one file
+TWO_PASSES = 16         # blocks from which the search has two passes
 SEED = 11
 _INDEX = fields(("ids", T.BinaryType()), ("vectors", T.BinaryType()), ("codes", T.BinaryType()), ("scalars", T.BinaryType()))
 
@@ -77,7 +81,7 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
 
 
 class Index:
-    def __init__(self, df: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> None:
+    def __init__(self, df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> None:
         spark = df.sparkSession
         ship(spark)
         self.rows = usable(df, id_col, vector)
@@ -110,22 +114,21 @@ class Index:
                                                    (np.concatenate(ids), x, codes, scalars)], names=_INDEX.names)
 
             for batch in batches:
-                for at in range(0, batch.num_rows, BLOCK_ROWS):
-                    part = batch.slice(at, BLOCK_ROWS)
+                for at in range(0, batch.num_rows, block_rows):
+                    part = batch.slice(at, block_rows)
                     ids.append(part.column(0).to_numpy().astype(np.int64))
                     vectors.append(_matrix(part.column(1), d))
                     held += part.num_rows
-                    if held >= BLOCK_ROWS:
+                    if held >= block_rows:
                         yield block()
                         ids, vectors, held = [], [], 0
             if held:
                 yield block()
 
-        path = f"file://{workdir(spark, 'codes')}/index"
-        arrow_map(self.rows, blocks, _INDEX).write.parquet(path)
-        self.blocks = spark.read.parquet(path)
+        self.blocks = stored(arrow_map(self.rows, blocks, _INDEX), "codes")
 
     def _write_queries(self, queries: DataFrame) -> tuple[str, list[str]]:
+        """Files of queries (id, vector, limit), written by tasks, and their names."""
         folder, d = workdir(queries.sparkSession, "queries"), self.dimension
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,17 +138,15 @@ class Index:
                     part = batch.slice(at, QUERY_ROWS)
                     path = os.path.join(folder, name := uuid.uuid4().hex + ".npz")
                     with open(path + ".part", "wb") as f:
-                        np.savez(f, ids=part.column(0).to_numpy(), vectors=_matrix(part.column(1), d))
+                        np.savez(f, ids=part.column(0).to_numpy(), vectors=_matrix(part.column(1), d), limit=part.column(2).to_numpy())
                     os.replace(path + ".part", path)
                     names.append(name)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
 
         return folder, [r.name for r in arrow_map(queries, task, fields(("name", T.StringType()))).collect()]
 
-    def search(self, asks: Column, k: int = 10, error: float = ERROR) -> DataFrame:
-        """The k nearest neighbours of the indexed rows for which ``asks`` (over
-        the column ``id``) holds: query_id, rank, vec_id, score."""
-        queries = self.rows.filter(asks).groupBy("id").agg(F.min("vector").alias("vector"))
+    def _scan(self, blocks: DataFrame, queries: DataFrame, k: int, error: float) -> DataFrame:
+        """(query_id, vec_id, score): each block's nearest within the query's limit."""
         folder, files = self._write_queries(queries)
         d, centre, turn = self.dimension, self.centre, rotation(self.dimension)
         schema = fields(("query_id", T.LongType()), ("vec_id", T.LongType()), ("score", T.DoubleType()))
@@ -158,12 +159,33 @@ class Index:
                     block = (ids, vectors.reshape(-1, d), codes.reshape(len(ids), -1), scalars.reshape(-1, 2))
                     for name in files:
                         with np.load(os.path.join(folder, name)) as f:
-                            q, v, s = nearest(block, f["ids"], f["vectors"], centre, turn, k, error)
+                            q, v, s = nearest(block, f["ids"], f["vectors"], centre, turn, k, error, f["limit"])
                         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], names=schema.names)
 
-        best = arrow_map(self.blocks, task, schema).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-        return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return arrow_map(blocks, task, schema).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+
+    def search(self, asks: Column, k: int = 10, error: float = ERROR) -> DataFrame:
+        """The k nearest neighbours of the indexed rows for which ``asks`` (over
+        the column ``id``) holds: query_id, rank, vec_id, score."""
+        queries = (self.rows.filter(asks).groupBy("id").agg(F.min("vector").alias("vector"))
+                   .withColumn("limit", F.lit(float("inf"))))
+        by_distance = Window.partitionBy("query_id").orderBy("score", "vec_id")
+
+        def best(found: DataFrame) -> DataFrame:
+            return found.withColumn("rank", F.row_number().over(by_distance)).filter(F.col("rank") <= k)
+
+        n = self.blocks.count()
+        if n < TWO_PASSES:
+            found = self._scan(self.blocks, queries, k, error)
+        else:
+            few = F.pmod(F.xxhash64("ids"), F.lit(int(np.sqrt(n)))) == 0  # blocks are dealt by their ids
+            first = stored(best(self._scan(self.blocks.filter(few), queries, k, error)), "first-pass")
+            limits = first.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("found"))
+            queries = (queries.join(limits, "id", "left")
+                       .select("id", "vector", F.coalesce("found", "limit").alias("limit")))
+            found = (self._scan(self.blocks.filter(~few), queries, k, error).unionByName(first.drop("rank"))
+                     .groupBy("query_id", "vec_id").agg(F.min("score").alias("score")))
+        return best(found).select("query_id", "rank", "vec_id", "score")
 
 
 def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -176,15 +198,16 @@ def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 def nearest(block: tuple[np.ndarray, ...], query_ids: np.ndarray, queries: np.ndarray, centre: np.ndarray,
-            turn: np.ndarray, k: int, error: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, vector id, distance) of the k nearest rows of a block for each query."""
+            turn: np.ndarray, k: int, error: float, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, vector id, distance) of the k nearest rows of a block for each query,
+    of those at most ``within`` away."""
     ids, vectors, codes, scalars = block
     d = vectors.shape[1]
     away = queries - centre
     asked = np.linalg.norm(away, axis=1)
     unit = (away @ turn / np.where(asked > 0, asked, 1)[:, None]).astype(np.float32)
     best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in query_ids]
-    limit = np.full(len(query_ids), np.inf)
+    limit = np.full(len(query_ids), np.inf) if within is None else within.astype(np.float64)
 
     def rerank(q: int, rows: np.ndarray) -> None:
         rows = rows[ids[rows] != query_ids[q]]
@@ -194,11 +217,13 @@ def nearest(block: tuple[np.ndarray, ...], query_ids: np.ndarray, queries: np.nd
         far = np.concatenate([best[q][1], exact(vectors[rows], queries[q])])
         order = np.lexsort((own, far))
         own, far = own[order], far[order]
+        if within is not None:
+            own, far = own[far <= within[q]], far[far <= within[q]]
         _, first = np.unique(own, return_index=True)  # an id once, at its least distance
         first = np.sort(first)[:k]
         best[q] = own[first], far[first]
         if len(first) == k:
-            limit[q] = far[first[-1]]
+            limit[q] = min(limit[q], far[first[-1]])
 
     for at in range(0, len(ids), SCAN_ROWS):
         norm, inner = scalars[at:at + SCAN_ROWS].T

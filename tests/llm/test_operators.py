@@ -448,7 +448,8 @@ def test_toxicity_bags_and_scores_agree():
 
 # --- nearest neighbours --------------------------------------------------
 
-def test_nearest_neighbours_against_all_distances(spark):
+@pytest.mark.parametrize("block_rows", [annsearch.BLOCK_ROWS, 30])  # one pass over 3 blocks, two passes over 30
+def test_nearest_neighbours_against_all_distances(spark, block_rows):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((900, 24)).astype(np.float32)
     x[100:400] = x[50]  # a hot vector
@@ -456,7 +457,9 @@ def test_nearest_neighbours_against_all_distances(spark):
     bad = [(901, None), (902, [0.0] * 24), (903, [float("nan")] * 24), (904, [1.0] * 23), (None, [1.0] * 24), (905, [None] + [1.0] * 23)]
     df = spark.createDataFrame(rows + bad + rows[:5], "vec_id bigint, embedding array<float>").repartition(3)
     got = defaultdict(list)
-    for r in annsearch.Index(df).search(F.col("id") % 50 == 0).orderBy("query_id", "rank").collect():
+    index = annsearch.Index(df, block_rows=block_rows)
+    assert (index.blocks.count() >= annsearch.TWO_PASSES) == (block_rows == 30)
+    for r in index.search(F.col("id") % 50 == 0).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
     hit = 0
     for q in range(0, 900, 50):
