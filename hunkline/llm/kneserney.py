@@ -10,7 +10,10 @@ tasks that memory-map those arrays.
    go to shards by a hash of the key, so a frequent context is spread over all
    shards. Each shard writes its sorted keys and counts and hands on its
    shares of the per-word statistics: how many followers of a context occur
-   once, twice and more often, and how many contexts a word follows.
+   once, twice and more often, and how many contexts a word follows. They go to the
+   words' shards; from ``TWO_HOPS`` shards on in two hops, between groups of shards
+   and then inside them, so that the rows handed on do not grow with the square of
+   the shards.
 3. Scoring: tasks look up the words and bigrams of their texts in the mapped
    arrays. P(v|u) = max(c(uv)-D(c(uv)),0)/c(u) + l(u) Pc(v), where Pc is the
    continuation distribution, discounted the same way and interpolated with
@@ -42,7 +45,9 @@ from hunkline.llm import store as S
 from hunkline.llm.runtime import arrow_map, fields, remainder, ship, workdir
 from hunkline.llm.textscan import NOT_SPACE, U64, Words, scan
 
-_PART = fields(("shard", T.IntegerType()), ("ids", T.BinaryType()), ("stats", T.BinaryType()))
+TWO_HOPS = 1 << 11
+
+_PART = fields(("shard", T.LongType()), ("ids", T.BinaryType()), ("stats", T.BinaryType()))
 
 
 @dataclass
@@ -99,9 +104,37 @@ def _key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (u.astype(U64) << U64(32)) | v.astype(U64)
 
 
-def _merge_bigrams(folder: str, words: S.Store):
-    bases, shards = words.base, 1 << words.bits
+def _dealt(ids: np.ndarray, stats: np.ndarray, words: S.Store, group_bits: int = 0) -> list[tuple[int, bytes, bytes]]:
+    """Statistics by the shard of their words (or by groups of 2**group_bits of
+    them); ids beyond the words (end, begin) go to one more shard."""
+    shards = 1 << words.bits
+    owner = np.minimum(np.searchsorted(words.base, ids, side="right") - 1, shards) >> group_bits
+    there, first = np.unique(owner, return_index=True)  # ids ascend, so owners do
+    ends = np.append(first[1:], len(ids))
+    return [(int(o), S.pack_keys(ids[a:b].astype(U64)), S.pack(stats[a:b].astype("<u4").ravel())) for o, a, b in zip(there, first, ends)]
+
+
+def _parts(rows: list[tuple[int, bytes, bytes]]) -> pa.Table:
+    return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "ids": pa.array([r[1] for r in rows], pa.binary()),
+                     "stats": pa.array([r[2] for r in rows], pa.binary())})
+
+
+def _added(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the statistics of all rows, by id."""
+    return S.summed(np.concatenate([S.unpack_keys(x) for x in table.column("ids").to_pylist()]).astype(np.int64),
+                    np.concatenate([S.unpack(x, "<u4").reshape(-1, 4) for x in table.column("stats").to_pylist()]).astype(np.int64))
+
+
+def _regroup(words: S.Store):
+    """The second hop: what some shards of bigrams say of some shards of words."""
+    def group(table: pa.Table) -> pa.Table:
+        if table.column("shard")[0].as_py() < 0:
+            return table
+        return _parts(_dealt(*_added(table), words))
+    return group
+
 
+def _merge_bigrams(folder: str, words: S.Store, group_bits: int = 0):
     def group(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         k, c = S.merge_runs(table.column("keys").to_pylist(), table.column("counts").to_pylist())
@@ -115,16 +148,11 @@ def _merge_bigrams(folder: str, words: S.Store):
         before = np.zeros((len(words_seen), 4), np.int64)
         before[:, 3] = n
         ids, stats = S.summed(np.concatenate([after, words_seen]), np.concatenate([one, before]))
-        # ids beyond the words (end, begin) go to one more shard
-        owner = np.minimum(np.searchsorted(bases, ids, side="right") - 1, shards)
-        cuts = np.searchsorted(owner, np.arange(shards + 2))
-        rows = [(int(s), S.pack_keys(ids[cuts[s]:cuts[s + 1]].astype(U64)),
-                 S.pack(stats[cuts[s]:cuts[s + 1]].astype("<u4").ravel())) for s in np.unique(owner)]
+        rows = _dealt(ids, stats, words, group_bits)
+        if group_bits:  # by group of bigram shards and group of word shards
+            rows = [((shard >> group_bits) << 32 | owner, *blocks) for owner, *blocks in rows]
         tally = np.array([len(k), *[(c == i).sum() for i in (1, 2, 3, 4)], shard], np.int64)
-        rows.append((-1, tally.tobytes(), b""))
-        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()),
-                         "ids": pa.array([r[1] for r in rows], pa.binary()),
-                         "stats": pa.array([r[2] for r in rows], pa.binary())})
+        return _parts([*rows, (-1, tally.tobytes(), b"")])
     return group
 
 
@@ -136,9 +164,7 @@ def _merge_stats(words: S.Store):
         if shard < 0:  # the shards' tallies: one short row each
             rows = [np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()]
             return _summary(shard, np.concatenate(rows))
-        ids, stats = S.summed(
-            np.concatenate([S.unpack_keys(x) for x in table.column("ids").to_pylist()]).astype(np.int64),
-            np.concatenate([S.unpack(x, "<u4").reshape(-1, 4) for x in table.column("stats").to_pylist()]).astype(np.int64))
+        ids, stats = _added(table)
         if shard == shards:
             return _summary(shard, np.concatenate([ids[:, None], stats], axis=1).ravel())
         full = np.zeros((int(words.base[shard + 1] - words.base[shard]), 4), np.uint32)
@@ -153,7 +179,7 @@ def _merge_stats(words: S.Store):
     return group
 
 
-def train(df: DataFrame, text: str = "text") -> Model:
+def train(df: DataFrame, text: str = "text", two_hops: int = TWO_HOPS) -> Model:
     """Count the model over all rows of ``df`` (two passes over the texts)."""
     spark = df.sparkSession
     ship(spark)
@@ -169,9 +195,12 @@ def train(df: DataFrame, text: str = "text") -> Model:
     def pair_keys(w: Words) -> np.ndarray:
         return _key(*_pairs(token_ids(w, words)[0], w, start, end))
 
-    summary = (S.key_runs(texts, bits, True, S.word_keys(NOT_SPACE, pair_keys))
-               .groupBy("shard").applyInArrow(_merge_bigrams(bigram_folder, words), _PART)
-               .groupBy("shard").applyInArrow(_merge_stats(words), "shard int, numbers array<long>").collect())
+    group_bits = (bits + 1) // 2 if 1 << bits >= two_hops else 0
+    shares = (S.key_runs(texts, bits, True, S.word_keys(NOT_SPACE, pair_keys))
+              .groupBy("shard").applyInArrow(_merge_bigrams(bigram_folder, words, group_bits), _PART))
+    if group_bits:
+        shares = shares.groupBy("shard").applyInArrow(_regroup(words), _PART)
+    summary = (shares.groupBy("shard").applyInArrow(_merge_stats(words), "shard int, numbers array<long>").collect())
     bigram_sizes, high, low, low3, begin, end_contexts = [0] * (1 << bits), [0] * 4, [0] * 4, 0, (0, 0, 0), 0
     for r in summary:
         x = r.numbers

@@ -235,6 +235,8 @@ def test_kneser_ney_against_counters(spark, docs, empty):
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, total, crc(i, 10) == 0)
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
+    hops = kneserney.score(df, kneserney.train(df.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0), two_hops=1)).collect()
+    assert {r.doc_id: r.score for r in hops} == {i: r.score for i, r in got.items()}
     edge = kneserney.train_and_score(docs).collect()
     assert len(edge) == docs.count() and all(math.isfinite(r.score) for r in edge)
     assert all(r.held_out for r in edge if r.doc_id is None)
