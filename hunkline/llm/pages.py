@@ -358,13 +358,18 @@ class Page:
 
 
     def dump(self) -> bytes:
-        return marshal.dumps((self.out, self.words, self.prose.tobytes(), self.subtrees, self.level))
+        """What ``main_text`` needs, but for the subtrees' keys: texts that are no main
+        text are left out."""
+        out = [(text if text is BREAK or level >= self.level else "", level) for text, level in self.out]
+        return marshal.dumps((out, self.words, np.packbits(self.prose).tobytes(), [x[1:] for x in self.subtrees], self.level))
 
     @classmethod
-    def load(cls, raw: bytes) -> Page:
+    def load(cls, raw: bytes, keys: list[int]) -> Page:
+        """A stored page, with ``keys`` for its subtrees."""
         page = cls.__new__(cls)
-        page.out, page.words, prose, page.subtrees, page.level = marshal.loads(raw)
-        page.prose = np.frombuffer(prose, bool)
+        page.out, page.words, prose, spans, page.level = marshal.loads(raw)
+        page.prose = np.unpackbits(np.frombuffer(prose, np.uint8), count=len(page.out)).astype(bool)
+        page.subtrees = [(key, *span) for key, span in zip(keys, spans)]
         return page
 
 
@@ -376,7 +381,7 @@ def _key(site: str, digest: int) -> int:
 
 def parse(pages: DataFrame, id_col: str, url: str, html: str, declared: bool = True) -> DataFrame:
     """(id, url, site, page, parsed, trees): each page's parsed form, the hash of its
-    host and of its main prose, and (key, kind) of its subtrees (none without a host)."""
+    host (null without one) and of its main prose, and (key, kind) of its subtrees."""
     rows = take(pages, id_col, url, html).toDF("id", "url", "html").withColumn("html", F.coalesce("html", F.lit("")))
     tree = T.StructType([T.StructField("key", T.LongType()), T.StructField("kind", T.IntegerType())])
     schema = fields(("id", rows.schema["id"].dataType), ("url", rows.schema["url"].dataType), ("site", "long"), ("page", "long"),
@@ -397,12 +402,12 @@ def parse(pages: DataFrame, id_col: str, url: str, html: str, declared: bool = T
                 for address, source in zip(batch.column(1).to_pylist(), batch.column(2)):
                     page = own.Page(source.as_py(), declared)
                     site = own.host(address)
-                    trees = {own._key(site, d): k for d, _, _, k in page.subtrees} if site else {}
+                    trees = [own._key(site, d) for d, *_ in page.subtrees]
                     sites.append(signed(xxhash.xxh64_intdigest(site)) if site else None)
                     keys.append(signed(page.content()))
                     parsed.append(page.dump())
                     key += trees
-                    kind += trees.values()
+                    kind += [x[3] for x in page.subtrees]
                     start.append(len(key))
                 trees = pa.StructArray.from_arrays([pa.array(np.array(key, U64).view(np.int64)), pa.array(kind, pa.int32())], names=["key", "kind"])
                 yield pa.RecordBatch.from_arrays(
@@ -431,7 +436,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
             min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, declared: bool = True) -> DataFrame:
     """One row per page: id, url, text, n_chars. ``declared=False`` ignores what
     elements say of themselves: counted templates alone decide."""
-    parsed = stored(parse(pages, id_col, url, html, declared), "parsed-pages")
+    parsed = stored(parse(pages, id_col, url, html, declared), "parsed-pages", "zstd")
     known = templates(parsed, min_pages, min_share)
     schema = fields((id_col, parsed.schema["id"].dataType), (url, parsed.schema["url"].dataType),
                     ("text", T.StringType()), ("n_chars", T.LongType()))
@@ -446,9 +451,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
                 asked = np.unique(trees)
                 found = set(asked[known.lookup(asked)["id"] >= 0].tolist())
                 texts = []
-                for address, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    page, site = own.Page.load(raw), own.host(address)
-                    texts.append(page.main_text({d for d, *_ in page.subtrees if own._key(site, d) in found} if site and found else set()))
+                for address, raw, keys in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                    page = own.Page.load(raw, keys.values.field(0).to_numpy().view(U64).tolist())
+                    texts.append(page.main_text(found if found and own.host(address) else set()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                     names=schema.names)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -56,6 +57,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release() -> None:
+    """Give memory that earlier tasks of this worker have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def take(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns of exactly these names, picked by place: other columns
     whose names differ in case only do not clash."""
@@ -63,12 +73,12 @@ def take(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*[f"_c{i}" for i in range(len(df.columns))]).select(*[F.col(f"_c{i}").alias(n) for i, n in zip(places, names)])
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Cut lineage with a Parquet table in the shared folder, whatever its scheme.
     A task that runs twice writes its file once (Spark's output committer)."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/hunkline-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
