@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hunkline.llm import store as S
-from hunkline.llm.runtime import arrow_map, fields, ship, stored, workdir
+from hunkline.llm.runtime import arrow_map, fields, release, ship, stored, workdir
 from hunkline.llm.textscan import ALNUM, U64, scan
 
 WINDOW = 10
-BLOCK_WORDS = 1_000_000     # document words of an index block
+BLOCK_WORDS = 500_000       # document words of an index block
 FILE_ITEMS = 5_000          # items of one file of windows
 
 _BINARY = ("first", "terms", "lists", "docs", "positions")
@@ -101,7 +101,7 @@ def build_index(docs: DataFrame, id_col: str, text: str) -> DataFrame:
         terms, doc, pos = [], [], []
         for part_ids, part_first, t, d, p in parts:
             terms.append(t)
-            doc.append(d + sum(len(f) for f in first) - 1)
+            doc.append(d + np.int32(sum(len(f) for f in first) - 1))
             pos.append(p)
             first.append(part_first[1:] + base)
             base = first[-1][-1]
@@ -116,11 +116,13 @@ def build_index(docs: DataFrame, id_col: str, text: str) -> DataFrame:
             + [pa.array([S.pack(v)], pa.binary()) for v in values], names=schema.names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         parts, held = [], 0
         for batch in batches:
             for a, b, w in scan(batch.column(0), ALNUM):
                 doc = w.text_of()
-                parts.append((batch.column(1).slice(a, b - a), w.first, w.hashes, doc, np.arange(len(w)) - w.first[doc]))
+                place = np.arange(len(w)) - w.first[doc]
+                parts.append((batch.column(1).slice(a, b - a), w.first, w.hashes, doc.astype(np.int32), place.astype(np.int32)))
                 held += len(w)
                 if held >= BLOCK_WORDS:
                     yield block(parts)
@@ -238,6 +240,7 @@ class Index:
                         ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()))
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             for ids, block in _blocks(batches):
                 first = block.first
                 edge = np.zeros(int(first[-1]) + 1, np.int32)
