@@ -8,10 +8,12 @@ text as any chain of vocabulary tokens, and drops a chain at the first pair of
 neighbours that would not stay apart, accepts one chain: the encoding.
 
 ``Transducer`` determinises it lazily, byte by byte: a state is the set of open
-hypotheses (last token, place in the vocabulary trie, tokens not yet emitted).
-The tokens that all hypotheses share are emitted, so a token leaves as soon as
-no later byte can change it. States, transitions and pair checks are
-computed when first met and kept up to a bound, then computed anew.
+hypotheses (last token, place in the vocabulary trie). At most one chain ends at
+any byte, so a transition puts out the last token of that chain, or none, and
+the tokens are read back from the end: a state needs no tokens of its own, and
+texts that differ only in tokens further back share it. In a long text
+the tokens that all hypotheses share leave after each block. States, transitions
+and pair checks are computed when first met and kept up to a bound, then computed anew.
 
 Decoding joins the tokens' bytes and passes them through an incremental UTF-8
 state machine, so a stream of ids can be cut anywhere.
@@ -38,11 +40,12 @@ from hunkline.llm.runtime import arrow_map, fields
 
 OPEN = -1                   # key of a state's hypotheses
 NEVER = 1 << 62             # a rank after all ranks
+NODE = (1 << 32) - 1        # a hypothesis: its last token plus 1, times 2^32, plus its node
 STATE_LIMIT = 130_000       # determinised states kept
 PAIR_LIMIT = 300_000        # pair checks kept
 PIECE_LIMIT = 220_000       # encoded pieces kept, in each of two generations
 ROWS = 500                  # rows of an output batch
-BLOCK = 50_000              # pieces or ids handled at a time
+BLOCK = 50_000              # pieces, ids or bytes of a piece handled at a time
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -63,7 +66,7 @@ class Transducer:
         self.ranks, self.tables = ranks, tables
         self.tokens = {r: t for t, r in ranks.items()}
         self.child: dict[int, int] = {}  # node * 256 + byte -> node
-        self.token_at = [-1]             # by node
+        self.token_at, self.depth = [-1], [0]  # by node
         for token, rank in ranks.items():
             at = self.ROOT
             for byte in token:
@@ -71,6 +74,7 @@ class Transducer:
                 if key not in self.child:
                     self.child[key] = len(self.token_at)
                     self.token_at.append(-1)
+                    self.depth.append(self.depth[at] + 1)
                 at = self.child[key]
             self.token_at[at] = rank
         self.inner = bytearray(len(self.token_at))  # nodes that go on
@@ -81,11 +85,11 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        # a state maps a byte to (next state, tokens emitted), and OPEN to its hypotheses
-        self.states: dict[tuple, dict] = {}
-        self.start = self._state(((-1, self.ROOT, ()),))
+        # a state maps a byte to (next state, token that ends there or -1), and OPEN to its hypotheses
+        self.states: dict[tuple[int, ...], dict] = {}
+        self.start = self._state((self.ROOT,))
 
-    def _state(self, hypotheses: tuple) -> dict:
+    def _state(self, hypotheses: tuple[int, ...]) -> dict:
         state = self.states.get(hypotheses)
         if state is None:
             state = self.states[hypotheses] = {OPEN: hypotheses}
@@ -146,54 +150,69 @@ class Transducer:
             ok = self.apart[key] = self._history(token) is not None and (before < 0 or self._apart(before, token))
         return ok
 
-    def _step(self, state: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
+    def _step(self, state: dict, byte: int) -> tuple[dict, int]:
         """Hypotheses stand in the order of their start, so the longest open
         token comes first; at most one token can end here, see above."""
-        out, ended, empty = [], None, False
+        out, ended = [], -1
         child, inner, token_at = self.child, self.inner, self.token_at
-        for last, node, held in state[OPEN]:
+        for h in state[OPEN]:
+            node = h & NODE
             to = child.get(node << 8 | byte)
             if to is None:
                 continue
             if inner[to]:
-                out.append((last, to, held))
-                empty = empty or not held
-            if ended is None and (token := token_at[to]) >= 0 and self.follows(last, token):
-                ended = (token, self.ROOT, (*held, token))
-        if ended:
-            out.append(ended)
+                out.append(h - node + to)
+            if ended < 0 and (token := token_at[to]) >= 0 and self.follows((h >> 32) - 1, token):
+                ended = token
+        if ended >= 0:
+            out.append(ended + 1 << 32 | self.ROOT)
         if not out:
             raise ValueError(f"the vocabulary has no token for byte {byte} here")
-        if empty:
-            return self._state(tuple(out)), ()
-        first, common = out[0][2], 0
-        shortest = min([len(h) for _, _, h in out])
-        while common < shortest and all([h[common] == first[common] for _, _, h in out]):
-            common += 1
-        if common:
-            out = [(a, b, h[common:]) for a, b, h in out]
-        return self._state(tuple(out)), first[:common]
+        return self._state(tuple(out)), ended
+
+    def _chain(self, ends: list[int], place: int) -> list[int]:
+        """The one chain of tokens that ends at a place."""
+        ids: list[int] = []
+        while place:
+            token = ends[place - 1]
+            ids.append(token)
+            place -= len(self.tokens[token])
+        return ids[::-1]
+
+    def _shared(self, ends: list[int], state: dict) -> int:
+        """The last place that the chains of all open hypotheses pass."""
+        places = {len(ends) - self.depth[h & NODE] for h in state[OPEN]}
+        while len(places) > 1:
+            place = max(places)
+            places.remove(place)
+            places.add(place - len(self.tokens[ends[place - 1]]))
+        return places.pop()
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one match of the splitting pattern."""
         if piece in self.ranks:  # a vocabulary entry stands for itself
             return [self.ranks[piece]]
-        if len(self.states) > STATE_LIMIT * self.tables:
-            self._reset()
         ids: list[int] = []
+        ends: list[int] = []  # the token that ends after each byte, or -1
         state = self.start
-        for byte in piece:
-            step = state.get(byte)
-            if step is None:
-                step = state[byte] = self._step(state, byte)
-            state, emitted = step
-            if emitted:
-                ids += emitted
-        _, node, held = state[OPEN][-1]
-        if node != self.ROOT:
+        for at in range(0, len(piece), BLOCK):
+            if at:
+                place = self._shared(ends, state)
+                ids += self._chain(ends, place)
+                del ends[:place]
+            if len(self.states) > STATE_LIMIT * self.tables:
+                hypotheses = state[OPEN]
+                self._reset()
+                state = self._state(hypotheses)
+            for byte in piece[at:at + BLOCK]:
+                step = state.get(byte)
+                if step is None:
+                    step = state[byte] = self._step(state, byte)
+                state, token = step
+                ends.append(token)
+        if ends and ends[-1] < 0:
             raise ValueError("the vocabulary does not cover this text")
-        ids += held  # the one chain that ends here
-        return ids
+        return ids + self._chain(ends, len(ends))
 
 
 class Utf8Stream:
@@ -289,7 +308,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text:
     """One row per row of ``df``: id, n_tokens, ids_sha256 (of the ids as
     little-endian unsigned 32-bit integers), decoded_sha256 (of the text that the
     ids decode to), and the ids themselves if asked for. ``tables`` below 1 trades
-    time for memory of the tasks."""
+    time for memory of the tasks, above 1 memory for time."""
     rows = df.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(id_col).alias("id"))
     schema = fields((id_col, df.schema[id_col].dataType), ("n_tokens", T.LongType()),
                     ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()),

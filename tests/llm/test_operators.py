@@ -380,6 +380,28 @@ def test_bounded_tables_give_the_same_ids(codecs, monkeypatch):
         assert ids_of(small, prose(i)) == ids_of(codecs[0], prose(i))
 
 
+def test_states_hold_no_tokens_and_stay_bounded_in_long_pieces(codecs, monkeypatch):
+    """Words that differ only in tokens further back share their states, and a
+    piece of any length is read block by block with the same ids."""
+    import random
+
+    path, pattern = tokenizer()
+    ranks, rng = bpe.read_ranks(path), random.Random(3)
+    machine = bpe.Transducer(ranks)
+    for word in (b" erortionen", b" thonerwhnthe"):
+        machine.encode(word)
+    assert all(isinstance(h, int) for state in machine.states.values() for h in state[bpe.OPEN])
+    pieces = ["".join(rng.choice("aeionrstéß中") for _ in range(1500)) for _ in range(3)] + ["a" * 2000, "=" * 700, "人" * 300]
+    want = [codecs[1].encode_ordinary(p) for p in pieces]
+    monkeypatch.setattr(bpe, "STATE_LIMIT", 50)
+    for block in (1, 7, 64):
+        monkeypatch.setattr(bpe, "BLOCK", block)
+        machine = bpe.Transducer(ranks)
+        for piece, ids in zip(pieces, want):
+            assert machine.encode(piece.encode()) == ids
+            assert len(machine.states) <= 50 + 1 + block
+
+
 def test_utf8_stream_at_every_cut():
     data = "aé中😀z".encode() + b"\xff\xe4\xb8x\xf0\x9f"
     for cut in range(len(data) + 1):
