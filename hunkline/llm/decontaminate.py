@@ -2,9 +2,10 @@
 
 1. Index: every task turns its documents into blocks. A block is a positional
    inverted index of about ``BLOCK_WORDS`` document words: for each word its postings
-   (document, position), ordered. Blocks are rows of a Parquet table in the
-   shared folder; each holds whole documents. The index knows no benchmark, so it
-   serves any.
+   (document, position), ordered. Each holds whole documents and is a compressed
+   file in the shared folder, written and read by tasks; Spark itself handles the
+   files' names only, so a JVM never holds postings. The index knows no benchmark,
+   so it serves any.
 2. The benchmark's windows (10 consecutive words of an item; an item of fewer words is
    one window) are written to the shared folder, in files of bounded size.
 3. Search: for each block, a window's lists are intersected from its rarest word
@@ -26,6 +27,7 @@ An empty benchmark hits nothing. Other columns are ignored and cannot clash.
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import uuid
 from collections.abc import Iterator
@@ -42,6 +44,7 @@ from hunkline.llm.textscan import ALNUM, U64, scan
 
 WINDOW = 10
 BLOCK_WORDS = 500_000       # document words of an index block
+TASK_BLOCKS = 8             # index blocks that a search task reads, one at a time
 FILE_ITEMS = 5_000          # items of one file of windows
 
 _BINARY = ("first", "terms", "lists", "docs", "positions")
@@ -87,13 +90,12 @@ def write_windows(items: DataFrame, id_col: str, text: str, size: int, folder: s
     return [r.name for r in arrow_map(rows, task, fields(("name", T.StringType()))).collect()]
 
 
-def build_index(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Index blocks as rows: the documents' ids, ``first`` (first word of each
+def build_index(docs: DataFrame, id_col: str, text: str, folder: str) -> DataFrame:
+    """Index blocks as files, written by tasks; returns rows of their names. A
+    block is one Arrow row: the documents' ids, ``first`` (first word of each
     document, counted through the block), and the inverted lists: ``terms``,
     ``lists`` (start of each term's postings), ``docs`` and ``positions``."""
-    kind = docs.schema[id_col].dataType
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(id_col).alias("id"))
-    schema = fields(("ids", T.ArrayType(kind)), *[(c, T.BinaryType()) for c in _BINARY])
 
     def block(parts: list) -> pa.RecordBatch:
         ids = pa.concat_arrays([p[0] for p in parts])
@@ -113,7 +115,15 @@ def build_index(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                   doc[order].astype("<i4"), pos[order].astype("<i4"))
         return pa.RecordBatch.from_arrays(
             [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
-            + [pa.array([S.pack(v)], pa.binary()) for v in values], names=schema.names)
+            + [pa.array([S.pack(v)], pa.binary()) for v in values], names=["ids", *_BINARY])
+
+    def write(parts: list) -> pa.RecordBatch:
+        row, name = block(parts), f"{uuid.uuid4().hex}.arrow"
+        path, options = os.path.join(folder, name), pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)
+        with pa.OSFile(path + ".part", "wb") as f, pa.ipc.new_file(f, row.schema, options=options) as out:
+            out.write_batch(row)
+        os.replace(path + ".part", path)
+        return pa.RecordBatch.from_arrays([pa.array([name], pa.string())], names=["name"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -125,12 +135,13 @@ def build_index(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 parts.append((batch.column(1).slice(a, b - a), w.first, w.hashes, doc.astype(np.int32), place.astype(np.int32)))
                 held += len(w)
                 if held >= BLOCK_WORDS:
-                    yield block(parts)
+                    yield write(parts)
                     parts, held = [], 0
         if parts:
-            yield block(parts)
+            yield write(parts)
 
-    return arrow_map(rows, task, schema)
+    # a task that runs twice writes second files; only the names that arrive are read
+    return arrow_map(rows, task, fields(("name", T.StringType())))
 
 
 class Block:
@@ -201,11 +212,12 @@ class Block:
         return np.array(found, np.int64).reshape(-1, 2)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Block]]:
+def _blocks(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[pa.Array, Block]]:
     for batch in batches:
-        for i in range(batch.num_rows):
-            part = batch.slice(i, 1)
-            yield part.column(0).flatten(), Block({c: part.column(c)[0].as_py() for c in _BINARY})
+        for name in batch.column(0).to_pylist():
+            with pa.OSFile(os.path.join(folder, name), "rb") as f:
+                row = pa.ipc.open_file(f).get_batch(0)
+            yield row.column(0).flatten(), Block({c: row.column(c)[0].as_py() for c in _BINARY})
 
 
 def _load(folder: str, names: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -222,7 +234,9 @@ class Index:
         spark = docs.sparkSession
         ship(spark)
         self.id_col, self.kind = id_col, docs.schema[id_col].dataType
-        self.blocks = stored(build_index(docs, id_col, text), "postings")
+        self.store = workdir(spark, "postings")
+        names = stored(build_index(docs, id_col, text, self.store), "blocks")
+        self.blocks = names.repartition(max(1, math.ceil(names.count() / TASK_BLOCKS)))  # names only
         if items is not None:
             self.ask(items, item_id, item_text, window)
 
@@ -235,13 +249,13 @@ class Index:
     def digest(self) -> DataFrame:
         """One row per document: id, n_words, n_hit (words inside exact phrases),
         n_items, items_sha256, contaminated."""
-        folder, files = self.folder, self.files
+        store, folder, files = self.store, self.folder, self.files
         schema = fields((self.id_col, self.kind), ("n_words", T.LongType()), ("n_hit", T.LongType()),
                         ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()))
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             release()
-            for ids, block in _blocks(batches):
+            for ids, block in _blocks(batches, store):
                 first = block.first
                 edge = np.zeros(int(first[-1]) + 1, np.int32)
                 items: dict[int, set[str]] = {}
@@ -273,12 +287,12 @@ class Index:
         """All matches: id, item_id, kind (``phrase`` or, with ``slop``,
         ``proximity`` for stretches that are not an exact phrase), start (first
         word, from 0) and n_words."""
-        folder, files = self.folder, self.files
+        store, folder, files = self.store, self.folder, self.files
         schema = fields((self.id_col, self.kind), ("item_id", T.StringType()), ("kind", T.StringType()),
                         ("start", T.LongType()), ("n_words", T.LongType()))
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for ids, block in _blocks(batches):
+            for ids, block in _blocks(batches, store):
                 for windows in _load(folder, files):
                     for w, terms, offsets in block.find(windows):
                         starts = block.phrases(terms, offsets)

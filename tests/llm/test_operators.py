@@ -547,6 +547,19 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     assert len(none) == df.count() and not any(r.contaminated or r.n_hit for r in none)
 
 
+def test_decontamination_postings_stay_out_of_spark(spark, monkeypatch):
+    """Rows of the index that Spark handles are names: their bytes follow the blocks, not the words."""
+    monkeypatch.setattr(decontaminate, "TASK_BLOCKS", 2, raising=False)
+    rows = [(i if i % 7 else None, prose(i, 500)) for i in range(30)]
+    items = [(1, " ".join(rows[3][1].split()[100:125])), (2, " ".join(rows[20][1].split()[:10]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)  # each task writes a block
+    index = decontaminate.Index(df, spark.createDataFrame(items, "item_id bigint, text string"))
+    got = Counter(tuple(r) for r in index.digest().collect())
+    assert got == plain_hits(rows, items)
+    assert index.blocks.count() >= 2
+    assert index.blocks.toArrow().nbytes < 200 * index.blocks.count()
+
+
 def test_proximity_matches(spark):
     rows = [(1, "p q alpha beta gamma delta r"), (2, "alpha x beta gamma y delta"), (3, "delta gamma beta alpha"), (4, "alpha beta gamma z z z z z delta")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
